@@ -13,6 +13,25 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file; the operators take any path."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    from .pieces import digests, encode_pieces
+
+    return digests(encode_pieces(_table(spark, folder, "documents"), vocabulary("piece_bpe_32k.model")))
+
+
+def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    from .prefixes import count_tokens
+
+    return count_tokens(_table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"), limit=2048)
+
+
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     from .quality import quality_rules
 
@@ -20,6 +39,8 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_sentencepiece": op1_sentencepiece,
+    "op7_token_counts": op7_token_counts,
     "op8_quality_rules": op8_quality_rules,
 }
 
