@@ -38,10 +38,17 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    from .rans import token_files
+
+    return token_files(_table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
+
+
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op7_token_counts": op7_token_counts,
     "op8_quality_rules": op8_quality_rules,
+    "op10_token_files": op10_token_files,
 }
 
 ORACLES: dict[str, str] = {}
