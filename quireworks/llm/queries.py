@@ -26,6 +26,12 @@ def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return digests(encode_pieces(_table(spark, folder, "documents"), vocabulary("piece_bpe_32k.model")))
 
 
+def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(_table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
+
+
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     from .prefixes import count_tokens
 
@@ -46,6 +52,7 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op4_packing": op4_packing,
     "op7_token_counts": op7_token_counts,
     "op8_quality_rules": op8_quality_rules,
     "op10_token_files": op10_token_files,
