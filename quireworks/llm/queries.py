@@ -26,6 +26,12 @@ def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return digests(encode_pieces(_table(spark, folder, "documents"), vocabulary("piece_bpe_32k.model")))
 
 
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    from .warc import archive_pages
+
+    return archive_pages(_table(spark, folder, "pages"))
+
+
 def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     from .packing import pack
 
@@ -52,10 +58,20 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op3_warc": op3_warc,
     "op4_packing": op4_packing,
     "op7_token_counts": op7_token_counts,
     "op8_quality_rules": op8_quality_rules,
     "op10_token_files": op10_token_files,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+        g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS keeper FROM d)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND keeper <> page_id THEN keeper END AS refers_to
+        FROM g""",
+}

@@ -54,7 +54,7 @@ def write_file(folder: str, name: str, chunks: Iterator[bytes]) -> int:
     files.create_dir(path, recursive=True)
     own = f"{path}/.{name}.{uuid.uuid4().hex}"
     size = 0
-    with files.open_output_stream(own) as out:
+    with files.open_output_stream(own, compression=None) as out:
         for chunk in chunks:
             out.write(chunk)
             size += len(chunk)
