@@ -38,6 +38,12 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(_table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
 
 
+def op6_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    from .neighbours import search
+
+    return search(_table(spark, folder, "embeddings"), every=50, k=5)
+
+
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     from .prefixes import count_tokens
 
@@ -60,6 +66,7 @@ QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op3_warc": op3_warc,
     "op4_packing": op4_packing,
+    "op6_neighbours": op6_neighbours,
     "op7_token_counts": op7_token_counts,
     "op8_quality_rules": op8_quality_rules,
     "op10_token_files": op10_token_files,
