@@ -56,6 +56,12 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op9_context_tree(spark: SparkSession, folder: str) -> DataFrame:
+    from .ctw import score
+
+    return score(_table(spark, folder, "documents"))
+
+
 def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     from .rans import token_files
 
@@ -69,6 +75,7 @@ QUERIES: dict[str, Query] = {
     "op6_neighbours": op6_neighbours,
     "op7_token_counts": op7_token_counts,
     "op8_quality_rules": op8_quality_rules,
+    "op9_context_tree": op9_context_tree,
     "op10_token_files": op10_token_files,
 }
 

@@ -66,6 +66,9 @@ class Texts:
     def n(self) -> int:
         return len(self.at) - 1
 
+    def text(self, i: int) -> str:
+        return self.raw[self.at[i] : self.at[i + 1]].tobytes().decode()
+
     def span_hashes(self, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
         """64-bit hashes of byte ranges of raw."""
         table = _LOWER if lower else _BYTE
@@ -85,6 +88,10 @@ class Texts:
         sums = np.concatenate([[0], np.cumsum(of_words, dtype=np.int64)])
         return sums[self.word_at[1:]] - sums[self.word_at[:-1]]
 
+    def counts_sum(self, of_words: np.ndarray) -> np.ndarray:
+        """Sums of numbers over each text's words."""
+        return np.bincount(self.doc, of_words, minlength=self.n)
+
     def byte_sums(self, of_bytes: np.ndarray) -> np.ndarray:
         sums = np.concatenate([[0], np.cumsum(of_bytes, dtype=np.int64)])
         return sums[self.at[1:]] - sums[self.at[:-1]]
