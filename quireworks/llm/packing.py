@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import column, stored, text_column
+from .words import passes
 
 #: Lengths of one bin differ by less than this. A bin counts as its longest length.
 GRAIN = 8
@@ -149,14 +150,18 @@ def tokenized(docs: DataFrame, path: str, end_id: int, size: int, id_col: str =
         from .tokens import run_encoder
 
         encoder = run_encoder(path)
-        end = np.array([end_id], encoder.width)
+        end = encoder.width.type(end_id)
         task = TaskContext.get().partitionId()
         ranks: dict[int, int] = {}
         wholes = 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                got = [memoryview(np.concatenate([ids, end]).astype("<u4").tobytes()) for ids in encoder.encode(text_column(part, text_col).to_pylist())]
+            for t in passes(text_column(batch, text_col)):
+                part = batch.slice(t.first, t.n)
+                ids, sizes = encoder.encode(t)
+                stop = np.cumsum(sizes)
+                flat = memoryview(np.insert(ids, stop, end).astype("<u4").tobytes())
+                stop = 4 * (stop + np.arange(1, t.n + 1))
+                got = [flat[a:b] for a, b in zip([0, *stop[:-1].tolist()], stop.tolist(), strict=True)]
                 n = [len(g) // 4 for g in got]
                 bins = [-(-(k % size) // GRAIN) for k in n]
                 rank, before = [], []

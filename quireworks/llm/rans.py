@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import column, new_folder, text_column, write_file
+from .words import passes
 
 MAGIC = b"IDRANS01"
 LANES = 1024
@@ -198,22 +199,22 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, folder: str, id_c
         from .tokens import run_encoder
 
         encoder = run_encoder(path)
-        end = np.array([end_id], encoder.width)
+        end = encoder.width.type(end_id)
         keys, lengths, parts = [], [], []
         for batch in batches:
             keys.append(column(batch, id_col).to_numpy(zero_copy_only=False))
-            for lo in range(0, batch.num_rows, 500):
-                got = encoder.encode(text_column(batch.slice(lo, 500), text_col).to_pylist())
-                lengths += [len(g) + 1 for g in got]
-                parts.append(np.concatenate([x for g in got for x in (g, end)]))
-        if not keys or not lengths:
+            for t in passes(text_column(batch, text_col)):
+                got, n = encoder.encode(t)
+                lengths.append(n + 1)
+                parts.append(np.insert(got, np.cumsum(n), end))
+        if not lengths:
             return
         no = TaskContext.get().partitionId()
-        ids = np.concatenate(parts)
+        ids, n = np.concatenate(parts), np.concatenate(lengths)
         parts.clear()
         name = f"ids-{no:07d}.rans"
-        size = write_file(folder, name, encode_file(np.concatenate(keys).astype(np.int64), np.array(lengths), ids))
-        yield pa.RecordBatch.from_arrays([pa.array([no], pa.int32()), pa.array([name]), pa.array([len(lengths)], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([size], pa.int64())], names=["file_no", "name", "docs", "tokens", "bytes"])
+        size = write_file(folder, name, encode_file(np.concatenate(keys).astype(np.int64), n, ids))
+        yield pa.RecordBatch.from_arrays([pa.array([no], pa.int32()), pa.array([name]), pa.array([len(n)], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([size], pa.int64())], names=["file_no", "name", "docs", "tokens", "bytes"])
 
     manifest = ordered.mapInArrow(run, MANIFEST)
     manifest.write.parquet(f"{folder}/manifest")

@@ -2,7 +2,8 @@
 
 Both byte-level and word-end patterns start a new word at every change from a visible character to
 white space. So a text's ids are those of its runs (white space and what follows it), one after the
-other, and each worker encodes a run that it has seen only once.
+other. Each worker gives a run to the library once and keeps its ids in flat arrays under the run's
+64-bit hash and length; all runs of a pass are looked up, and their ids gathered, at once.
 """
 
 from __future__ import annotations
@@ -14,10 +15,73 @@ from functools import lru_cache
 
 import numpy as np
 
-from .merges import CACHE
-from .prefixes import WHITE
+from .words import Texts
 
-_RUNS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+#: Runs that a worker keeps at most (about 30 bytes each); then it starts afresh.
+RUNS = 1 << 21
+#: Runs given to the library as one text.
+_AT_ONCE = 2000
+_WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+class RunTable:
+    """A hash table of runs over flat arrays, probed linearly by whole arrays of keys."""
+
+    def __init__(self, width: np.dtype, bits: int = 16):
+        self.width = width
+        self.clear(bits)
+
+    def clear(self, bits: int = 16) -> None:
+        self.mask = np.uint64((1 << bits) - 1)
+        self.key = np.zeros(1 << bits, np.uint64)
+        self.at, self.count = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int32)
+        self.ids, self.used, self.n = np.zeros(1 << bits, self.width), 0, 0
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Slots of keys, -1 where they are missing."""
+        slot = (keys & self.mask).astype(np.int64)
+        got = self.key[slot]
+        out = np.where(got == keys, slot, -1)
+        open_ = np.flatnonzero((got != keys) & (got != 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & int(self.mask)
+            got = self.key[slot[open_]]
+            hit = got == keys[open_]
+            out[open_[hit]] = slot[open_[hit]]
+            open_ = open_[~hit & (got != 0)]
+        return out
+
+    def _place(self, keys: np.ndarray, at: np.ndarray, count: np.ndarray) -> None:
+        slot = (keys & self.mask).astype(np.int64)
+        left = np.arange(len(keys))
+        while len(left):
+            s = slot[left]
+            free = left[self.key[s] == 0]
+            self.key[slot[free]] = keys[free]
+            won = self.key[slot[left]] == keys[left]
+            self.at[slot[left[won]]], self.count[slot[left[won]]] = at[left[won]], count[left[won]]
+            left = left[~won]
+            slot[left] = (slot[left] + 1) & int(self.mask)
+
+    def add(self, keys: np.ndarray, ids: list[bytes]) -> None:
+        """New, distinct keys that aren't 0."""
+        if self.n + len(keys) > len(self.key) // 2:
+            old = np.flatnonzero(self.key)
+            kept = self.key[old], self.at[old], self.count[old]
+            size = len(self.key)
+            while self.n + len(keys) > size // 2:
+                size *= 2
+            self.mask, self.key = np.uint64(size - 1), np.zeros(size, np.uint64)
+            self.at, self.count = np.zeros(size, np.int64), np.zeros(size, np.int32)
+            self._place(*kept)
+        flat = np.frombuffer(b"".join(ids), self.width)
+        count = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width.itemsize
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        self._place(keys, self.used + np.cumsum(count) - count, count)
+        self.used += len(flat)
+        self.n += len(keys)
 
 
 class RunEncoder:
@@ -36,58 +100,106 @@ class RunEncoder:
         kinds = [s["type"] for s in steps.get("pretokenizers", [steps])]
         self.cuts = kinds == ["ByteLevel"] and steps["use_regex"] and not steps["add_prefix_space"] and not spec["normalizer"] or kinds == ["Split", "ByteLevel"]
         self.drops_space = kinds == ["Split", "ByteLevel"]
-        self.special = any(re.search(rf"[{WHITE}]", t["content"]) or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"])
+        self.special = any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"])
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.ids: dict[str, bytes] = {}
+        vocab = self.tokenizer.get_vocab()
+        end = (spec["model"].get("end_of_word_suffix") or "") if self.drops_space else ""
+        self.length = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, i in vocab.items():
+            self.length[i] = len(token.removesuffix(end) if end else token)
+        self.table = RunTable(self.width)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.width).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _joined(self, runs: list[str]) -> list[bytes]:
-        """Ids of runs that are encoded as one text, which the library does faster than each alone."""
+    def _joined(self, runs: list[str], plain: bool) -> list[bytes]:
+        """Ids of runs that are encoded as one text, which the library does faster than each alone.
+        Where one run's ids end shows by the tokens' lengths if the runs are ASCII, else by offsets."""
         out: list[bytes] = []
+        gap = " " if self.drops_space else ""
         for lo in range(0, len(runs), _AT_ONCE):
             part = runs[lo : lo + _AT_ONCE]
-            gap = " " if self.drops_space else ""
-            starts = np.cumsum([0, *(len(r) + len(gap) for r in part)])
-            got = self.tokenizer.encode(gap.join(part), add_special_tokens=False)
-            ids = np.array(got.ids, self.width)
-            first = np.fromiter((o[0] for o in got.offsets), np.int64, len(ids))
+            text = gap.join(part)
+            if plain:
+                ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.width)
+                first = np.concatenate([[0], np.cumsum(self.length[ids])])[:-1]
+                starts = np.cumsum([0, *map(len, part)])
+            else:
+                got = self.tokenizer.encode(text, add_special_tokens=False)
+                ids = np.array(got.ids, self.width)
+                first = np.fromiter((o[0] for o in got.offsets), np.int64, len(ids))
+                starts = np.cumsum([0, *(len(r) + len(gap) for r in part)])
             cut = np.searchsorted(first, starts)
             data, size = ids.tobytes(), self.width.itemsize
             out += [data[a * size : b * size] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
         return out
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, as unsigned integers of `width`."""
-        if not self.cuts or self.special:
-            return [np.frombuffer(b, self.width) for b in self._encode(texts)]
-        if self.drops_space:
-            runs = [t.split() if not _ODD.search(t) else _VISIBLE.findall(t) for t in texts]
-        else:
-            runs = [_RUNS.findall(t) for t in texts]
-        known = self.ids
-        if len(known) > CACHE:
-            known.clear()
-        found = [[*map(known.get, one)] for one in runs]
-        short = [k for k, ids in enumerate(found) if None in ids]
-        new = {r for k in short for r, ids in zip(runs[k], found[k], strict=True) if ids is None}
-        # A run may follow another directly if that leaves both as they are: plain ones that begin
-        # with white space (or get it as a gap) and end visibly. The rest is encoded one by one.
-        apart = [r for r in new if not (r.isascii() and "<" not in r and (self.drops_space or r[0] in " \n") and r[-1] > ' ')]
-        known.update(zip(apart, self._encode(apart), strict=True))
-        new.difference_update(apart)
-        plain = list(new)
-        known.update(zip(plain, self._joined(plain), strict=True))
-        for k in short:
-            found[k] = [*map(known.__getitem__, runs[k])]
-        return [np.frombuffer(b"".join(ids), self.width) for ids in found]
-
-
-#: Runs encoded as one text.
-_AT_ONCE = 2000
-_VISIBLE = re.compile(f"[^{WHITE}]+")
-_ODD = re.compile("[\x1c-\x1f]")
+    def _runs(self, runs: list[str]) -> list[bytes]:
+        """Ids of distinct runs. A run may follow another directly if that leaves both as they are:
+        it begins with white space (or gets it as a gap) and ends visibly. The rest goes alone."""
+        out: list[bytes] = [b""] * len(runs)
+        alone, plain, wide = [], [], []
+        for i, r in enumerate(runs):
+            fits = "<" not in r and (self.drops_space or r[0] in " \n\t" and r[-1] > " ")
+            (alone if not fits else plain if r.isascii() else wide).append(i)
+        for some, ids in ((alone, self._encode([runs[i] for i in alone])), (plain, self._joined([runs[i] for i in plain], True)), (wide, self._joined([runs[i] for i in wide], False))):
+            for i, x in zip(some, ids, strict=True):
+                out[i] = x
+        return out
+
+    def encode(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a pass's texts one after the other, and how many each text has."""
+        texts = None
+        odd = range(t.n)
+        if self.cuts and not self.special:
+            # Texts with white space outside ASCII are given to the library whole.
+            odd = []
+            if (t.raw >= 0xC2).any() and (hits := np.flatnonzero(_LEADS[t.raw])).size:
+                odd = [int(i) for i in np.unique(np.searchsorted(t.at, hits, "right") - 1) if _WIDE.search(t.text(int(i)))]
+        if len(odd) == t.n:
+            texts = self._encode([t.text(i) for i in range(t.n)])
+            return np.frombuffer(b"".join(texts), self.width), np.array([len(x) for x in texts]) // self.width.itemsize
+        start, end, doc = t.start, t.end, t.doc
+        if not self.drops_space:
+            before = np.concatenate([[0], end])[:-1]
+            first = np.zeros(len(start), bool)
+            some = t.word_at[:-1][np.diff(t.word_at) > 0]
+            first[some] = True
+            start = np.where(first, t.at[doc], before)
+            # What is left at a text's end is white space, a run of its own.
+            last = np.where(np.diff(t.word_at) > 0, end[np.maximum(t.word_at[1:] - 1, 0)] if len(end) else 0, t.at[:-1])
+            tail = np.flatnonzero(last < t.at[1:])
+            if len(tail):
+                order = np.argsort(np.concatenate([end, t.at[1:][tail]]), kind="stable")
+                start, end, doc = (np.concatenate(x)[order] for x in ((start, last[tail]), (end, t.at[1:][tail]), (doc, tail)))
+        keys = t.span_hashes(start, end, self.drops_space) | np.uint64(1)
+        table = self.table
+        if table.n > RUNS:
+            table.clear()
+        slot = table.find(keys)
+        if len(missing := np.flatnonzero(slot < 0)):
+            new, at = np.unique(keys[missing], return_index=True)
+            at = missing[at]
+            raw = t.raw.tobytes()
+            table.add(new, self._runs([raw[a:b].decode() for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]))
+            slot = table.find(keys)
+        count = table.count[slot].astype(np.int64)
+        stop = np.cumsum(count)
+        total = int(stop[-1]) if len(stop) else 0
+        ids = table.ids[np.repeat(table.at[slot] - stop + count, count) + np.arange(total)]
+        sizes = np.bincount(doc, count, minlength=t.n).astype(np.int64)
+        if len(odd):
+            parts = np.split(ids, np.cumsum(sizes)[:-1])
+            for i, x in zip(odd, self._encode([t.text(i) for i in odd]), strict=True):
+                parts[i] = np.frombuffer(x, self.width)
+                sizes[i] = len(parts[i])
+            ids = np.concatenate(parts)
+        return ids, sizes
+
+
+#: First bytes of the white space outside ASCII.
+_LEADS = np.zeros(256, bool)
+_LEADS[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 @lru_cache(maxsize=4)
