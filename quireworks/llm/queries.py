@@ -26,6 +26,12 @@ def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return digests(encode_pieces(_table(spark, folder, "documents"), vocabulary("piece_bpe_32k.model")))
 
 
+def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    from .jaccard import classes
+
+    return classes(_table(spark, folder, "documents"))
+
+
 def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     from .warc import archive_pages
 
@@ -70,6 +76,7 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_warc": op3_warc,
     "op4_packing": op4_packing,
     "op6_neighbours": op6_neighbours,
