@@ -80,8 +80,7 @@ def frequent_shingles(docs: DataFrame, text_col: str) -> np.ndarray:
 
 
 def _vectors(key: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    """Count vectors; the groups are a mix of the keys' bits, capped where a byte ends, which can
-    only raise a bound when both are capped: sums of minima then add what the cap cut off."""
+    """Count vectors: how many of a text's shingles fall into each group."""
     flat = np.bincount(doc * GROUPS + (splitmix(key ^ U64(0xA5A5)) % U64(GROUPS)).astype(np.int64), minlength=n * GROUPS)
     return flat.reshape(n, GROUPS)
 
@@ -93,7 +92,7 @@ def _prefix_length(n: np.ndarray) -> np.ndarray:
 
 def prefixes(docs: DataFrame, frequent: np.ndarray, id_col: str, text_col: str) -> DataFrame:
     """(id, n, s1, s2, counts, prefix) of each document: set size, two hashes of the whole set, its
-    count vector (16-bit numbers) and its prefix. Sets of no shingle have an empty prefix."""
+    count vector (32-bit numbers) and its prefix. Sets of no shingle have an empty prefix."""
     held = docs.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT_MOST numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +108,7 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, id_col: str, text_col: str)
                     if len(at):
                         marks[0][at] = np.add.reduceat(splitmix(key), start)
                         marks[1][at] = np.add.reduceat(splitmix(key ^ U64(0x5EED)), start)
-                counts = np.minimum(_vectors(key, doc, t.n), 65535).astype("<u2")
+                counts = _vectors(key, doc, t.n).astype("<u4")
                 hit = np.minimum(np.searchsorted(often, key), max(len(often) - 1, 0))
                 late = often[hit] == key if len(often) else np.zeros(len(key), bool)
                 order = np.lexsort((key, late, doc))
@@ -134,7 +133,7 @@ def _lists(postings: DataFrame) -> DataFrame:
         for batch in itertools.chain(batches, [None]):
             if batch is not None and not batch.num_rows:
                 continue
-            rows = pa.Table.from_batches([b for b in (held, batch) if b is not None])
+            rows = pa.Table.from_batches([b for b in (held, batch.select(["key", "id"]) if batch is not None else None) if b is not None])
             if not rows.num_rows:
                 return
             key, ids = rows["key"].to_numpy(), rows["id"].to_numpy()
@@ -224,7 +223,7 @@ def _tree_pairs(lists: DataFrame) -> DataFrame:
         def answer(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             key, ids, n, comp = (rows[c].to_numpy() for c in ("key", "id", "n", "component"))
             data = rows["counts"].combine_chunks()
-            points = np.frombuffer(b"".join(data.to_pylist()), "<u2").reshape(len(ids), GROUPS)
+            points = np.frombuffer(b"".join(data.to_pylist()), "<u4").reshape(len(ids), GROUPS)
             start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             size = np.diff(np.append(start, len(key)))
             found: list[np.ndarray] = []
@@ -300,7 +299,7 @@ def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(column(batch, c).to_pylist()), "<u2").reshape(-1, GROUPS) for c in ("x", "y"))
+            x, y = (np.frombuffer(b"".join(column(batch, c).to_pylist()), "<u4").reshape(-1, GROUPS) for c in ("x", "y"))
             fits = np.minimum(x, y).sum(axis=1, dtype=np.int64) >= _needed(column(batch, "m").to_numpy(), column(batch, "n").to_numpy())
             yield pa.RecordBatch.from_arrays([column(batch, c).filter(pa.array(fits)) for c in "ab"], names=["a", "b"])
 
