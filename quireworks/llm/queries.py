@@ -44,6 +44,12 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(_table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
 
 
+def op5_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    from .passages import repeated_passages
+
+    return repeated_passages(_table(spark, folder, "documents"))
+
+
 def op6_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     from .neighbours import search
 
@@ -79,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op2_jaccard_join": op2_jaccard_join,
     "op3_warc": op3_warc,
     "op4_packing": op4_packing,
+    "op5_repeated_passages": op5_repeated_passages,
     "op6_neighbours": op6_neighbours,
     "op7_token_counts": op7_token_counts,
     "op8_quality_rules": op8_quality_rules,
