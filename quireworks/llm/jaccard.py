@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import column, stored, text_column
+from .shared import among, column, stored, text_column
 from .words import U64, Texts, passes, short_sequences, splitmix, windows
 
 WORDS = 5
@@ -270,7 +270,7 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> D
     """The pairs (a, b) whose sets are linked: only documents in pairs are read again, and each
     pair's second set travels to the tasks of its first."""
     pairs = stored(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias(id_col)).unionByName(pairs.select(F.col("b").alias(id_col))).distinct()
+    wanted = stored(pairs.select(F.col("a").alias("i")).unionByName(pairs.select(F.col("b").alias("i"))).distinct(), "wanted")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,7 +279,7 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> D
                 cut = np.searchsorted(doc, np.arange(t.n + 1))
                 yield pa.RecordBatch.from_arrays([column(batch, id_col).slice(t.first, t.n), pa.array([key[a:b].tobytes() for a, b in itertools.pairwise(cut.tolist())], pa.binary())], names=["id", "keys"])
 
-    found = stored(docs.select(id_col, text_col).join(wanted, id_col, "left_semi").mapInArrow(sets, "id long, keys binary"), "sets")
+    found = stored(among(docs.select(id_col, text_col), id_col, wanted).mapInArrow(sets, "id long, keys binary"), "sets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -320,10 +320,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     some = table.where("n > 0")
     of_set = some.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
     members = stored(some.select("id", "n", "s1", "s2").join(of_set, ["n", "s1", "s2"]).select("id", "n", "rep"), "members")
-    reps = members.where("id = rep").select("id")
-    alone = table.select("id", "n", "counts", "prefix").join(reps, "id", "left_semi")
+    reps = stored(members.where("id = rep").select("id"), "representatives")
+    alone = among(table.select("id", "prefix"), "id", reps)
     lists = stored(_lists(alone.select("id", F.explode("prefix").alias("key"))), "lists")
-    points = stored(table.select("id", "n", "counts").join(reps, "id", "left_semi").join(lists.select("id").distinct(), "id", "left_semi"), "points")
+    points = stored(among(table.select("id", "n", "counts"), "id", stored(lists.select("id").distinct(), "in-lists")), "points")
 
     # First round: each document with the list leader that it shares most prefix shingles with.
     stars = lists.where("id <> leader").groupBy("id", "leader").count()

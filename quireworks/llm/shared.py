@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -34,8 +35,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame, name: str) -> DataFrame:
-    return stored(df, name)
+#: Ids sent to every task at most (8 bytes each); more are joined by a shuffle.
+IDS_SENT = 1 << 21
+
+
+def among(df: DataFrame, col: str, ids: DataFrame) -> DataFrame:
+    """The rows of df whose `col` is in the one column of ids (stored, distinct). Sends the ids to
+    the rows as long as their counted number is small, so that texts stay where they are."""
+    ids = ids.toDF(col)
+    few = ids.limit(IDS_SENT + 1).count() <= IDS_SENT
+    return df.join(F.broadcast(ids) if few else ids, col, "left_semi")
 
 
 def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
