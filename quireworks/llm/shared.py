@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -30,6 +31,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it again, which cuts its lineage:
     a lost executor costs a reread, never the work before."""
     spark = df.sparkSession
+    # Spark drops the shuffle files of what nothing refers to any more when it collects garbage;
+    # without this they would stay until a driver with little to do gets round to it.
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     path = new_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
