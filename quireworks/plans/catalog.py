@@ -5,6 +5,311 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ..functions import geometry as G
+from ..functions import latex as L
+from ..functions import tables as TB
+from ..functions import text as X
+from ..operators import layout, render, structure, suppress
+from ..schema import PROMPTS
+from ..sources import derived as D
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with SQL over the derived relations."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = D.SQL + sql
+        return f
+
+    return add
+
+
+_BOX = ("x0", "y0", "x1", "y1")
+_IN = lambda a, b: f"({b}.x0 >= {a}.x0 AND {b}.y0 >= {a}.y0 AND {b}.x1 <= {a}.x1 AND {b}.y1 <= {a}.y1)"
+_MEET = lambda a, b: f"(greatest(least({a}.x1, {b}.x1) - greatest({a}.x0, {b}.x0), 0) * greatest(least({a}.y1, {b}.y1) - greatest({a}.y0, {b}.y0), 0))"
+_AREA = lambda a: f"(({a}.x1 - {a}.x0) * ({a}.y1 - {a}.y0))"
+_ALONE = lambda kinds: f"SELECT a.* FROM (SELECT * FROM blocks WHERE type = '{kinds}') a WHERE NOT EXISTS (SELECT 1 FROM blocks b WHERE b.type = '{kinds}' AND b.page_id = a.page_id AND b.idx <> a.idx AND {_IN('b', 'a')})"
+
+
+def _nearest(sub: str, obj: str) -> str:
+    return f"""
+  (SELECT page_id, obj_idx, sub_idx FROM (
+    SELECT o.page_id, o.idx AS obj_idx, s.idx AS sub_idx, row_number() OVER (PARTITION BY o.page_id, o.idx ORDER BY abs(o.idx - s.idx),
+      round(sqrt(((o.x0 + o.x1) / 2.0 - (s.x0 + s.x1) / 2.0) ** 2 + ((o.y0 + o.y1) / 2.0 - (s.y0 + s.y1) / 2.0) ** 2), 9), s.idx) AS r
+    FROM ({_ALONE(obj)}) o JOIN ({_ALONE(sub)}) s ON o.page_id = s.page_id) WHERE r = 1)"""
+
+
+_CAPTIONS = f", captions AS {_nearest('image', 'image_caption')}"
+_NOTES = f", notes AS {_nearest('table', 'table_footnote')}"
+
+
+@query(""", lines AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY idx) - 1 AS idx, type,
+    [x0, y0, x1, y1] AS p, angle FROM blocks WHERE idx % 17 <> 0 AND idx % 19 <> 0)
+  SELECT page_id, CAST(idx AS INTEGER) AS idx, type, list_transform(p, lambda v: v / 1000.0) AS bbox, angle FROM lines""")
+def layout_parse(spark, d):
+    return layout.parse_layout(D.layout_text(spark, d))
+
+
+@query(" SELECT page_id, idx, CAST(trunc(x0 / 1000.0::DOUBLE * 595) AS INTEGER) AS px0, CAST(trunc(y0 / 1000.0::DOUBLE * 842) AS INTEGER) AS py0, CAST(trunc(x1 / 1000.0::DOUBLE * 595) AS INTEGER) AS px1, CAST(trunc(y1 / 1000.0::DOUBLE * 842) AS INTEGER) AS py1 FROM blocks")
+def bbox_scale(spark, d):
+    p = G.to_pixels(F.array(*(F.col(c) / F.lit(1000.0) for c in _BOX)), F.lit(595), F.lit(842))
+    return D.blocks(spark, d).select("page_id", "idx", *(F.get(p, F.lit(k)).alias(f"p{c}") for k, c in enumerate(_BOX)))
+
+
+@query(" SELECT page_id, idx, type FROM blocks WHERE type NOT IN ('image', 'list', 'equation_block', 'header')")
+def skip_filter(spark, d):
+    return layout.kept_blocks(layout.to_extract(D.blocks(spark, d)), paratext=False).select("page_id", "idx", "type")
+
+
+@query(f""", prompts(type, prompt) AS (VALUES {', '.join(f"('{k}', '{v}')" for k, v in PROMPTS.items() if k != 'default')})
+  SELECT page_id, idx, b.type AS type, coalesce(prompt, '{PROMPTS['default']}') AS prompt FROM blocks b LEFT JOIN prompts p ON b.type = p.type""")
+def prompt_lookup(spark, d):
+    return layout.requests(D.blocks(spark, d)).select("page_id", "idx", "type", "prompt")
+
+
+@query(f" SELECT page_id, idx, type FROM blocks a WHERE type IN ('image', 'table', 'image_caption') AND NOT EXISTS (SELECT 1 FROM blocks b WHERE b.page_id = a.page_id AND b.type IN ('image', 'table', 'image_caption') AND b.idx <> a.idx AND {_IN('b', 'a')})")
+def containment_antijoin(spark, d):
+    return structure.without_contained(D.blocks(spark, d).where("type in ('image', 'table', 'image_caption')")).select("page_id", "idx", "type")
+
+
+@query(_CAPTIONS + " SELECT page_id, obj_idx, sub_idx FROM captions")
+def nearest_caption(spark, d):
+    return structure.attach(D.blocks(spark, d), "image", "caption")
+
+
+_MOVED = _NOTES + f""", bodies AS ({_ALONE('table')}), moved AS (
+  SELECT page_id, obj_idx, sub_idx FROM notes WHERE obj_idx > sub_idx UNION ALL
+  SELECT n.page_id, n.obj_idx, max(b.idx) FROM notes n LEFT JOIN bodies b ON b.page_id = n.page_id AND b.idx <= n.obj_idx AND b.idx <> n.sub_idx
+  WHERE n.obj_idx < n.sub_idx GROUP BY n.page_id, n.obj_idx)"""
+
+
+@query(_MOVED + " SELECT page_id, obj_idx, sub_idx FROM moved")
+def misplaced_footnote_asof(spark, d):
+    b = D.blocks(spark, d)
+    return structure.reassign_footnotes(structure.attach(b, "table", "footnote"), structure.without_contained(b.where("type = 'table'")))
+
+
+def _runs(rel: str, down: bool) -> str:
+    order = "DESC" if down else "ASC"
+    gap = "prev - idx" if down else "idx - prev"
+    broken = f"{gap} <> 1" + (f" AND NOT ({gap} = 2 AND sub_idx = idx + 1)" if down else "")
+    return f"""(SELECT page_id, sub_idx, idx, sum(CASE WHEN prev IS NOT NULL AND {broken} THEN 1 ELSE 0 END) OVER (PARTITION BY page_id, sub_idx ORDER BY idx {order} ROWS UNBOUNDED PRECEDING) = 0 AS kept
+      FROM (SELECT page_id, sub_idx, obj_idx AS idx, lag(obj_idx) OVER (PARTITION BY page_id, sub_idx ORDER BY obj_idx {order}) AS prev FROM {rel}))"""
+
+
+@query(_CAPTIONS + f" SELECT page_id, sub_idx, idx, kept FROM {_runs('captions', True)}")
+def caption_runs(spark, d):
+    return structure.contiguous(structure.attach(D.blocks(spark, d), "image", "caption").withColumnRenamed("obj_idx", "idx"), True)
+
+
+_LISTS = f""", members AS (SELECT t.page_id, t.idx, t.type, min(s.idx) AS list_idx FROM blocks t JOIN blocks s ON t.page_id = s.page_id AND s.type = 'list'
+  WHERE t.type IN ('text', 'ref_text') AND 10 * {_MEET('t', 's')} >= 8 * {_AREA('t')} GROUP BY ALL)"""
+
+
+@query(_LISTS + " SELECT page_id, idx, type, list_idx FROM members")
+def list_membership(spark, d):
+    return structure.list_members(D.blocks(spark, d))
+
+
+@query(_LISTS + """ SELECT page_id, list_idx, type AS sub_type FROM (SELECT *, row_number() OVER (PARTITION BY page_id, list_idx ORDER BY n DESC, type DESC) AS r
+  FROM (SELECT page_id, list_idx, type, count(*) AS n FROM members GROUP BY ALL)) WHERE r = 1""")
+def list_subtype_mode(spark, d):
+    return structure.list_subtypes(structure.list_members(D.blocks(spark, d)))
+
+
+@query(_CAPTIONS + """ SELECT b.page_id, b.idx, CASE WHEN b.type = 'image_caption' AND c.obj_idx IS NULL THEN 'text' ELSE b.type END AS type
+  FROM blocks b LEFT JOIN captions c ON c.page_id = b.page_id AND c.obj_idx = b.idx""")
+def orphan_to_text(spark, d):
+    b = D.blocks(spark, d)
+    return structure.orphans_to_text(b, structure.attach(b, "image", "caption"), ["image_caption"]).select("page_id", "idx", "type")
+
+
+@query(""" SELECT page_id, idx, type, CAST(row_number() OVER (PARTITION BY page_id ORDER BY idx) - 1 AS INTEGER) AS "order" FROM blocks WHERE type <> 'equation_block'""")
+def reading_order(spark, d):
+    return structure.reading_order(layout.kept_blocks(D.blocks(spark, d))).select("page_id", "idx", "type", "order")
+
+
+@query(f"""{_MOVED}, caps AS {_nearest('table', 'table_caption')}, parts AS (
+  SELECT page_id, idx AS sub_idx, idx, 'body' AS part FROM bodies UNION ALL
+  SELECT page_id, sub_idx, idx, 'caption' FROM {_runs('caps', True)} WHERE kept UNION ALL
+  SELECT page_id, sub_idx, idx, 'footnote' FROM {_runs('(SELECT * FROM moved WHERE sub_idx IS NOT NULL)', False)} WHERE kept)
+  SELECT page_id, sub_idx, count(*) FILTER (part = 'caption') AS captions, count(*) FILTER (part = 'footnote') AS footnotes, string_agg(idx || ':' || part, ',' ORDER BY idx, part) AS children FROM parts GROUP BY page_id, sub_idx""")
+def two_layer_blocks(spark, d):
+    return structure.two_layer(D.blocks(spark, d), "table")
+
+
+def _pairs(spark, d):
+    b = D.blocks(spark, d)
+    return structure._side(b, "a_", "idx", *_BOX).join(structure._side(b, "b_", "idx", *_BOX), "page_id").where("a_idx < b_idx")
+
+
+_PAIRS = " FROM blocks a JOIN blocks b ON a.page_id = b.page_id AND a.idx < b.idx"
+
+
+@query(f""" SELECT a.page_id, a.idx AS a_idx, b.idx AS b_idx, round({_MEET('a', 'b')} / ({_AREA('a')} + {_AREA('b')} - {_MEET('a', 'b')})::DOUBLE, 6) AS iou,
+  round({_MEET('a', 'b')} / least({_AREA('a')}, {_AREA('b')})::DOUBLE, 6) AS of_smaller, round({_MEET('a', 'b')} / {_AREA('a')}::DOUBLE, 6) AS of_first {_PAIRS} WHERE {_MEET('a', 'b')} > 0""")
+def pairwise_iou(spark, d):
+    a, b = G.box("a_"), G.box("b_")
+    p = _pairs(spark, d).where(G.overlaps(a, b))
+    return p.select("page_id", "a_idx", "b_idx", F.round(G.iou(a, b), 6).alias("iou"), F.round(G.overlap_of_smaller(a, b), 6).alias("of_smaller"), F.round(G.overlap_of_first(a, b), 6).alias("of_first"))
+
+
+@query(f""" SELECT a.page_id, a.idx AS a_idx, b.idx AS b_idx, round(sqrt(greatest(b.x0 - a.x1, a.x0 - b.x1, 0) ** 2 + greatest(b.y0 - a.y1, a.y0 - b.y1, 0) ** 2), 6) AS gap,
+  b.x1 < a.x0 AS "left", a.x1 < b.x0 AS "right", b.y1 < a.y0 AS bottom, a.y1 < b.y0 AS top {_PAIRS}""")
+def box_distance(spark, d):
+    a, b = G.box("a_"), G.box("b_")
+    return _pairs(spark, d).select("page_id", "a_idx", "b_idx", F.round(G.distance(a, b), 6).alias("gap"), G.relative(a, b).alias("r")).select("page_id", "a_idx", "b_idx", "gap", "r.*")
+
+
+@query(f" SELECT a.page_id, a.idx AS a_idx, b.idx AS b_idx, round(greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) / (a.x1 - a.x0)::DOUBLE, 6) AS share {_PAIRS}")
+def projection_overlap(spark, d):
+    return _pairs(spark, d).select("page_id", "a_idx", "b_idx", F.round(G.column_overlap(G.box("a_"), G.box("b_")), 6).alias("share"))
+
+
+@query(f""", t AS (SELECT * FROM blocks WHERE type = 'table' AND page_id IN (SELECT page_id FROM blocks WHERE type = 'table' GROUP BY 1 HAVING count(*) >= 3)),
+  held AS (SELECT a.page_id, a.idx AS idx, {_AREA('a')} AS own, b.idx AS bi, b.x0, b.y0, b.x1, b.y1 FROM t a JOIN t b ON a.page_id = b.page_id AND a.idx <> b.idx AND 10 * {_MEET('a', 'b')} >= 8 * {_AREA('b')})
+  SELECT page_id, idx FROM held h GROUP BY page_id, idx HAVING count(*) >= 3 AND 10 * sum({_AREA('h')}) > 8 * min(own)
+  AND NOT EXISTS (SELECT 1 FROM held x JOIN held y ON x.page_id = y.page_id AND x.idx = y.idx AND x.bi < y.bi AND {_MEET('x', 'y')} > 0 WHERE x.page_id = h.page_id AND x.idx = h.idx)""")
+def nested_table_filter(spark, d):
+    return structure.nested_tables(D.blocks(spark, d))
+
+
+@query()
+def greedy_match(spark, d):
+    b = D.blocks(spark, d)
+    return structure.match_greedily(b.where("type = 'image'"), b.where("type = 'image_caption'"))
+
+
+@query()
+def suppressed_boxes(spark, d):
+    return suppress.suppress(D.detections(spark, d))
+
+
+@query(r""" SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN content ELSE regexp_replace(content, '([^\s])?\$ x \$([^\s])?', '\1 $x$ \2') END AS content,
+  CAST(CASE WHEN doc_id % 5 = 0 THEN 3 ELSE 2 END AS INTEGER) AS dollars FROM text_math WHERE substr(content, 40, 1) NOT IN (' ', chr(9)) AND substr(content, 46, 1) NOT IN ('', ' ', '$', chr(9))""")
+def inline_math(spark, d):
+    t = D.text_math(spark, d).where("substr(content, 40, 1) not in (' ', '\t') and substr(content, 46, 1) not in ('', ' ', '$', '\t')")
+    return t.select("doc_id", L.inline_math(F.col("content")).alias("content"), F.regexp_count("content", F.lit(r"\$")).alias("dollars"))
+
+
+@query(r""" SELECT p_partkey, CASE WHEN p_partkey % 8 = 1 THEN '$' || split_part(latex, ' ', 1) || '$ ' || split_part(latex, ' ', 2) WHEN p_partkey % 8 = 2 THEN '$y=f$ (x)'
+  WHEN p_partkey % 8 = 0 THEN '$$' || substr(latex, 3, len(latex) - 4) || '$$' ELSE '$$' || replace(replace(trim(latex), '%', '\%'), ' tag{', ' \tag{') || '$$' END AS latex FROM equations""")
+def equation_basic(spark, d):
+    return D.equations(spark, d).select("p_partkey", L.escape_percent(L.wrap_display(L.strip_brackets(F.col("latex")))).alias("latex"))
+
+
+@query()
+def equation_stack(spark, d):
+    return D.equations(spark, d).select("p_partkey", L.equation(F.col("latex")).alias("latex"), L.count_left(F.col("latex")).alias("lefts"), L.count_right(F.col("latex")).alias("rights"))
+
+
+@query(r" SELECT p_partkey, replace(replace(replace(latex, '≤', '\leq '), '×', '\times '), '→', '\rightarrow ') AS commands, replace(replace(replace(latex, '≤', '≤ '), '×', '× '), '→', '→ ') AS characters FROM equations")
+def symbol_map(spark, d):
+    e = D.equations(spark, d).select("p_partkey", L.to_latex(F.col("latex")).alias("commands"))
+    return e.withColumn("characters", L.to_unicode(F.col("commands")))
+
+
+_WIDE = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F))
+_WIDE_LETTERS, _LETTERS = X._WIDE(X._LETTERS), X._LETTERS
+
+
+@query(f"""SELECT doc_id, translate(t, '{_WIDE_LETTERS}', '{_LETTERS}') AS letters, translate(t, '{_WIDE.replace("'", "''")}', '{X._VISIBLE.replace("'", "''")}') AS all_marks
+  FROM (SELECT doc_id, translate(substr(text, 1, 200), '{_LETTERS}.,', '{_WIDE_LETTERS}．，') AS t FROM documents)""")
+def fullwidth(spark, d):
+    wide = F.translate(F.substring("text", 1, 200), _LETTERS + ".,", _WIDE_LETTERS + "．，")
+    t = D.table(spark, d, "documents").select("doc_id", wide.alias("t"))
+    return t.select("doc_id", X.half_width(F.col("t")).alias("letters"), X.half_width(F.col("t"), marks=True).alias("all_marks"))
+
+
+@query("""SELECT l_orderkey, '<table border="1">' || string_agg('<tr><td>' || l_returnflag || '</td>' ||  '<td>' || l_linestatus || '</td><td>' || l_linenumber || '</td></tr>', '' ORDER BY i) || '</table>' AS html
+  FROM ranked_items GROUP BY l_orderkey HAVING count(*) < 3""")
+def otsl_html_plain(spark, d):
+    t = D.otsl_tables(spark, d).where(~F.col("otsl").contains("<lcel>"))
+    return t.select("l_orderkey", TB.otsl_html(F.col("otsl")).alias("html"))
+
+
+@query()
+def otsl_html(spark, d):
+    return D.otsl_tables(spark, d).select("l_orderkey", TB.otsl_html(F.col("otsl")).alias("html"))
+
+
+@query("""SELECT l_orderkey, CAST(i - 1 AS INTEGER) AS "row", 0 AS col, l_returnflag AS text, 1 AS row_span, 1 + CAST(i % 3 = 0 AS INTEGER) AS col_span FROM ranked_items UNION ALL
+  SELECT l_orderkey, CAST(i - 1 AS INTEGER), 1, l_linestatus, 1, 1 FROM ranked_items WHERE i % 3 <> 0 UNION ALL
+  SELECT a.l_orderkey, CAST(a.i - 1 AS INTEGER), 2, CAST(a.l_linenumber AS VARCHAR), 1 + CAST(b.i IS NOT NULL AS INTEGER), 1 FROM ranked_items a LEFT JOIN ranked_items b ON a.l_orderkey = b.l_orderkey AND b.i = a.i + 1 AND b.i % 4 = 0 WHERE a.i % 4 <> 0""")
+def otsl_cells(spark, d):
+    return TB.otsl_cells(D.otsl_tables(spark, d), "l_orderkey", "otsl")
+
+
+@query(r""", shown AS (SELECT page_id, idx, CASE WHEN type = 'title' THEN '# ' || c ELSE c END AS md FROM (SELECT page_id, idx, type, regexp_replace(content, '^\s+|\s+$', '', 'g') AS c FROM blocks WHERE type IN ('text', 'ref_text', 'header', 'title')) WHERE type = 'title' OR c <> '')
+  SELECT page_id, string_agg(regexp_replace(md, '\s+$', ''), chr(10) || chr(10) ORDER BY idx) AS markdown FROM shown GROUP BY page_id""")
+def render_markdown(spark, d):
+    return render.render(layout.kept_blocks(D.blocks(spark, d)))
+
+
+@query()
+def doc_json(spark, d):
+    return render.documents(layout.kept_blocks(D.blocks(spark, d)))
+
+
+@query("SELECT doc_id, upper(md5(text)) AS md5_upper, md5(text) AS md5_lower, sha256(text) AS sha FROM documents")
+def content_hash(spark, d):
+    c = F.col("text")
+    return D.table(spark, d, "documents").select("doc_id", X.bytes_md5(c.cast("binary")).alias("md5_upper"), F.md5(c.cast("binary")).alias("md5_lower"), F.sha2(c.cast("binary"), 256).alias("sha"))
+
+
+@query("""SELECT l.page_id AS doc_id, CAST(w.position AS INTEGER) AS position, l.idx AS page_idx FROM (SELECT page_id, 0 AS position, 2 AS idx FROM split_docs UNION ALL SELECT page_id, 1, 0 FROM split_docs UNION ALL SELECT page_id, 2, 2 FROM split_docs) w
+  JOIN doc_lines l ON l.page_id = w.page_id AND l.idx = w.idx WHERE l.page_id % 2 = 0 UNION ALL SELECT page_id, idx, idx FROM doc_lines WHERE page_id % 2 = 1""")
+def page_projection(spark, d):
+    pages = D.doc_lines(spark, d).select(F.col("page_id").alias("doc_id"), F.col("idx").alias("page_idx"))
+    wanted = D.table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.array(F.lit(2), F.lit(0), F.lit(2))).otherwise(F.array().cast("array<int>")).alias("page_ids"))
+    return layout.project_pages(pages, wanted).select("doc_id", "position", "page_idx")
+
+
+@query(r"""SELECT doc_id, gram, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents))) GROUP BY ALL HAVING count(*) > 1""")
+def repeated_ngrams(spark, d):
+    w = D.table(spark, d, "documents").select("doc_id", F.split("text", " ").alias("w")).where(F.size("w") >= 3)
+    grams = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, 3), " "))
+    return w.select("doc_id", F.explode(grams).alias("gram")).groupBy("doc_id", "gram").agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query(" SELECT page_id, idx, CAST(greatest(least(idx - 1, 4), 0) AS INTEGER) AS level FROM blocks WHERE type = 'title'")
+def title_level(spark, d):
+    return D.blocks(spark, d).where("type = 'title'").select("page_id", "idx", X.title_level(F.col("idx") - 1).alias("level"))
+
+
+@query(" SELECT page_id, idx, content FROM blocks WHERE length(content) > 5")
+def figure_filter(spark, d):
+    b = D.blocks(spark, d).withColumn("md", render.markdown_of(F.lit("char"), F.col("content")))
+    return b.where(F.length("content") > 5).select("page_id", "idx", "content")
+
+
+@query(""" SELECT page_id, idx, CAST(row_number() OVER (PARTITION BY page_id ORDER BY idx) AS VARCHAR) || '+' || angle AS label FROM blocks""")
+def overlay_labels(spark, d):
+    return render.overlay_labels(D.blocks(spark, d))
+
+
+@query(""" SELECT page_id, idx, CASE idx % 4 WHEN 3 THEN [842 - y1, 595 - x1, y1 - y0, x1 - x0] WHEN 2 THEN [595 - x1, y0, x1 - x0, y1 - y0] WHEN 1 THEN [y0, x0, y1 - y0, x1 - x0] ELSE [x0, 842 - y1, x1 - x0, y1 - y0] END AS rect FROM blocks""")
+def canvas_rects(spark, d):
+    return D.blocks(spark, d).select("page_id", "idx", G.canvas_rect(G.box(), F.lit(595), F.lit(842), F.col("angle")).alias("rect"))
+
+
+@query(""" SELECT page_id, idx, CASE WHEN x0 < x1 AND y0 < y1 THEN type || '/' || upper(md5(CAST(page_id AS VARCHAR))) || '_' || page_id || '_' || x0 || '_' || y0 || '_' || x1 || '_' || y1 || '.jpeg' ELSE '' END AS path FROM blocks WHERE type IN ('image', 'seal', 'char')""")
+def image_paths(spark, d):
+    b = D.blocks(spark, d).where("type in ('image', 'seal', 'char')")
+    return b.select("page_id", "idx", render.image_path(F.col("type"), X.bytes_md5(F.col("page_id").cast("string")), F.col("page_id"), F.array(*_BOX)).alias("path"))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def hourly_events(spark, d):
+    from ..streaming.layouts import event_counts
+
+    return event_counts(D.table(spark, d, "events")).withColumn("total", F.round("total", 4))
