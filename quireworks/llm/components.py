@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import discard, stored
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -29,7 +29,8 @@ def components(links: DataFrame) -> DataFrame:
     links = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = None
     while True:
-        links = stored(_star(_star(links, True), False), "links")
+        last, links = links, stored(_star(_star(links, True), False), "links")
+        discard(last)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import among, column, stored, text_column
+from .shared import among, column, discard, stored, text_column
 from .words import U64, Texts, passes, short_sequences, splitmix, windows
 
 WORDS = 5
@@ -85,6 +85,19 @@ def _vectors(key: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return flat.reshape(n, GROUPS)
 
 
+def _packed(points: np.ndarray) -> list[bytes]:
+    """A byte a group where that is enough, else four."""
+    small = (points < 256).all(axis=1)
+    one, four = points.astype("u1"), points.astype("<u4")
+    return [(one if s else four)[i].tobytes() for i, s in enumerate(small.tolist())]
+
+
+def _unpacked(packed: list[bytes]) -> np.ndarray:
+    if all(len(p) == GROUPS for p in packed):
+        return np.frombuffer(b"".join(packed), "u1").reshape(-1, GROUPS)
+    return np.stack([np.frombuffer(p, "u1" if len(p) == GROUPS else "<u4").astype(np.uint32) for p in packed])
+
+
 def _prefix_length(n: np.ndarray) -> np.ndarray:
     """So many of a set's first shingles meet every set of at least the similarity."""
     return n - (PERCENT * n + 99) // 100 + 1
@@ -92,7 +105,7 @@ def _prefix_length(n: np.ndarray) -> np.ndarray:
 
 def prefixes(docs: DataFrame, frequent: np.ndarray, id_col: str, text_col: str) -> DataFrame:
     """(id, n, s1, s2, counts, prefix) of each document: set size, two hashes of the whole set, its
-    count vector (32-bit numbers) and its prefix. Sets of no shingle have an empty prefix."""
+    count vector (packed) and its prefix. Sets of no shingle have an empty prefix."""
     held = docs.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT_MOST numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +121,7 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, id_col: str, text_col: str)
                     if len(at):
                         marks[0][at] = np.add.reduceat(splitmix(key), start)
                         marks[1][at] = np.add.reduceat(splitmix(key ^ U64(0x5EED)), start)
-                counts = _vectors(key, doc, t.n).astype("<u4")
+                counts = _packed(_vectors(key, doc, t.n))
                 hit = np.minimum(np.searchsorted(often, key), max(len(often) - 1, 0))
                 late = often[hit] == key if len(often) else np.zeros(len(key), bool)
                 order = np.lexsort((key, late, doc))
@@ -116,7 +129,7 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, id_col: str, text_col: str)
                 keep = rank < np.repeat(_prefix_length(n), n)
                 size = np.minimum(_prefix_length(n), n)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(key[order][keep].view(np.int64)))
-                cols = [column(batch, id_col).slice(t.first, t.n), pa.array(n, pa.int64()), *(pa.array(m.view(np.int64)) for m in marks), pa.array([c.tobytes() for c in counts], pa.binary()), lists]
+                cols = [column(batch, id_col).slice(t.first, t.n), pa.array(n, pa.int64()), *(pa.array(m.view(np.int64)) for m in marks), pa.array(counts, pa.binary()), lists]
                 yield pa.RecordBatch.from_arrays(cols, names=["id", "n", "s1", "s2", "counts", "prefix"])
 
     return docs.select(id_col, text_col).mapInArrow(run, "id long, n long, s1 long, s2 long, counts binary, prefix array<long>")
@@ -222,8 +235,7 @@ def _tree_pairs(lists: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def answer(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             key, ids, n, comp = (rows[c].to_numpy() for c in ("key", "id", "n", "component"))
-            data = rows["counts"].combine_chunks()
-            points = np.frombuffer(b"".join(data.to_pylist()), "<u4").reshape(len(ids), GROUPS)
+            points = _unpacked(rows["counts"].to_pylist())
             start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             size = np.diff(np.append(start, len(key)))
             found: list[np.ndarray] = []
@@ -291,7 +303,9 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> D
             yield pa.RecordBatch.from_arrays([column(batch, c).filter(pa.array(good, pa.bool_())) for c in "ab"], names=["a", "b"])
 
     x, y = found.select(F.col("id").alias("a"), F.col("keys").alias("x")), found.select(F.col("id").alias("b"), F.col("keys").alias("y"))
-    return stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "verified")
+    out = stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "verified")
+    discard(found, pairs, wanted)
+    return out
 
 
 def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
@@ -299,7 +313,9 @@ def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(column(batch, c).to_pylist()), "<u4").reshape(-1, GROUPS) for c in ("x", "y"))
+            if not batch.num_rows:
+                continue
+            x, y = (_unpacked(column(batch, c).to_pylist()) for c in ("x", "y"))
             fits = np.minimum(x, y).sum(axis=1, dtype=np.int64) >= _needed(column(batch, "m").to_numpy(), column(batch, "n").to_numpy())
             yield pa.RecordBatch.from_arrays([column(batch, c).filter(pa.array(fits)) for c in "ab"], names=["a", "b"])
 
@@ -316,14 +332,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     class from the start. Ids must be distinct and not null. Every link between different sets is
     found: lists have no cap, and their frequent shingles only change the order of prefixes.
     """
-    table = stored(prefixes(docs, frequent_shingles(docs, text_col), id_col, text_col), "prefixes")
+    wide = stored(prefixes(docs, frequent_shingles(docs, text_col), id_col, text_col), "prefixes")
+    table = stored(wide.select("id", "n", "s1", "s2"), "sizes")
     some = table.where("n > 0")
     of_set = some.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
     members = stored(some.select("id", "n", "s1", "s2").join(of_set, ["n", "s1", "s2"]).select("id", "n", "rep"), "members")
     reps = stored(members.where("id = rep").select("id"), "representatives")
-    alone = among(table.select("id", "prefix"), "id", reps)
+    alone = among(wide.select("id", "prefix"), "id", reps)
     lists = stored(_lists(alone.select("id", F.explode("prefix").alias("key"))), "lists")
-    points = stored(among(table.select("id", "n", "counts"), "id", stored(lists.select("id").distinct(), "in-lists")), "points")
+    points = stored(among(wide.select("id", "n", "counts"), "id", stored(lists.select("id").distinct(), "in-lists")), "points")
+
+    discard(wide)
 
     # First round: each document with the list leader that it shares most prefix shingles with.
     stars = lists.where("id <> leader").groupBy("id", "leader").count()
@@ -337,6 +356,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     where = stored(lists.select("key", "id").join(named.select("id", "component"), "id"), "places")
     mixed = where.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     open_ = where.select("key", "id").join(mixed, "key", "left_semi").join(named, "id")
+    discard(lists)
     more = verified(_tree_pairs(open_), docs, id_col, text_col)
     final = components(links.unionByName(more)).select(F.col("node").alias("rep"), "component")
 
