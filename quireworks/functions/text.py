@@ -39,17 +39,18 @@ def bytes_md5(c: Column) -> Column:
 
 def code_language(c: Column) -> Column:
     """The language of a leading <_lang_> mark, in lower case; txt without one."""
-    found = F.regexp_extract(c, r"^<_([^>]*)_>", 1)
-    return F.when(found != "", F.lower(found)).otherwise(F.lit("txt"))
+    mark = r"(?s)^<_(.*?)_>"
+    return F.when(c.rlike(mark), F.lower(F.regexp_extract(c, mark, 1))).otherwise(F.lit("txt"))
 
 
 def without_language(c: Column) -> Column:
-    return F.regexp_replace(c, r"^<_[^>]*_>", "")
+    return F.regexp_replace(c, r"(?s)^<_.*?_>", "")
 
 
 def without_fence(c: Column) -> Column:
     """Without an opening line that begins with ``` and a closing ``` line."""
-    return strip(F.regexp_replace(F.regexp_replace(strip(c), r"^```[^\n]*(\n|\z)", ""), r"(^|\n)[ \t]*```[ \t]*\z", ""))
+    opened = F.regexp_replace(c, r"^```[^\n]*(\n|\z)", "")
+    return strip(F.regexp_replace(opened, r"(?U)(^|\n)[^\S\n]*```[^\S\n]*\n?\z", ""))
 
 
 def cjk(c: Column) -> Column:

@@ -125,10 +125,13 @@ def nested_tables(df: DataFrame) -> DataFrame:
 
 
 def match_greedily(subjects: DataFrame, objects: DataFrame) -> DataFrame:
-    """(page_id, sub_idx, obj_idx): boxes paired by gap, from the upper left on. The top-left-most
-    item without a partner takes the nearest free one of the other kind, unless the object has
-    something three times nearer; what stays goes to the nearest subject. One step depends on all
-    before it, so a page is worked on as a whole; subjects without an object have null."""
+    """(page_id, sub_idx, obj_idx): boxes paired by gap, from the upper left on.
+
+    The free item next to the free items' upper left corner meets the nearest free one of the other
+    kind. If some subject is at most a third as far from the object (a gap of 0 always is), the
+    subject steps back instead. Objects that stay free go to the nearest subject; subjects without
+    an object have null. One step depends on all before it, so a page is worked on as a whole.
+    """
     import pandas as pd
 
     cols = ["page_id", "idx", *_BOX]
@@ -137,29 +140,33 @@ def match_greedily(subjects: DataFrame, objects: DataFrame) -> DataFrame:
     def page(rows: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
-        s, o = rows[rows.subject].sort_values("idx"), rows[~rows.subject].sort_values("idx")
-        a, b = s[_BOX].to_numpy(float), o[_BOX].to_numpy(float)
-        gap = np.zeros((len(a), len(b)))
-        if len(a) and len(b):
-            over = lambda lo, hi: np.maximum(np.maximum(b[None, :, lo] - a[:, None, hi], a[:, None, lo] - b[None, :, hi]), 0)
-            gap = np.hypot(over(0, 2), over(1, 3))
-        out, free_s, free_o = [], set(range(len(a))), set(range(len(b)))
-        queue = sorted([(x[0] ** 2 + x[1] ** 2, 0, i) for i, x in enumerate(a)] + [(x[0] ** 2 + x[1] ** 2, 1, i) for i, x in enumerate(b)])
-        for _, kind, i in queue:
-            if not free_s or not free_o:
+        rows = rows.assign(far=rows.x0.astype(float) ** 2 + rows.y0.astype(float) ** 2).sort_values(["far", "idx"], kind="stable")
+        s, o = rows[rows.subject], rows[~rows.subject]
+        n, m = len(s), len(o)
+        box = pd.concat([s, o])[_BOX].to_numpy(float)  # subjects first, then objects
+        over = lambda lo, hi: np.maximum(np.maximum(box[None, :, lo] - box[:, None, hi], box[:, None, lo] - box[None, :, hi]), 0)
+        gap = np.hypot(over(0, 2), over(1, 3))
+        free = np.ones(n + m, bool)
+        pairs: list[tuple[int, int]] = []
+        while len(pairs) < n and free.any():
+            at = np.flatnonzero(free)
+            corner = box[at, :2].min(axis=0)
+            at = at[np.argsort(((box[at, :2] - corner) ** 2).sum(axis=1), kind="stable")]
+            first = at[0]
+            others = at[(at < n) != (first < n)]
+            if not len(others):
                 break
-            if i not in (free_o if kind else free_s):
-                continue
-            si, oi = (min(free_s, key=lambda k: (gap[k, i], k)), i) if kind else (i, min(free_o, key=lambda k: (gap[i, k], k)))
-            if gap[si, oi] >= 3 * gap[:, oi].min() and gap[si, oi] > 0:
-                continue
-            out.append((si, oi))
-            free_s.discard(si)
-            free_o.discard(oi)
-        if len(a):
-            out += [(int(gap[:, k].argmin()), k) for k in sorted(free_o)]
-        done = {x for x, _ in out}
-        rows_out = [(int(rows.page_id.iloc[0]), int(s.idx.iloc[x]), int(o.idx.iloc[y])) for x, y in out] + [(int(rows.page_id.iloc[0]), int(s.idx.iloc[x]), None) for x in range(len(a)) if x not in done]
-        return pd.DataFrame(rows_out, columns=["page_id", "sub_idx", "obj_idx"]).astype({"page_id": "int64", "sub_idx": "int32", "obj_idx": "Int32"})
+            second = others[gap[first, others].argmin()]
+            sub, obj = (first, second) if first < n else (second, first)
+            free[sub] = False
+            if gap[sub, obj] < 3 * gap[:n, obj].min():
+                free[obj] = False
+                pairs.append((int(sub), int(obj)))
+        if n:
+            pairs += [(int(gap[:n, k].argmin()), int(k)) for k in np.flatnonzero(free) if k >= n]
+        alone = sorted(set(range(n)) - {x for x, _ in pairs})
+        key, si, oi = int(rows.page_id.iloc[0]), s.idx.tolist(), o.idx.tolist()
+        out = [(key, si[x], oi[y - n]) for x, y in pairs] + [(key, si[x], None) for x in alone]
+        return pd.DataFrame(out, columns=["page_id", "sub_idx", "obj_idx"]).astype({"page_id": "int64", "sub_idx": "int32", "obj_idx": "Int32"})
 
     return both.groupBy("page_id").applyInPandas(page, "page_id long, sub_idx int, obj_idx int")

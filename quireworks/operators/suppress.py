@@ -37,8 +37,10 @@ def absorb_small(boxes: list[dict], least: float = 0.8) -> list[dict]:
     alive = [dict(b) for b in boxes]
     gone: set[int] = set()
     for i in range(len(alive)):
+        if i in gone:
+            continue
         for j in range(i + 1, len(alive)):
-            if i in gone or j in gone:
+            if j in gone:  # i goes on to the end even if it has just been dropped
                 continue
             a, b = alive[i], alive[j]
             small = min(_area(a["box"]), _area(b["box"]))
@@ -46,7 +48,8 @@ def absorb_small(boxes: list[dict], least: float = 0.8) -> list[dict]:
                 continue
             s, g = (i, j) if _area(a["box"]) <= _area(b["box"]) else (j, i)
             if alive[s]["score"] <= alive[g]["score"]:
-                alive[g]["box"] = _around(alive[g]["box"], alive[s]["box"])
+                if s not in gone:
+                    alive[g]["box"] = _around(alive[g]["box"], alive[s]["box"])
                 gone.add(s)
             else:
                 gone.add(g)
@@ -54,21 +57,23 @@ def absorb_small(boxes: list[dict], least: float = 0.8) -> list[dict]:
 
 
 def drop_unsure_containers(boxes: list[dict], least: float = 0.8) -> list[dict]:
-    """A box that holds two others and more stays, grown around them, if it scores above their mean;
-    else it goes and they stay."""
-    out, inner_gone = [], set()
+    """A box that holds two others and more stays, grown around them, if it scores above their mean,
+    and they go; else it goes and they stay. What has gone holds nothing and is held by nothing;
+    who holds whom is a matter of the boxes as they were."""
+    out = {i: dict(b) for i, b in enumerate(boxes)}
     for i, a in enumerate(boxes):
-        held = [j for j, b in enumerate(boxes) if j != i and _area(b["box"]) and _meet(a["box"], b["box"]) / _area(b["box"]) >= least and _area(b["box"]) < _area(a["box"])]
-        if len(held) >= 2:
-            if a["score"] > sum(boxes[j]["score"] for j in held) / len(held):
-                box = a["box"]
-                for j in held:
-                    box = _around(box, boxes[j]["box"])
-                out.append((i, {**a, "box": box}))
-                inner_gone.update(held)
+        if i not in out:
+            continue
+        held = [j for j in out if j != i and _meet(a["box"], boxes[j]["box"]) >= least * _area(boxes[j]["box"])]
+        if len(held) < 2:
+            continue
+        if a["score"] > sum(boxes[j]["score"] for j in held) / len(held):
+            for j in held:
+                out[i]["box"] = _around(out[i]["box"], boxes[j]["box"])
+                del out[j]
         else:
-            out.append((i, a))
-    return [b for i, b in out if i not in inner_gone]
+            del out[i]
+    return list(out.values())
 
 
 def suppress(detections: DataFrame, steps=(merge_tables, absorb_small, drop_unsure_containers)) -> DataFrame:
@@ -77,7 +82,7 @@ def suppress(detections: DataFrame, steps=(merge_tables, absorb_small, drop_unsu
 
     def page(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("idx")
-        boxes = [{"box": [p[0], p[1], p[4], p[5]], "category": c, "score": 0.5 if pd.isna(s) else s} for p, c, s in zip(rows.poly, rows.category_id, rows.score, strict=True)]
+        boxes = [{"box": [int(p[k]) for k in (0, 1, 4, 5)], "category": c, "score": 0.5 if pd.isna(s) else s} for p, c, s in zip(rows.poly, rows.category_id, rows.score, strict=True)]
         tables, others = [b for b in boxes if b["category"] == 5], [b for b in boxes if b["category"] != 5]
         for step in steps:
             tables = step(tables)
