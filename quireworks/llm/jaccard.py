@@ -31,6 +31,8 @@ WORDS = 5
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 75
 GROUPS = 64
+#: Groups of the finer vectors that surviving pairs are bounded with before whole sets travel.
+FINE = 1024
 #: A shingle in at least so many documents is frequent. Only the order depends on it, and on how
 #: many of them tasks are told of, never the result.
 FREQUENT = 32
@@ -79,10 +81,10 @@ def frequent_shingles(docs: DataFrame, text_col: str) -> np.ndarray:
     return np.sort(rows["key"].to_numpy(np.int64).view(U64))
 
 
-def _vectors(key: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+def _vectors(key: np.ndarray, doc: np.ndarray, n: int, groups: int = GROUPS) -> np.ndarray:
     """Count vectors: how many of a text's shingles fall into each group."""
-    flat = np.bincount(doc * GROUPS + (splitmix(key ^ U64(0xA5A5)) % U64(GROUPS)).astype(np.int64), minlength=n * GROUPS)
-    return flat.reshape(n, GROUPS)
+    flat = np.bincount(doc * groups + (splitmix(key ^ U64(0xA5A5)) % U64(groups)).astype(np.int64), minlength=n * groups)
+    return flat.reshape(n, groups)
 
 
 def _packed(points: np.ndarray) -> list[bytes]:
@@ -92,10 +94,10 @@ def _packed(points: np.ndarray) -> list[bytes]:
     return [(one if s else four)[i].tobytes() for i, s in enumerate(small.tolist())]
 
 
-def _unpacked(packed: list[bytes]) -> np.ndarray:
-    if all(len(p) == GROUPS for p in packed):
-        return np.frombuffer(b"".join(packed), "u1").reshape(-1, GROUPS)
-    return np.stack([np.frombuffer(p, "u1" if len(p) == GROUPS else "<u4").astype(np.uint32) for p in packed])
+def _unpacked(packed: list[bytes], groups: int = GROUPS) -> np.ndarray:
+    if all(len(p) == groups for p in packed):
+        return np.frombuffer(b"".join(packed), "u1").reshape(-1, groups)
+    return np.stack([np.frombuffer(p, "u1" if len(p) == groups else "<u4").astype(np.uint32) for p in packed])
 
 
 def _prefix_length(n: np.ndarray) -> np.ndarray:
@@ -278,11 +280,49 @@ def _tree_pairs(lists: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
+def _bounded(pairs: DataFrame, points: DataFrame, groups: int = GROUPS) -> DataFrame:
+    """Pairs whose count vectors let them reach the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (_unpacked(column(batch, c).to_pylist(), groups) for c in ("x", "y"))
+            fits = np.minimum(x, y).sum(axis=1, dtype=np.int64) >= _needed(column(batch, "m").to_numpy(), column(batch, "n").to_numpy())
+            yield pa.RecordBatch.from_arrays([column(batch, c).filter(pa.array(fits)) for c in "ab"], names=["a", "b"])
+
+    x = points.select(F.col("id").alias("a"), F.col("counts").alias("x"), F.col("n").alias("m"))
+    y = points.select(F.col("id").alias("b"), F.col("counts").alias("y"), "n")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", "m", "n").mapInArrow(run, "a long, b long")
+
+
+def _finer(pairs: DataFrame, docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Pairs that FINE groups still let through: long texts fill the groups of a tree so evenly that
+    its bound says little, and whole sets of long texts are too much to send around for nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in passes(text_column(batch, text_col)):
+                key, doc = shingle_sets(t)
+                for lo in range(0, t.n, 1024):
+                    hi = min(lo + 1024, t.n)
+                    own = slice(*np.searchsorted(doc, [lo, hi]))
+                    points = _vectors(key[own], doc[own] - lo, hi - lo, FINE)
+                    yield pa.RecordBatch.from_arrays([column(batch, id_col).slice(t.first + lo, hi - lo), pa.array(points.sum(axis=1)), pa.array(_packed(points), pa.binary())], names=["id", "n", "counts"])
+
+    fine = stored(among(docs.select(id_col, text_col), id_col, wanted).mapInArrow(run, "id long, n long, counts binary"), "fine")
+    out = stored(_bounded(pairs, fine, FINE), "fine-pairs")
+    discard(fine)
+    return out
+
+
 def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) whose sets are linked: only documents in pairs are read again, and each
     pair's second set travels to the tasks of its first."""
-    pairs = stored(pairs, "pairs")
-    wanted = stored(pairs.select(F.col("a").alias("i")).unionByName(pairs.select(F.col("b").alias("i"))).distinct(), "wanted")
+    ends = lambda p: stored(p.select(F.col("a").alias("i")).unionByName(p.select(F.col("b").alias("i"))).distinct(), "wanted")
+    coarse = stored(pairs, "pairs")
+    pairs = _finer(coarse, docs, ends(coarse), id_col, text_col)
+    wanted = ends(pairs)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -304,26 +344,10 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> D
 
     x, y = found.select(F.col("id").alias("a"), F.col("keys").alias("x")), found.select(F.col("id").alias("b"), F.col("keys").alias("y"))
     out = stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "verified")
-    discard(found, pairs, wanted)
+    discard(found, coarse, pairs, wanted)
     return out
 
 
-def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """Pairs whose count vectors let them reach the similarity."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (_unpacked(column(batch, c).to_pylist()) for c in ("x", "y"))
-            fits = np.minimum(x, y).sum(axis=1, dtype=np.int64) >= _needed(column(batch, "m").to_numpy(), column(batch, "n").to_numpy())
-            yield pa.RecordBatch.from_arrays([column(batch, c).filter(pa.array(fits)) for c in "ab"], names=["a", "b"])
-
-    x = points.select(F.col("id").alias("a"), F.col("counts").alias("x"), F.col("n").alias("m"))
-    y = points.select(F.col("id").alias("b"), F.col("counts").alias("y"), "n")
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", "m", "n").mapInArrow(run, "a long, b long")
-
-
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every document: its set's size and the least id reachable
     by links, its own if there is none.
