@@ -6,12 +6,14 @@ have a rule: the lowest position of those that are equally near.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geometry import box, center_distance, contains, overlap_area
 from ..schema import CLASS_ORDER
+from .pages import on_pages
 
 _BOX = ["x0", "y0", "x1", "y1"]
 
@@ -132,21 +134,16 @@ def match_greedily(subjects: DataFrame, objects: DataFrame) -> DataFrame:
     subject steps back instead. Objects that stay free go to the nearest subject; subjects without
     an object have null. One step depends on all before it, so a page is worked on as a whole.
     """
-    import pandas as pd
-
     cols = ["page_id", "idx", *_BOX]
     both = subjects.select(*cols, F.lit(True).alias("subject")).unionByName(objects.select(*cols, F.lit(False).alias("subject")))
 
-    def page(rows: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        rows = rows.assign(far=rows.x0.astype(float) ** 2 + rows.y0.astype(float) ** 2).sort_values(["far", "idx"], kind="stable")
-        s, o = rows[rows.subject], rows[~rows.subject]
-        n, m = len(s), len(o)
-        box = pd.concat([s, o])[_BOX].to_numpy(float)  # subjects first, then objects
+    def page(rows: list[dict]) -> list[tuple]:
+        rows = sorted(rows, key=lambda r: (not r["subject"], r["x0"] ** 2 + r["y0"] ** 2))  # subjects first
+        n = sum(r["subject"] for r in rows)
+        box = np.array([[r[c] for c in _BOX] for r in rows], float)
         over = lambda lo, hi: np.maximum(np.maximum(box[None, :, lo] - box[:, None, hi], box[:, None, lo] - box[None, :, hi]), 0)
         gap = np.hypot(over(0, 2), over(1, 3))
-        free = np.ones(n + m, bool)
+        free = np.ones(len(rows), bool)
         pairs: list[tuple[int, int]] = []
         while len(pairs) < n and free.any():
             at = np.flatnonzero(free)
@@ -164,9 +161,7 @@ def match_greedily(subjects: DataFrame, objects: DataFrame) -> DataFrame:
                 pairs.append((int(sub), int(obj)))
         if n:
             pairs += [(int(gap[:n, k].argmin()), int(k)) for k in np.flatnonzero(free) if k >= n]
-        alone = sorted(set(range(n)) - {x for x, _ in pairs})
-        key, si, oi = int(rows.page_id.iloc[0]), s.idx.tolist(), o.idx.tolist()
-        out = [(key, si[x], oi[y - n]) for x, y in pairs] + [(key, si[x], None) for x in alone]
-        return pd.DataFrame(out, columns=["page_id", "sub_idx", "obj_idx"]).astype({"page_id": "int64", "sub_idx": "int32", "obj_idx": "Int32"})
+        key, alone = rows[0]["page_id"], sorted(set(range(n)) - {x for x, _ in pairs})
+        return [(key, rows[x]["idx"], rows[y]["idx"]) for x, y in pairs] + [(key, rows[x]["idx"], None) for x in alone]
 
-    return both.groupBy("page_id").applyInPandas(page, "page_id long, sub_idx int, obj_idx int")
+    return on_pages(both, page, "page_id long, sub_idx int, obj_idx int", ["idx"])

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from .pages import on_pages
+
 
 def _meet(a: list, b: list) -> float:
     return max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
@@ -80,14 +81,12 @@ def suppress(detections: DataFrame, steps=(merge_tables, absorb_small, drop_unsu
     """(page_id, category_id, x0, y0, x1, y1, score, position) of what the steps leave of each page's
     detections (page_id, idx, category_id, poly, score), taken in the order of idx. No score: 0.5."""
 
-    def page(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("idx")
-        boxes = [{"box": [int(p[k]) for k in (0, 1, 4, 5)], "category": c, "score": 0.5 if pd.isna(s) else s} for p, c, s in zip(rows.poly, rows.category_id, rows.score, strict=True)]
+    def page(rows: list[dict]) -> list[tuple]:
+        boxes = [{"box": [int(r["poly"][k]) for k in (0, 1, 4, 5)], "category": r["category_id"], "score": 0.5 if r["score"] is None else r["score"]} for r in rows]
         tables, others = [b for b in boxes if b["category"] == 5], [b for b in boxes if b["category"] != 5]
         for step in steps:
             tables = step(tables)
             others = others if step is merge_tables else step(others)
-        out = [(int(rows.page_id.iloc[0]), int(b["category"]), *map(float, b["box"]), float(b["score"]), k) for k, b in enumerate([*tables, *others])]
-        return pd.DataFrame(out, columns=["page_id", "category_id", "x0", "y0", "x1", "y1", "score", "position"])
+        return [(rows[0]["page_id"], b["category"], *map(float, b["box"]), float(b["score"]), k) for k, b in enumerate([*tables, *others])]
 
-    return detections.select("page_id", "idx", "category_id", "poly", "score").groupBy("page_id").applyInPandas(page, "page_id long, category_id int, x0 double, y0 double, x1 double, y1 double, score double, position int")
+    return on_pages(detections.select("page_id", "idx", "category_id", "poly", "score"), page, "page_id long, category_id int, x0 double, y0 double, x1 double, y1 double, score double, position int", ["idx"])
