@@ -9,7 +9,7 @@ One tree over all documents can't be dealt to many tasks, so documents meet by p
 linked sets of at least 75 % similarity share a shingle among the first quarter of either, in any
 order common to all. The order puts frequent shingles last and hashes first, and each list of
 documents that share a prefix shingle gets a tree of its own. Groups of near copies would meet in
-every list: a first round verifies each document with one partner only, and the second round's
+every list: first rounds verify each document with one partner only, and the last round's
 trees look for pairs of different components alone.
 """
 
@@ -30,7 +30,9 @@ from .words import U64, Texts, passes, short_sequences, splitmix, windows
 WORDS = 5
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 75
-GROUPS = 64
+GROUPS = 256
+#: Rounds in which each document of a list gives its best pair only, before the one that gives all.
+BEST_ROUNDS = 2
 #: Groups of the finer vectors that surviving pairs are bounded with before whole sets travel.
 FINE = 1024
 #: A shingle in at least so many documents is frequent. Only the order depends on it, and on how
@@ -190,27 +192,28 @@ class Tree:
             at = np.arange(0, len(corner), NODE)
             self.levels.append((np.maximum.reduceat(corner, at), np.minimum.reduceat(least, at), np.maximum.reduceat(most, at)))
 
-    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of points whose bound reaches what their sizes need, in bounded portions: from the
-        root down, two boxes are opened only if their own bound does."""
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs of points, and their bound's share of what they need, where the bound reaches it, in bounded
+        portions: from the root down, two boxes are opened only if their own bound does."""
         top = len(self.levels) - 1
         n = len(self.levels[top][0])
         a, b = np.triu_indices(n)
         yield from self._open(top, a, b)
 
-    def _open(self, level: int, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def _open(self, level: int, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         corner, least, most = self.levels[level]
         for lo in range(0, len(a), 4096):
             x, y = a[lo : lo + 4096], b[lo : lo + 4096]
             near = (100 * most[x] >= PERCENT * least[y]) & (100 * most[y] >= PERCENT * least[x])
             x, y = x[near], y[near]
             bound = np.minimum(corner[x], corner[y]).sum(axis=1, dtype=np.int64)
-            fits = bound >= _needed(least[x], least[y])
-            x, y = x[fits], y[fits]
+            need = _needed(least[x], least[y])
+            fits = bound >= need
             if not level:
-                differ = x != y
-                yield self.order[x[differ]], self.order[y[differ]]
+                fits &= x != y
+                yield self.order[x[fits]], self.order[y[fits]], bound[fits] / need[fits]
                 continue
+            x, y = x[fits], y[fits]
             below = len(self.levels[level - 1][0])
             step = np.arange(NODE)
             for k in range(0, len(x), 16):
@@ -220,9 +223,10 @@ class Tree:
                 yield from self._open(level - 1, i[ok], j[ok])
 
 
-def _tree_pairs(lists: DataFrame) -> DataFrame:
+def _tree_pairs(lists: DataFrame, best_only: bool) -> DataFrame:
     """(a, b), a < b, of different components whose bound reaches the similarity, from lists
-    (key, id, n, component, counts). Short lists of a batch are handled together: a tree of up to
+    (key, id, n, component, counts). best_only: for each document of a list the pair with the best
+    bound, so that there are no more pairs than entries of lists. Short lists of a batch are handled together: a tree of up to
     NODE points is its one node. A list that goes on is joined with what is held of it."""
 
     def small(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -241,25 +245,39 @@ def _tree_pairs(lists: DataFrame) -> DataFrame:
             start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             size = np.diff(np.append(start, len(key)))
             found: list[np.ndarray] = []
+            best, partner = np.zeros(len(ids)), np.full(len(ids), -1)
 
-            def keep(a: np.ndarray, b: np.ndarray) -> None:
+            def keep(a: np.ndarray, b: np.ndarray, share: np.ndarray) -> None:
                 differ = comp[a] != comp[b]
-                a, b = ids[a[differ]], ids[b[differ]]
+                a, b, share = a[differ], b[differ], share[differ]
+                if best_only:
+                    order = np.argsort(share, kind="stable")  # of entries met twice the best comes last
+                    for x, y in ((a[order], b[order]), (b[order], a[order])):
+                        better = share[order] > best[x]
+                        best[x[better]], partner[x[better]] = share[order][better], y[better]
+                else:
+                    add(a, b)
+
+            def add(a: np.ndarray, b: np.ndarray) -> None:
+                a, b = ids[a], ids[b]
                 found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
 
             for s, k in zip(start[size > NODE].tolist(), size[size > NODE].tolist(), strict=True):
                 if (comp[s : s + k] == comp[s]).all():
                     continue
-                for a, b in Tree(points[s : s + k], n[s : s + k]).pairs():
-                    keep(a + s, b + s)
+                for a, b, share in Tree(points[s : s + k], n[s : s + k]).pairs():
+                    keep(a + s, b + s, share)
             short = np.flatnonzero(np.repeat(size <= NODE, size))
             a, b = small(key[short])
             for lo in range(0, len(a), 1 << 16):
                 x, y = short[a[lo : lo + (1 << 16)]], short[b[lo : lo + (1 << 16)]]
                 apart = comp[x] != comp[y]
                 x, y = x[apart], y[apart]
-                fits = np.minimum(points[x], points[y]).sum(axis=1, dtype=np.int64) >= _needed(n[x], n[y])
-                keep(x[fits], y[fits])
+                bound, need = np.minimum(points[x], points[y]).sum(axis=1, dtype=np.int64), _needed(n[x], n[y])
+                fits = bound >= need
+                keep(x[fits], y[fits], bound[fits] / need[fits])
+            if len(some := np.flatnonzero(partner >= 0)):
+                add(some, partner[some])
             if found and len(all_ := np.unique(np.concatenate(found), axis=0)):
                 yield pa.RecordBatch.from_arrays([pa.array(all_[:, 0]), pa.array(all_[:, 1])], names=["a", "b"])
 
@@ -375,14 +393,20 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     links = verified(_bounded(pairs, points), docs, id_col, text_col)
     first = stored(components(links), "first-round")
 
-    # Second round: trees over lists that hold several components.
-    named = points.join(first.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "counts", F.coalesce("component", "id").alias("component"))
-    where = stored(lists.select("key", "id").join(named.select("id", "component"), "id"), "places")
-    mixed = where.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    open_ = where.select("key", "id").join(mixed, "key", "left_semi").join(named, "id")
-    discard(lists)
-    more = verified(_tree_pairs(open_), docs, id_col, text_col)
-    final = components(links.unionByName(more)).select(F.col("node").alias("rep"), "component")
+    # Further rounds: trees over lists that hold several components, of each document's best pair at
+    # first, so that groups of near copies come together before the last round asks for all pairs.
+    for turn in range(BEST_ROUNDS + 1):
+        named = points.join(first.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "counts", F.coalesce("component", "id").alias("component"))
+        named = stored(named, "named")
+        where = stored(lists.select("key", "id").join(named.select("id", "component"), "id"), "places")
+        mixed = where.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+        open_ = where.select("key", "id").join(mixed, "key", "left_semi").join(named, "id")
+        more = verified(_tree_pairs(open_, turn < BEST_ROUNDS), docs, id_col, text_col)
+        links = stored(links.unionByName(more), "all-links")
+        discard(named, where, more)
+        first = stored(components(links), "round")
+    discard(lists, points)
+    final = first.select(F.col("node").alias("rep"), "component")
 
     found = members.join(final, "rep", "left").select("id", F.coalesce("component", "rep").alias("c"))
     out = table.select("id", "n").join(found, "id", "left")

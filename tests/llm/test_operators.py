@@ -95,7 +95,7 @@ def test_tree_loses_no_pair():
     points = rng.integers(0, 6, (500, jaccard.GROUPS))
     points[250:] = points[:250] + rng.integers(0, 2, (250, jaccard.GROUPS)) * (rng.random((250, 1)) < 0.5)
     sizes = points.sum(axis=1)
-    found = {tuple(sorted(p)) for a, b in jaccard.Tree(points, sizes).pairs() for p in zip(a.tolist(), b.tolist(), strict=True)}
+    found = {tuple(sorted(p)) for a, b, _ in jaccard.Tree(points, sizes).pairs() for p in zip(a.tolist(), b.tolist(), strict=True)}
     for i in range(500):
         bound = np.minimum(points[i], points[i + 1 :]).sum(axis=1)
         wanted = np.flatnonzero(bound >= jaccard._needed(sizes[i], sizes[i + 1 :])) + i + 1
