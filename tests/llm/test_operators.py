@@ -184,6 +184,34 @@ def test_passages(docs, none, rows):
     assert passages.repeated_passages(none).count() == 0
 
 
+def test_passages_among_stock_phrases(spark):
+    """Passages of two texts each, with the least shingles of stock phrases that many texts have."""
+    rng = random.Random(11)
+    stock = [text(rng, 8, 100_000) for _ in range(5)]
+    out = []
+    for _ in range(60):
+        w = text(rng, 50, 100_000).split()
+        for k, p in zip((1, 11, 21, 31, 41), rng.sample(stock, 5), strict=True):
+            w[k : k + 8] = p.split()
+        out += [text(rng, 70, 100_000) + " " + " ".join(w) + " " + text(rng, 70, 100_000) for _ in range(2)]
+    order = [*range(0, 120, 2), *range(1, 120, 2)]
+    df = spark.createDataFrame([(i, out[k]) for i, k in enumerate(order)], "doc_id long, text string")
+    spans = collections.defaultdict(list)
+    for r in passages.repeated_passages(df).collect():
+        spans[r.doc_id, r.source_id].append((r.start_word, r.end_word, r.source_start))
+    for i in range(60):
+        assert any(a <= 70 and 120 <= b for a, b, _ in spans[60 + i, i])
+
+
+def test_run_hashes():
+    x = np.random.default_rng(3).integers(1, 2**60, 200).astype(np.uint64)
+    y = np.concatenate([x[100:160], x[:100]])
+    h, g = passages.run_hashes(x), passages.run_hashes(y)
+    assert len(h) == 200 - passages.RUN + 1 and h[100] == g[0] and h[114] == g[14] and h[0] == g[60]
+    y[5] += np.uint64(1)
+    assert not np.isin(passages.run_hashes(y)[:6], h).any() and not len(passages.run_hashes(x[: passages.RUN - 1]))
+
+
 def test_compact_windows_cover_all_runs():
     rng = np.random.default_rng(5)
     x = rng.integers(1, 40, 120).astype(np.uint64)
