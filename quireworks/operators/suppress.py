@@ -33,6 +33,22 @@ def merge_tables(boxes: list[dict], least: float = 0.7) -> list[dict]:
             return boxes
 
 
+def _inside(a: list, b: list, least: float) -> bool:
+    return (m := _meet(a, b)) > 0 and m >= least * _area(a)
+
+
+def drop_nested_tables(boxes: list[dict], least: float = 0.8, share: float = 0.8) -> list[dict]:
+    """Without those that hold three others and more, apart from each other, whose areas sum to more
+    than `share` of theirs."""
+    out = []
+    for i, a in enumerate(boxes):
+        held = [b["box"] for j, b in enumerate(boxes) if j != i and _inside(b["box"], a["box"], least)]
+        apart = not any(_meet(x, y) for k, x in enumerate(held) for y in held[k + 1 :])
+        if len(held) < 3 or not apart or sum(map(_area, held)) <= share * _area(a["box"]):
+            out.append(a)
+    return out
+
+
 def absorb_small(boxes: list[dict], least: float = 0.8) -> list[dict]:
     """A box of which another one covers more than `least` goes into it, or drops it by its score."""
     alive = [dict(b) for b in boxes]
@@ -65,7 +81,7 @@ def drop_unsure_containers(boxes: list[dict], least: float = 0.8) -> list[dict]:
     for i, a in enumerate(boxes):
         if i not in out:
             continue
-        held = [j for j in out if j != i and _meet(a["box"], boxes[j]["box"]) >= least * _area(boxes[j]["box"])]
+        held = [j for j in out if j != i and _inside(boxes[j]["box"], a["box"], least)]
         if len(held) < 2:
             continue
         if a["score"] > sum(boxes[j]["score"] for j in held) / len(held):
@@ -77,16 +93,25 @@ def drop_unsure_containers(boxes: list[dict], least: float = 0.8) -> list[dict]:
     return list(out.values())
 
 
-def suppress(detections: DataFrame, steps=(merge_tables, absorb_small, drop_unsure_containers)) -> DataFrame:
-    """(page_id, category_id, x0, y0, x1, y1, score, position) of what the steps leave of each page's
+TABLE, TEXT, OTHER = 5, 1, (0, 2, 3, 4, 6, 7)
+
+
+def page_boxes(boxes: list[dict]) -> list[dict]:
+    """What a page's boxes come to: tables are merged, freed of nested ones and absorb each other,
+    text boxes absorb each other, and containers are sought among these and OTHER together. Boxes
+    of further categories, formulas among them, stay as they are and come last."""
+    of = lambda kinds: [b for b in boxes if b["category"] in kinds]
+    tables = absorb_small(drop_nested_tables(merge_tables(of((TABLE,)))))
+    left = drop_unsure_containers([*of(OTHER), *absorb_small(of((TEXT,))), *tables])
+    return [*left, *(b for b in boxes if b["category"] not in (TABLE, TEXT, *OTHER))]
+
+
+def suppress(detections: DataFrame) -> DataFrame:
+    """(page_id, category_id, x0, y0, x1, y1, score, position) of what page_boxes leaves of each page's
     detections (page_id, idx, category_id, poly, score), taken in the order of idx. No score: 0.5."""
 
     def page(rows: list[dict]) -> list[tuple]:
         boxes = [{"box": [int(r["poly"][k]) for k in (0, 1, 4, 5)], "category": r["category_id"], "score": 0.5 if r["score"] is None else r["score"]} for r in rows]
-        tables, others = [b for b in boxes if b["category"] == 5], [b for b in boxes if b["category"] != 5]
-        for step in steps:
-            tables = step(tables)
-            others = others if step is merge_tables else step(others)
-        return [(rows[0]["page_id"], b["category"], *map(float, b["box"]), float(b["score"]), k) for k, b in enumerate([*tables, *others])]
+        return [(rows[0]["page_id"], b["category"], *map(float, b["box"]), float(b["score"]), k) for k, b in enumerate(page_boxes(boxes))]
 
     return on_pages(detections.select("page_id", "idx", "category_id", "poly", "score"), page, "page_id long, category_id int, x0 double, y0 double, x1 double, y1 double, score double, position int", ["idx"])

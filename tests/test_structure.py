@@ -58,6 +58,25 @@ def test_greedy_match_and_suppress(spark):
     assert rows(suppress.suppress(d), "x0", "y0", "x1", "y1") == [(0.0, 0.0, 10.0, 10.0)]
 
 
+def test_suppress_routes_categories():
+    def left(*items):
+        got = suppress.page_boxes([{"category": c, "box": list(b), "score": s} for c, b, s in items])
+        return [(b["category"], *b["box"]) for b in got]
+
+    # captions and formulas absorb nothing; text boxes do
+    assert left((4, (0, 0, 10, 10), 0.9), (4, (0, 0, 5, 5), 0.1), (13, (0, 0, 9, 9), 0.9), (13, (0, 0, 5, 5), 0.1)) == [(4, 0, 0, 10, 10), (4, 0, 0, 5, 5), (13, 0, 0, 9, 9), (13, 0, 0, 5, 5)]
+    assert left((1, (0, 0, 10, 10), 0.9), (1, (0, 0, 5, 5), 0.1)) == [(1, 0, 0, 10, 10)]
+    # a table that holds text blocks gives way to them, or takes them in
+    inner = ((1, (0, 0, 10, 4), 0.5), (1, (0, 5, 10, 11), 0.5))
+    assert left((5, (0, 0, 10, 10), 0.2), *inner) == [(1, 0, 0, 10, 4), (1, 0, 5, 10, 11)]
+    assert left((5, (0, 0, 10, 10), 0.9), *inner) == [(5, 0, 0, 10, 11)]
+    # a table made of three others goes before it could absorb them
+    parts = [(5, (0, 10 * k, 10, 10 * k + 9), 0.3) for k in range(3)]
+    assert left((5, (0, 0, 10, 30), 0.9), *parts) == [(5, 0, 10 * k, 10, 10 * k + 9) for k in range(3)]
+    # boxes without an area lie in nothing
+    assert len(left((4, (0, 0, 10, 10), 0.2), (4, (50, 50, 50, 50), 0.9), (4, (60, 60, 60, 60), 0.9))) == 3
+
+
 def test_render(spark):
     b = blocks(spark, (0, "title", (0, 0, 1, 1), "A\n b"), (1, "text", (0, 0, 1, 1), "ＡＢ"), (2, "seal", (0, 0, 1, 1), "no"), (3, "char", (0, 0, 1, 1), "12345"), (4, "char", (0, 0, 1, 1), "123456"), (5, "text", (0, 0, 1, 1), None))
     assert render.render(b).first().markdown == "# A b\n\nAB\n\n123456"
