@@ -7,7 +7,10 @@ success: the sum of squared distances to the borders crossed. Candidates of all
 and ranked again by the exact cosine of the original vectors.
 
 Every row is indexed. Only the functions' width and the number of probes are fitted, on the SAMPLE
-rows with the smallest hashes of their ids, so that RECALL of their true neighbours are found.
+rows with the smallest hashes of their ids, so that RECALL of their true neighbours are found; the
+width is doubled until moves of one cell reach so many. Queries that are left with fewer than k
+candidates are asked again with all of them probed and four times the width, round by round: vectors of
+length 1 come to lie in neighbouring cells at last, so each query gets k rows if there are as many.
 """
 
 from __future__ import annotations
@@ -96,6 +99,19 @@ def fit(rows: DataFrame, k: int) -> Hashes | None:
     top = np.argsort(-near, axis=1)[:, : min(k, len(u) - 1)]
     far = np.sqrt(np.maximum(2 - 2 * np.take_along_axis(near, top, 1), 0))
     h = Hashes(a, b, max(1.4 * float(far.mean()) if far.size else 1.0, 1e-6), len(_MOVES))
+    while far.size:
+        first = _first_probes(h, u, q, top)
+        most = int(np.quantile(first, RECALL, method="higher"))
+        if most < len(_MOVES):
+            h.probes = most + 1
+            break
+        h.width *= 2
+    return h
+
+
+def _first_probes(h: Hashes, u: np.ndarray, q: int, top: np.ndarray) -> np.ndarray:
+    """For each of the first q vectors' true neighbours the least number of probes before the one
+    that finds it in some table; the number of all moves if none does."""
     first = np.full(top.shape, len(_MOVES))
     for t in range(TABLES):
         place, inside = h.places(u, t)
@@ -106,9 +122,7 @@ def fit(rows: DataFrame, k: int) -> Hashes | None:
         near_enough = (np.abs(step) <= 1).all(axis=2)
         index = (np.where(step == -1, 1, np.where(step == 1, 2, 0)) * 3 ** np.arange(WIDTHS - 1, -1, -1)).sum(axis=2)
         first = np.where(near_enough, np.minimum(first, np.take_along_axis(rank, index, 1)), first)
-    if first.size:
-        h.probes = int(min(len(_MOVES), np.quantile(first, RECALL, method="higher") + 1))
-    return h
+    return first
 
 
 def _exact(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -134,6 +148,31 @@ def search(rows: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id",
     d = h.a.shape[1]
     good = good.where(F.size("vec") == d)
     n = good.count()
+    reach = 2 * float(np.sqrt((h.a * h.a).sum(axis=1)).max())  # no projections of unit vectors are further apart
+    asking = good.withColumn("asks", F.col("id") % every == 0)
+    left = asking.where("asks").select("id").distinct()
+    done: DataFrame | None = None
+    while True:
+        whole = n <= k + 1 or h.width >= reach and h.probes == len(_MOVES)
+        if n <= k + 1:
+            h = Hashes(h.a, h.b, reach, len(_MOVES))
+        got = stored(_round(asking, n, h, k), "neighbours")
+        if not whole:
+            answered = got.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("id"))
+            left = stored(left.join(answered, "id", "left_anti"), "left")
+            whole = left.isEmpty()
+            if not whole:
+                got = got.join(answered.withColumnRenamed("id", "query_id"), "query_id", "left_semi")
+        done = got if done is None else done.unionByName(got)
+        if whole:
+            return done
+        asking = good.join(left.withColumn("asks", F.lit(True)), "id", "left").select("id", "vec", F.coalesce("asks", F.lit(False)).alias("asks"))
+        h = Hashes(h.a, h.b, min(4 * h.width, reach), len(_MOVES))
+
+
+def _round(good: DataFrame, n: int, h: Hashes, k: int) -> DataFrame:
+    """The k nearest that the probes of the rows that ask find among all n rows of (id, vec, asks)."""
+    d = h.a.shape[1]
     cells = int(min(max(n * TABLES // 8192, 16), 1 << 20))
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +204,7 @@ def search(rows: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id",
                 ids, vec = column(batch, "id").to_numpy(), _vectors(column(batch, "vec"))
                 u = _unit(vec)
                 out: list[list] = [[], [], [], [], []]
-                asked = np.flatnonzero(ids % every == 0)
+                asked = np.flatnonzero(column(batch, "asks").to_numpy(zero_copy_only=False))
                 wanted: list[dict[int, list]] = [{} for _ in asked]
                 for t in range(TABLES):
                     place, inside = h.places(u, t)

@@ -245,6 +245,16 @@ def test_neighbours(spark):
     assert [(r.query_id, r.vec_id) for r in neighbours.search(df.where("vec_id in (0, 7)")).collect()] == [(0, 7)]
 
 
+def test_neighbours_of_isolated_rows(spark):
+    """Tight clusters fix a small width; rows far from all others still get their k nearest."""
+    rng = np.random.default_rng(4)
+    v = np.repeat(rng.standard_normal((20, 16)), 30, axis=0) + 1e-4 * rng.standard_normal((600, 16))
+    v[::50] = rng.standard_normal((12, 16))
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>").repartition(3)
+    got = collections.Counter(r.query_id for r in neighbours.search(df).collect())
+    assert got == dict.fromkeys(range(0, 600, 50), 5)
+
+
 def test_token_counts(docs, none, rows):
     path = public_tokenizers.path("word_bpe_49k.json")
     want = {i: len(x) - 1 for i, x in ids_of("word_bpe_49k.json", rows, 1).items()}
