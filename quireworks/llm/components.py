@@ -11,7 +11,8 @@ from .shared import discard, stored
 def _star(links: DataFrame, large: bool) -> DataFrame:
     """Ties each node's larger (or, with itself, not larger) neighbours to the least node it knows."""
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))) if large else links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # Stored, so that the join has two exchanges of its own and the rows of a hub can be split.
+    least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     joined = both.join(least, "u")
     if large:
         out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))

@@ -1,22 +1,29 @@
 """Exact n-gram Jaccard join with count-vector R-trees.
 
-A document's set holds its distinct shingles of five words; hashing them into GROUPS groups gives
-its count vector, a point. Two sets share at most the sum of their vectors' coordinate minima, so an
-R-tree over points, whose boxes bound the same sum by their upper corners, finds the pairs that can
-reach the similarity; those are verified on the sets themselves.
+A document's set holds its distinct shingles of five words; hashing them into groups gives its count
+vector, a point. Two sets share at most the sum of their vectors' coordinate minima, so an R-tree
+over points, whose boxes bound the same sum by their upper corners, finds the pairs that can reach
+the similarity; those are verified on the sets themselves.
 
 One tree over all documents can't be dealt to many tasks, so documents meet by prefixes first:
 linked sets of at least 75 % similarity share a shingle among the first quarter of either, in any
 order common to all. The order puts frequent shingles last and hashes first, and each list of
-documents that share a prefix shingle gets a tree of its own. Groups of near copies would meet in
-every list: first rounds verify each document with one partner only, and the last round's
-trees look for pairs of different components alone.
+documents that share a prefix shingle gets a tree of its own; a long list is dealt to trees over
+pairs of its blocks. Trees in lists work on GROUPS groups. Each set also has a finer vector of at
+least one group a shingle (folding it gives the coarser ones, as groups nest), which bounds pairs
+again before whole sets travel.
+
+A pair is given in the first list that both share, as far as their first HEADS shingles show, and
+only if enough of both sets comes after that list's shingle. Groups of near copies would still give
+all their pairs, so a first round verifies each document with one leader only, a second one each
+document of a long list with its best partner, and the last round's trees look for all pairs of
+different components.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,23 +31,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import among, column, discard, stored, text_column
+from .shared import among, column, discard, stored, text_column, without
 from .words import U64, Texts, passes, short_sequences, splitmix, windows
 
 WORDS = 5
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 75
+#: Groups of the vectors in lists; a power of two.
 GROUPS = 256
-#: Rounds in which each document of a list gives its best pair only, before the one that gives all.
-BEST_ROUNDS = 2
-#: Groups of the finer vectors that surviving pairs are bounded with before whole sets travel.
-FINE = 1024
 #: A shingle in at least so many documents is frequent. Only the order depends on it, and on how
 #: many of them tasks are told of, never the result.
 FREQUENT = 32
 FREQUENT_MOST = 1 << 18
 #: Points of an R-tree's node.
 NODE = 32
+#: Entries of a list's block; lists of more entries are dealt as pairs of blocks.
+BLOCK = 512
+#: First prefix shingles that travel with an entry, to tell that a pair has met in an earlier list.
+HEADS = 8
+#: Rows of sets or fine vectors looked at together.
+_AT_ONCE = 512
 
 
 def shingle_sets(t: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -83,12 +93,22 @@ def frequent_shingles(docs: DataFrame, text_col: str) -> np.ndarray:
     return np.sort(rows["key"].to_numpy(np.int64).view(U64))
 
 
-def _vectors(key: np.ndarray, doc: np.ndarray, n: int, groups: int = GROUPS) -> np.ndarray:
+def _fold(points: np.ndarray, groups: int) -> np.ndarray:
+    """Count vectors of fewer groups (both are powers of two)."""
+    return points.reshape(len(points), -1, groups).sum(axis=1)
+
+
+def _vectors(key: np.ndarray, doc: np.ndarray, n: int, groups: int) -> np.ndarray:
     """Count vectors: how many of a text's shingles fall into each group."""
-    flat = np.bincount(doc * groups + (splitmix(key ^ U64(0xA5A5)) % U64(groups)).astype(np.int64), minlength=n * groups)
+    flat = np.bincount(doc * groups + (splitmix(key ^ U64(0xA5A5)) & U64(groups - 1)).astype(np.int64), minlength=n * groups)
     return flat.reshape(n, groups)
 
 
+def groups_of(n: np.ndarray) -> np.ndarray:
+    """Groups of the fine vectors of sets of n shingles: a power of two, one for each shingle or more."""
+    return np.maximum(GROUPS, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+
+
 def _packed(points: np.ndarray) -> list[bytes]:
     """A byte a group where that is enough, else four."""
     small = (points < 256).all(axis=1)
@@ -96,20 +116,39 @@ def _packed(points: np.ndarray) -> list[bytes]:
     return [(one if s else four)[i].tobytes() for i, s in enumerate(small.tolist())]
 
 
-def _unpacked(packed: list[bytes], groups: int = GROUPS) -> np.ndarray:
+def _unpacked(packed: list[bytes], groups: int) -> np.ndarray:
     if all(len(p) == groups for p in packed):
         return np.frombuffer(b"".join(packed), "u1").reshape(-1, groups)
     return np.stack([np.frombuffer(p, "u1" if len(p) == groups else "<u4").astype(np.uint32) for p in packed])
 
 
+def _fine(key: np.ndarray, n: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """Packed count vectors of texts with n shingles each: of GROUPS groups, and fine ones."""
+    coarse: list[bytes] = [b""] * len(n)
+    fine: list[bytes] = [b""] * len(n)
+    groups, start = groups_of(n), np.cumsum(n) - n
+    for g in np.unique(groups).tolist():
+        some = np.flatnonzero(groups == g)
+        step = max(1, (1 << 21) // g)  # texts whose vectors are made together
+        for lo in range(0, len(some), step):
+            part = some[lo : lo + step]
+            size = n[part]
+            own = np.repeat(start[part] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            points = _vectors(key[own], np.repeat(np.arange(len(part)), size), len(part), g)
+            for i, a, b in zip(part.tolist(), _packed(_fold(points, GROUPS)), _packed(points), strict=True):
+                coarse[i], fine[i] = a, b
+    return coarse, fine
+
+
 def _prefix_length(n: np.ndarray) -> np.ndarray:
     """So many of a set's first shingles meet every set of at least the similarity."""
     return n - (PERCENT * n + 99) // 100 + 1
 
 
 def prefixes(docs: DataFrame, frequent: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, s1, s2, counts, prefix) of each document: set size, two hashes of the whole set, its
-    count vector (packed) and its prefix. Sets of no shingle have an empty prefix."""
+    """(id, n, s1, s2, counts, fine, rare, prefix) of each document: set size, two hashes of the whole
+    set, its count vectors (packed) and its prefix, which has `rare` shingles that aren't frequent at
+    first. Sets of no shingle have an empty prefix."""
     held = docs.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT_MOST numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,87 +164,122 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, id_col: str, text_col: str)
                     if len(at):
                         marks[0][at] = np.add.reduceat(splitmix(key), start)
                         marks[1][at] = np.add.reduceat(splitmix(key ^ U64(0x5EED)), start)
-                counts = _packed(_vectors(key, doc, t.n))
+                counts, fine = _fine(key, n)
                 hit = np.minimum(np.searchsorted(often, key), max(len(often) - 1, 0))
                 late = often[hit] == key if len(often) else np.zeros(len(key), bool)
-                order = np.lexsort((key, late, doc))
+                order = np.argsort(doc * 2 + late, kind="stable")  # by text, frequent ones last, then by shingle
                 rank = np.arange(len(key)) - np.repeat(np.cumsum(n) - n, n)
                 keep = rank < np.repeat(_prefix_length(n), n)
                 size = np.minimum(_prefix_length(n), n)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(key[order][keep].view(np.int64)))
-                cols = [column(batch, id_col).slice(t.first, t.n), pa.array(n, pa.int64()), *(pa.array(m.view(np.int64)) for m in marks), pa.array(counts, pa.binary()), lists]
-                yield pa.RecordBatch.from_arrays(cols, names=["id", "n", "s1", "s2", "counts", "prefix"])
+                cols = [column(batch, id_col).slice(t.first, t.n), pa.array(n, pa.int64()), *(pa.array(m.view(np.int64)) for m in marks), pa.array(counts, pa.binary()), pa.array(fine, pa.binary()), pa.array(np.bincount(doc, ~late, minlength=t.n).astype(np.int32)), lists]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "n", "s1", "s2", "counts", "fine", "rare", "prefix"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, "id long, n long, s1 long, s2 long, counts binary, prefix array<long>")
+    return docs.select(id_col, text_col).mapInArrow(run, "id long, n long, s1 long, s2 long, counts binary, fine binary, rare int, prefix array<long>")
+
+
+def _needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least intersection that links sets of these sizes."""
+    return -(-PERCENT * (a + b) // (100 + PERCENT))
+
+
+def _may_link(n: np.ndarray, at: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes can link if their first common shingle comes `at` their ranks."""
+    return 1 + np.minimum(n[a] - at[a], n[b] - at[b]) - 1 >= _needed(n[a], n[b])
+
+
+def _inside(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs inside runs of equal keys; for short runs."""
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff(np.append(start, len(key)))
+    rank = np.arange(len(key)) - np.repeat(start, size)
+    b = np.repeat(np.arange(len(key)), rank)
+    a = np.arange(len(b)) - np.repeat(np.cumsum(rank) - rank, rank) + np.repeat(np.repeat(start, size), rank)
+    return a, b
 
 
 def _lists(postings: DataFrame) -> DataFrame:
-    """Postings of shingles that two and more documents have in their prefixes, with each list's
-    least document; sorted by shingle. Works on runs of equal shingles, never on a list as a whole."""
+    """Postings (key, id, n, at) of shingles that two and more documents have in their prefixes, with
+    each list's least document. Of a list of up to NODE entries only those stay that can link with
+    another one by sizes and ranks. Longer lists stream through; they are never held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.RecordBatch | None = None  # the last row so far, whose list may go on
-        leader = None
-        going = False  # the held row's list has had rows before
-        for batch in itertools.chain(batches, [None]):
-            if batch is not None and not batch.num_rows:
-                continue
-            rows = pa.Table.from_batches([b for b in (held, batch.select(["key", "id"]) if batch is not None else None) if b is not None])
-            if not rows.num_rows:
-                return
-            key, ids = rows["key"].to_numpy(), rows["id"].to_numpy()
+        def answer(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            """Whole lists, but for what comes of one that is already streaming."""
+            key, ids, n, at = (rows[c].to_numpy() for c in ("key", "id", "n", "at"))
             new = np.concatenate([[True], key[1:] != key[:-1]])
-            first = ids[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
-            if going:
-                first = np.where(np.cumsum(new) == 1, leader, first)
-            lone = new & np.concatenate([new[1:], [batch is None]])
-            if going:
-                lone[0] = False
-            end = len(key) if batch is None else len(key) - 1
-            keep = ~lone[:end]
-            out = rows.slice(0, end).filter(pa.array(keep)).append_column("leader", pa.array(first[:end][keep]))
-            yield from out.to_batches()
-            if batch is not None:
-                going = bool(not new[-1] or (len(key) == 1 and going))
-                leader = int(first[-1])
-                held = rows.slice(len(key) - 1).combine_chunks().to_batches()[0]
-
-    sorted_ = postings.repartition("key").sortWithinPartitions("key", "id")
-    return sorted_.mapInArrow(run, "key long, id long, leader long")
+            start = np.flatnonzero(new)
+            size = np.diff(np.append(start, len(key)))
+            keep = np.repeat(size > NODE, size)
+            leader = ids[np.repeat(start, size)]
+            some = np.flatnonzero(np.repeat((size > 1) & (size <= NODE), size))
+            a, b = _inside(key[some])
+            a, b = some[a], some[b]
+            fits = _may_link(n, at, a, b)
+            keep[a[fits]] = keep[b[fits]] = True
+            if going is not None:
+                keep[key == going[0]] = True
+                leader = np.where(key == going[0], going[1], leader)
+            yield from rows.filter(pa.array(keep)).append_column("leader", pa.array(leader[keep])).combine_chunks().to_batches()
 
+        held: pa.Table | None = None
+        going: tuple[int, int] | None = None  # a list that has begun to stream, and its leader
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([held, rows]) if held is not None else rows
+            if not rows.num_rows:
+                continue
+            key = rows["key"].to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))
+            if len(key) - cut > NODE or (going is not None and going[0] == key[-1]):
+                yield from answer(rows)
+                if going is None or going[0] != key[-1]:
+                    going = int(key[-1]), int(rows["id"][cut].as_py())
+                held = None
+                continue
+            if cut:
+                yield from answer(rows.slice(0, cut))
+            held = rows.slice(cut)
+        if held is not None and held.num_rows:
+            yield from answer(held)
 
-def _needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least intersection that links sets of these sizes."""
-    return -(-PERCENT * (a + b) // (100 + PERCENT))
+    sorted_ = postings.repartition("key").sortWithinPartitions("key", "id")
+    return sorted_.mapInArrow(run, "key long, id long, n long, at int, leader long")
 
 
 class Tree:
-    """An R-tree over count vectors, packed by sorting: only what the join below needs, upper
-    corners and least sizes of boxes of NODE points, NODE * NODE points, and so on."""
-
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        self.order = np.lexsort((*points.T[: 3], sizes))
-        self.points, self.sizes = points[self.order], sizes[self.order]
-        self.levels = [(self.points, self.sizes, self.sizes)]
+    """An R-tree over count vectors, packed by sorting: only what the join below needs, upper corners,
+    least and largest sizes and classes of boxes of NODE points, NODE * NODE points, and so on."""
+
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, classes: np.ndarray | None = None):
+        classes = np.arange(len(sizes)) if classes is None else classes
+        self.order = np.lexsort((*points.T[:3], sizes, classes))
+        points, sizes, classes = points[self.order], sizes[self.order], classes[self.order]
+        self.levels = [(points, sizes, sizes, classes, classes)]
         while len(self.levels[-1][0]) > NODE:
-            corner, least, most = self.levels[-1]
+            corner, least, most, low, high = self.levels[-1]
             at = np.arange(0, len(corner), NODE)
-            self.levels.append((np.maximum.reduceat(corner, at), np.minimum.reduceat(least, at), np.maximum.reduceat(most, at)))
+            self.levels.append((np.maximum.reduceat(corner, at), np.minimum.reduceat(least, at), np.maximum.reduceat(most, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)))
 
-    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Pairs of points, and their bound's share of what they need, where the bound reaches it, in bounded
-        portions: from the root down, two boxes are opened only if their own bound does."""
+    def pairs(self, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs of points of different classes that are wanted, and their bound's share of what they
+        need, where the bound reaches it, in bounded portions: from the root down, two boxes are
+        opened only if their own bound does."""
         top = len(self.levels) - 1
         n = len(self.levels[top][0])
         a, b = np.triu_indices(n)
-        yield from self._open(top, a, b)
+        yield from self._open(top, a, b, wanted)
 
-    def _open(self, level: int, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        corner, least, most = self.levels[level]
+    def _open(self, level: int, a: np.ndarray, b: np.ndarray, wanted) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        corner, least, most, low, high = self.levels[level]
         for lo in range(0, len(a), 4096):
             x, y = a[lo : lo + 4096], b[lo : lo + 4096]
             near = (100 * most[x] >= PERCENT * least[y]) & (100 * most[y] >= PERCENT * least[x])
+            near &= np.minimum(low[x], low[y]) != np.maximum(high[x], high[y])
             x, y = x[near], y[near]
+            if not level and wanted is not None:
+                ok = wanted(self.order[x], self.order[y])
+                x, y = x[ok], y[ok]
             bound = np.minimum(corner[x], corner[y]).sum(axis=1, dtype=np.int64)
             need = _needed(least[x], least[y])
             fits = bound >= need
@@ -220,127 +294,138 @@ class Tree:
                 i = (x[k : k + 16, None, None] * NODE + step[:, None] + 0 * step).ravel()
                 j = (y[k : k + 16, None, None] * NODE + step + 0 * step[:, None]).ravel()
                 ok = (i < below) & (j < below) & ((i <= j) | np.repeat(x[k : k + 16] != y[k : k + 16], NODE * NODE))
-                yield from self._open(level - 1, i[ok], j[ok])
-
+                yield from self._open(level - 1, i[ok], j[ok], wanted)
 
-def _tree_pairs(lists: DataFrame, best_only: bool) -> DataFrame:
-    """(a, b), a < b, of different components whose bound reaches the similarity, from lists
-    (key, id, n, component, counts). best_only: for each document of a list the pair with the best
-    bound, so that there are no more pairs than entries of lists. Short lists of a batch are handled together: a tree of up to
-    NODE points is its one node. A list that goes on is joined with what is held of it."""
 
-    def small(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All pairs inside runs of equal keys."""
-        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.append(start, len(key)))
-        rank = np.arange(len(key)) - np.repeat(start, size)
-        b = np.repeat(np.arange(len(key)), rank)
-        a = np.arange(len(b)) - np.repeat(np.cumsum(rank) - rank, rank) + np.repeat(np.repeat(start, size), rank)
-        return a, b
+def _tree_pairs(entries: DataFrame, best_only: bool) -> DataFrame:
+    """(a, b), a < b, of different components whose bound reaches the similarity, from entries (key,
+    cell, block, id, n, at, component, counts, heads); a cell of two blocks gives the pairs between
+    them. best_only: for each document of a cell the pair with the best bound alone. Cells of up to
+    NODE entries are handled together: a tree of so few points is its one node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        held_pairs = 0
+
+        def send() -> pa.RecordBatch:
+            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+            return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], names=["a", "b"])
+
         def answer(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            key, ids, n, comp = (rows[c].to_numpy() for c in ("key", "id", "n", "component"))
-            points = _unpacked(rows["counts"].to_pylist())
-            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            """Whole cells."""
+            nonlocal found, held_pairs
+            key, cell, block, ids, n, at, comp = (rows[c].to_numpy() for c in ("key", "cell", "block", "id", "n", "at", "component"))
+            points = _unpacked(rows["counts"].to_pylist(), GROUPS)
+            heads = np.zeros((len(ids), HEADS), np.int64)
+            several = rows["heads"].combine_chunks()
+            of, place = np.repeat(np.arange(len(ids)), (m := several.value_lengths().to_numpy())), np.arange(m.sum())
+            heads[of, place - np.repeat(np.cumsum(m) - m, m)] = several.flatten().to_numpy()
+            start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])]))
             size = np.diff(np.append(start, len(key)))
-            found: list[np.ndarray] = []
+            between = np.repeat(np.maximum.reduceat(block, start) != np.minimum.reduceat(block, start), size)
             best, partner = np.zeros(len(ids)), np.full(len(ids), -1)
 
-            def keep(a: np.ndarray, b: np.ndarray, share: np.ndarray) -> None:
-                differ = comp[a] != comp[b]
-                a, b, share = a[differ], b[differ], share[differ]
+            def wanted(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+                return (comp[a] != comp[b]) & ~(between[a] & (block[a] == block[b])) & _may_link(n, at, a, b)
+
+            def keep(a: np.ndarray, b: np.ndarray, share: np.ndarray) -> Iterator[pa.RecordBatch]:
                 if best_only:
                     order = np.argsort(share, kind="stable")  # of entries met twice the best comes last
                     for x, y in ((a[order], b[order]), (b[order], a[order])):
                         better = share[order] > best[x]
                         best[x[better]], partner[x[better]] = share[order][better], y[better]
                 else:
-                    add(a, b)
+                    yield from add(a, b)
 
-            def add(a: np.ndarray, b: np.ndarray) -> None:
+            def add(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+                nonlocal found, held_pairs
+                if not best_only:
+                    a, b = a[first := ~_met(heads, at, a, b)], b[first]
                 a, b = ids[a], ids[b]
-                found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+                found.append((np.minimum(a, b), np.maximum(a, b)))
+                held_pairs += len(a)
+                if held_pairs > 1 << 18:
+                    yield send()
+                    found, held_pairs = [], 0
 
             for s, k in zip(start[size > NODE].tolist(), size[size > NODE].tolist(), strict=True):
-                if (comp[s : s + k] == comp[s]).all():
-                    continue
-                for a, b, share in Tree(points[s : s + k], n[s : s + k]).pairs():
-                    keep(a + s, b + s, share)
+                own = slice(s, s + k)
+                for a, b, share in Tree(points[own], n[own], comp[own]).pairs(lambda a, b, s=s: wanted(a + s, b + s)):
+                    yield from keep(a + s, b + s, share)
             short = np.flatnonzero(np.repeat(size <= NODE, size))
-            a, b = small(key[short])
-            for lo in range(0, len(a), 1 << 16):
-                x, y = short[a[lo : lo + (1 << 16)]], short[b[lo : lo + (1 << 16)]]
-                apart = comp[x] != comp[y]
-                x, y = x[apart], y[apart]
+            a, b = _inside(np.repeat(np.arange(len(size)), size)[short])
+            a, b = short[a], short[b]
+            ok = wanted(a, b)
+            a, b = a[ok], b[ok]
+            for lo in range(0, len(a), 4096):
+                x, y = a[lo : lo + 4096], b[lo : lo + 4096]
                 bound, need = np.minimum(points[x], points[y]).sum(axis=1, dtype=np.int64), _needed(n[x], n[y])
                 fits = bound >= need
-                keep(x[fits], y[fits], bound[fits] / need[fits])
+                yield from keep(x[fits], y[fits], bound[fits] / need[fits])
             if len(some := np.flatnonzero(partner >= 0)):
-                add(some, partner[some])
-            if found and len(all_ := np.unique(np.concatenate(found), axis=0)):
-                yield pa.RecordBatch.from_arrays([pa.array(all_[:, 0]), pa.array(all_[:, 1])], names=["a", "b"])
+                yield from add(some, partner[some])
 
         held: pa.Table | None = None
         for batch in batches:
             rows = pa.Table.from_batches([batch])
-            if held is not None:
-                rows = pa.concat_tables([held, rows])
-            key = rows["key"].to_numpy()
-            cut = int(np.searchsorted(key == key[-1], True)) if len(key) else 0
+            rows = pa.concat_tables([held, rows]) if held is not None else rows
+            if not rows.num_rows:
+                continue
+            key, cell = rows["key"].to_numpy(), rows["cell"].to_numpy()
+            cut = int(((key == key[-1]) & (cell == cell[-1])).argmax())
             if cut:
                 yield from answer(rows.slice(0, cut))
             held = rows.slice(cut)
         if held is not None and held.num_rows:
             yield from answer(held)
+        if held_pairs:
+            yield send()
 
-    ordered = lists.repartition("key").sortWithinPartitions("key")
+    ordered = entries.repartition("key", "cell").sortWithinPartitions("key", "cell")
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
-def _bounded(pairs: DataFrame, points: DataFrame, groups: int = GROUPS) -> DataFrame:
-    """Pairs whose count vectors let them reach the similarity."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (_unpacked(column(batch, c).to_pylist(), groups) for c in ("x", "y"))
-            fits = np.minimum(x, y).sum(axis=1, dtype=np.int64) >= _needed(column(batch, "m").to_numpy(), column(batch, "n").to_numpy())
-            yield pa.RecordBatch.from_arrays([column(batch, c).filter(pa.array(fits)) for c in "ab"], names=["a", "b"])
-
-    x = points.select(F.col("id").alias("a"), F.col("counts").alias("x"), F.col("n").alias("m"))
-    y = points.select(F.col("id").alias("b"), F.col("counts").alias("y"), "n")
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", "m", "n").mapInArrow(run, "a long, b long")
+def _met(heads: np.ndarray, at: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether both have the same one of their first HEADS shingles before the one they meet by now."""
+    out = np.zeros(len(a), bool)
+    place = np.arange(HEADS)
+    for lo in range(0, len(a), 4096):
+        x, y = a[lo : lo + 4096], b[lo : lo + 4096]
+        before = (place < at[x][:, None])[:, :, None] & (place < at[y][:, None])[:, None, :]
+        out[lo : lo + 4096] = ((heads[x][:, :, None] == heads[y][:, None, :]) & before).any(axis=(1, 2))
+    return out
 
 
-def _finer(pairs: DataFrame, docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Pairs that FINE groups still let through: long texts fill the groups of a tree so evenly that
-    its bound says little, and whole sets of long texts are too much to send around for nothing."""
+def _bounded(pairs: DataFrame, points: DataFrame, vectors: str) -> DataFrame:
+    """Pairs whose vectors of that name let them reach the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for t in passes(text_column(batch, text_col)):
-                key, doc = shingle_sets(t)
-                for lo in range(0, t.n, 1024):
-                    hi = min(lo + 1024, t.n)
-                    own = slice(*np.searchsorted(doc, [lo, hi]))
-                    points = _vectors(key[own], doc[own] - lo, hi - lo, FINE)
-                    yield pa.RecordBatch.from_arrays([column(batch, id_col).slice(t.first + lo, hi - lo), pa.array(points.sum(axis=1)), pa.array(_packed(points), pa.binary())], names=["id", "n", "counts"])
-
-    fine = stored(among(docs.select(id_col, text_col), id_col, wanted).mapInArrow(run, "id long, n long, counts binary"), "fine")
-    out = stored(_bounded(pairs, fine, FINE), "fine-pairs")
-    discard(fine)
-    return out
-
-
-def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose sets are linked: only documents in pairs are read again, and each
-    pair's second set travels to the tasks of its first."""
-    ends = lambda p: stored(p.select(F.col("a").alias("i")).unionByName(p.select(F.col("b").alias("i"))).distinct(), "wanted")
-    coarse = stored(pairs, "pairs")
-    pairs = _finer(coarse, docs, ends(coarse), id_col, text_col)
-    wanted = ends(pairs)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, _AT_ONCE):
+                batch = whole.slice(lo, _AT_ONCE)
+                m, n = column(batch, "m").to_numpy(), column(batch, "n").to_numpy()
+                fits = np.zeros(len(n), bool)
+                gx, gy = (groups_of(k) if vectors == "fine" else np.full(len(k), GROUPS) for k in (m, n))
+                for g in np.unique(np.stack([gx, gy], axis=1), axis=0).tolist():
+                    some = np.flatnonzero((gx == g[0]) & (gy == g[1]))
+                    x, y = (_fold(_unpacked(column(batch, c).take(pa.array(some)).to_pylist(), h), min(g)) for c, h in zip("xy", g, strict=True))
+                    fits[some] = np.minimum(x, y).sum(axis=1, dtype=np.int64) >= _needed(m[some], n[some])
+                yield pa.RecordBatch.from_arrays([column(batch, c).filter(pa.array(fits)) for c in "ab"], names=["a", "b"])
+
+    x = points.select(F.col("id").alias("a"), F.col(vectors).alias("x"), F.col("n").alias("m"))
+    y = points.select(F.col("id").alias("b"), F.col(vectors).alias("y"), "n")
+    near = (100 * F.col("m") >= PERCENT * F.col("n")) & (100 * F.col("n") >= PERCENT * F.col("m"))
+    return pairs.join(x, "a").join(y, "b").where(near).select("a", "b", "x", "y", "m", "n").mapInArrow(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) whose sets are linked: only documents in pairs that their fine vectors (points:
+    id, n, fine) let through are read again, and each pair's second set travels to its first."""
+    pairs = stored(_bounded(pairs, points, "fine"), "pairs")
+    wanted = stored(pairs.select(F.col("a").alias("i")).unionByName(pairs.select(F.col("b").alias("i"))).distinct(), "wanted")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -362,52 +447,71 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> D
 
     x, y = found.select(F.col("id").alias("a"), F.col("keys").alias("x")), found.select(F.col("id").alias("b"), F.col("keys").alias("y"))
     out = stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "verified")
-    discard(found, coarse, pairs, wanted)
+    discard(found, pairs, wanted)
     return out
 
 
+def _places(lists: DataFrame, points: DataFrame, found: DataFrame, least: int) -> DataFrame:
+    """(key, cell, block, id, n, at, component, counts, heads): entries of lists of at least `least`
+    entries and of more than one component (found: node, component). An entry of a list of several
+    blocks comes once for each block that its own is paired with."""
+    own = lists.select("key", "id", "n", "at").join(found.withColumnRenamed("node", "id"), "id", "left")
+    own = stored(own.withColumn("component", F.coalesce("component", "id")), "places")
+    sums = own.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size"))
+    mixed = stored(sums.where((F.col("x") != F.col("y")) & (F.col("size") >= least)).select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "mixed")
+    dealt = own.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    cells = dealt.select("*", other.alias("other")).withColumn("cell", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other"))
+    return cells.join(points.select("id", "counts", "heads"), "id").select("key", F.col("cell").cast("int"), "block", "id", "n", "at", "component", "counts", "heads")
+
+
+def _entries(alone: DataFrame) -> DataFrame:
+    """(key, id, n, at, leader): lists of two and more documents. Lists of shingles known to be
+    frequent are never sorted into one task: their leaders are counted, partly before the shuffle."""
+    postings = alone.select("id", "n", "rare", F.posexplode("prefix").alias("at", "key"))
+    short = _lists(postings.where("at < rare").select("key", "id", "n", "at"))
+    long_ = postings.where("at >= rare").select("key", "id", "n", "at")
+    leaders = stored(long_.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader <> last").drop("last"), "leaders")
+    return short.unionByName(long_.join(leaders, "key"))
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) of every document: its set's size and the least id reachable
-    by links, its own if there is none.
+    """(id, n_shingles, component_id) of every row: its set's size and the least id reachable by
+    links, its own if there is none.
 
     Null texts and texts without words have the empty set and link with nothing. Equal sets are one
-    class from the start. Ids must be distinct and not null. Every link between different sets is
-    found: lists have no cap, and their frequent shingles only change the order of prefixes.
+    class from the start. Rows that share an id each keep their own size and are of one class, with
+    all that either links to; rows without an id link with nothing and have no class. Every link
+    between different sets of different classes is looked for: lists have no cap, and their frequent
+    shingles only change the order of prefixes. Links inside a class aren't counted.
     """
     wide = stored(prefixes(docs, frequent_shingles(docs, text_col), id_col, text_col), "prefixes")
-    table = stored(wide.select("id", "n", "s1", "s2"), "sizes")
-    some = table.where("n > 0")
-    of_set = some.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
-    members = stored(some.select("id", "n", "s1", "s2").join(of_set, ["n", "s1", "s2"]).select("id", "n", "rep"), "members")
-    reps = stored(members.where("id = rep").select("id"), "representatives")
-    alone = among(wide.select("id", "prefix"), "id", reps)
-    lists = stored(_lists(alone.select("id", F.explode("prefix").alias("key"))), "lists")
-    points = stored(among(wide.select("id", "n", "counts"), "id", stored(lists.select("id").distinct(), "in-lists")), "points")
-
-    discard(wide)
+    some = wide.where("n > 0 and id is not null").select("id", "n", "s1", "s2")
+    twins = stored(some.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("rows")).where("rows > 1").drop("rows"), "equal-sets")
+    members = stored(some.join(twins, ["n", "s1", "s2"]).select("id", "s1", "s2", "rep"), "members")
+    shared = some.groupBy("id").agg(F.min(F.struct("s1", "s2")).alias("x"), F.max(F.struct("s1", "s2")).alias("y")).where("x <> y").select("id")
+    same_id = members.where("id <> rep").join(shared, "id").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    alone = without(wide.where("n > 0 and id is not null").select("id", "n", "s1", "s2", "rare", "prefix"), stored(members.where("id <> rep").select("id", "s1", "s2").distinct(), "copies"))
+    lists = stored(_entries(alone), "lists")
+    points = stored(among(wide.select("id", "n", "counts", "fine", F.slice("prefix", 1, HEADS).alias("heads")), "id", stored(lists.select("id").distinct(), "in-lists")), "points")
 
     # First round: each document with the list leader that it shares most prefix shingles with.
     stars = lists.where("id <> leader").groupBy("id", "leader").count()
     best = stars.groupBy("id").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("leader"))
     pairs = best.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-    links = verified(_bounded(pairs, points), docs, id_col, text_col)
-    first = stored(components(links), "first-round")
-
-    # Further rounds: trees over lists that hold several components, of each document's best pair at
-    # first, so that groups of near copies come together before the last round asks for all pairs.
-    for turn in range(BEST_ROUNDS + 1):
-        named = points.join(first.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "counts", F.coalesce("component", "id").alias("component"))
-        named = stored(named, "named")
-        where = stored(lists.select("key", "id").join(named.select("id", "component"), "id"), "places")
-        mixed = where.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-        open_ = where.select("key", "id").join(mixed, "key", "left_semi").join(named, "id")
-        more = verified(_tree_pairs(open_, turn < BEST_ROUNDS), docs, id_col, text_col)
+    star = stored(_bounded(pairs, points, "counts"), "star")
+    links = verified(star, points, docs, id_col, text_col)
+    links = stored(links.unionByName(same_id), "links")
+    found = stored(components(links), "first-round")
+
+    # Second round: in long lists each document's best partner of another component. Third: the rest.
+    for least, best_only in ((NODE + 1, True), (2, False)):
+        more = verified(stored(_tree_pairs(_places(lists, points, found, least), best_only), "candidates"), points, docs, id_col, text_col)
         links = stored(links.unionByName(more), "all-links")
-        discard(named, where, more)
-        first = stored(components(links), "round")
+        found = stored(components(links), "round")
     discard(lists, points)
-    final = first.select(F.col("node").alias("rep"), "component")
 
-    found = members.join(final, "rep", "left").select("id", F.coalesce("component", "rep").alias("c"))
-    out = table.select("id", "n").join(found, "id", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("c", "id").alias("component_id"))
+    ids = members.groupBy("id").agg(F.min("rep").alias("rep"))
+    of_copies = ids.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("id", F.coalesce("component", "rep").alias("c"))
+    own = wide.select("id", "n").join(of_copies, "id", "left").join(found.select(F.col("node").alias("id"), "component"), "id", "left")
+    return own.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "c", "id").alias("component_id"))

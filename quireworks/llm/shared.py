@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -18,6 +20,8 @@ def shared_root(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a local temporary one only where that is unset (tests, local mode)."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("a cluster must name a shared folder in spark.checkpoint.dir")
         root = "file://" + os.path.join(tempfile.gettempdir(), "quireworks-shared")
     return root.rstrip("/")
 
@@ -27,14 +31,22 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/quireworks/{name}-{uuid.uuid4().hex}"
 
 
+#: Garbage is collected between stored tables, but not more often than this.
+GARBAGE_SECONDS = 4
+_collected = 0.0
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it again, which cuts its lineage:
     a lost executor costs a reread, never the work before."""
     spark = df.sparkSession
     # Spark drops the shuffle files of what nothing refers to any more when it collects garbage;
     # without this they would stay until a driver with little to do gets round to it.
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    global _collected
+    if time.monotonic() - _collected > GARBAGE_SECONDS:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _collected = time.monotonic()
     path = new_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -50,8 +62,8 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Ids sent to every task at most (8 bytes each); more are joined by a shuffle.
-IDS_SENT = 1 << 21
+#: Rows of longs sent to every task at most (8 to 24 bytes each); more are joined by a shuffle.
+IDS_SENT = 1 << 20
 
 
 def among(df: DataFrame, col: str, ids: DataFrame) -> DataFrame:
@@ -62,6 +74,12 @@ def among(df: DataFrame, col: str, ids: DataFrame) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, col, "left_semi")
 
 
+def without(df: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of df that have no equal in rows (stored, a few longs each), which are sent likewise."""
+    few = rows.limit(IDS_SENT + 1).count() <= IDS_SENT
+    return df.join(F.broadcast(rows) if few else rows, rows.columns, "left_anti")
+
+
 def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
     """File system and path of a folder's address, for use inside tasks."""
     if "://" in uri or uri.startswith("file:"):

@@ -30,24 +30,20 @@ def _odd(seed: int, n: int) -> np.ndarray:
     return splitmix(np.arange(n, dtype=U64) + U64(seed << 32)) | U64(1)
 
 
-_BYTE = _odd(1, 256)
-_LOWER = _BYTE[np.arange(256) + 32 * ((np.arange(256) >= 65) & (np.arange(256) <= 90))]
-_STEP = U64(0xD6E8FEB86659FD93)
-_BACK = U64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
+def _values(place: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """A number without structure for each byte at each place of a span."""
+    with np.errstate(over="ignore"):
+        return splitmix(splitmix(place) + byte.astype(U64))
+
+
+_NEAR = 64
+_BYTE = np.arange(256)
+_LOWER = _BYTE + 32 * ((_BYTE >= 65) & (_BYTE <= 90))
 _PLACE = _odd(2, 64)
+#: The values of the first _NEAR places, as they are and with A-Z as a-z.
+_TABLES = [_values(np.repeat(np.arange(_NEAR, dtype=U64), 256), np.tile(t, _NEAR)) for t in (_BYTE, _LOWER)]
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, *range(9, 14)]] = True
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
-    have = _powers.get(name)
-    if have is None or len(have) < n:
-        with np.errstate(over="ignore"):
-            have = np.cumprod(np.concatenate([[U64(1)], np.full(max(n, PASS_BYTES + 1), base)]), dtype=U64)
-        if n <= 4 * PASS_BYTES:
-            _powers[name] = have
-    return have
 
 
 @dataclass
@@ -70,13 +66,22 @@ class Texts:
         return self.raw[self.at[i] : self.at[i + 1]].tobytes().decode()
 
     def span_hashes(self, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
-        """64-bit hashes of byte ranges of raw."""
-        table = _LOWER if lower else _BYTE
-        n = len(self.raw)
+        """64-bit hashes of byte ranges of raw: sums of one unrelated number for each place and byte."""
+        size = end - start
+        stop = np.cumsum(size)
+        place = np.arange(stop[-1] if len(stop) else 0) - np.repeat(stop - size, size)
+        byte = self.raw[place + np.repeat(start, size)]
+        far = np.flatnonzero(place >= _NEAR)
+        far_at = place[far]
+        place[far] = 0
+        place <<= 8
+        value = _TABLES[lower][np.add(place, byte, out=place)]
+        if len(far):
+            value[far] = _values(far_at.astype(U64), (_LOWER if lower else _BYTE)[byte[far]])
+        sums = np.zeros(len(value) + 1, U64)
         with np.errstate(over="ignore"):
-            sums = np.zeros(n + 1, U64)
-            np.cumsum(table[self.raw] * _power("step", _STEP, n + 1)[:n], out=sums[1:])
-            return splitmix((sums[end] - sums[start]) * _power("back", _BACK, n + 1)[start] + (end - start).astype(U64))
+            np.cumsum(value, out=sums[1:])
+            return splitmix(sums[stop] - sums[stop - size] + size.astype(U64))
 
     def hashes(self, lower: bool) -> np.ndarray:
         return self.span_hashes(self.start, self.end, lower)
