@@ -2,8 +2,9 @@
 
 Both byte-level and word-end patterns start a new word at every change from a visible character to
 white space. So a text's ids are those of its runs (white space and what follows it), one after the
-other. Each worker gives a run to the library once and keeps its ids in flat arrays under the run's
-64-bit hash and length; all runs of a pass are looked up, and their ids gathered, at once.
+other. Each worker gives a run to the library once and keeps its bytes and its ids in flat arrays,
+found by the run's hash; all runs of a pass are looked up, compared byte by byte, and their ids
+gathered, at once. A run whose hash another one has taken goes to the library each time.
 """
 
 from __future__ import annotations
@@ -17,8 +18,11 @@ import numpy as np
 
 from .words import Texts
 
-#: Runs that a worker keeps at most (about 30 bytes each); then it starts afresh.
+#: Runs that a worker keeps at most, and their bytes; then it starts afresh. Longer runs than LONG
+#: bytes aren't kept.
 RUNS = 1 << 21
+RUN_BYTES = 1 << 26
+LONG = 1 << 12
 #: Runs given to the library as one text.
 _AT_ONCE = 2000
 _WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -34,24 +38,44 @@ class RunTable:
     def clear(self, bits: int = 16) -> None:
         self.mask = np.uint64((1 << bits) - 1)
         self.key = np.zeros(1 << bits, np.uint64)
-        self.at, self.count = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int32)
-        self.ids, self.used, self.n = np.zeros(1 << bits, self.width), 0, 0
+        self.entry = np.zeros(1 << bits, np.int64)  # of the run in a slot
+        self.n = 0
+        # By entry: where its ids begin and where its bytes begin, with the end of the last.
+        self.at, self.text_at = np.zeros((1 << bits) + 1, np.int64), np.zeros((1 << bits) + 1, np.int64)
+        self.ids, self.text = np.zeros(1 << bits, self.width), np.zeros(1 << bits, np.uint8)
+
+    @property
+    def full(self) -> bool:
+        return self.n > RUNS or int(self.text_at[self.n]) > RUN_BYTES
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """Slots of keys, -1 where they are missing."""
+        """Entries of keys, -1 where they are missing."""
         slot = (keys & self.mask).astype(np.int64)
         got = self.key[slot]
-        out = np.where(got == keys, slot, -1)
+        out = np.where(got == keys, self.entry[slot], -1)
         open_ = np.flatnonzero((got != keys) & (got != 0))
         while len(open_):
             slot[open_] = (slot[open_] + 1) & int(self.mask)
             got = self.key[slot[open_]]
             hit = got == keys[open_]
-            out[open_[hit]] = slot[open_[hit]]
+            out[open_[hit]] = self.entry[slot[open_[hit]]]
             open_ = open_[~hit & (got != 0)]
         return out
 
-    def _place(self, keys: np.ndarray, at: np.ndarray, count: np.ndarray) -> None:
+    def differ(self, entries: np.ndarray, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Which of the byte ranges of raw aren't the text of their entry."""
+        size = end - start
+        out = self.text_at[entries + 1] - self.text_at[entries] != size
+        same = np.flatnonzero(~out)
+        size = size[same]
+        stop = np.cumsum(size)
+        place = np.arange(stop[-1] if len(stop) else 0)
+        wrong = raw[place + np.repeat(start[same] - stop + size, size)] != self.text[place + np.repeat(self.text_at[entries[same]] - stop + size, size)]
+        if wrong.any():
+            out[same[np.unique(np.searchsorted(stop, np.flatnonzero(wrong), "right"))]] = True
+        return out
+
+    def _place(self, keys: np.ndarray, entries: np.ndarray) -> None:
         slot = (keys & self.mask).astype(np.int64)
         left = np.arange(len(keys))
         while len(left):
@@ -59,29 +83,36 @@ class RunTable:
             free = left[self.key[s] == 0]
             self.key[slot[free]] = keys[free]
             won = self.key[slot[left]] == keys[left]
-            self.at[slot[left[won]]], self.count[slot[left[won]]] = at[left[won]], count[left[won]]
+            self.entry[slot[left[won]]] = entries[left[won]]
             left = left[~won]
             slot[left] = (slot[left] + 1) & int(self.mask)
 
-    def add(self, keys: np.ndarray, ids: list[bytes]) -> None:
-        """New, distinct keys that aren't 0."""
-        if self.n + len(keys) > len(self.key) // 2:
+    def add(self, keys: np.ndarray, texts: list[bytes], ids: list[bytes]) -> None:
+        """New, distinct keys that aren't 0, their runs and what these are encoded as."""
+        n = self.n + len(keys)
+        if n > len(self.key) // 2:
             old = np.flatnonzero(self.key)
-            kept = self.key[old], self.at[old], self.count[old]
+            kept = self.key[old], self.entry[old]
             size = len(self.key)
-            while self.n + len(keys) > size // 2:
+            while n > size // 2:
                 size *= 2
-            self.mask, self.key = np.uint64(size - 1), np.zeros(size, np.uint64)
-            self.at, self.count = np.zeros(size, np.int64), np.zeros(size, np.int32)
+            self.mask, self.key, self.entry = np.uint64(size - 1), np.zeros(size, np.uint64), np.zeros(size, np.int64)
             self._place(*kept)
-        flat = np.frombuffer(b"".join(ids), self.width)
-        count = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width.itemsize
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used : self.used + len(flat)] = flat
-        self._place(keys, self.used + np.cumsum(count) - count, count)
-        self.used += len(flat)
-        self.n += len(keys)
+        self.at = _grown(self.at, n + 1)
+        self.text_at = _grown(self.text_at, n + 1)
+        for starts, parts, width, name in ((self.at, ids, self.width.itemsize, "ids"), (self.text_at, texts, 1, "text")):
+            starts[self.n + 1 : n + 1] = starts[self.n] + np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) // width)
+            store = _grown(getattr(self, name), int(starts[n]))
+            store[starts[self.n] : starts[n]] = np.frombuffer(b"".join(parts), store.dtype)
+            setattr(self, name, store)
+        self._place(keys, np.arange(self.n, n))
+        self.n = n
+
+
+def _grown(a: np.ndarray, n: int) -> np.ndarray:
+    while len(a) < n:
+        a = np.concatenate([a, np.zeros_like(a)])
+    return a
 
 
 class RunEncoder:
@@ -147,6 +178,43 @@ class RunEncoder:
                 out[i] = x
         return out
 
+    def _looked_up(self, t: Texts, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of runs one after the other, and how many each has."""
+        text = _SMALL[t.raw] if self.drops_space else t.raw
+        keys = t.span_hashes(start, end, self.drops_space) | np.uint64(1)
+        table = self.table
+        if table.full:
+            table.clear()
+        entry = table.find(keys)
+        own = end - start > LONG
+        if len(missing := np.flatnonzero((entry < 0) & ~own)):
+            new, at = np.unique(keys[missing], return_index=True)
+            at = missing[at]
+            raw, small = t.raw.tobytes(), text.tobytes()
+            cuts = list(zip(start[at].tolist(), end[at].tolist(), strict=True))
+            table.add(new, [small[a:b] for a, b in cuts], self._runs([raw[a:b].decode() for a, b in cuts]))
+            entry[missing] = table.find(keys[missing])
+        entry[own] = 0
+        kept = np.flatnonzero(~own)
+        own[kept] = table.differ(entry[kept], text, start[kept], end[kept])
+        count = table.at[entry + 1] - table.at[entry]
+        alone: dict[int, bytes] = {}
+        if len(others := np.flatnonzero(own)):
+            raw = t.raw.tobytes()
+            alone = dict(zip(others.tolist(), self._encode([raw[start[i] : end[i]].decode() for i in others]), strict=True))
+            count[others] = [len(x) // self.width.itemsize for x in alone.values()]
+        stop = np.cumsum(count)
+        source = np.where(own, 0, table.at[entry]) - stop + count
+        place = np.arange(int(stop[-1]) if len(stop) else 0)
+        if alone:
+            ids = np.empty(len(place), self.width)
+            rest = ~np.repeat(own, count)
+            ids[rest] = table.ids[(np.repeat(source, count) + place)[rest]]
+            for i, x in alone.items():
+                ids[stop[i] - count[i] : stop[i]] = np.frombuffer(x, self.width)
+            return ids, count
+        return table.ids[np.repeat(source, count) + place], count
+
     def encode(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a pass's texts one after the other, and how many each text has."""
         texts = None
@@ -172,21 +240,7 @@ class RunEncoder:
             if len(tail):
                 order = np.argsort(np.concatenate([end, t.at[1:][tail]]), kind="stable")
                 start, end, doc = (np.concatenate(x)[order] for x in ((start, last[tail]), (end, t.at[1:][tail]), (doc, tail)))
-        keys = t.span_hashes(start, end, self.drops_space) | np.uint64(1)
-        table = self.table
-        if table.n > RUNS:
-            table.clear()
-        slot = table.find(keys)
-        if len(missing := np.flatnonzero(slot < 0)):
-            new, at = np.unique(keys[missing], return_index=True)
-            at = missing[at]
-            raw = t.raw.tobytes()
-            table.add(new, self._runs([raw[a:b].decode() for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]))
-            slot = table.find(keys)
-        count = table.count[slot].astype(np.int64)
-        stop = np.cumsum(count)
-        total = int(stop[-1]) if len(stop) else 0
-        ids = table.ids[np.repeat(table.at[slot] - stop + count, count) + np.arange(total)]
+        ids, count = self._looked_up(t, start, end)
         sizes = np.bincount(doc, count, minlength=t.n).astype(np.int64)
         if len(odd):
             parts = np.split(ids, np.cumsum(sizes)[:-1])
@@ -197,6 +251,8 @@ class RunEncoder:
         return ids, sizes
 
 
+_SMALL = np.arange(256, dtype=np.uint8)
+_SMALL[65:91] += 32
 #: First bytes of the white space outside ASCII.
 _LEADS = np.zeros(256, bool)
 _LEADS[[0xC2, 0xE1, 0xE2, 0xE3]] = True
