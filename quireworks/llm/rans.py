@@ -4,7 +4,8 @@ A file holds the ids of consecutive documents. Its header has one frequency tabl
 its blocks; each block codes up to BLOCK ids by itself. In a block, LANES coders take ids in turn
 and share one stream of 32-bit words, so that NumPy handles a step of all lanes at once. Checkpoints
 keep the lanes' states and the place in the stream every so many steps: decoding can begin at any of
-them. Checksums cover the header, each block's bytes and each block's ids.
+them. Checksums cover the header, each block's bytes and each block's ids. A file is closed once it
+has FILE_IDS ids, so that files, the units of parallel reading, stay small whatever is written.
 
     magic 8 | header length u32 | header crc u32 | header (zlib of JSON line + arrays) | blocks
 """
@@ -31,6 +32,10 @@ LANES = 1024
 BLOCK = 1 << 20
 #: Steps of all lanes between two checkpoints.
 CHECKPOINT = 256
+#: A file has fewer ids than this but for those of its last document.
+FILE_IDS = 1 << 22
+#: Files of one range of ids that are numbered apart.
+_FILES = 1 << 20
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
 
@@ -128,8 +133,9 @@ def slots_of(table: Frequencies) -> np.ndarray:
     return np.repeat(np.arange(len(table.freq)), table.freq.astype(np.int64))
 
 
-def encode_file(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> Iterator[bytes]:
-    """The bytes of one file: documents' keys, their numbers of ids and all ids in order."""
+def encode_file(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, nulls: int = 0) -> Iterator[bytes]:
+    """The bytes of one file: documents' keys (the first `nulls` have none), their numbers of ids and
+    all ids in order."""
     table = Frequencies.of(np.bincount(ids, minlength=1))
     ranks = np.zeros(int(ids.max(initial=0)) + 1, np.int64)
     ranks[table.symbols] = np.arange(len(table.symbols))
@@ -139,8 +145,8 @@ def encode_file(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> It
         info, data = encode_block(ranks[part], table)
         blocks.append(info | {"ids_crc": zlib.crc32(part.astype("<u4").tobytes())})
         parts.append(data)
-    top = json.dumps({"bits": table.bits, "symbols": len(table.symbols), "docs": len(doc_ids), "blocks": blocks})
-    arrays = [np.diff(table.symbols, prepend=0).astype("<u4"), table.freq.astype("<u4"), np.diff(doc_ids, prepend=0).astype("<i8"), lengths.astype("<u4")]
+    top = json.dumps({"bits": table.bits, "symbols": len(table.symbols), "docs": len(doc_ids), "nulls": nulls, "blocks": blocks})
+    arrays = [np.diff(table.symbols, prepend=0).astype("<u4"), table.freq.astype("<u4"), np.diff(doc_ids, prepend=0).astype("<i8"), lengths.astype("<u8")]
     header = zlib.compress(top.encode() + b"\n" + b"".join(a.tobytes() for a in arrays))
     yield MAGIC + struct.pack("<II", len(header), zlib.crc32(header)) + header
     yield from parts
@@ -151,6 +157,7 @@ class TokenFile:
     """A file read back: documents' keys, their numbers of ids, and blocks to decode."""
 
     doc_ids: np.ndarray
+    nulls: int  # so many documents at the beginning have no key
     lengths: np.ndarray
     table: Frequencies
     blocks: list[dict]
@@ -167,11 +174,11 @@ class TokenFile:
         line = header.index(b"\n")
         top = json.loads(header[:line])
         arrays, p = [], line + 1
-        for kind, n in (("<u4", top["symbols"]), ("<u4", top["symbols"]), ("<i8", top["docs"]), ("<u4", top["docs"])):
+        for kind, n in (("<u4", top["symbols"]), ("<u4", top["symbols"]), ("<i8", top["docs"]), ("<u8", top["docs"])):
             arrays.append(np.frombuffer(header, kind, n, p))
             p += n * np.dtype(kind).itemsize
         table = Frequencies(np.cumsum(arrays[0].astype(np.int64)), arrays[1].astype(np.int64), top["bits"])
-        return cls(np.cumsum(arrays[2]), arrays[3].astype(np.int64), table, top["blocks"], data[at + size :])
+        return cls(np.cumsum(arrays[2]), top["nulls"], arrays[3].astype(np.int64), table, top["blocks"], data[at + size :])
 
     def ids(self) -> Iterator[np.ndarray]:
         """Ids of each block, little-endian unsigned 32-bit."""
@@ -185,14 +192,30 @@ class TokenFile:
             at += info["bytes"]
             yield got
 
+    def some_ids(self, first: int, last: int) -> np.ndarray:
+        """Ids from place `first` up to `last` of the file: of the blocks that hold them only the
+        steps between the nearest checkpoints are decoded."""
+        slots, symbols = slots_of(self.table), self.table.symbols.astype("<u4")
+        out, at, lo = [np.zeros(0, "<u4")], 0, 0
+        for info in self.blocks:
+            a, b = max(first - lo, 0), min(last - lo, info["n"])
+            if a < b:
+                span = CHECKPOINT * info["lanes"]
+                got = decode_block(info, self.body[at : at + info["bytes"]], self.table, slots, a // span, -(-b // span))
+                out.append(symbols[got[a - a // span * span : b - a // span * span]])
+            at += info["bytes"]
+            lo += info["n"]
+        return np.concatenate(out)
 
-MANIFEST = "file_no int, name string, docs long, tokens long, bytes long"
+
+MANIFEST = "file_no long, name string, docs long, tokens long, bytes long"
 
 
 def write_token_files(docs: DataFrame, path: str, end_id: int, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes all documents' ids, each with end_id appended, in ascending order of id_col; returns
-    the manifest (stored beside the files). One file for each range of ids; a task that is run again
-    writes the same file again. Null texts are empty; rows without an id are refused."""
+    the manifest (stored beside the files). Each range of ids makes as many files as it needs; a task
+    that is run again writes the same files again. Null texts are empty. Rows without an id come
+    first, and keep none; rows that share an id are documents of their own, in no certain order."""
     ordered = docs.select(id_col, text_col).repartitionByRange(F.col(id_col)).sortWithinPartitions(id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,21 +223,32 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, folder: str, id_c
 
         encoder = run_encoder(path)
         end = encoder.width.type(end_id)
-        keys, lengths, parts = [], [], []
+        keys: list[pa.Array] = []
+        lengths: list[np.ndarray] = []
+        parts: list[np.ndarray] = []
+        held, files = 0, 0
+
+        def close() -> pa.RecordBatch:
+            """Writes what is held as the next file."""
+            nonlocal keys, lengths, parts, held, files
+            no = TaskContext.get().partitionId() * _FILES + files
+            doc_ids, n, ids = pa.concat_arrays(keys), np.concatenate(lengths), np.concatenate(parts)
+            keys, lengths, parts, held, files = [], [], [], 0, files + 1
+            name = f"ids-{no:019d}.rans"
+            size = write_file(folder, name, encode_file(doc_ids.fill_null(0).to_numpy(zero_copy_only=False), n, ids, doc_ids.null_count))
+            return pa.RecordBatch.from_arrays([pa.array([no], pa.int64()), pa.array([name]), pa.array([len(n)], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([size], pa.int64())], names=["file_no", "name", "docs", "tokens", "bytes"])
+
         for batch in batches:
-            keys.append(column(batch, id_col).to_numpy(zero_copy_only=False))
             for t in passes(text_column(batch, text_col)):
                 got, n = encoder.encode(t)
+                keys.append(column(batch, id_col).slice(t.first, t.n).cast(pa.int64()))
                 lengths.append(n + 1)
                 parts.append(np.insert(got, np.cumsum(n), end))
-        if not lengths:
-            return
-        no = TaskContext.get().partitionId()
-        ids, n = np.concatenate(parts), np.concatenate(lengths)
-        parts.clear()
-        name = f"ids-{no:07d}.rans"
-        size = write_file(folder, name, encode_file(np.concatenate(keys).astype(np.int64), n, ids))
-        yield pa.RecordBatch.from_arrays([pa.array([no], pa.int32()), pa.array([name]), pa.array([len(n)], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([size], pa.int64())], names=["file_no", "name", "docs", "tokens", "bytes"])
+                held += len(parts[-1])
+                if held >= FILE_IDS:
+                    yield close()
+        if held:
+            yield close()
 
     manifest = ordered.mapInArrow(run, MANIFEST)
     manifest.write.parquet(f"{folder}/manifest")
@@ -223,7 +257,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, folder: str, id_c
 
 def read_token_files(manifest: DataFrame, folder: str, id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """(id, start, n_tokens, ids_crc32[, ids]) of every document in the files. start counts the ids
-    of all documents before; files' totals are summed in two levels, so no task sees all files."""
+    of all documents before; files' totals are summed in two levels, by ranges of ids and inside each."""
     spark = manifest.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,14 +270,14 @@ def read_token_files(manifest: DataFrame, folder: str, id_col: str = "doc_id", w
                 start = stop - file.lengths
                 data = memoryview(ids.tobytes())
                 each = [data[4 * a : 4 * b] for a, b in zip(start.tolist(), stop.tolist(), strict=True)]
-                cols = [pa.array(np.full(len(each), int(name[-12:-5]), np.int32)), pa.array(file.doc_ids), pa.array(start), pa.array(file.lengths), pa.array([zlib.crc32(e) for e in each], pa.int64())]
+                cols = [pa.array(np.full(len(each), int(name[-24:-5]), np.int64)), pa.array(file.doc_ids, mask=np.arange(len(each)) < file.nulls), pa.array(start), pa.array(file.lengths), pa.array([zlib.crc32(e) for e in each], pa.int64())]
                 if with_ids:
                     cols.append(pa.array([bytes(e) for e in each], pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, names=["file_no", id_col, "start", "n_tokens", "ids_crc32", *["ids"] * with_ids])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.rans").load(folder).select("path", "content")
-    docs = files.mapInArrow(run, f"file_no int, {id_col} long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
-    group = (F.col("file_no") / 1024).cast("int")
+    docs = files.mapInArrow(run, f"file_no long, {id_col} long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    group = F.floor(F.col("file_no") / _FILES)
     totals = manifest.groupBy(group.alias("g")).agg(F.sum("tokens").alias("t"))
     before = F.coalesce(F.sum("t").over(Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     inside = F.coalesce(F.sum("tokens").over(Window.partitionBy("g").orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
