@@ -22,18 +22,23 @@ from .shared import column, new_folder, open_fs, stored, write_file
 
 #: Equal payloads of at least this many bytes are stored once.
 REVISIT_BYTES = 1000
+#: An archive is closed after so many bytes of records; one read task gets so many bytes of members.
+ARCHIVE_BYTES = 1 << 25
+READ_BYTES = 1 << 23
+#: Archives of one task that are numbered apart.
+_ARCHIVES = 1 << 20
 _CHUNK = 1 << 18
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def record(page_id: int, url: str, digest: str, size: int, payload: bytes | None, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str, digest: str, size: int, payload: bytes | None, refers_to: int | None) -> bytes:
     """One record: an HTTP response with its payload, or a revisit that has the HTTP header only."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http + (payload or b"")
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
         f"WARC-Target-URI: {' '.join(url.split())}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         "Content-Type: application/http; msgtype=response",
@@ -103,10 +108,11 @@ def normalise(chunks: Iterator[bytes]) -> Iterator[tuple[bytes, dict]]:
 
 
 def _page(ref: str | None) -> int | None:
-    return int(ref.rpartition(":")[2].rstrip(">")) if ref else None
+    number = ref.rpartition(":")[2].rstrip(">") if ref else ""
+    return int(number) if number else None
 
 
-def parse(data: bytes) -> tuple[int, int, str, str, int | None]:
+def parse(data: bytes) -> tuple[int | None, int, str, str, int | None]:
     """(page_id, payload bytes, digest, type, refers_to) of a record; a response's digest and size
     are those of the payload found, and must be those that its header names."""
     end = data.index(b"\r\n\r\n")
@@ -136,39 +142,47 @@ def plan_revisits(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = REVISIT_BYTES) -> DataFrame:
-    """Writes all pages as archives of one gzip stream each; (name, records, bytes) of each."""
+    """Writes all pages as archives of one gzip stream each; (no, name, records, bytes) of each. A
+    task closes an archive after ARCHIVE_BYTES and goes on with the next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = 0
-        first = next(batches, None)
-        if first is None:
-            return
-
-        def records() -> Iterator[bytes]:
-            nonlocal n
-            for batch in chain([first], batches):
+        def all_records() -> Iterator[bytes]:
+            for batch in batches:
                 cols = [column(batch, c) for c in ("page_id", "url", "digest", "size", "payload", "refers_to")]
                 for page, url, digest, size, payload, ref in zip(*cols, strict=True):
                     ref = ref.as_py()
-                    n += 1
                     yield record(page.as_py(), url.as_py(), digest.as_py(), size.as_py(), None if ref is not None else payload.as_py(), ref)
 
-        name = f"pages-{TaskContext.get().partitionId():06d}.stream.warc.gz"
-        size = write_file(folder, name, one_stream(records()))
-        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64()), pa.array([size], pa.int64())], names=["name", "records", "bytes"])
+        left = all_records()
+        for k, first in enumerate(left):
+            n = held = 0
 
-    return stored(plan_revisits(pages, least).mapInArrow(run, "name string, records long, bytes long"), "warc-written")
+            def records() -> Iterator[bytes]:
+                nonlocal n, held
+                for data in chain([first], left):
+                    n, held = n + 1, held + len(data)
+                    yield data
+                    if held >= ARCHIVE_BYTES:
+                        return
+
+            no = TaskContext.get().partitionId() * _ARCHIVES + k
+            name = f"pages-{no:019d}.stream.warc.gz"
+            size = write_file(folder, name, one_stream(records()))
+            yield pa.RecordBatch.from_arrays([pa.array([no], pa.int64()), pa.array([name]), pa.array([n], pa.int64()), pa.array([size], pa.int64())], names=["no", "name", "records", "bytes"])
+
+    return stored(plan_revisits(pages, least).mapInArrow(run, "no long, name string, records long, bytes long"), "warc-written")
 
 
 def normalise_archives(archives: DataFrame, folder: str) -> DataFrame:
-    """Normalises each archive of the folder in a task of its own, streaming from file to file;
-    (name, offset, length, type, id): the index that also lies beside each archive as .idx."""
-    files = archives.select("name").repartition(F.col("name"))
+    """Normalises each archive of the folder, streaming from file to file; (no, name, part, offset,
+    length, type, id): the index that also lies beside each archive as .idx. Archives are dealt to as
+    many tasks as there are archives, by ranges of their numbers."""
+    files = archives.select("no", "name").repartitionByRange(max(1, archives.count()), "no")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = open_fs(folder)
         for batch in batches:
-            for name in column(batch, "name").to_pylist():
+            for no, name in zip(column(batch, "no").to_pylist(), column(batch, "name").to_pylist(), strict=True):
                 target = name.replace(".stream.warc.gz", ".warc.gz")
                 index: list[dict] = []
 
@@ -180,14 +194,17 @@ def normalise_archives(archives: DataFrame, folder: str) -> DataFrame:
 
                 write_file(folder, target, members())
                 write_file(folder, target + ".idx", iter(["".join(json.dumps(e) + "\n" for e in index).encode()]))
-                cols = [pa.array([target] * len(index)), *(pa.array([e[k] for e in index], t) for k, t in (("offset", pa.int64()), ("length", pa.int64()), ("type", pa.string()), ("id", pa.string())))]
-                yield pa.RecordBatch.from_arrays(cols, names=["name", "offset", "length", "type", "id"])
+                cols = [pa.array([no] * len(index), pa.int64()), pa.array([target] * len(index)), pa.array([e["offset"] // READ_BYTES for e in index], pa.int64())]
+                cols += [pa.array([e[k] for e in index], t) for k, t in (("offset", pa.int64()), ("length", pa.int64()), ("type", pa.string()), ("id", pa.string()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["no", "name", "part", "offset", "length", "type", "id"])
 
-    return stored(files.mapInArrow(run, "name string, offset long, length long, type string, id string"), "warc-index")
+    return stored(files.mapInArrow(run, "no long, name string, part long, offset long, length long, type string, id string"), "warc-index")
 
 
 def read_archives(index: DataFrame, folder: str) -> DataFrame:
-    """Reads every indexed record from its own member; rows of one archive are read in order."""
+    """Reads every indexed record from its own member. Parts of archives of READ_BYTES are dealt to as
+    many tasks as there are parts, by ranges; a task reads its parts in order."""
+    parts = max(1, index.select("no", "part").distinct().count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = open_fs(folder)
@@ -202,11 +219,13 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
             kinds = (("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kinds)], names=[n for n, _ in kinds])
 
-    return index.select("name", "offset", "length").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    dealt = index.select("no", "part", "name", "offset", "length").repartitionByRange(parts, "no", "part").sortWithinPartitions("no", "offset")
+    return dealt.select("name", "offset", "length").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive_pages(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     """Writes, normalises and reads back all pages. Empty tables give no archive and no rows;
-    null html is an empty payload, null url an empty one. Page ids must be distinct and not null."""
+    null html is an empty payload, null url an empty one. Rows without a page_id, and rows that share
+    the id of the one that stays, are responses."""
     folder = new_folder(pages.sparkSession, "warc")
     return read_archives(normalise_archives(write_archives(pages, folder, least), folder), folder)
