@@ -6,6 +6,11 @@ the bit. The tree mixes the estimators of all depths: a node's probability of al
 is half its own estimator's and half its children's product, which gives the share that each depth
 has in a prediction. Counts are all that matters, so training is counting n-grams of bytes.
 
+The tree holds every context of the training texts, whatever their number: subtrees under two bytes
+are weighted by the tasks that hold their counts, the driver mixes the 257 nodes above them, and a
+second pass turns the subtrees into a distributed table of log probabilities. Tasks that score hold
+the rows of the HELD most frequent contexts; bytes in other contexts are joined with the table.
+
 Texts are lower-cased (A-Z), preceded by DEPTH marks and followed by one: byte 0xFF, never in UTF-8.
 """
 
@@ -16,17 +21,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import column, stored, text_column
 from .words import U64, Texts, passes
 
+#: Bytes of the longest context. Subtrees start two levels below the root, so it is four.
 DEPTH = 4
-#: Contexts that the tree holds at most: the most frequent ones. A context that isn't held is seen
-#: as its longest suffix that is; what it counted is a nameless child of that one. So the model is
-#: bounded (256 numbers a context) while its counts come from all training texts.
-CONTEXTS = 40_000
+#: Contexts whose rows (256 doubles) every scoring task holds. Only the way to a row depends on it.
+HELD = 16_384
+#: Contexts of DEPTH bytes weighted together.
+_AT_ONCE = 2_048
 #: Words whose counts every task holds; the rest's counts are joined.
 FREQUENT = 1 << 18
 MARK = 0xFF
@@ -123,98 +129,215 @@ def _log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1.0) - 2 * _HALF
 
 
+_LOG2 = float(np.log(2))
+#: The decisions of a byte, first to last bit: bytes lo to mid are a zero, mid to hi a one.
+_CUTS = np.array([(lo, lo + (128 >> level), lo + (256 >> level)) for level in range(8) for lo in range(0, 256, 256 >> level)]).T
+
+
+def _decisions(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Zeros and ones at each of the 255 decisions, from sums (k, 257) of counts of smaller bytes."""
+    lo, mid, hi = _CUTS
+    return (sums[:, mid] - sums[:, lo]).astype(float), (sums[:, hi] - sums[:, mid]).astype(float)
+
+
+def _mixed(sums: np.ndarray, children: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(log of the weighted probability, share of its own estimator, its next prediction of a one) of
+    nodes, from their counts and the sums of their children's logs."""
+    zero, one = _decisions(sums)
+    own = _log_kt(zero, one)
+    both = np.logaddexp(own, children)
+    return both - _LOG2, np.exp(own - both), (one + 0.5) / (zero + one + 1)
+
+
+def _below(left: np.ndarray, so_far: np.ndarray, share: np.ndarray, kt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What is left to a node's children, and what it and those above it have predicted."""
+    return left * (1 - share), so_far + left * share * kt
+
+
+def _log_rows(q: np.ndarray) -> np.ndarray:
+    """log10 probabilities (k, 256) of all bytes from those of a one at each decision."""
+    out = np.zeros((len(q), 256))
+    one, zero = np.log10(q), np.log10(1 - q)
+    for j, (lo, mid, hi) in enumerate(_CUTS.T.tolist()):
+        out[:, lo:mid] += zero[:, j, None]
+        out[:, mid:hi] += one[:, j, None]
+    return out
+
+
+def _unseen(left: np.ndarray, so_far: np.ndarray) -> np.ndarray:
+    """Rows for contexts that a node has no child for: what is left predicts either bit alike."""
+    return _log_rows(so_far + left * 0.5)
+
+
+def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]]:
+    """(contexts of DEPTH bytes, sums of their counts, portions) of one pair of last bytes after
+    another, from (two, key, n) sorted by pair and context. Portions are whole contexts of three."""
+    held: pa.Table | None = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = pa.concat_tables([held, rows]) if held is not None else rows
+        if not rows.num_rows:
+            continue
+        two = rows["two"].to_numpy()
+        edges = [0, *(np.flatnonzero(two[1:] != two[:-1]) + 1).tolist()]
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            yield _subtree(rows.slice(lo, hi - lo))
+        held = rows.slice(edges[-1])
+    if held is not None and held.num_rows:
+        yield _subtree(held)
+
+
+def _subtree(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    key, n = rows["key"].to_numpy(), rows["n"].to_numpy()
+    contexts, at = np.unique(key >> 8, return_inverse=True)
+    three = contexts & 0xFFFFFF
+    order = np.lexsort((contexts, three))
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    contexts, three, at = contexts[order], three[order], place[at]
+    entry = np.lexsort((key & 255, at))
+    starts = np.flatnonzero(np.concatenate([[True], three[1:] != three[:-1]]))
+    portions, lo = [], 0
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(contexts)], strict=True):
+        if b - lo > _AT_ONCE and a > lo:
+            portions.append((lo, a))
+            lo = a
+    portions.append((lo, len(contexts)))
+    return contexts, np.stack([at[entry], key[entry] & 255, n[entry]]), portions
+
+
+def _portion(contexts: np.ndarray, entries: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sums of counts of contexts lo to hi, first ones of the contexts of three, these)."""
+    a, b = np.searchsorted(entries[0], [lo, hi])
+    sums = np.zeros((hi - lo, 257), np.int64)
+    sums[entries[0, a:b] - lo, entries[1, a:b] + 1] = entries[2, a:b]
+    np.cumsum(sums, axis=1, out=sums)
+    three = contexts[lo:hi] & 0xFFFFFF
+    first = np.flatnonzero(np.concatenate([[True], three[1:] != three[:-1]]))
+    return sums, first, three[first]
+
+
+def _weighed(contexts: np.ndarray, entries: np.ndarray, portions: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of counts, and of the children's logs, of the node that a subtree hangs from."""
+    counts, children = np.zeros((1, 257), np.int64), np.zeros((1, 255))
+    for lo, hi in portions:
+        sums, first, _ = _portion(contexts, entries, lo, hi)
+        above = np.add.reduceat(sums, first)
+        logs = _mixed(above, np.add.reduceat(_log_kt(*_decisions(sums)), first))[0]
+        counts += above.sum(axis=0)
+        children += logs.sum(axis=0)
+    return counts, children
+
+
+def _top(spark: SparkSession, ordered: DataFrame) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], dict[int, np.ndarray], np.ndarray]:
+    """Of the nodes of one byte: what is left to their children and has been predicted; rows for what
+    is unseen below them, and below the root. The driver gets 256 nodes at most."""
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes: dict[int, list[np.ndarray]] = {}
+        for contexts, entries, portions in _subtrees(batches):
+            counts, children = _weighed(contexts, entries, portions)
+            own = nodes.setdefault(int(contexts[0]) & 255, [np.zeros(257, np.int64), np.zeros(255)])
+            own[0] += counts[0]
+            own[1] += _mixed(counts, children)[0][0]
+        yield _node_rows(nodes)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for one, counts, logs in zip(*(column(batch, c).to_pylist() for c in ("one", "counts", "logs")), strict=True):
+                own = nodes.setdefault(one, [np.zeros(257, np.int64), np.zeros(255)])
+                own[0] += np.frombuffer(counts, np.int64)
+                own[1] += np.frombuffer(logs)
+        yield _node_rows(nodes)
+
+    kind = "one int, counts binary, logs binary"
+    nodes = ordered.mapInArrow(weigh, kind).repartition("one").sortWithinPartitions("one", "counts", "logs").mapInArrow(add, kind).toArrow().sort_by("one")
+    ones = nodes["one"].to_pylist()
+    counts = np.array([np.frombuffer(x, np.int64) for x in nodes["counts"].to_pylist()], np.int64).reshape(-1, 257)
+    logs, share, kt = _mixed(counts, np.array([np.frombuffer(x) for x in nodes["logs"].to_pylist()], float).reshape(-1, 255))
+    _, root_share, root_kt = _mixed(counts.sum(axis=0, keepdims=True), logs.sum(axis=0, keepdims=True))
+    left, so_far = _below(np.ones((1, 255)), np.zeros((1, 255)), root_share, root_kt)
+    below = _below(left, so_far, share, kt)
+    rows = _unseen(*below) if ones else np.zeros((0, 256))
+    return {one: (below[0][i], below[1][i]) for i, one in enumerate(ones)}, {one: rows[i] for i, one in enumerate(ones)}, _unseen(left, so_far)[0]
+
+
+def _node_rows(nodes: dict[int, list[np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([*nodes], pa.int32()), *(pa.array([v[i].tobytes() for v in nodes.values()], pa.binary()) for i in (0, 1))], names=["one", "counts", "logs"])
+
+
+def fit_bytes(grams: DataFrame) -> tuple[DataFrame, np.ndarray, dict[int, np.ndarray]]:
+    """From (key, n) of DEPTH + 1 bytes: (depth, context, total, row) of all contexts of two bytes and
+    more, row being the packed log10 probabilities of all bytes where nothing longer has been seen;
+    the same for the empty context, and for those of one byte."""
+    spark = grams.sparkSession
+    ordered = grams.select(F.expr("(key >> 8) & 65535").cast("int").alias("two"), "key", "n").repartition("two").sortWithinPartitions("two", "key")
+    nodes, ones, root = _top(spark, ordered)
+    held = spark.sparkContext.broadcast(nodes)  # 256 nodes of 510 numbers at most
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(depth: int, contexts: np.ndarray, totals: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+            packed = pa.array([x.tobytes() for x in _log_rows(q)], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(contexts), depth, np.int8)), pa.array(contexts), pa.array(totals), packed], names=["depth", "context", "total", "row"])
+
+        for contexts, entries, portions in _subtrees(batches):
+            left, so_far = held.value[int(contexts[0]) & 255]
+            counts, children = _weighed(contexts, entries, portions)
+            _, share, kt = _mixed(counts, children)
+            left, so_far = _below(left, so_far, share, kt)
+            yield out(2, contexts[:1] & 0xFFFF, counts[:, -1], so_far + left * 0.5)
+            for lo, hi in portions:
+                sums, first, three = _portion(contexts, entries, lo, hi)
+                above = np.add.reduceat(sums, first)
+                zero, one = _decisions(sums)
+                _, share, kt = _mixed(above, np.add.reduceat(_log_kt(zero, one), first))
+                left3, so_far3 = _below(left, so_far, share, kt)
+                yield out(3, three, above[:, -1], so_far3 + left3 * 0.5)
+                of = np.repeat(np.arange(len(first)), np.diff(np.append(first, hi - lo)))
+                yield out(4, contexts[lo:hi], sums[:, -1], so_far3[of] + left3[of] * (one + 0.5) / (zero + one + 1))
+
+    return stored(ordered.mapInArrow(rows, "depth byte, context long, total long, row binary"), "contexts"), root, ones
+
+
 @dataclass
-class ByteModel:
-    """log10 probabilities of all bytes for each held context, and how to find a text's contexts."""
+class HeldRows:
+    """The rows of some contexts of DEPTH bytes, and how to find a text's contexts among them."""
 
     symbol: np.ndarray  # byte -> small number, 0 for bytes that no context has
-    three: np.ndarray  # last three symbols -> number of the context of three bytes (0: none), or ...
-    row3: np.ndarray  # ... the row of the longest held suffix of at most three
-    four: np.ndarray  # (number of three, symbol before) -> row
+    three: np.ndarray  # three symbols -> number, 0 for none
+    four: np.ndarray  # number of three, symbol before -> 1 + row, 0 for none
     table: np.ndarray
 
-    def scores(self, t: Texts) -> np.ndarray:
+    @classmethod
+    def of(cls, contexts: np.ndarray, table: np.ndarray) -> HeldRows:
+        raw = contexts[:, None] >> np.array([24, 16, 8, 0]) & 255
+        used = np.unique(raw)
+        symbol = np.zeros(256, np.int64)
+        symbol[used] = np.arange(1, len(used) + 1)
+        a = len(used) + 1
+        s = symbol[raw]
+        threes, number = np.unique((s[:, 1] * a + s[:, 2]) * a + s[:, 3], return_inverse=True)
+        three = np.zeros(a**3, np.int32)
+        three[threes] = np.arange(1, len(threes) + 1)
+        four = np.zeros((len(threes) + 1) * a, np.int32)
+        four[(number + 1) * a + s[:, 0]] = np.arange(1, len(contexts) + 1)
+        return cls(symbol, three, four, table)
+
+    def scores(self, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text the sum over bytes whose context is held; (text, gram) of the other bytes."""
         data, at, size = _spread(t)
         s = self.symbol[data]
         a = int(self.symbol.max()) + 1
-        key = (s[at - 3] * a + s[at - 2]) * a + s[at - 1]
-        inner = self.three[key]
-        row = np.where(inner > 0, self.four[inner * a + s[at - 4]], self.row3[key])
-        p = self.table.ravel()[row.astype(np.int64) * 256 + data[at]]
-        return np.add.reduceat(p.astype(np.float64), np.cumsum(size) - size)
-
-
-def build(depths: np.ndarray, contexts: np.ndarray, nexts: np.ndarray, counts: np.ndarray) -> ByteModel:
-    """From the counts of (depth, context, next byte) of all held contexts, one element each. The
-    held contexts are closed: with a context, all its suffixes are held. The root always is."""
-    node = (depths.astype(np.int64) << 40) | contexts
-    nodes = np.unique(np.append(node, 0))
-    n = len(nodes)
-    rows = [(int(x) >> 40, int(x) & ((1 << 40) - 1)) for x in nodes]
-    index = {dc: i for i, dc in enumerate(rows)}
-    depth = nodes >> 40
-    parent = np.array([index[d - 1, c & ((1 << 8 * (d - 1)) - 1)] if d else 0 for d, c in rows])
-    sums = np.zeros((n, 257), np.int64)
-    sums[np.searchsorted(nodes, node), nexts.astype(np.int64) + 1] = counts
-    np.cumsum(sums, axis=1, out=sums)
-    below = np.zeros_like(sums)  # what held children have counted
-    np.add.at(below, parent[depth > 0], sums[depth > 0])
-    table = np.zeros((n, 256), np.float32)
-    levels = [np.flatnonzero(depth == d) for d in range(DEPTH + 1)]
-    for level in range(8):
-        width = 256 >> level
-        for lo in range(0, 256, width):
-            mid, hi = lo + width // 2, lo + width
-            zero, one = (sums[:, mid] - sums[:, lo]).astype(float), (sums[:, hi] - sums[:, mid]).astype(float)
-            rest0, rest1 = zero - (below[:, mid] - below[:, lo]), one - (below[:, hi] - below[:, mid])
-            own = _log_kt(zero, one)
-            children = _log_kt(rest0, rest1)  # the nameless child
-            weighted = np.zeros(n)
-            share = np.ones(n)
-            for d in range(DEPTH, -1, -1):
-                at = levels[d]
-                if d == DEPTH:
-                    weighted[at] = own[at]
-                else:
-                    both = np.logaddexp(own[at], children[at])
-                    weighted[at] = both - np.log(2)
-                    share[at] = np.exp(own[at] - both)
-                if d:
-                    np.add.at(children, parent[at], weighted[at])
-            kt = (one + 0.5) / (zero + one + 1)
-            rest = (rest1 + 0.5) / (rest0 + rest1 + 1)
-            left, so_far, q = np.ones(n), np.zeros(n), np.zeros(n)
-            for d in range(DEPTH + 1):
-                at = levels[d]
-                if d:
-                    up = parent[at]
-                    left[at] = left[up] * (1 - share[up])
-                    so_far[at] = so_far[up] + left[up] * share[up] * kt[up]
-                q[at] = so_far[at] + left[at] * (share[at] * kt[at] + (1 - share[at]) * rest[at])
-            table[:, mid:hi] += np.log10(q)[:, None].astype(np.float32)
-            table[:, lo:mid] += np.log10(1 - q)[:, None].astype(np.float32)
-    used = sorted({b for d, c in rows for b in c.to_bytes(DEPTH, "big")[DEPTH - d :]})
-    symbol = np.zeros(256, np.int64)
-    symbol[used] = np.arange(1, len(used) + 1)
-    a = len(used) + 1
-    by_depth = [{c: i for (dd, c), i in index.items() if dd == d} for d in range(DEPTH + 1)]
-    row3 = np.zeros((a, a, a), np.int32)
-    for d in (1, 2, 3):  # later ones are longer and overwrite
-        for c, i in by_depth[d].items():
-            s = [int(symbol[x]) for x in c.to_bytes(d, "big")]
-            row3[(..., *s)] = i
-    three = np.zeros(a**3, np.int32)
-    four = np.zeros((1, a), np.int32)
-    if by_depth[3]:
-        number = {c: k for k, c in enumerate(sorted(by_depth[3]), 1)}
-        four = np.zeros((len(number) + 1, a), np.int32)
-        for c, k in number.items():
-            s = [int(symbol[x]) for x in c.to_bytes(3, "big")]
-            three[(s[0] * a + s[1]) * a + s[2]] = k
-            four[k] = by_depth[3][c]
-        for c, i in by_depth[4].items():
-            four[number[c & 0xFFFFFF], symbol[c >> 24]] = i
-    return ByteModel(symbol, three, row3.ravel(), four.ravel(), table)
+        number = self.three[(s[at - 3] * a + s[at - 2]) * a + s[at - 1]]
+        row = self.four[number * a + s[at - 4]]
+        table = self.table.ravel() if len(self.table) else np.zeros(256)
+        p = np.where(row > 0, table[np.maximum(row - 1, 0).astype(np.int64) * 256 + data[at]], 0.0)
+        other = np.flatnonzero(row == 0)
+        gram = np.zeros(len(other), np.int64)
+        for k in range(DEPTH + 1):
+            gram = (gram << 8) | data[at[other] - DEPTH + k]
+        return np.add.reduceat(p, np.cumsum(size) - size), np.searchsorted(np.cumsum(size), other, "right"), gram
 
 
 def _steps(count: str):
@@ -233,20 +356,28 @@ def _least_step(rows: DataFrame, count: str, most: int) -> int:
     return least
 
 
-def fit_bytes(grams: DataFrame) -> ByteModel:
-    """From (key, n) of DEPTH + 1 bytes. The driver gets the held contexts' counts, at most 256 each."""
-    levels = []
-    for d in range(DEPTH + 1):
-        ctx = F.expr(f"(key >> 8) & {(1 << 8 * d) - 1}L")
-        levels.append(grams.groupBy(ctx.alias("context"), F.expr("key & 255").alias("next")).agg(F.sum("n").alias("n")).withColumn("depth", F.lit(d)))
-    grams_by = levels[0]
-    for x in levels[1:]:
-        grams_by = grams_by.unionByName(x)
-    whole = grams_by.groupBy("depth", "context").agg(F.sum("n").alias("total"), F.collect_list(F.struct("next", "n")).alias("nexts"))  # at most 256 a context
-    whole = stored(whole, "contexts")
-    kept = whole.where((_steps("total") >= _least_step(whole, "total", CONTEXTS)) | (F.col("depth") == 0))
-    got = kept.select("depth", "context", F.explode("nexts").alias("x")).select("depth", "context", "x.next", "x.n").toArrow()
-    return build(*(got[c].to_numpy() for c in ("depth", "context", "next", "n")))
+def _others(scored: DataFrame, table: DataFrame, root: np.ndarray, ones: dict[int, np.ndarray]) -> DataFrame:
+    """(row, more_score) from scored rows' other grams: each is looked up under the longest context
+    that the table has."""
+    grams = scored.select("row", F.explode("others").alias("gram")).groupBy("row", "gram").count()
+    for depth in (4, 3, 2):
+        own = table.where(F.col("depth") == depth).select(F.col("context").alias("c"), F.col("row").alias("p"))
+        context = F.expr(f"(gram >> 8) & {(1 << 8 * depth) - 1}L")
+        found = grams.join(own, context == F.col("c"), "left")
+        value = F.substring("p", F.expr("8 * (gram & 255) + 1").cast("int"), 8)
+        grams = found.withColumn(f"p{depth}", value).drop("c", "p")
+    held = table.sparkSession.sparkContext.broadcast((root, ones))  # 257 rows at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root, ones = held.value
+        for batch in batches:
+            gram, count = column(batch, "gram").to_numpy(), column(batch, "count").to_numpy()
+            p = column(batch, "p").to_pylist()
+            worth = [np.frombuffer(x)[0] if x is not None else ones.get(g >> 8 & 255, root)[g & 255] for x, g in zip(p, gram.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([column(batch, "row"), pa.array(np.array(worth, float) * count)], names=["row", "worth"])
+
+    each = grams.select("row", "gram", "count", F.coalesce("p4", "p3", "p2").alias("p")).mapInArrow(run, "row long, worth double")
+    return each.groupBy("row").agg(F.sum("worth").alias("more_score"))
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -267,11 +398,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     order = np.argsort(key)
     key, often = key[order], top["n"].to_numpy()[order]
     norm = np.log10(train_tokens + 0.1 * (distinct + 1))
-    grams = counts.where("kind = 1").select("key", "n")
-    model = spark.sparkContext.broadcast((fit_bytes(grams), key, often))
+    table, root, ones = fit_bytes(counts.where("kind = 1").select("key", "n"))
+    longest = table.where(F.col("depth") == DEPTH)
+    held = longest.where(_steps("total") >= _least_step(longest, "total", HELD)).select("context", "row").toArrow()  # at most HELD rows
+    rows = HeldRows.of(held["context"].to_numpy(), np.frombuffer(b"".join(held["row"].to_pylist())).reshape(-1, 256))
+    model = spark.sparkContext.broadcast((rows, key, often))
     complete = distinct == len(key)
     kind = dict(source.dtypes)[id_col]
 
+    def lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, key, often = model.value
         worth = np.log10(often + 0.1) - norm
@@ -286,19 +423,19 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 base = t.counts_sum(np.where(found, worth[at] if len(key) else 0.0, unknown if complete else 0.0)) + (worth[end] if end_known else unknown)
                 known = t.counts(found) + int(end_known)
                 rare = t.counts(~found) if not complete else np.zeros(t.n, np.int64)
-                rares = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(rare)]).astype(np.int32)), pa.array(h[~found].view(np.int64) if not complete else np.zeros(0, np.int64)))
+                rares = lists(h[~found].view(np.int64) if not complete else np.zeros(0, np.int64), rare)
                 part = batch.slice(t.first, t.n)
-                log = m.scores(t)
-                bits = -log / np.log10(2) / (np.diff(t.at) + 1)
-                yield pa.RecordBatch.from_arrays([column(part, id_col), column(part, "held_out"), pa.array(t.counts() + 1), pa.array(known), pa.array(base), pa.array(log), pa.array(bits), rares], names=[id_col, "held_out", "n_tokens", "known", "base", "score", "bits_per_byte", "rare"])
+                log, doc, grams = m.scores(t)
+                yield pa.RecordBatch.from_arrays([column(part, id_col), column(part, "held_out"), pa.array(t.counts() + 1), pa.array(np.diff(t.at) + 1), pa.array(known), pa.array(base), pa.array(log), rares, lists(grams, np.bincount(doc, minlength=t.n))], names=[id_col, "held_out", "n_tokens", "n_bytes", "known", "base", "score", "rare", "others"])
 
-    scored = source.mapInArrow(run, f"{id_col} {kind}, held_out boolean, n_tokens long, known long, base double, score double, bits_per_byte double, rare array<long>")
-    out = [id_col, "held_out", "n_tokens"]
+    scored = source.mapInArrow(run, f"{id_col} {kind}, held_out boolean, n_tokens long, n_bytes long, known long, base double, score double, rare array<long>, others array<long>")
+    scored = stored(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     if not complete:
-        scored = stored(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
         rare = scored.select("row", F.explode("rare").alias("key")).join(words, "key", "left")
         c = F.coalesce(F.col("n"), F.lit(0))
         extra = rare.groupBy("row").agg(F.count("n").alias("more_known"), F.sum(F.log10(c + 0.1) - float(norm)).alias("more_base"))
-        scored = scored.drop("rare").join(extra, "row", "left")
+        scored = scored.join(extra, "row", "left")
         scored = scored.withColumns({"known": F.col("known") + F.coalesce("more_known", F.lit(0)), "base": F.col("base") + F.coalesce("more_base", F.lit(0.0))})
-    return scored.select(*out, F.col("known").alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score", "bits_per_byte")
+    scored = scored.join(_others(scored, table, root, ones), "row", "left").withColumn("score", F.col("score") + F.coalesce("more_score", F.lit(0.0)))
+    bits = -F.col("score") / float(np.log10(2)) / F.col("n_bytes")
+    return scored.select(id_col, "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score", bits.alias("bits_per_byte"))
