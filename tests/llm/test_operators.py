@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from quireworks.llm import ctw, jaccard, neighbours, packing, passages, pieces, prefixes, quality, rans, warc
+from quireworks.llm import ctw, jaccard, neighbours, packing, passages, pieces, prefixes, quality, rans, tokens, warc, words as texts_of
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -110,9 +110,24 @@ def test_warc(spark):
     sha = hashlib.sha1(big.encode()).hexdigest()
     assert [(got[i].record_type, got[i].refers_to, got[i].payload_digest, got[i].payload_bytes) for i in (1, 2, 9)] == [("revisit", 9, sha, 1603), ("revisit", 9, sha, 1603), ("response", None, sha, 1603)]
     assert got[3].record_type == got[4].record_type == "response" and got[5].payload_bytes == 0
+    rows = [(None, "u", big), (None, None, "s"), (8, "u", big), (8, "u", big), (3, "u", big)]
+    odd = warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted(((r.page_id, r.record_type, r.refers_to) for r in odd), key=str) == sorted([(None, "response", None), (None, "response", None), (8, "response", None), (8, "response", None), (3, "revisit", 8)], key=str)
     assert warc.archive_pages(pages.limit(0)).count() == 0
 
 
+def test_archives_are_limited_and_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 5000)
+    monkeypatch.setattr(warc, "READ_BYTES", 1000)
+    pages = spark.range(60).selectExpr("id page_id", "'u' url", "repeat(sha1(string(id)), 30) html").coalesce(1)
+    folder = warc.new_folder(spark, "test-warc")
+    written = warc.write_archives(pages, folder)
+    assert written.count() > 10 and written.agg(F.max("records")).first()[0] < 10
+    index = warc.normalise_archives(written, folder)
+    read = warc.read_archives(index, folder)
+    assert read.rdd.getNumPartitions() > 10 and read.count() == 60
+
+
 def test_normaliser_streams():
     records = [warc.record(i, "u", hashlib.sha1(b"x" * i).hexdigest(), i, b"x" * i, None) for i in range(0, 3000, 97)]
     data = b"".join(warc.one_stream(iter(records)))
@@ -131,6 +146,27 @@ def ids_of(name, rows, end):
     return {i: [*t.encode(x or "", add_special_tokens=False).ids, end] for i, x, *_ in rows}
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_run_ids_do_not_rest_on_hashes(monkeypatch, name):
+    """Ids are right for texts that a polynomial hash confuses, and with hashes that are all alike."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    swap = str.maketrans("ab", "ba")
+    word = "a"
+    for _ in range(11):
+        word += word.translate(swap)
+    texts = [word, word.translate(swap), "The cat  the dog", "<|endoftext|> x\u00a0y", "", " \n"]
+    path = public_tokenizers.path(name)
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    for alike in (False, True):
+        if alike:
+            monkeypatch.setattr(texts_of.Texts, "span_hashes", lambda self, start, end, lower: np.full(len(start), 5, np.uint64))
+        for t in texts_of.passes(pa.array(texts, pa.large_string())):
+            ids, n = tokens.RunEncoder(path).encode(t)
+            assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
 def test_packing(docs, none, rows):
     path = public_tokenizers.path("word_bpe_49k.json")
     want = ids_of("word_bpe_49k.json", rows, 1)
@@ -312,19 +348,59 @@ def test_context_tree(docs, none, rows):
     assert ctw.score(none).count() == 0
 
 
-def test_context_tree_is_a_distribution():
-    """All bytes' probabilities sum up to 1 in each context, and with a root alone are the estimator's."""
-    d, c, b, n = (np.array(x) for x in zip((0, 0, 97, 3), (0, 0, 98, 1), (1, 97, 98, 1), (1, 97, 97, 2), (1, 98, 97, 1), (2, 97 * 256 + 97, 97, 1), strict=True))
-    m = ctw.build(d, c, b, n)
-    assert np.allclose((10.0 ** m.table.astype(float)).sum(axis=1), 1, atol=1e-4)
-    root = ctw.build(*(np.array(x) for x in ([0, 0], [0, 0], [97, 98], [3, 1])))
-    p = (0.5 + 4) / 5  # six bits are equal in all four bytes; then 3 to 1
-    assert math.isclose(10.0 ** root.table[0, 97], p**6 * root_tail(97), rel_tol=1e-4)
-
-
-def root_tail(byte):
-    """Of bytes a (3) and b (1), 01100001 and 01100010: the last two bits' estimators."""
-    return (3 + 0.5) / 5 * ((0 + 0.5) / 4 if byte == 96 else (3 + 0.5) / 4)
+def naive_tree_score(train, scored):
+    """log10 probabilities by the definition: the root's weighted probability after a bit over before."""
+
+    def steps(text):
+        data = bytes([255] * 4) + (text or "").translate(LOWER).encode() + b"\xff"
+        for i in range(4, len(data)):
+            for k in range(8):
+                yield data[i - 4 : i], f"{data[i]:08b}"[:k], data[i] >> (7 - k) & 1
+
+    nodes = collections.defaultdict(lambda: [0, 0])  # (context, decision) -> zeros, ones
+    below = collections.defaultdict(set)
+    for t in train:
+        for context, decision, bit in steps(t):
+            for d in range(5):
+                nodes[context[4 - d :], decision][bit] += 1
+                if d:
+                    below[context[5 - d :], decision].add(context[4 - d :])
+
+    def estimate(a, b):
+        return sum(math.lgamma(x + 0.5) - math.lgamma(0.5) for x in (a, b)) - math.lgamma(a + b + 1)
+
+    known = {}
+
+    def weighted(context, decision, path=None, bit=0):
+        """Of a node, with one more bit seen in the context `path` if that is given."""
+        on = path is not None and path.endswith(context)
+        if not on and (context, decision) in known:
+            return known[context, decision]
+        a, b = nodes.get((context, decision), (0, 0))
+        own = estimate(a + (on and not bit), b + (on and bit))
+        if len(context) < 4:
+            longer = below.get((context, decision), set()) | ({path[3 - len(context) :]} if on else set())
+            own = math.log(0.5) + np.logaddexp(own, sum(weighted(c, decision, path, bit) for c in longer))
+        if not on:
+            known[context, decision] = own
+        return own
+
+    return [sum(weighted(b"", d, c, bit) - weighted(b"", d) for c, d, bit in steps(t)) / math.log(10) for t in scored]
+
+
+@pytest.mark.parametrize("held", [0, 9, 10_000])
+def test_context_tree_by_definition(spark, held):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["Ab", "aba", "ca", "bé", "q"]) for _ in range(rng.randrange(1, 9))) for _ in range(24)] + [None, "", "zzz"]
+    train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10]
+    assert 0 < len(train) < len(texts)
+    before, ctw.HELD, once, ctw._AT_ONCE = ctw.HELD, held, ctw._AT_ONCE, 7
+    try:
+        got = by_id(ctw.score(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")))
+    finally:
+        ctw.HELD, ctw._AT_ONCE = before, once
+    for i, want in enumerate(naive_tree_score(train, texts)):
+        assert math.isclose(got[i].score, want, rel_tol=1e-9)
 
 
 def test_token_files(docs, none, rows):
@@ -338,6 +414,16 @@ def test_token_files(docs, none, rows):
     assert rans.token_files(none, path, 2).count() == 0
 
 
+def test_token_files_roll_and_keep_rows_without_id(spark, monkeypatch):
+    monkeypatch.setattr(rans, "FILE_IDS", 20)
+    monkeypatch.setattr(texts_of, "PASS_BYTES", 40)
+    monkeypatch.setattr(rans, "passes", lambda x: texts_of.passes(x, 40))
+    docs = spark.createDataFrame([(None, "one two"), (2**53 + 1, "three"), (2**53, None), (7, "a b c " * 30), (7, "x"), (None, "")], "doc_id long, text string")
+    got = rans.token_files(docs.coalesce(1), public_tokenizers.path("byte_bpe_50k.json"), 2).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, None, 7, 7, 2**53, 2**53 + 1]
+    assert [r.start for r in got] == np.concatenate([[0], np.cumsum([r.n_tokens for r in got])])[:-1].tolist()
+
+
 def test_coder():
     rng = np.random.default_rng(4)
     for n in (1, 5, 1023, 1025, 600_000):
@@ -345,6 +431,8 @@ def test_coder():
         data = b"".join(rans.encode_file(np.array([4, 9]), np.array([1, n - 1]), ids))
         file = rans.TokenFile.read(data)
         assert (np.concatenate([*file.ids()]) == ids).all() and file.doc_ids.tolist() == [4, 9]
+    for a, b in ((0, 1), (5, 5), (599_990, 600_000), (200_000, 400_001)):
+        assert (file.some_ids(a, b) == ids[a:b]).all()
     info, slots = file.blocks[0], rans.slots_of(file.table)
     part = rans.decode_block(info, file.body[: info["bytes"]], file.table, slots, 1, 2)
     step = rans.LANES * rans.CHECKPOINT
