@@ -451,14 +451,18 @@ def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, id_col: str,
     return out
 
 
-def _places(lists: DataFrame, points: DataFrame, found: DataFrame, least: int) -> DataFrame:
-    """(key, cell, block, id, n, at, component, counts, heads): entries of lists of at least `least`
-    entries and of more than one component (found: node, component). An entry of a list of several
-    blocks comes once for each block that its own is paired with."""
+def _places(lists: DataFrame, found: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """Entries with their components (found: node, component), and how many blocks the lists have that
+    are of at least `least` entries and of more than one component."""
     own = lists.select("key", "id", "n", "at").join(found.withColumnRenamed("node", "id"), "id", "left")
     own = stored(own.withColumn("component", F.coalesce("component", "id")), "places")
     sums = own.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size"))
-    mixed = stored(sums.where((F.col("x") != F.col("y")) & (F.col("size") >= least)).select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "mixed")
+    return own, stored(sums.where((F.col("x") != F.col("y")) & (F.col("size") >= least)).select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "mixed")
+
+
+def _cells(own: DataFrame, mixed: DataFrame, points: DataFrame) -> DataFrame:
+    """(key, cell, block, id, n, at, component, counts, heads): an entry of a list of several blocks
+    comes once for each block that its own is paired with."""
     dealt = own.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     cells = dealt.select("*", other.alias("other")).withColumn("cell", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other"))
@@ -494,6 +498,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     alone = without(wide.where("n > 0 and id is not null").select("id", "n", "s1", "s2", "rare", "prefix"), stored(members.where("id <> rep").select("id", "s1", "s2").distinct(), "copies"))
     lists = stored(_entries(alone), "lists")
     points = stored(among(wide.select("id", "n", "counts", "fine", F.slice("prefix", 1, HEADS).alias("heads")), "id", stored(lists.select("id").distinct(), "in-lists")), "points")
+    sizes = stored(wide.select("id", "n"), "sizes")
+    same_id = stored(same_id, "same-id")
+    discard(wide)
 
     # First round: each document with the list leader that it shares most prefix shingles with.
     stars = lists.where("id <> leader").groupBy("id", "leader").count()
@@ -501,17 +508,22 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     pairs = best.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
     star = stored(_bounded(pairs, points, "counts"), "star")
     links = verified(star, points, docs, id_col, text_col)
+    discard(star)
     links = stored(links.unionByName(same_id), "links")
     found = stored(components(links), "first-round")
 
     # Second round: in long lists each document's best partner of another component. Third: the rest.
     for least, best_only in ((NODE + 1, True), (2, False)):
-        more = verified(stored(_tree_pairs(_places(lists, points, found, least), best_only), "candidates"), points, docs, id_col, text_col)
+        places = _places(lists, found, least)
+        candidates = stored(_tree_pairs(_cells(*places, points), best_only), "candidates")
+        discard(*places)
+        more = verified(candidates, points, docs, id_col, text_col)
+        discard(candidates)
         links = stored(links.unionByName(more), "all-links")
         found = stored(components(links), "round")
     discard(lists, points)
 
     ids = members.groupBy("id").agg(F.min("rep").alias("rep"))
     of_copies = ids.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("id", F.coalesce("component", "rep").alias("c"))
-    own = wide.select("id", "n").join(of_copies, "id", "left").join(found.select(F.col("node").alias("id"), "component"), "id", "left")
+    own = sizes.join(of_copies, "id", "left").join(found.select(F.col("node").alias("id"), "component"), "id", "left")
     return own.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "c", "id").alias("component_id"))

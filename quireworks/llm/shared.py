@@ -32,7 +32,7 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 #: Garbage is collected between stored tables, but not more often than this.
-GARBAGE_SECONDS = 4
+GARBAGE_SECONDS = 1.5
 _collected = 0.0
 
 
