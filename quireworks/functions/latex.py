@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip
+from .text import WHITE, once, strip
 
 # Environments whose begin and end are repaired.
 ENVIRONMENTS = [
@@ -222,26 +222,11 @@ def balance_braces(s: str) -> str:
     return "".join(c for i, c in enumerate(s) if i not in drop) if drop else s
 
 
-_DOLLAR = re.compile(r"(?<!\\)(?<!\$)\$(?!\$)")
-
-
-def space_inline_math(s: str) -> str:
-    """$$ as $; in a text with pairs of dollars only: no space inside a pair, some outside of it."""
-    s = s.replace("$$", "$")
-    parts = _DOLLAR.split(s)
-    if len(parts) < 3 or len(parts) % 2 == 0:
-        return s
-    out = parts[0]
-    for math, after in zip(parts[1::2], parts[2::2], strict=True):
-        out += (" " if out and not out[-1].isspace() else "") + f"${math.strip()}$"
-        out += (" " if after and not after[0].isspace() else "") + after
-    return out
-
-
 def tighten_spaces(s: str) -> str:
-    r"""Without spaces, but for those behind a backslash and between a \command and a letter or digit."""
-    s = re.sub(r"\s+", " ", s.strip())
-    return re.sub(r"(?<!\\) ", lambda m: " " if re.search(r"\\[A-Za-z]+$", s[: m.start()]) and s[m.end() : m.end() + 1].isalnum() else "", s)
+    r"""Without spaces, but for those behind a backslash and between a \command of two letters and more
+    and a letter or digit."""
+    keeps = lambda m: m[0] == "\\ " or (m[1] or "").isalpha()
+    return re.sub(r"\\(\w{2,}) (?=[^\W_])|\\ | ", lambda m: m[0] if keeps(m) else m[0][:-1], re.sub(r"\s+", " ", s))
 
 
 def _batched(rule):
@@ -270,20 +255,23 @@ def equation(c: Column) -> Column:
     return escape_percent(c)
 
 
-def close_environments_col(c: Column) -> Column:
-    return _batched(close_environments)(c)
-
-
-def balance_delimiters_col(c: Column) -> Column:
-    return _batched(balance_delimiters)(c)
+def inline_math(c: Column) -> Column:
+    """$$ as $; in a text with pairs of dollars only: no space inside a pair, some outside of it."""
+    white = "[" + "".join(f"\\x{{{ord(w):x}}}" for w in WHITE) + "]"
 
+    def spaced(parts: Column) -> Column:
+        """Even parts are text, odd ones formulas."""
 
-def balance_braces_col(c: Column) -> Column:
-    return _batched(balance_braces)(c)
+        def piece(x: Column, i: Column) -> Column:
+            before = F.get(parts, i - 1)
+            first = F.when((before == "") & (i == 1) | before.rlike(white + r"\z"), F.lit("")).otherwise(F.lit(" "))
+            text = F.when((i == 0) | (x == "") | x.rlike("^" + white), x).otherwise(F.concat(F.lit(" "), x))
+            return F.when(i % 2 == 1, F.concat(first, F.lit("$"), strip(x), F.lit("$"))).otherwise(text)
 
+        return F.when((F.size(parts) < 3) | (F.size(parts) % 2 == 0), F.array_join(parts, "$")).otherwise(F.array_join(F.transform(parts, piece), ""))
 
-def inline_math(c: Column) -> Column:
-    return _batched(space_inline_math)(c)
+    # Dollars that split a text stand alone and behind no backslash.
+    return once(F.split(F.replace(c, F.lit("$$"), F.lit("$")), r"(?<!\\)(?<!\$)\$(?!\$)", -1), spaced)
 
 
 def count_left(c: Column) -> Column:

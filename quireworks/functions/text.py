@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
@@ -10,9 +12,18 @@ _WIDE = lambda s: "".join(chr(ord(c) + 0xFEE0) for c in s)
 _VISIBLE = "".join(chr(c) for c in range(0x21, 0x7F))
 
 
+#: All characters that count as white space.
+WHITE = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of c, with c computed once however often f uses it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def half_width(c: Column, marks: bool = False) -> Column:
@@ -62,7 +73,10 @@ def cjk(c: Column) -> Column:
 
 def joined_piece(c: Column) -> Column:
     """A span as it is joined to a paragraph: followed by a space unless CJK or hyphenated."""
-    s = strip(c)
+    return once(strip(c), _joined)
+
+
+def _joined(s: Column) -> Column:
     return F.when(s == "", F.lit("")).when(cjk(s) | ends_in_hyphen(s), s).otherwise(F.concat(s, F.lit(" ")))
 
 
@@ -86,6 +100,20 @@ def bucket_and_key(path: Column) -> Column:
     return F.struct(part(1).alias("bucket"), part(2).alias("key"))
 
 
-def positive_or(value: Column, default: int) -> Column:
-    n = F.expr("try_cast(v as int)") if isinstance(value, str) else value.try_cast("int")
+def positive_or(value: Column | str, default: int) -> Column:
+    """The value as a whole number where it is one above 0, else the default; a str names a column."""
+    n = (F.col(value) if isinstance(value, str) else value).try_cast("int")
     return F.when(n > 0, n).otherwise(F.lit(default))
+
+
+def repeated_grams(df: DataFrame, words: str, size: int) -> DataFrame:
+    """The other columns with (gram, n): runs of `size` words that come twice or more in a row's list of
+    words. Counted in the row: its sorted runs change where a new one begins, so nothing is shuffled."""
+    rest = [c for c in df.columns if c != words]
+    starts = F.sequence(F.lit(1), F.size(words) - (size - 1))
+    grams = F.array_sort(F.transform(starts, lambda i: F.array_join(F.slice(words, i, size), " ")))
+    some = df.where(F.size(words) >= size).select(*rest, grams.alias("g"))
+    first = F.filter(F.sequence(F.lit(0), F.size("g") - 1), lambda i: (i == 0) | (F.get("g", i) != F.get("g", i - 1)))
+    runs = some.select(*rest, "g", F.concat(first, F.array(F.size("g"))).alias("at"))
+    many = F.filter(F.transform(F.sequence(F.lit(0), F.size("at") - 2), lambda k: F.struct(F.get("g", F.get("at", k)).alias("gram"), (F.get("at", k + 1) - F.get("at", k)).cast("long").alias("n"))), lambda x: x["n"] > 1)
+    return runs.select(*rest, F.inline(many))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.geometry import bounds
 from ..functions.text import strip
@@ -39,14 +38,20 @@ def parse_layout(df: DataFrame, text: str = "output", key: str = "page_id", rect
     numbers are left out; an unknown angle is null. idx counts the rows that stay.
     rectangles: polygons become the rectangles around them.
     """
-    lines = df.select(key, F.posexplode(F.split(text, "\n")).alias("line_no", "line")).withColumn("line", strip(F.col("line")))
-    part = lambda k: F.regexp_extract("line", _LINE, k)
-    found = lines.where(F.col("line").rlike(_LINE)).select(key, "line_no", F.lower(part(2)).alias("type"), angle_of(part(3)).alias("angle"), F.transform(F.filter(F.split(part(1), " +"), lambda x: x != ""), lambda x: x.try_cast("int")).alias("points"))
-    good = (F.size("points") >= 4) & (F.size("points") % 2 == 0) & F.forall("points", lambda x: x.isNotNull() & (x >= 0) & (x <= 1000))
-    kept = found.where(F.col("type").isin(BLOCK_TYPES) & good)
-    box = normalised(F.col("points"))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy("line_no")) - 1
-    return kept.select(key, rank.cast("int").alias("idx"), "type", (bounds(box) if rectangles else box).alias("bbox"), "angle")
+    # Lines are dropped inside the row's array, so that those that stay are numbered without a shuffle.
+    lines = F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x.rlike(_LINE))
+    parts = F.transform(lines, lambda x: F.struct(
+        F.lower(F.regexp_extract(x, _LINE, 2)).alias("type"), angle_of(F.regexp_extract(x, _LINE, 3)).alias("angle"),
+        F.transform(F.filter(F.split(F.regexp_extract(x, _LINE, 1), " +"), lambda w: w != ""), lambda w: w.try_cast("int")).alias("points"),
+    ))
+
+    def good(x: Column) -> Column:
+        p = x["points"]
+        return x["type"].isin(BLOCK_TYPES) & (F.size(p) >= 4) & (F.size(p) % 2 == 0) & F.forall(p, lambda v: v.isNotNull() & (v >= 0) & (v <= 1000))
+
+    rows = df.select(key, F.posexplode(F.filter(parts, good)).alias("idx", "b"))
+    box = normalised(F.col("b.points"))
+    return rows.select(key, "idx", "b.type", (bounds(box) if rectangles else box).alias("bbox"), "b.angle")
 
 
 def to_extract(df: DataFrame, skip: list[str] | None = None) -> DataFrame:

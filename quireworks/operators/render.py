@@ -1,63 +1,16 @@
-"""Blocks to Markdown and to one nested document per page group."""
+"""What is drawn or cut out of a page: figures' text, paths of pictures, labels of overlays."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fold_title, half_width, joined_piece, strip, title_level
-from ..schema import PLAIN_TYPES
+from ..functions.text import strip
 
 
-def markdown_of(kind: Column, content: Column, level: Column | None = None) -> Column:
-    """Markdown of a block of one layer; blank if its type isn't rendered."""
-    m = joined_piece(half_width(content))
-    text = (
-        F.when(kind.isin(*PLAIN_TYPES), m)
-        .when(kind == "title", F.concat(F.repeat(F.lit("#"), title_level(level if level is not None else F.lit(1))), F.lit(" "), joined_piece(half_width(fold_title(content)))))
-        .when((kind == "char") & (F.length(content) > 5), content)
-        .when(kind.isin("interline_equation", "equation"), half_width(content))
-        .otherwise(F.lit(""))
-    )
-    return strip(text)
-
-
-def figure(captions: Column, footnotes: Column, link: Column) -> Column:
-    """An image with its captions in front if it has footnotes, else behind."""
-    lines = lambda parts: F.concat_ws("", F.transform(parts, lambda x: F.concat(joined_piece(x), F.lit("  \n"))))
-    behind = lambda parts: F.concat_ws("", F.transform(parts, lambda x: F.concat(F.lit("  \n"), joined_piece(x))))
-    picture = F.concat(F.lit("![]("), link, F.lit(")"))
-    return strip(F.when(F.size(footnotes) > 0, F.concat(lines(captions), picture, behind(footnotes))).otherwise(F.concat(picture, behind(captions))))
-
-
-def table_markdown(captions: Column, footnotes: Column, body: Column) -> Column:
-    lines = F.concat_ws("", F.transform(captions, lambda x: F.concat(joined_piece(x), F.lit("  \n"))))
-    notes = F.concat_ws("", F.transform(footnotes, lambda x: F.concat(F.lit("\n"), joined_piece(x), F.lit("  "))))
-    return strip(F.concat(lines, F.lit("\n"), body, F.lit("\n"), notes))
-
-
-def code_markdown(captions: Column, body: Column, language: Column, fenced: Column) -> Column:
-    lines = F.concat_ws("", F.transform(captions, lambda x: F.concat(joined_piece(x), F.lit("  \n"))))
-    return strip(F.concat(lines, F.when(fenced, F.concat(F.lit("```"), language, F.lit("\n"), body, F.lit("\n```"))).otherwise(body)))
-
-
-def render(blocks: DataFrame, by: str = "page_id") -> DataFrame:
-    """(by, markdown): rendered blocks in order, an empty line between; without any, no row."""
-    rows = blocks.withColumn("md", markdown_of(F.col("type"), F.col("content"))).where("md <> ''")
-    ordered = F.array_sort(F.collect_list(F.struct("idx", "md")))
-    return rows.groupBy(by).agg(F.array_join(F.transform(ordered, lambda x: x["md"]), "\n\n").alias("markdown"))
-
-
-def documents(blocks: DataFrame, width: int = 1000, height: int = 1000, version: str = "1.0.0") -> DataFrame:
-    """(page_id, document): one JSON document with its page's blocks, lines and spans in order."""
-    box = F.array("x0", "y0", "x1", "y1")
-    span = F.struct(box.alias("bbox"), F.col("type"), F.col("content"))
-    line = F.struct(box.alias("bbox"), F.array(span).alias("spans"))
-    block = F.struct(F.col("idx").alias("index"), F.col("type"), box.alias("bbox"), F.col("angle"), F.array(line).alias("lines"))
-    pages = blocks.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct(F.col("idx").alias("k"), block.alias("b")))).alias("bs"))
-    page = F.struct(F.transform("bs", lambda x: x["b"]).alias("para_blocks"), F.array().cast("array<string>").alias("discarded_blocks"), F.array(F.lit(width), F.lit(height)).alias("page_size"), F.lit(0).alias("page_idx"))
-    doc = F.struct(F.array(page).alias("pdf_info"), F.lit("vlm").alias("_backend"), F.lit(version).alias("_version_name"))
-    return pages.select("page_id", F.to_json(doc).alias("document"))
+def figure_text(content: Column) -> Column:
+    """Markdown of a scientific figure's text; empty if it has up to five characters."""
+    return strip(F.when(F.length(content) > 5, content).otherwise(F.lit("")))
 
 
 def image_path(kind: Column, digest: Column, page: Column, box: Column) -> Column:

@@ -99,14 +99,28 @@ def reading_order(df: DataFrame) -> DataFrame:
     return df.withColumn("order", (F.row_number().over(w) - 1).cast("int"))
 
 
-def two_layer(df: DataFrame, kind: str) -> DataFrame:
-    """(page_id, sub_idx, captions, footnotes, children): each body with its parts in order."""
+def family_parts(df: DataFrame, kind: str, beside: bool = True) -> DataFrame:
+    """(page_id, sub_idx, idx, part): the parts of each body, itself included. beside: footnotes stand
+    behind their body, and only runs without gaps count; else captions are taken as they are."""
     bodies = without_contained(df.where(F.col("type") == kind))
-    caps = contiguous(attach(df, kind, "caption").withColumnRenamed("obj_idx", "idx"), True).where("kept").select("page_id", "sub_idx", "idx", F.lit("caption").alias("part"))
-    notes = reassign_footnotes(attach(df, kind, "footnote"), bodies).where("sub_idx is not null").withColumnRenamed("obj_idx", "idx")
-    notes = contiguous(notes, False).where("kept").select("page_id", "sub_idx", "idx", F.lit("footnote").alias("part"))
     own = bodies.select("page_id", F.col("idx").alias("sub_idx"), "idx", F.lit("body").alias("part"))
-    all_ = own.unionByName(caps).unionByName(notes)
+    caps = attach(df, kind, "caption").withColumnRenamed("obj_idx", "idx")
+    notes = attach(df, kind, "footnote")
+    if beside:
+        caps = contiguous(caps, True).where("kept")
+        notes = reassign_footnotes(notes, bodies).where("sub_idx is not null")
+    notes = notes.withColumnRenamed("obj_idx", "idx")
+    if beside:
+        notes = contiguous(notes, False).where("kept")
+    for rows, part in ((caps, "caption"), (notes, "footnote")):
+        own = own.unionByName(rows.select("page_id", "sub_idx", "idx", F.lit(part).alias("part")))
+    return own
+
+
+def two_layer(df: DataFrame, kind: str) -> DataFrame:
+    """(page_id, sub_idx, captions, footnotes, children): each body with its parts in order. Blocks
+    are dealt out by page once, and all joins reuse that."""
+    all_ = family_parts(df.repartition("page_id"), kind)
     count = lambda p: F.sum((F.col("part") == p).cast("int")).alias(f"{p}s")
     return all_.groupBy("page_id", "sub_idx").agg(count("caption"), count("footnote"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "part"))), lambda x: F.concat(x["idx"].cast("string"), F.lit(":"), x["part"])), ",").alias("children"))
 

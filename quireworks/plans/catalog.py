@@ -11,7 +11,7 @@ from ..functions import geometry as G
 from ..functions import latex as L
 from ..functions import tables as TB
 from ..functions import text as X
-from ..operators import layout, render, structure, suppress
+from ..operators import assemble, layout, render, structure, suppress
 from ..schema import PROMPTS
 from ..sources import derived as D
 
@@ -36,7 +36,14 @@ _BOX = ("x0", "y0", "x1", "y1")
 _IN = lambda a, b: f"({b}.x0 >= {a}.x0 AND {b}.y0 >= {a}.y0 AND {b}.x1 <= {a}.x1 AND {b}.y1 <= {a}.y1)"
 _MEET = lambda a, b: f"(greatest(least({a}.x1, {b}.x1) - greatest({a}.x0, {b}.x0), 0) * greatest(least({a}.y1, {b}.y1) - greatest({a}.y0, {b}.y0), 0))"
 _AREA = lambda a: f"(({a}.x1 - {a}.x0) * ({a}.y1 - {a}.y0))"
-_ALONE = lambda kinds: f"SELECT a.* FROM (SELECT * FROM blocks WHERE type = '{kinds}') a WHERE NOT EXISTS (SELECT 1 FROM blocks b WHERE b.type = '{kinds}' AND b.page_id = a.page_id AND b.idx <> a.idx AND {_IN('b', 'a')})"
+_KIND = "CASE WHEN {0}.type = 'algorithm' THEN 'code' ELSE {0}.type END"
+_WHITE = "".join(f"\\x{{{ord(c):X}}}" for c in X.WHITE)
+_STRIP = lambda c: f"regexp_replace({c}, '^[{_WHITE}]+|[{_WHITE}]+$', '', 'g')"
+
+
+def _alone(kind: str, codes: bool = False) -> str:
+    own = lambda t: f"{_KIND.format(t)} = 'code'" if codes and kind == "code" else f"{t}.type = '{kind}'"
+    return f"SELECT a.* FROM blocks a WHERE {own('a')} AND NOT EXISTS (SELECT 1 FROM blocks b WHERE {own('b')} AND b.page_id = a.page_id AND b.idx <> a.idx AND {_IN('b', 'a')})"
 
 
 def _nearest(sub: str, obj: str) -> str:
@@ -44,7 +51,7 @@ def _nearest(sub: str, obj: str) -> str:
   (SELECT page_id, obj_idx, sub_idx FROM (
     SELECT o.page_id, o.idx AS obj_idx, s.idx AS sub_idx, row_number() OVER (PARTITION BY o.page_id, o.idx ORDER BY abs(o.idx - s.idx),
       round(sqrt(((o.x0 + o.x1) / 2.0 - (s.x0 + s.x1) / 2.0) ** 2 + ((o.y0 + o.y1) / 2.0 - (s.y0 + s.y1) / 2.0) ** 2), 9), s.idx) AS r
-    FROM ({_ALONE(obj)}) o JOIN ({_ALONE(sub)}) s ON o.page_id = s.page_id) WHERE r = 1)"""
+    FROM ({_alone(obj, True)}) o JOIN ({_alone(sub, True)}) s ON o.page_id = s.page_id) WHERE r = 1)"""
 
 
 _CAPTIONS = f", captions AS {_nearest('image', 'image_caption')}"
@@ -85,7 +92,7 @@ def nearest_caption(spark, d):
     return structure.attach(D.blocks(spark, d), "image", "caption")
 
 
-_MOVED = _NOTES + f""", bodies AS ({_ALONE('table')}), moved AS (
+_MOVED = _NOTES + f""", bodies AS ({_alone('table')}), moved AS (
   SELECT page_id, obj_idx, sub_idx FROM notes WHERE obj_idx > sub_idx UNION ALL
   SELECT n.page_id, n.obj_idx, max(b.idx) FROM notes n LEFT JOIN bodies b ON b.page_id = n.page_id AND b.idx <= n.obj_idx AND b.idx <> n.sub_idx
   WHERE n.obj_idx < n.sub_idx GROUP BY n.page_id, n.obj_idx)"""
@@ -174,12 +181,12 @@ def projection_overlap(spark, d):
     return _pairs(spark, d).select("page_id", "a_idx", "b_idx", F.round(G.column_overlap(G.box("a_"), G.box("b_")), 6).alias("share"))
 
 
-@query(f""", t AS (SELECT * FROM blocks WHERE type = 'table' AND page_id IN (SELECT page_id FROM blocks WHERE type = 'table' GROUP BY 1 HAVING count(*) >= 3)),
+@query(f""", t AS (SELECT * FROM stacked_tables WHERE page_id IN (SELECT page_id FROM stacked_tables GROUP BY 1 HAVING count(*) >= 3)),
   held AS (SELECT a.page_id, a.idx AS idx, {_AREA('a')} AS own, b.idx AS bi, b.x0, b.y0, b.x1, b.y1 FROM t a JOIN t b ON a.page_id = b.page_id AND a.idx <> b.idx AND 10 * {_MEET('a', 'b')} >= 8 * {_AREA('b')})
   SELECT page_id, idx FROM held h GROUP BY page_id, idx HAVING count(*) >= 3 AND 10 * sum({_AREA('h')}) > 8 * min(own)
   AND NOT EXISTS (SELECT 1 FROM held x JOIN held y ON x.page_id = y.page_id AND x.idx = y.idx AND x.bi < y.bi AND {_MEET('x', 'y')} > 0 WHERE x.page_id = h.page_id AND x.idx = h.idx)""")
 def nested_table_filter(spark, d):
-    return structure.nested_tables(D.blocks(spark, d))
+    return structure.nested_tables(D.stacked_tables(spark, d))
 
 
 @query()
@@ -193,11 +200,11 @@ def suppressed_boxes(spark, d):
     return suppress.suppress(D.detections(spark, d))
 
 
-@query(r""" SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN content ELSE regexp_replace(content, '([^\s])?\$ x \$([^\s])?', '\1 $x$ \2') END AS content,
-  CAST(CASE WHEN doc_id % 5 = 0 THEN 3 ELSE 2 END AS INTEGER) AS dollars FROM text_math WHERE substr(content, 40, 1) NOT IN (' ', chr(9)) AND substr(content, 46, 1) NOT IN ('', ' ', '$', chr(9))""")
+@query(f""" SELECT doc_id, CASE WHEN doc_id % 5 = 0 AND b <> '' THEN a || '$ x $' || b || '$' ELSE
+    a || CASE WHEN a = '' OR regexp_matches(right(a, 1), '[{_WHITE}]') THEN '' ELSE ' ' END || '$x$' || CASE WHEN b = '' OR regexp_matches(left(b, 1), '[{_WHITE}]') THEN '' ELSE ' ' END || b END AS content,
+  CAST(CASE WHEN doc_id % 5 = 0 THEN 3 ELSE 2 END AS INTEGER) AS dollars FROM split_math""")
 def inline_math(spark, d):
-    t = D.text_math(spark, d).where("substr(content, 40, 1) not in (' ', '\t') and substr(content, 46, 1) not in ('', ' ', '$', '\t')")
-    return t.select("doc_id", L.inline_math(F.col("content")).alias("content"), F.regexp_count("content", F.lit(r"\$")).alias("dollars"))
+    return D.text_math(spark, d).select("doc_id", L.inline_math(F.col("content")).alias("content"), F.regexp_count("content", F.lit(r"\$")).alias("dollars"))
 
 
 @query(r""" SELECT p_partkey, CASE WHEN p_partkey % 8 = 1 THEN '$' || split_part(latex, ' ', 1) || '$ ' || split_part(latex, ' ', 2) WHEN p_partkey % 8 = 2 THEN '$y=f$ (x)'
@@ -222,21 +229,16 @@ _WIDE_LETTERS, _LETTERS = X._WIDE(X._LETTERS), X._LETTERS
 
 
 @query(f"""SELECT doc_id, translate(t, '{_WIDE_LETTERS}', '{_LETTERS}') AS letters, translate(t, '{_WIDE.replace("'", "''")}', '{X._VISIBLE.replace("'", "''")}') AS all_marks
-  FROM (SELECT doc_id, translate(substr(text, 1, 200), '{_LETTERS}.,', '{_WIDE_LETTERS}．，') AS t FROM documents)""")
+  FROM (SELECT doc_id, translate(text, '{_LETTERS}.,', '{_WIDE_LETTERS}．，') AS t FROM documents)""")
 def fullwidth(spark, d):
-    wide = F.translate(F.substring("text", 1, 200), _LETTERS + ".,", _WIDE_LETTERS + "．，")
+    wide = F.translate("text", _LETTERS + ".,", _WIDE_LETTERS + "．，")
     t = D.table(spark, d, "documents").select("doc_id", wide.alias("t"))
     return t.select("doc_id", X.half_width(F.col("t")).alias("letters"), X.half_width(F.col("t"), marks=True).alias("all_marks"))
 
 
-@query("""SELECT l_orderkey, '<table border="1">' || string_agg('<tr><td>' || l_returnflag || '</td>' ||  '<td>' || l_linestatus || '</td><td>' || l_linenumber || '</td></tr>', '' ORDER BY i) || '</table>' AS html
-  FROM ranked_items GROUP BY l_orderkey HAVING count(*) < 3""")
-def otsl_html_plain(spark, d):
-    t = D.otsl_tables(spark, d).where(~F.col("otsl").contains("<lcel>"))
-    return t.select("l_orderkey", TB.otsl_html(F.col("otsl")).alias("html"))
-
-
-@query()
+@query(""", t AS (SELECT *, coalesce(lead(i) OVER (PARTITION BY l_orderkey ORDER BY i) % 4 = 0, false) AS high FROM ranked_items)
+  SELECT l_orderkey, '<table border="1">' || string_agg('<tr>' || CASE WHEN i % 3 = 0 THEN '<td colspan="2">' || l_returnflag || '</td>' ELSE '<td>' || l_returnflag || '</td><td>' || l_linestatus || '</td>' END ||
+    CASE WHEN i % 4 = 0 THEN '' ELSE CASE WHEN high THEN '<td rowspan="2">' ELSE '<td>' END || l_linenumber || '</td>' END || '</tr>', '' ORDER BY i) || '</table>' AS html FROM t GROUP BY l_orderkey""")
 def otsl_html(spark, d):
     return D.otsl_tables(spark, d).select("l_orderkey", TB.otsl_html(F.col("otsl")).alias("html"))
 
@@ -248,15 +250,59 @@ def otsl_cells(spark, d):
     return TB.otsl_cells(D.otsl_tables(spark, d), "l_orderkey", "otsl")
 
 
-@query(r""", shown AS (SELECT page_id, idx, CASE WHEN type = 'title' THEN '# ' || c ELSE c END AS md FROM (SELECT page_id, idx, type, regexp_replace(content, '^\s+|\s+$', '', 'g') AS c FROM blocks WHERE type IN ('text', 'ref_text', 'header', 'title')) WHERE type = 'title' OR c <> '')
-  SELECT page_id, string_agg(regexp_replace(md, '\s+$', ''), chr(10) || chr(10) ORDER BY idx) AS markdown FROM shown GROUP BY page_id""")
+def _family(kind: str, beside: bool) -> tuple[str, str]:
+    """Relations of a family's members, and its parts."""
+    body, caps, notes = f"{kind}_bodies", f"{kind}_caps", f"{kind}_notes"
+    made = f""", {body} AS ({_alone(kind, True)}), {caps} AS {_nearest(kind, kind + '_caption')}, {notes} AS {_nearest(kind, kind + '_footnote')}, {kind}_moved AS (
+      SELECT page_id, obj_idx, sub_idx FROM {notes} WHERE obj_idx > sub_idx UNION ALL
+      SELECT n.page_id, n.obj_idx, max(b.idx) FROM {notes} n LEFT JOIN {body} b ON b.page_id = n.page_id AND b.idx <= n.obj_idx AND b.idx <> n.sub_idx WHERE n.obj_idx < n.sub_idx GROUP BY n.page_id, n.obj_idx)"""
+    in_run = lambda rel, down: f"SELECT page_id, idx, sub_idx FROM {_runs(rel, down)} WHERE kept"
+    captions = in_run(caps, True) if beside else f"SELECT page_id, obj_idx, sub_idx FROM {caps}"
+    footnotes = in_run(f"(SELECT * FROM {kind}_moved WHERE sub_idx IS NOT NULL)", False) if beside else f"SELECT page_id, obj_idx, sub_idx FROM {notes}"
+    rows = [f"SELECT page_id, idx, idx AS top, '{kind}' AS owner, 'body' AS part FROM {body}", *(f"SELECT *, '{kind}', '{part}' FROM ({q})" for part, q in (("caption", captions), ("footnote", footnotes)))]
+    return made, " UNION ALL ".join(rows)
+
+
+_FAMILY = [_family(k, beside) for k, beside in assemble.FAMILIES.items()]
+_LOOSE = ", ".join(f"'{k}{p}'" for k in ("image", "table", "code", "algorithm") for p in ("", "_caption", "_footnote"))
+_KINDS = ", ".join(f"'{k}'" for k in [*assemble.FAMILIES, *assemble._SHOWN])
+_PAGE = f"""{_LISTS}{''.join(m for m, _ in _FAMILY)}, used AS ({' UNION ALL '.join(q for _, q in _FAMILY)}),
+  subtypes AS (SELECT page_id, list_idx, CASE WHEN 2 * count(*) FILTER (type = 'text') >= count(*) THEN 'text' ELSE 'ref_text' END AS sub_type FROM members GROUP BY ALL),
+  placed AS (SELECT b.page_id, b.idx, coalesce(u.top, m.list_idx, b.idx) AS top_idx, coalesce(u.owner, CASE WHEN m.list_idx IS NOT NULL THEN 'list' WHEN b.type IN ({_LOOSE}) THEN 'text' WHEN b.type = 'equation' THEN 'interline_equation' ELSE b.type END) AS kind,
+    coalesce(u.part, CASE WHEN m.list_idx IS NOT NULL THEN 'item' ELSE 'self' END) AS part, b.type AS own, CASE WHEN u.part = 'body' AND u.owner = 'code' THEN b.type ELSE s.sub_type END AS sub_type,
+    CASE WHEN b.type IN ('code', 'algorithm') THEN regexp_replace(b.content, '^<_.*?_>', '') WHEN b.type IN ('image', 'table') AND u.owner IS NULL THEN '' ELSE b.content END AS c, b.content
+    FROM blocks b LEFT JOIN used u USING (page_id, idx) LEFT JOIN members m USING (page_id, idx) LEFT JOIN subtypes s ON s.page_id = b.page_id AND s.list_idx = b.idx),
+  page AS (SELECT *, CASE WHEN part = 'item' AND own = 'ref_text' THEN 1 WHEN kind = 'list' AND part = 'self' THEN -1 ELSE 0 END AS late, {_STRIP("CASE WHEN own = 'title' THEN regexp_replace(c, chr(10) || '[" + _WHITE + "]*', ' ', 'g') ELSE c END")} AS t
+    FROM placed WHERE kind IN ({_KINDS}) AND (kind <> 'list' OR part = 'item' OR sub_type IS NOT NULL))"""
+
+
+@query(_PAGE + """ SELECT page_id, top_idx, kind, max(sub_type) AS sub_type, string_agg(idx || ':' || part, ',' ORDER BY late, idx) AS parts FROM page GROUP BY page_id, top_idx, kind""")
+def page_paragraphs(spark, d):
+    parts = F.array_join(F.transform("parts", lambda x: F.concat(x["idx"].cast("string"), F.lit(":"), x["part"])), ",")
+    return assemble.paragraphs(D.blocks(spark, d)).select("page_id", "top_idx", "kind", "sub_type", parts.alias("parts"))
+
+
+_BREAK = "'  ' || chr(10)"
+_PIECES = f"""{_PAGE}, pieces AS (SELECT *, CASE WHEN own = 'equation' OR t = '' OR regexp_matches(t, '[A-Za-z]+-$') THEN t ELSE t || ' ' END AS p FROM page),
+  paras AS (SELECT page_id, top_idx, kind, bool_or(part = 'footnote') AS noted, max(sub_type) AS sub_type, coalesce(string_agg(p || {_BREAK}, '' ORDER BY idx) FILTER (part = 'caption'), '') AS above,
+    coalesce(string_agg({_BREAK} || p, '' ORDER BY idx) FILTER (part = 'caption'), '') AS below, coalesce(string_agg({_BREAK} || p, '' ORDER BY idx) FILTER (part = 'footnote'), '') AS notes,
+    coalesce(string_agg(chr(10) || p || '  ', '' ORDER BY idx) FILTER (part = 'footnote'), '') AS table_notes, string_agg(p || {_BREAK}, '' ORDER BY late, idx) FILTER (part = 'item') AS items,
+    max(p) FILTER (part IN ('body', 'self')) AS p, max(c) FILTER (part IN ('body', 'self')) AS c, bool_or(part = 'body' AND starts_with(content, '<_')) AS marked FROM pieces GROUP BY page_id, top_idx, kind),
+  shown AS (SELECT page_id, top_idx, {_STRIP("""CASE kind WHEN 'image' THEN CASE WHEN noted THEN above || notes ELSE below END WHEN 'table' THEN above || CASE WHEN c <> '' THEN chr(10) || c || chr(10) ELSE '' END || table_notes
+    WHEN 'code' THEN above || CASE WHEN sub_type = 'code' THEN '```' || CASE WHEN marked THEN 'python' ELSE 'txt' END || chr(10) || p || chr(10) || '```' ELSE p END
+    WHEN 'list' THEN items WHEN 'title' THEN '# ' || p WHEN 'char' THEN CASE WHEN length(c) > 5 THEN c ELSE '' END WHEN 'seal' THEN '' WHEN 'page_number' THEN '' ELSE p END""")} AS md FROM paras)
+  SELECT page_id, string_agg(md, chr(10) || chr(10) ORDER BY top_idx) AS markdown FROM shown WHERE md <> '' GROUP BY page_id"""
+
+
+@query(_PIECES)
 def render_markdown(spark, d):
-    return render.render(layout.kept_blocks(D.blocks(spark, d)))
+    return assemble.markdown(D.blocks(spark, d))
 
 
 @query()
 def doc_json(spark, d):
-    return render.documents(layout.kept_blocks(D.blocks(spark, d)))
+    pages = assemble.page_info(D.blocks(spark, d)).select("page_id", F.floor(F.col("page_id") / 3).alias("doc_id"), (F.col("page_id") % 3).cast("int").alias("page_idx"), "info")
+    return assemble.documents(pages)
 
 
 @query("SELECT doc_id, upper(md5(text)) AS md5_upper, md5(text) AS md5_lower, sha256(text) AS sha FROM documents")
@@ -276,9 +322,7 @@ def page_projection(spark, d):
 @query(r"""SELECT doc_id, gram, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram
   FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents))) GROUP BY ALL HAVING count(*) > 1""")
 def repeated_ngrams(spark, d):
-    w = D.table(spark, d, "documents").select("doc_id", F.split("text", " ").alias("w")).where(F.size("w") >= 3)
-    grams = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, 3), " "))
-    return w.select("doc_id", F.explode(grams).alias("gram")).groupBy("doc_id", "gram").agg(F.count("*").alias("n")).where("n > 1")
+    return X.repeated_grams(D.table(spark, d, "documents").select("doc_id", F.split("text", " ").alias("w")), "w", 3)
 
 
 @query(" SELECT page_id, idx, CAST(greatest(least(idx - 1, 4), 0) AS INTEGER) AS level FROM blocks WHERE type = 'title'")
@@ -286,10 +330,9 @@ def title_level(spark, d):
     return D.blocks(spark, d).where("type = 'title'").select("page_id", "idx", X.title_level(F.col("idx") - 1).alias("level"))
 
 
-@query(" SELECT page_id, idx, content FROM blocks WHERE length(content) > 5")
+@query(f" SELECT page_id, idx, {_STRIP('content')} AS md FROM blocks WHERE length(content) > 5 AND {_STRIP('content')} <> ''")
 def figure_filter(spark, d):
-    b = D.blocks(spark, d).withColumn("md", render.markdown_of(F.lit("char"), F.col("content")))
-    return b.where(F.length("content") > 5).select("page_id", "idx", "content")
+    return D.blocks(spark, d).select("page_id", "idx", render.figure_text(F.col("content")).alias("md")).where("md <> ''")
 
 
 @query(""" SELECT page_id, idx, CAST(row_number() OVER (PARTITION BY page_id ORDER BY idx) AS VARCHAR) || '+' || angle AS label FROM blocks""")

@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# Types by slot.
-TEMPLATE_A = ["title", "text", "table_caption", "table", "table_footnote", "text", "image", "image_caption", "image_caption", "text", "list", "text", "text", "ref_text", "header", "equation_block"]
-TEMPLATE_B = ["image", "text", "image_caption", "text", "image", "table", "table_footnote", "table", "table_caption", "text", "list", "text", "text", "ref_text", "header", "equation_block"]
-LINES = 24
+# Types by slot, for pages by the remainder of their number.
+TEMPLATES = [
+    ["image", "text", "image_caption", "text", "image", "table", "table_footnote", "table", "table_caption", "text", "list", "text", "text", "ref_text", "header", "equation_block"],
+    ["code_caption", "code", "text", "image_footnote", "image", "equation", "char", "seal", "algorithm", "text", "phonetic", "table", "image_footnote", "page_number", "title", "unknown"],
+    ["title", "text", "table_caption", "table", "table_footnote", "text", "image", "image_caption", "image_caption", "text", "list", "text", "text", "ref_text", "header", "equation_block"],
+]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,19 +20,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def doc_lines(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("page_id"), F.slice(F.split("text", "\n"), 1, LINES).alias("lines"))
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("page_id"), F.split("text", "\n").alias("lines"))
     return docs.select("page_id", F.posexplode("lines").alias("idx", "content"))
 
 
 def blocks(spark: SparkSession, folder: str) -> DataFrame:
     i, p = F.col("idx").cast("long"), F.col("page_id")
-    names = lambda t: F.array(*map(F.lit, t))
-    kind = F.when(p % 3 == 0, F.get(names(TEMPLATE_B), (i % 16).cast("int"))).otherwise(F.get(names(TEMPLATE_A), ((i + 3 * p + (i * i) % 5) % 16).cast("int")))
+    names = [F.array(*map(F.lit, t)) for t in TEMPLATES]
+    kind = F.when(p % 3 == 0, F.get(names[0], (i % 16).cast("int"))).when(p % 3 == 1, F.get(names[1], ((i + p) % 16).cast("int"))).otherwise(F.get(names[2], ((i + 3 * p + (i * i) % 5) % 16).cast("int")))
     same = (F.col("type") == "image") & (p % 7 == 0)
     width = F.when(F.col("type") == "list", 299).when(same, 200).otherwise(20 + (i * 53 + p * 7) % 120)
     height = F.when(F.col("type") == "list", 299).when(same, 200).otherwise(10 + (i * 31 + p * 3) % 60)
     d = doc_lines(spark, folder).withColumn("type", kind)
     d = d.withColumns({"x0": F.when(same, 100).otherwise((i * 137 + p * 61) % 700).cast("int"), "y0": F.when(same, 100).otherwise((i * 89 + p * 17) % 700).cast("int"), "w": width.cast("int"), "h": height.cast("int")})
+    marked = F.when(F.col("type").isin("code", "algorithm") & (F.col("idx") % 2 == 0), F.concat(F.lit("<_Python_>"), "content")).otherwise(F.col("content"))
+    d = d.withColumn("content", marked)
     return d.select("page_id", "idx", "type", "x0", "y0", (F.col("x0") + F.col("w")).alias("x1"), (F.col("y0") + F.col("h")).alias("y1"), ((F.col("idx") % 4) * 90).cast("int").alias("angle"), "content")
 
 
@@ -67,12 +71,22 @@ def equations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def text_math(spark: SparkSession, folder: str) -> DataFrame:
-    plain = F.replace(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), F.lit("$"), F.lit(""))
-    d = table(spark, folder, "documents").select("doc_id", plain.alias("t"))
-    content = F.concat(F.substring("t", 1, 40), F.lit("$ x $"), F.substring("t", 41, 20), F.when(F.col("doc_id") % 5 == 0, F.lit("$")).otherwise(F.lit("")))
+    plain = F.translate(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), "$\\", "")
+    d = table(spark, folder, "documents").select("doc_id", F.coalesce(plain, F.lit("")).alias("t"))
+    content = F.concat(F.expr("substring(t, 1, 40)"), F.lit("$ x $"), F.expr("substring(t, 41)"), F.when(F.col("doc_id") % 5 == 0, F.lit("$")).otherwise(F.lit("")))
     return d.select("doc_id", content.alias("content"))
 
 
+def stacked_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages whose first box is a table around the others, which lie below each other, some too close."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    r = table(spark, folder, "lineitem").withColumn("i", F.row_number().over(w)).select(F.col("l_orderkey").alias("page_id"), F.col("i").alias("idx"), "l_partkey")
+    high = F.when(F.col("l_partkey") % 7 == 0, 110).otherwise(95)
+    first, n = F.col("idx") == 1, F.count("*").over(Window.partitionBy("page_id"))
+    y0 = F.when(first, 0).otherwise((F.col("idx") - 2) * 100)
+    return r.select("page_id", "idx", F.lit("table").alias("type"), F.lit(0).alias("x0"), y0.alias("y0"), F.lit(200).alias("x1"), (y0 + F.when(first, n * 100).otherwise(high)).cast("int").alias("y1"))
+
+
 def detections(spark: SparkSession, folder: str) -> DataFrame:
     kind = F.when(F.col("type") == "table", 5).when(F.col("type") == "text", 1).when(F.col("type").endswith("_caption"), 4).otherwise(6)
     poly = F.array(*(F.col(c).cast("double") for c in ("x0", "y0", "x1", "y0", "x1", "y1", "x0", "y1")))
@@ -88,10 +102,11 @@ SQL = f"""
 WITH split_docs AS (SELECT doc_id AS page_id, string_split(text, chr(10)) AS parts FROM documents),
 doc_lines AS (
   SELECT page_id, CAST(i - 1 AS INTEGER) AS idx, parts[i] AS content
-  FROM (SELECT page_id, parts, unnest(range(1, least(len(parts), {LINES}) + 1)) AS i FROM split_docs)),
+  FROM (SELECT page_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM split_docs)),
 typed AS (
-  SELECT *, CASE WHEN page_id % 3 = 0 THEN {_list(TEMPLATE_B)}[idx % 16 + 1]
-    ELSE {_list(TEMPLATE_A)}[(idx + 3 * page_id + (idx * idx) % 5) % 16 + 1] END AS type FROM doc_lines),
+  SELECT * REPLACE (CASE WHEN type IN ('code', 'algorithm') AND idx % 2 = 0 THEN '<_Python_>' || content ELSE content END AS content) FROM (
+    SELECT *, CASE page_id % 3 WHEN 0 THEN {_list(TEMPLATES[0])}[idx % 16 + 1] WHEN 1 THEN {_list(TEMPLATES[1])}[(idx + page_id) % 16 + 1]
+      ELSE {_list(TEMPLATES[2])}[(idx + 3 * page_id + (idx * idx) % 5) % 16 + 1] END AS type FROM doc_lines)),
 sized AS (
   SELECT *, CAST(CASE WHEN type = 'image' AND page_id % 7 = 0 THEN 100 ELSE (idx * 137 + page_id * 61) % 700 END AS INTEGER) AS x0,
     CAST(CASE WHEN type = 'image' AND page_id % 7 = 0 THEN 100 ELSE (idx * 89 + page_id * 17) % 700 END AS INTEGER) AS y0,
@@ -102,6 +117,7 @@ ranked_items AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l
 equations AS (SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN '\\[\\frac{{1}}{{' || p_size || '}}\\]' WHEN 1 THEN 'E=mc^' || p_size || ' (' || p_size || '-1)' WHEN 2 THEN 'y=f(x)'
   WHEN 3 THEN '\\begin{{align}}\\begin{{bmatrix}}' || p_size || '&1' WHEN 4 THEN 'a≤' || p_size || '×b→c' WHEN 5 THEN '\\left( x + ' || p_size WHEN 6 THEN 'a}}' || p_size || '{{c 5%'
   ELSE 'x_' || p_size || ' tag{{' || p_size || '}}' END AS latex FROM part),
-text_math AS (SELECT doc_id, substr(t, 1, 40) || '$ x $' || substr(t, 41, 20) || CASE WHEN doc_id % 5 = 0 THEN '$' ELSE '' END AS content
-  FROM (SELECT doc_id, replace(replace(text, chr(10), ' '), '$', '') AS t FROM documents))
+split_math AS (SELECT doc_id, substr(t, 1, 40) AS a, substr(t, 41) AS b FROM (SELECT doc_id, translate(replace(coalesce(text, ''), chr(10), ' '), '$\', '') AS t FROM documents)),
+stacked_tables AS (SELECT l_orderkey AS page_id, i AS idx, 0 AS x0, CASE WHEN i = 1 THEN 0 ELSE (i - 2) * 100 END AS y0, 200 AS x1,
+  CASE WHEN i = 1 THEN count(*) OVER (PARTITION BY l_orderkey) * 100 ELSE (i - 2) * 100 + CASE WHEN l_partkey % 7 = 0 THEN 110 ELSE 95 END END AS y1 FROM ranked_items)
 """

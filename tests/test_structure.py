@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from quireworks.operators import inference, layout, render, structure, suppress
+from quireworks.operators import assemble, inference, layout, structure, suppress
 from quireworks.plans.catalog import ORACLES, QUERIES
 from quireworks.sources import files
 from quireworks.streaming import layouts
@@ -79,8 +79,9 @@ def test_suppress_routes_categories():
 
 def test_render(spark):
     b = blocks(spark, (0, "title", (0, 0, 1, 1), "A\n b"), (1, "text", (0, 0, 1, 1), "ＡＢ"), (2, "seal", (0, 0, 1, 1), "no"), (3, "char", (0, 0, 1, 1), "12345"), (4, "char", (0, 0, 1, 1), "123456"), (5, "text", (0, 0, 1, 1), None))
-    assert render.render(b).first().markdown == "# A b\n\nAB\n\n123456"
-    assert '"_version_name":"1.0.0"' in render.documents(b).first().document
+    assert assemble.markdown(b).first().markdown == "# A b\n\nAB\n\n123456"
+    pages = assemble.page_info(b).selectExpr("7L doc_id", "0 page_idx", "info")
+    assert '"_version_name":"1.0.0"' in assemble.documents(pages).first().document
 
 
 def test_models_keep_keys(spark):
