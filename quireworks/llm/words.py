@@ -30,18 +30,15 @@ def _odd(seed: int, n: int) -> np.ndarray:
     return splitmix(np.arange(n, dtype=U64) + U64(seed << 32)) | U64(1)
 
 
-def _values(place: np.ndarray, byte: np.ndarray) -> np.ndarray:
-    """A number without structure for each byte at each place of a span."""
-    with np.errstate(over="ignore"):
-        return splitmix(splitmix(place) + byte.astype(U64))
-
-
 _NEAR = 64
 _BYTE = np.arange(256)
 _LOWER = _BYTE + 32 * ((_BYTE >= 65) & (_BYTE <= 90))
 _PLACE = _odd(2, 64)
-#: The values of the first _NEAR places, as they are and with A-Z as a-z.
-_TABLES = [_values(np.repeat(np.arange(_NEAR, dtype=U64), 256), np.tile(t, _NEAR)) for t in (_BYTE, _LOWER)]
+#: An unrelated number for each of _NEAR places and each byte, as it is and with A-Z as a-z. Places
+#: further on take them again, times a number of their own for each stretch of _NEAR.
+_TABLES = [splitmix(splitmix(np.repeat(np.arange(_NEAR, dtype=U64), 256)) + np.tile(t, _NEAR).astype(U64)) for t in (_BYTE, _LOWER)]
+
+
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, *range(9, 14)]] = True
 
@@ -66,20 +63,16 @@ class Texts:
         return self.raw[self.at[i] : self.at[i + 1]].tobytes().decode()
 
     def span_hashes(self, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
-        """64-bit hashes of byte ranges of raw: sums of one unrelated number for each place and byte."""
+        """64-bit hashes of byte ranges of raw: sums of unrelated numbers for each place and byte."""
         size = end - start
         stop = np.cumsum(size)
         place = np.arange(stop[-1] if len(stop) else 0) - np.repeat(stop - size, size)
         byte = self.raw[place + np.repeat(start, size)]
-        far = np.flatnonzero(place >= _NEAR)
-        far_at = place[far]
-        place[far] = 0
-        place <<= 8
-        value = _TABLES[lower][np.add(place, byte, out=place)]
-        if len(far):
-            value[far] = _values(far_at.astype(U64), (_LOWER if lower else _BYTE)[byte[far]])
+        value = _TABLES[lower][(place & (_NEAR - 1)) << 8 | byte]
         sums = np.zeros(len(value) + 1, U64)
         with np.errstate(over="ignore"):
+            if len(size) and (most := int(size.max())) > _NEAR:
+                value *= np.concatenate([[U64(1)], _odd(3, most // _NEAR)])[place >> 6]
             np.cumsum(value, out=sums[1:])
             return splitmix(sums[stop] - sums[stop - size] + size.astype(U64))
 
