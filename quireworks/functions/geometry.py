@@ -108,3 +108,62 @@ def canvas_rect(b: Box, width: Column, height: Column, rotation: Column) -> Colu
 
 def render_scale(dpi: Column, width: Column, height: Column, longest: int = 3500) -> Column:
     return F.least(dpi / 72.0, F.lit(float(longest)) / F.greatest(width, height))
+
+
+def intersection(a: Box, b: Box) -> Column:
+    """The box that two boxes share; null where their insides don't meet."""
+    lo, hi = [F.greatest(a[k], b[k]) for k in (0, 1)], [F.least(a[k], b[k]) for k in (2, 3)]
+    return F.when((lo[0] < hi[0]) & (lo[1] < hi[1]), F.array(*lo, *hi))
+
+
+def corners(poly: Column) -> Column:
+    """(x0, y0, x1, y1, area) of a quad's first and third point, as whole points."""
+    x0, y0, x1, y1 = (F.get(poly, F.lit(k)).cast("int") for k in (0, 1, 4, 5))
+    return F.struct(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"), ((x1 - x0) * (y1 - y0)).alias("area"))
+
+
+def canvas_quad(points: Column, width: Column, height: Column, rotation: Column) -> Column:
+    """A polygon's points on a canvas with its origin below, for a page shown `width` wide and `height`
+    high, rotated by 0, 90, 180 or 270."""
+
+    def place(v: Column, i: Column) -> Column:
+        other = F.get(points, F.when(i % 2 == 0, i + 1).otherwise(i - 1))
+        x = F.when(rotation == 270, height - other).when(rotation == 180, width - v).when(rotation == 90, other).otherwise(v)
+        y = F.when(rotation == 270, width - other).when(rotation == 180, v).when(rotation == 90, other).otherwise(height - v)
+        return F.when(i % 2 == 0, x).otherwise(y)
+
+    return F.transform(points, place)
+
+
+def fitted(width: Column, height: Column, most: int) -> Column:
+    """(width, height) of a picture scaled down to `most` pixels; smaller ones stay."""
+    scale = F.sqrt(F.lit(float(most)) / (width.cast("double") * height))
+    size = lambda v: F.when(width.cast("long") * height > most, F.greatest(F.lit(1), F.bround(v * scale, 0).cast("int"))).otherwise(v)
+    return F.struct(size(width).alias("width"), size(height).alias("height"))
+
+
+def padded(width: Column, height: Column, least_edge: int = 28, most_ratio: float = 50.0) -> Column:
+    """(width, height, left, top) of a picture that is set in the middle of a wider one until its long
+    edge is at most most_ratio times the short one, and then enlarged to a short edge of least_edge;
+    left and top are before enlarging."""
+    long_, short = F.greatest(width, height), F.least(width, height)
+    edge = F.when(long_ / short > most_ratio, F.ceil(long_ / most_ratio)).otherwise(short).cast("int")
+    w, h = F.when(width > height, width).otherwise(edge), F.when(width > height, edge).otherwise(height)
+    grow = lambda v: F.when(edge < least_edge, F.ceil(v * (F.lit(float(least_edge)) / F.least(w, h)))).otherwise(v).cast("int")
+    return F.struct(grow(w).alias("width"), grow(h).alias("height"), ((w - width) / 2).cast("int").alias("left"), ((h - height) / 2).cast("int").alias("top"))
+
+
+def crop_rect(points: Column, width: Column, height: Column) -> Column:
+    """(x, y, width, height) in pixels of a normalised rectangle, or around a normalised polygon, whose
+    last row and column of pixels count; pixels are cut off towards zero in single precision."""
+    at = F.transform(points, lambda v, i: (v.cast("float") * F.when(i % 2 == 0, width).otherwise(height).cast("float")).cast("int"))
+
+    def rect(p: Column) -> Column:
+        low = lambda k: F.array_min(F.filter(p, lambda v, i: i % 2 == k))
+        high = lambda k: F.array_max(F.filter(p, lambda v, i: i % 2 == k))
+        plain = F.size(p) == 4
+        get = lambda k: F.get(p, F.lit(k))
+        edge = lambda k: F.when(plain, get(k + 2) - get(k)).otherwise(high(k) - low(k) + 1)
+        return F.struct(F.when(plain, get(0)).otherwise(low(0)).alias("x"), F.when(plain, get(1)).otherwise(low(1)).alias("y"), edge(0).alias("width"), edge(1).alias("height"))
+
+    return F.get(F.transform(F.array(at), rect), F.lit(0))

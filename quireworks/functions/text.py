@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -117,3 +120,33 @@ def repeated_grams(df: DataFrame, words: str, size: int) -> DataFrame:
     runs = some.select(*rest, "g", F.concat(first, F.array(F.size("g"))).alias("at"))
     many = F.filter(F.transform(F.sequence(F.lit(0), F.size("at") - 2), lambda k: F.struct(F.get("g", F.get("at", k)).alias("gram"), (F.get("at", k + 1) - F.get("at", k)).cast("long").alias("n"))), lambda x: x["n"] > 1)
     return runs.select(*rest, F.inline(many))
+
+
+def dict_md5(c: Column) -> Column:
+    """MD5 of a JSON object's text with sorted keys and a space behind commas and colons."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else hashlib.md5(json.dumps(json.loads(x), sort_keys=True, ensure_ascii=False).encode()).hexdigest())
+
+    return run(c)
+
+
+def values_under(c: Column, key: str) -> Column:
+    """All values under a key anywhere in a JSON text, as JSON texts, outer ones and earlier ones first."""
+
+    def walk(x) -> list:
+        if isinstance(x, dict):
+            return ([x[key]] if key in x else []) + [v for y in x.values() for v in walk(y)]
+        return [v for y in x for v in walk(y)] if isinstance(x, list) else []
+
+    @F.pandas_udf("array<string>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else [json.dumps(v, ensure_ascii=False) for v in walk(json.loads(x))])
+
+    return run(c)
+
+
+def without_surrogates(s: str) -> str:
+    """Without code points that only occur in pairs; columns can't hold them, texts from outside can."""
+    return "".join(x for x in s if not "\ud800" <= x <= "\udfff")

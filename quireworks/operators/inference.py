@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import geometry as G
+from ..functions.latex import equation, inline_math
+from ..functions.tables import otsl_html
+from ..schema import PROMPTS
+from . import assemble, layout
 
 
 class Model(Protocol):
@@ -28,7 +36,65 @@ def stub() -> Model:
     return lambda images, prompts: [f"{len(i or b'')} bytes: {p.strip()}" for i, p in zip(images, prompts, strict=True)]
 
 
+def echo() -> Model:
+    """Answers the layout prompt with the picture's own bytes, all else as the stub does."""
+    other = stub()
+    return lambda images, prompts: [(i or b"").decode() if p == PROMPTS["layout"] else other([i], [p])[0] for i, p in zip(images, prompts, strict=True)]
+
+
 register("stub", stub)
+register("echo", echo)
+
+
+def read_layouts(pages: DataFrame, model: str = "stub", rectangles: bool = False) -> DataFrame:
+    """(page_id, idx, type, bbox, angle) of each page's blocks, from the answer to the layout prompt."""
+    asked = pages.select("page_id", "image", F.lit(PROMPTS["layout"]).alias("prompt"))
+    return layout.parse_layout(recognise(asked, model), rectangles=rectangles)
+
+
+def read_contents(pages: DataFrame, blocks: DataFrame, model: str = "stub", skip: list[str] | None = None) -> DataFrame:
+    """Blocks with `content`: null for types that aren't asked about. Only blocks that are get their
+    page's picture; models cut `crop` out of it themselves. Rows keep their keys, so answers need no
+    order of their own."""
+    asked = layout.requests(layout.to_extract(blocks, skip)).join(pages.select("page_id", "image"), "page_id")
+    answers = recognise(asked, model).select("page_id", "idx", F.col("output").alias("content"))
+    return blocks.join(answers, ["page_id", "idx"], "left")
+
+
+def extract(pages: DataFrame, layout_model: str = "stub", content_model: str | None = None, skip: list[str] | None = None, lists: bool = True, paratext: bool = True) -> DataFrame:
+    """Blocks of pages (page_id, image, width, height) in two steps, layout and contents, with contents
+    repaired, boxes in whole points and unwanted types left out: all pages in one plan, each step one
+    batch function. (page_id, idx, type, x0, y0, x1, y1, angle, content, bbox)"""
+    blocks = read_layouts(pages, layout_model, rectangles=True)
+    read = repaired(read_contents(pages, blocks, content_model or layout_model, skip))
+    points = G.to_pixels(F.col("bbox"), F.col("width"), F.col("height"))
+    placed = layout.kept_blocks(read, lists, paratext).join(pages.select("page_id", "width", "height"), "page_id")
+    return placed.select("page_id", "idx", "type", *(F.get(points, F.lit(k)).alias(c) for k, c in enumerate(("x0", "y0", "x1", "y1"))), "angle", "content", "bbox")
+
+
+def repaired(blocks: DataFrame, kind: str = "type", content: str = "content") -> DataFrame:
+    """Blocks, batch or stream, with their contents repaired by type."""
+    k, c = F.col(kind), F.col(content)
+    return blocks.withColumn(content, F.when(k == "equation", equation(c)).when(k == "text", inline_math(c)).when(k == "table", otsl_html(c)).otherwise(c))
+
+
+def parse_documents(pages: DataFrame, layout_model: str = "stub", content_model: str | None = None, folder: str = "images", **options) -> DataFrame:
+    """(doc_id, document, markdown) of pages (doc_id, page_idx, page_id, image, width, height): scan to
+    result in one plan. Pages without a block have no part in either; documents without any, no row."""
+    blocks = kept(extract(pages, layout_model, content_model, **options))
+    info = assemble.pages(blocks, pages.select("page_id", "width", "height"), folder).join(pages.select("page_id", "doc_id", "page_idx"), "page_id")
+    return assemble.documents(info)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The same rows as a reliable checkpoint, so that models are asked once whatever is made of their
+    answers, and a lost executor doesn't cost them. A cluster names the folder in spark.checkpoint.dir."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        if not context.master.startswith("local") or "cluster" in context.master:
+            raise ValueError("a cluster must name a shared folder in spark.checkpoint.dir")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="quireworks-checkpoint-"))
+    return df.checkpoint()
 
 
 def recognise(requests: DataFrame, model: str = "stub", image: str = "image", prompt: str = "prompt", output: str = "output") -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..functions import geometry as G
 from ..functions.geometry import bounds
 from ..functions.text import strip
 from ..schema import ANGLES, BLOCK_TYPES, FREQUENCY_PENALTY, NOT_EXTRACTED, PARATEXT, PROMPTS, SAMPLING
@@ -96,3 +98,44 @@ def project_pages(pages: DataFrame, wanted: DataFrame, key: str = "doc_id", page
 
 def last_page(end: Column, n: Column) -> Column:
     return F.least(F.coalesce(F.when(end >= 0, end), n - 1), n - 1)
+
+
+def crops(blocks: DataFrame, pages: DataFrame, most_pixels: int = 64_000_000) -> DataFrame:
+    """(page_id, idx, crop, size): what is cut out of the page's picture for each block (page_id, idx,
+    type, bbox of shares, angle), and the size of what is recognised after turning and padding. Pages
+    are (page_id, width, height); pictures of more than most_pixels are scaled down first. Types that
+    aren't recognised, and crops without a pixel, are left out."""
+    fit = pages.select("page_id", G.fitted(F.col("width"), F.col("height"), most_pixels).alias("fit"))
+    cut = to_extract(blocks).join(fit, "page_id").withColumn("crop", G.crop_rect(F.col("bbox"), F.col("fit.width"), F.col("fit.height")))
+    turned = F.coalesce(F.col("angle"), F.lit(0)).isin(90, 270)
+    w, h = F.when(turned, F.col("crop.height")).otherwise(F.col("crop.width")), F.when(turned, F.col("crop.width")).otherwise(F.col("crop.height"))
+    return cut.where("crop.width >= 1 and crop.height >= 1").select("page_id", "idx", "crop", G.padded(w, h).alias("size"))
+
+
+def param_runs(requests: DataFrame, by: str, order: str, params: list[str]) -> DataFrame:
+    """Requests with `run`: runs of neighbours with the same settings, numbered from 0 on. A model that
+    takes one setting at a time is given one run after the other."""
+    w = Window.partitionBy(by).orderBy(order)
+    now = F.struct(*params)
+    changed = F.coalesce((~now.eqNullSafe(F.lag(now).over(w)) & F.lag(order).over(w).isNotNull()).cast("int"), F.lit(0))
+    return requests.withColumn("_new", changed).withColumn("run", F.sum("_new").over(w).cast("int")).drop("_new")
+
+
+def merged_params(requests: DataFrame, own: dict[str, float], names: list[str]) -> DataFrame:
+    """Each setting as the request has it, else as the client does."""
+    return requests.withColumns({n: F.coalesce(F.col(n), F.lit(own.get(n))) if n in requests.columns else F.lit(own.get(n)) for n in names})
+
+
+def restore_page_ids(results: DataFrame, wanted: DataFrame, key: str = "doc_id", page: str = "page_id") -> DataFrame:
+    """Results of projected documents with their pages' numbers in the whole document, by the lists
+    (key, page_ids) that they were projected with; numbers outside of a list, and documents without
+    one, stay as they are."""
+    joined = results.join(wanted.select(key, "page_ids"), key, "left")
+    back = F.when(F.col(page) >= 0, F.get("page_ids", F.col(page).cast("int")))
+    return joined.withColumn(page, F.coalesce(back, F.col(page))).drop("page_ids")
+
+
+def content_blocks(blocks: DataFrame) -> DataFrame:
+    """(page_id, type, angle, index, pos, text) of blocks that carry text; tables and pictures don't."""
+    own = blocks.where(~F.col("type").isin("image", "table") & F.col("content").isNotNull())
+    return own.select("page_id", F.coalesce("type", F.lit("text")).alias("type"), F.coalesce("angle", F.lit(0)).alias("angle"), F.col("idx").alias("index"), F.array("x0", "y0", "x1", "y1").alias("pos"), F.col("content").alias("text"))

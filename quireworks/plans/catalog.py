@@ -11,8 +11,8 @@ from ..functions import geometry as G
 from ..functions import latex as L
 from ..functions import tables as TB
 from ..functions import text as X
-from ..operators import assemble, layout, render, structure, suppress
-from ..schema import PROMPTS
+from ..operators import assemble, inference, layout, render, structure, suppress
+from ..schema import FREQUENCY_PENALTY, PROMPTS
 from ..sources import derived as D
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -356,3 +356,60 @@ def hourly_events(spark, d):
     from ..streaming.layouts import event_counts
 
     return event_counts(D.table(spark, d, "events")).withColumn("total", F.round("total", 4))
+
+
+@query(""" SELECT page_id, type, angle, idx AS "index", [x0, y0, x1, y1] AS pos, content AS text FROM blocks WHERE type NOT IN ('image', 'table')""")
+def content_blocks(spark, d):
+    return layout.content_blocks(D.blocks(spark, d))
+
+
+@query(" SELECT page_id AS doc_id, idx, CASE WHEN page_id % 2 = 0 AND idx < 3 THEN [5, 3, 8][idx + 1] ELSE idx END AS page_idx FROM doc_lines")
+def restored_pages(spark, d):
+    lines = D.doc_lines(spark, d).select(F.col("page_id").alias("doc_id"), "idx", F.col("idx").alias("page_idx"))
+    lists = lines.select("doc_id").distinct().where("doc_id % 2 = 0").withColumn("page_ids", F.array(*map(F.lit, (5, 3, 8))))
+    return layout.restore_page_ids(lines, lists, page="page_idx")
+
+
+_SETTINGS = ", ".join(f"('{k}', {FREQUENCY_PENALTY.get(k, 0.0)}, {1.0 if k in FREQUENCY_PENALTY else 0.0})" for k in PROMPTS if k != "default")
+
+
+@query(f""", settings(type, f, p) AS (VALUES {_SETTINGS}), asked AS (SELECT page_id, idx, coalesce(f, {FREQUENCY_PENALTY['default']}) AS f, coalesce(p, 1.0) AS p FROM blocks b LEFT JOIN settings s ON b.type = s.type)
+  SELECT page_id, idx, CAST(sum(CASE WHEN lf IS NULL OR (lf = f AND lp = p) THEN 0 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS INTEGER) AS run
+  FROM (SELECT *, lag(f) OVER (PARTITION BY page_id ORDER BY idx) AS lf, lag(p) OVER (PARTITION BY page_id ORDER BY idx) AS lp FROM asked)""")
+def request_runs(spark, d):
+    asked = layout.requests(D.blocks(spark, d))
+    return layout.param_runs(asked, "page_id", "idx", ["frequency_penalty", "presence_penalty"]).select("page_id", "idx", "run")
+
+
+@query(""", sized_pages AS (SELECT *, CAST(page_id % 400 + 60 AS INTEGER) AS pw, CAST(page_id * 7 % 900 + 40 AS INTEGER) AS ph FROM blocks WHERE type NOT IN ('image', 'list', 'equation_block')),
+  px AS (SELECT page_id, idx, angle, CAST(trunc(CAST(x0 / 1000.0::DOUBLE AS FLOAT) * CAST(pw AS FLOAT)) AS INTEGER) AS a, CAST(trunc(CAST(y0 / 1000.0::DOUBLE AS FLOAT) * CAST(ph AS FLOAT)) AS INTEGER) AS b,
+    CAST(trunc(CAST(x1 / 1000.0::DOUBLE AS FLOAT) * CAST(pw AS FLOAT)) AS INTEGER) AS c, CAST(trunc(CAST(y1 / 1000.0::DOUBLE AS FLOAT) * CAST(ph AS FLOAT)) AS INTEGER) AS d FROM sized_pages),
+  cut AS (SELECT page_id, idx, a, b, c - a AS cw, d - b AS ch, CASE WHEN angle IN (90, 270) THEN d - b ELSE c - a END AS w, CASE WHEN angle IN (90, 270) THEN c - a ELSE d - b END AS h FROM px WHERE c > a AND d > b),
+  wide AS (SELECT *, CASE WHEN greatest(w, h) / least(w, h)::DOUBLE > 50 THEN CAST(ceil(greatest(w, h) / 50.0::DOUBLE) AS INTEGER) ELSE least(w, h) END AS e FROM cut),
+  framed AS (SELECT *, CASE WHEN w > h THEN w ELSE e END AS fw, CASE WHEN w > h THEN e ELSE h END AS fh FROM wide)
+  SELECT page_id, idx, a AS x, b AS y, cw, ch, CAST(CASE WHEN e < 28 THEN ceil(fw * (28.0::DOUBLE / least(fw, fh))) ELSE fw END AS INTEGER) AS width, CAST(CASE WHEN e < 28 THEN ceil(fh * (28.0::DOUBLE / least(fw, fh))) ELSE fh END AS INTEGER) AS height FROM framed""")
+def crop_sizes(spark, d):
+    b = D.blocks(spark, d)
+    pages = b.select("page_id").distinct().select("page_id", (F.col("page_id") % 400 + 60).cast("int").alias("width"), (F.col("page_id") * 7 % 900 + 40).cast("int").alias("height"))
+    shares = b.select("page_id", "idx", "type", "angle", F.array(*(F.col(c) / F.lit(1000.0) for c in _BOX)).alias("bbox"))
+    return layout.crops(shares, pages).select("page_id", "idx", "crop.x", "crop.y", F.col("crop.width").alias("cw"), F.col("crop.height").alias("ch"), "size.width", "size.height")
+
+
+@query(""" SELECT page_id, idx, CASE idx % 4 WHEN 3 THEN [842 - y0, 595 - x0, 842 - y0, 595 - x1, 842 - y1, 595 - x1, 842 - y1, 595 - x0] WHEN 2 THEN [595 - x0, y0, 595 - x1, y0, 595 - x1, y1, 595 - x0, y1]
+  WHEN 1 THEN [y0, x0, y0, x1, y1, x1, y1, x0] ELSE [x0, 842 - y0, x1, 842 - y0, x1, 842 - y1, x0, 842 - y1] END AS quad FROM blocks""")
+def canvas_quads(spark, d):
+    quad = F.array(*(F.col(c) for c in ("x0", "y0", "x1", "y0", "x1", "y1", "x0", "y1")))
+    return D.blocks(spark, d).select("page_id", "idx", G.canvas_quad(quad, F.lit(595), F.lit(842), F.col("angle")).alias("quad"))
+
+
+@query(f""" SELECT a.page_id, a.idx AS a_idx, b.idx AS b_idx, [greatest(a.x0, b.x0), greatest(a.y0, b.y0), least(a.x1, b.x1), least(a.y1, b.y1)] AS both {_PAIRS} WHERE {_MEET('a', 'b')} > 0""")
+def intersections(spark, d):
+    both = G.intersection(G.box("a_"), G.box("b_"))
+    return _pairs(spark, d).select("page_id", "a_idx", "b_idx", both.alias("both")).where("both is not null")
+
+
+@query()
+def parsed_documents(spark, d):
+    """Two steps with a model that knows each page's layout and answers all else with the picture's size."""
+    pages = D.layout_text(spark, d).select("page_id", F.floor(F.col("page_id") / 3).alias("doc_id"), (F.col("page_id") % 3).cast("int").alias("page_idx"), F.col("output").cast("binary").alias("image"), F.lit(1000).alias("width"), F.lit(1000).alias("height"))
+    return inference.parse_documents(pages, "echo")

@@ -1,8 +1,17 @@
-"""Documents and pictures from folders, and results to files."""
+"""Documents and pictures from folders, and results to files.
+
+Files by name are written by tasks through the file system that the folder's address names, under a
+name of their own first, so that a task can run twice.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import image_format
@@ -32,15 +41,71 @@ def read_at(files: DataFrame, offset: int, size: int = -1) -> DataFrame:
     return files.withColumn("content", part)
 
 
-def write_markdown(rendered: DataFrame, folder: str) -> None:
-    """One row a document as JSON lines (key, markdown); readers split them by key."""
-    rendered.write.mode("overwrite").json(folder)
+def suffix_of(path: Column, content: Column) -> Column:
+    """A file's type: by its first bytes, else by its name."""
+    named = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
+    kind = image_format(content)
+    return F.when((named == "pdf") & kind.isNotNull() & (kind != "pdf"), kind).otherwise(F.coalesce(kind, F.when(named != "", named)))
+
+
+def inline_content(uri: Column) -> Column:
+    """Bytes of a data URI or of plain base64; null where the text is the address of a file."""
+    address = uri.rlike(r"(?i)^(https?|file)://") | uri.rlike(r"(?i)\.(png|jpe?g|webp|gif|pdf)$")
+    text = F.when(uri.rlike("^data:[^;,]+;base64,"), F.element_at(F.split(uri, ","), 2)).otherwise(uri)
+    return F.when(~address, F.try_to_binary(text, F.lit("base64")))
+
+
+def load(requests: DataFrame, files: DataFrame, uri: str = "uri") -> DataFrame:
+    """Requests with `content`: from the text itself, or from the file (path, content) that it names. Web
+    addresses aren't fetched, and what isn't found has no content."""
+    bare = lambda c: F.regexp_replace(c, "^file:/*", "/")
+    known = files.select(bare(F.col("path")).alias("_path"), F.col("content").alias("_content"))
+    joined = requests.join(known, bare(F.col(uri)) == F.col("_path"), "left")
+    return joined.withColumn("content", F.coalesce(inline_content(F.col(uri)), "_content")).drop("_path", "_content")
+
+
+def write_named(rows: DataFrame, folder: str, name: str = "name", content: str = "content") -> DataFrame:
+    """(name, bytes) of files written below the folder, one a row; content is text or bytes. Of rows
+    with the same name any one stays, so take last_pictures first where that matters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, top = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            sizes = []
+            for n, data in zip(names, batch.column(1).to_pylist(), strict=True):
+                data = data.encode("utf-8", "replace") if isinstance(data, str) else data or b""
+                path = f"{top}/{n}"
+                files.create_dir(path.rpartition("/")[0], recursive=True)
+                own = f"{path}.{uuid.uuid4().hex}"
+                with files.open_output_stream(own, compression=None) as out:
+                    out.write(data)
+                files.move(own, path)
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], names=["name", "bytes"])
+
+    return rows.select(name, content).mapInArrow(run, "name string, bytes long")
+
+
+def last_pictures(pictures: DataFrame, order: str, key: str = "path") -> DataFrame:
+    """The last picture of each path."""
+    rest = [c for c in pictures.columns if c != key]
+    return pictures.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("p")).select(key, *(F.col(f"p.{c}").alias(c) for c in rest))
+
+
+def write_documents(documents: DataFrame, folder: str, name: str = "name") -> DataFrame:
+    """(name, bytes) of each document's files: <name>/<name>.md and <name>/<name>_middle.json from the
+    columns markdown and document; a null one gives no file."""
+    parts = F.array(*(F.struct(F.concat(name, F.lit("/"), name, F.lit(end)).alias("n"), F.col(c).alias("c")) for c, end in (("markdown", ".md"), ("document", "_middle.json"))))
+    each = documents.select(F.inline(F.filter(parts, lambda x: x["c"].isNotNull())))
+    return write_named(each, folder, "n", "c")
 
 
 def rewrite_image_paths(blocks: DataFrame, mapping: DataFrame, kinds: list[str]) -> DataFrame:
     """Blocks with image_path replaced by the mapping (old, new) for these types; a path of them that
-    the mapping lacks is an error."""
-    joined = blocks.join(mapping.select(F.col("old").alias("image_path"), "new"), "image_path", "left")
+    the mapping lacks is an error; of several new paths for one the last in order counts."""
+    unique = mapping.groupBy(F.col("old").alias("image_path")).agg(F.max("new").alias("new"))
+    joined = blocks.join(unique, "image_path", "left")
     missing = F.raise_error(F.concat(F.lit("no new path for "), F.col("image_path")))
     path = F.when(F.col("type").isin(kinds) & F.col("image_path").isNotNull(), F.coalesce("new", missing)).otherwise(F.col("image_path"))
     return joined.withColumn("image_path", path).select(*blocks.columns)

@@ -6,14 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.latex import equation, inline_math
-from ..functions.tables import otsl_html
+from ..operators.inference import repaired
 
-
-def repaired(blocks: DataFrame, kind: str = "type", content: str = "content") -> DataFrame:
-    """Blocks, batch or stream, with their contents repaired by type."""
-    k, c = F.col(kind), F.col(content)
-    return blocks.withColumn(content, F.when(k == "equation", equation(c)).when(k == "text", inline_math(c)).when(k == "table", otsl_html(c)).otherwise(c))
+__all__ = ["arrivals", "event_counts", "repaired"]
 
 
 def arrivals(spark: SparkSession, folder: str, schema: str) -> DataFrame:
