@@ -4,19 +4,25 @@ A dynamic programme over a word's symbols: the encoding of the first p symbols e
 token t with which the encoding of the first p - len(t) symbols, whose last token is known, is
 compatible; the count there is one more than at p - len(t). A prefix that is a text by itself ends
 in a token with the word-end mark, found in the same way from the same table. So one pass over a
-word answers how many tokens each of its prefixes has, and how far a budget reaches.
+word answers how many tokens each of its prefixes has.
+
+A text's counts are those of its runs between white space, one upon the other. Each worker makes a
+run's counts once and keeps them in flat arrays; the counts of all prefixes of all texts of a pass
+are put together at once. They are stored as changes from one code point to the next, a byte each as
+a rule. How long a prefix may be for a budget, how many tokens a prefix has and where to cut a text
+into pieces are then lookups in these counts; nothing is encoded again.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
-import re
 import unicodedata
-from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -24,6 +30,8 @@ from pyspark.sql import types as T
 
 from .merges import Memo, compatible, last_merges
 from .shared import column, text_column
+from .tokens import RunTable, look_up
+from .words import Texts, passes
 
 #: White space as the vocabulary's own patterns see it.
 WHITE = r"\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -69,8 +77,8 @@ class PrefixCounter:
         self.inner.make_automaton()
         self.longest = max(len(t) - len(self.end) for t in self.final)
         self.compatible = Memo(lambda pair: compatible(*pair, self.last, self.rank))
-        self.word = Memo(self._word)
-        self.chunk = Memo(self._chunk)
+        self.words = Memo(self._word_prefixes, 100_000)
+        self.table = RunTable(np.dtype("<i4"))
 
     def _symbols(self, token: str) -> list[str]:
         if token.endswith(self.end):
@@ -104,14 +112,12 @@ class PrefixCounter:
                 return count[q] + 1
         raise ValueError("the vocabulary lacks a byte")
 
-    def _word(self, word: str) -> int:
-        """Tokens of a word of byte letters."""
-        return self._ended(word, len(word), *self._table(word))
-
-    def word_prefixes(self, word: str) -> list[int]:
-        """Token counts of a word's prefixes of 1, 2, ... symbols, each as a text of its own."""
-        table = self._table(word)
-        return [self._ended(word, p, *table) for p in range(1, len(word) + 1)]
+    def _word_prefixes(self, word: str) -> list[int]:
+        """Token counts of a word's prefixes of 1, 2, ... code points, each as a text of its own."""
+        letters = [self.letters[b] for b in word.encode()]
+        table = self._table("".join(letters))
+        ends = range(1, len(letters) + 1) if len(letters) == len(word) else itertools.accumulate(len(c.encode()) for c in word)
+        return [self._ended("".join(letters), p, *table) for p in ends]
 
     def _normal(self, text: str) -> str:
         text = unicodedata.normalize("NFC", text)
@@ -119,64 +125,88 @@ class PrefixCounter:
             text = text.replace("Σ", "σ")  # a final sigma is a matter of words, not of characters
         return text.lower()
 
-    def _words(self, text: str) -> list[str]:
-        letters = self.letters
-        return ["".join([letters[b] for b in w.encode()]) for w in self.pattern.findall(self._normal(text))]
-
-    def _plain(self, text: str) -> int:
-        return sum(map(self.word.__getitem__, self._words(text)))
-
-    def _chunk(self, text: str) -> int:
-        """Tokens of a run without white space."""
-        if self.cut is None or "<" not in text:
-            return self._plain(text)
-        return len(self.cut.findall(text)) + sum(map(self._plain, self.cut.split(text)))
-
-    def count(self, text: str) -> int:
-        runs = _RUN.findall(text) if _ODD.search(text) else text.split()
-        return sum(map(self.chunk.__getitem__, runs))
-
-    def steps(self, text: str) -> tuple[list[int], list[int]]:
-        """Ends of the runs between white space, in code points, and the exact token counts there."""
-        ends, counts, total = [], [], 0
-        for m in _RUN.finditer(text):
-            total += self.chunk[m.group()]
-            ends.append(m.end())
-            counts.append(total)
-        return ends, counts
-
-    def count_at(self, text: str, size: int) -> int:
-        """Tokens of the first `size` code points."""
-        return self.count(text[:size])
-
-    def prefix_counts(self, text: str) -> list[int]:
-        """Token counts of all prefixes of 0, 1, ... code points.
-
-        A prefix's whole runs are summed once; inside a run, prefixes that end in its last word use
-        that word's table.
-        """
-        out, done = [0] * (len(text) + 1), 0
+    def _segment(self, text: str) -> list[int]:
+        """Counts of all prefixes of a text without special tokens."""
+        small = self._normal(text)
+        if len(small) != len(text) or not unicodedata.is_normalized("NFC", text):
+            # Code points that merge or multiply: prefixes are normalised one by one.
+            return [self._total(self._normal(text[:k])) for k in range(1, len(text) + 1)]
+        out, total = [0] * len(text), 0
         at = 0
-        for m in _RUN.finditer(text):
-            out[at : m.start() + 1] = [done] * (m.start() + 1 - at)
-            run = m.group()
-            plain = run.isascii() and run.islower() and run.isalpha()
-            counts = self.word_prefixes(run) if plain else [self._chunk(run[:k]) for k in range(1, len(run) + 1)]
-            out[m.start() + 1 : m.end() + 1] = [done + c for c in counts]
-            done, at = out[m.end()], m.end()
-        out[at:] = [done] * (len(text) + 1 - at)
+        for m in self.pattern.finditer(small):
+            word = m.group()
+            if len(word) > 1 and word[0] == "'" and word[1].isalpha():
+                counts = [self._total(word[:k]) for k in range(1, len(word))] + [self._plain(word)[-1]]
+            else:
+                counts = self._plain(word)
+            out[at : m.start()] = [total] * (m.start() - at)
+            out[m.start() : m.end()] = [total + c for c in counts]
+            total, at = out[m.end() - 1], m.end()
+        out[at:] = [total] * (len(text) - at)
         return out
 
-    def fits(self, text: str, budget: int) -> int:
-        """The most code points that a prefix of at most `budget` tokens can have, up to the end of
-        a whole run; counts at those ends never fall."""
-        ends, counts = self.steps(text)
-        k = bisect_right(counts, budget)
-        return ends[k - 1] if k else 0
+    def _plain(self, word: str) -> list[int]:
+        return self.words[word] if len(word) <= 64 else self._word_prefixes(word)
+
+    def _total(self, small: str) -> int:
+        return sum(self._plain(w)[-1] for w in self.pattern.findall(small))
+
+    def run_counts(self, run: str) -> list[int]:
+        """Token counts of a run's prefixes of 1, 2, ... code points, each as a text of its own."""
+        if self.cut is None or "<" not in run or not self.cut.search(run):
+            return self._segment(run)
+        out, done, at = [], 0, 0
+        for m in self.cut.finditer(run):
+            before = run[at : m.start()]
+            counts = self._segment(before)
+            out += [done + c for c in counts]
+            # Inside a special token, what is there of it goes on with the text before it.
+            out += [done + self.run_counts(before + m.group()[:k])[-1] for k in range(1, len(m.group()))]
+            done += (counts[-1] if counts else 0) + 1
+            out.append(done)
+            at = m.end()
+        return out + [done + c for c in self._segment(run[at:])]
+
+    def _steps(self, runs: list[str]) -> list[bytes]:
+        return [np.diff(np.array(self.run_counts(r), "<i4"), prepend=0).astype("<i4").tobytes() for r in runs]
+
+    def steps(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """By how much the count changes at each code point of a pass's texts, and where each text's
+        code points begin, with the end of the last."""
+        lead = (t.raw & 0xC0) != 0x80
+        place = np.concatenate([[0], np.cumsum(lead)])
+        out = np.zeros(int(place[-1]), np.int32)
+        steps, count = look_up(self.table, t, t.start, t.end, False, self._steps, self._steps)
+        if len(count):
+            first = place[t.start]
+            out[np.repeat(first - np.cumsum(count) + count, count) + np.arange(len(steps))] = steps
+        return out, place[t.at]
+
+    def prefix_counts(self, text: str) -> np.ndarray:
+        """Token counts of all prefixes of 0, 1, ... code points."""
+        t = next(passes(pa.array([text], pa.large_string())))
+        return np.concatenate([[0], np.cumsum(self.steps(t)[0])])
+
+
+def packed(steps: np.ndarray) -> tuple[int, bytes]:
+    """(bytes a step, the steps): a byte each if all fit, else four."""
+    width = 1 if not len(steps) or (-128 <= steps.min() and steps.max() <= 127) else 4
+    return width, steps.astype("i1" if width == 1 else "<i4").tobytes()
+
+
+def counts_of(width: int, steps: bytes) -> np.ndarray:
+    """Token counts of all prefixes of 0, 1, ... code points, from what is stored."""
+    return np.concatenate([[0], np.cumsum(np.frombuffer(steps, "i1" if width == 1 else "<i4"), dtype=np.int64)])
+
+
+def count_at(counts: np.ndarray, size: int) -> int:
+    """Tokens of the first `size` code points."""
+    return int(counts[min(size, len(counts) - 1)])
 
 
-_RUN = re.compile(f"[^{WHITE}]+")
-_ODD = re.compile("[\x1c-\x1f]")  # what str.split takes for white space besides WHITE
+def longest(counts: np.ndarray, budget: int) -> int:
+    """Code points of the longest prefix of at most `budget` tokens."""
+    return int(np.flatnonzero(counts <= budget)[-1]) if budget >= 0 else 0
 
 
 @lru_cache(maxsize=4)
@@ -184,27 +214,31 @@ def counter(path: str) -> PrefixCounter:
     return PrefixCounter(path)
 
 
-def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_steps: bool = False) -> DataFrame:
-    """(id, n_bytes, n_tokens, over_limit) of every whole text, and with_steps also step_ends and
-    step_counts: where runs between white space end, and the exact token counts there. No shuffle.
+def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_bytes, n_tokens, over_limit, fits, step_bytes, steps) of every whole text. fits: code
+    points of the longest prefix of at most `limit` tokens. steps: the count at every prefix, stored as
+    changes of step_bytes bytes a code point (see counts_of). No shuffle.
 
-    Null and empty texts have no bytes and no tokens.
+    Null and empty texts have no bytes, tokens or steps. Rows are counted each by itself, whatever
+    their ids.
     """
     source = docs.select(id_col, text_col)
-    kinds = {"n_bytes": T.LongType(), "n_tokens": T.LongType(), "over_limit": T.BooleanType()}
-    if with_steps:
-        kinds |= {"step_ends": T.ArrayType(T.IntegerType()), "step_counts": T.ArrayType(T.IntegerType())}
+    kinds = {"n_bytes": T.LongType(), "n_tokens": T.LongType(), "over_limit": T.BooleanType(), "fits": T.LongType(), "step_bytes": T.IntegerType(), "steps": T.BinaryType()}
     out = T.StructType([source.schema[id_col], *(T.StructField(n, t) for n, t in kinds.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
         for batch in batches:
-            texts = text_column(batch, text_col).to_pylist()
-            steps = [c.steps(t) for t in texts] if with_steps else None
-            n = [s[1][-1] if s[1] else 0 for s in steps] if steps is not None else [c.count(t) for t in texts]
-            cols = [column(batch, id_col), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([k > limit for k in n])]
-            if steps is not None:
-                cols += [pa.array([s[k] for s in steps], pa.list_(pa.int32())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays(cols, names=out.names)
+            for t in passes(text_column(batch, text_col)):
+                steps, at = c.steps(t)
+                sums = np.concatenate([[0], np.cumsum(steps, dtype=np.int64)])
+                n, size = sums[at[1:]] - sums[at[:-1]], np.diff(at)
+                fits, each = size.copy(), []
+                for i, (a, b) in enumerate(itertools.pairwise(at.tolist())):
+                    each.append(packed(steps[a:b]))
+                    if n[i] > limit:
+                        fits[i] = longest(sums[a : b + 1] - sums[a], limit)
+                cols = [column(batch, id_col).slice(t.first, t.n), pa.array(np.diff(t.at)), pa.array(n), pa.array(n > limit), pa.array(fits), pa.array([w for w, _ in each], pa.int32()), pa.array([x for _, x in each], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=out.names)
 
     return source.mapInArrow(run, out)

@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -21,7 +22,7 @@ from .words import Texts
 #: Runs that a worker keeps at most, and their bytes; then it starts afresh. Longer runs than LONG
 #: bytes aren't kept.
 RUNS = 1 << 21
-RUN_BYTES = 1 << 26
+RUN_BYTES = 1 << 24
 LONG = 1 << 12
 #: Runs given to the library as one text.
 _AT_ONCE = 2000
@@ -115,6 +116,45 @@ def _grown(a: np.ndarray, n: int) -> np.ndarray:
     return a
 
 
+def look_up(table: RunTable, t: Texts, start: np.ndarray, end: np.ndarray, lower: bool, kept: Callable[[list[str]], list[bytes]], alone: Callable[[list[str]], list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """What runs are encoded as, one after the other, and how many items each has. kept makes it for
+    runs that the table then holds, alone for those that it can't: long ones, and those whose hash
+    another one has taken. lower: runs that differ in the case of A-Z alone are the same."""
+    text = _SMALL[t.raw] if lower else t.raw
+    keys = t.span_hashes(start, end, lower) | np.uint64(1)
+    if table.full:
+        table.clear()
+    entry = table.find(keys)
+    own = end - start > LONG
+    if len(missing := np.flatnonzero((entry < 0) & ~own)):
+        new, at = np.unique(keys[missing], return_index=True)
+        at = missing[at]
+        raw, small = t.raw.tobytes(), text.tobytes()
+        cuts = list(zip(start[at].tolist(), end[at].tolist(), strict=True))
+        table.add(new, [small[a:b] for a, b in cuts], kept([raw[a:b].decode() for a, b in cuts]))
+        entry[missing] = table.find(keys[missing])
+    entry[own] = 0
+    some = np.flatnonzero(~own)
+    own[some] = table.differ(entry[some], text, start[some], end[some])
+    count = table.at[entry + 1] - table.at[entry]
+    made: dict[int, bytes] = {}
+    if len(others := np.flatnonzero(own)):
+        raw = t.raw.tobytes()
+        made = dict(zip(others.tolist(), alone([raw[start[i] : end[i]].decode() for i in others]), strict=True))
+        count[others] = [len(x) // table.width.itemsize for x in made.values()]
+    stop = np.cumsum(count)
+    source = np.where(own, 0, table.at[entry]) - stop + count
+    place = np.arange(int(stop[-1]) if len(stop) else 0)
+    if not made:
+        return table.ids[np.repeat(source, count) + place], count
+    items = np.empty(len(place), table.width)
+    rest = ~np.repeat(own, count)
+    items[rest] = table.ids[(np.repeat(source, count) + place)[rest]]
+    for i, x in made.items():
+        items[stop[i] - count[i] : stop[i]] = np.frombuffer(x, table.width)
+    return items, count
+
+
 class RunEncoder:
     """Ids of whole texts, equal to encode(text, add_special_tokens=False)."""
 
@@ -180,40 +220,7 @@ class RunEncoder:
 
     def _looked_up(self, t: Texts, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of runs one after the other, and how many each has."""
-        text = _SMALL[t.raw] if self.drops_space else t.raw
-        keys = t.span_hashes(start, end, self.drops_space) | np.uint64(1)
-        table = self.table
-        if table.full:
-            table.clear()
-        entry = table.find(keys)
-        own = end - start > LONG
-        if len(missing := np.flatnonzero((entry < 0) & ~own)):
-            new, at = np.unique(keys[missing], return_index=True)
-            at = missing[at]
-            raw, small = t.raw.tobytes(), text.tobytes()
-            cuts = list(zip(start[at].tolist(), end[at].tolist(), strict=True))
-            table.add(new, [small[a:b] for a, b in cuts], self._runs([raw[a:b].decode() for a, b in cuts]))
-            entry[missing] = table.find(keys[missing])
-        entry[own] = 0
-        kept = np.flatnonzero(~own)
-        own[kept] = table.differ(entry[kept], text, start[kept], end[kept])
-        count = table.at[entry + 1] - table.at[entry]
-        alone: dict[int, bytes] = {}
-        if len(others := np.flatnonzero(own)):
-            raw = t.raw.tobytes()
-            alone = dict(zip(others.tolist(), self._encode([raw[start[i] : end[i]].decode() for i in others]), strict=True))
-            count[others] = [len(x) // self.width.itemsize for x in alone.values()]
-        stop = np.cumsum(count)
-        source = np.where(own, 0, table.at[entry]) - stop + count
-        place = np.arange(int(stop[-1]) if len(stop) else 0)
-        if alone:
-            ids = np.empty(len(place), self.width)
-            rest = ~np.repeat(own, count)
-            ids[rest] = table.ids[(np.repeat(source, count) + place)[rest]]
-            for i, x in alone.items():
-                ids[stop[i] - count[i] : stop[i]] = np.frombuffer(x, self.width)
-            return ids, count
-        return table.ids[np.repeat(source, count) + place], count
+        return look_up(self.table, t, start, end, self.drops_space, self._runs, self._encode)
 
     def encode(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a pass's texts one after the other, and how many each text has."""
