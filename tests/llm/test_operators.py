@@ -294,18 +294,32 @@ def test_neighbours_of_isolated_rows(spark):
 def test_token_counts(docs, none, rows):
     path = public_tokenizers.path("word_bpe_49k.json")
     want = {i: len(x) - 1 for i, x in ids_of("word_bpe_49k.json", rows, 1).items()}
-    got = by_id(prefixes.count_tokens(docs, path, with_steps=True))
-    assert {i: r.n_tokens for i, r in got.items()} == want
-    assert all(r.n_bytes == len((t or "").encode()) and r.over_limit == (want[i] > 2048) for i, t, *_ in rows for r in [got[i]])
-    c = prefixes.counter(path)
+    got = by_id(prefixes.count_tokens(docs, path, limit=60))
+    for i, t, *_ in rows:
+        r, t = got[i], t or ""
+        counts = prefixes.counts_of(r.step_bytes, r.steps)
+        assert (r.n_tokens, r.n_bytes, r.over_limit) == (want[i], len(t.encode()), want[i] > 60)
+        assert len(counts) == len(t) + 1 and counts[-1] == want[i]
+        assert r.fits == max(k for k in range(len(t) + 1) if counts[k] <= 60) == prefixes.longest(counts, 60)
+    assert prefixes.count_tokens(none, path).count() == 0
+
+
+def test_counts_at_all_prefixes():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    sample = "Don't stop<|endoftext|> thntblere É 123"
-    assert c.prefix_counts(sample) == [len(t.encode(sample[:k], add_special_tokens=False).ids) for k in range(len(sample) + 1)]
-    assert c.count_at(sample, 9) == c.prefix_counts(sample)[9]
-    assert c.count(sample[: c.fits(sample, 5)]) <= 5
-    assert prefixes.count_tokens(none, path).count() == 0
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, c = Tokenizer.from_file(path), prefixes.counter(path)
+    texts = [
+        "Don't stop<|endoftext|> thntblere É 123", "it's we'll!'s ''s 'rex x'y", "a<|endoftext|><|endof!<|endoftext|>b <", "e\u0301tude caf\u0065\u0301 \u1100\u1161\u11a8",
+        "ΣΑΣ ΌΣΟΣ İstanbul ﬁ", "日本語テキスト 한국어 ไทยกำ", "a\u00a0b\u3000c\x1cd\u2028 e", "🦄👩‍👩‍👧 <s> </s>", "x" * 300 + "1234!!??...", "", " \n\t ",
+    ]
+    rng = random.Random(1)
+    texts += ["".join(rng.choice(["a", "B", "'", "s", "re", "é", "e\u0301", "\u0301", " ", "7", "!", "<|endoftext|>", "<|end", "Σ", "ß", "\u00a0", "中"]) for _ in range(30)) for _ in range(60)]
+    for text in texts:
+        counts = c.prefix_counts(text)
+        assert counts.tolist() == [len(t.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
+        assert prefixes.count_at(counts, 5) == counts[min(5, len(text))]
+    assert prefixes.counts_of(*prefixes.packed(np.array([300, -200, 1]))).tolist() == [0, 300, 100, 101]
 
 
 def test_quality(spark, docs, none, rows):
