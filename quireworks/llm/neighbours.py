@@ -79,18 +79,25 @@ def _vectors(array: pa.Array) -> np.ndarray:
     return flat.reshape(len(array), -1)
 
 
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """Times a power of two for each vector, so that its largest component is about 1; nothing is
+    rounded but what is too small to count."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1])
+
+
 def _unit(v: np.ndarray) -> np.ndarray:
-    v = v / np.abs(v).max(axis=1, keepdims=True)
+    v = _scaled(v)
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
 def fit(rows: DataFrame, k: int) -> Hashes | None:
-    """Width and probes for valid rows; None if there are none. The driver gets SAMPLE vectors."""
+    """Width and probes for valid rows of one length; None if there are none. The driver gets SAMPLE
+    vectors."""
     got = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
     if not got:
         return None
     d = len(got[0]["vec"])
-    u = _unit(np.array([r["vec"] for r in got if len(r["vec"]) == d]))
+    u = _unit(np.array([r["vec"] for r in got]))
     rng = np.random.default_rng(20_240_601)
     a, b = rng.standard_normal((TABLES, d, WIDTHS)), rng.uniform(0, 1, (TABLES, WIDTHS))
     q = min(SAMPLE_QUERIES, len(u))
@@ -126,7 +133,8 @@ def _first_probes(h: Hashes, u: np.ndarray, q: int, top: np.ndarray) -> np.ndarr
 
 
 def _exact(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Cosines in double precision, the same for equal vectors wherever they stand."""
+    """Cosines in double precision, the same for equal vectors wherever they stand, however large."""
+    query, rows = _scaled(query[None])[0], _scaled(rows)
     return (rows * query).sum(axis=1) / (np.sqrt((query * query).sum()) * np.sqrt((rows * rows).sum(axis=1)))
 
 
@@ -137,17 +145,17 @@ def search(rows: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id",
     Index entries and probes meet in cells: hashes of buckets, so each query's vector goes to a cell
     once, with all its probes there. Buckets with very many rows are spread over several cells, to
     all of which their probes go. Each cell gives at most k rows a query.
-    Vectors of another length than the sample's first take no part; repeated ids count as rows.
+    Vectors of another length than most (the shorter, if there are as many) take no part. Rows that
+    share an id are one candidate with the best of their scores, and ask as one query.
     """
     spark = rows.sparkSession
     names = "query_id long, rank int, vec_id long, score double"
     good = stored(valid(rows, id_col, vec_col), "vectors")
-    h = fit(good, k)
-    if h is None:
+    lengths = good.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    if lengths is None:
         return spark.createDataFrame([], names)
-    d = h.a.shape[1]
-    good = good.where(F.size("vec") == d)
-    n = good.count()
+    good = good.where(F.size("vec") == lengths["d"])
+    h, n = fit(good, k), good.select("id").distinct().count()
     reach = 2 * float(np.sqrt((h.a * h.a).sum(axis=1)).max())  # no projections of unit vectors are further apart
     asking = good.withColumn("asks", F.col("id") % every == 0)
     left = asking.where("asks").select("id").distinct()
@@ -264,7 +272,7 @@ def _round(good: DataFrame, n: int, h: Hashes, k: int) -> DataFrame:
                     index = (*index, _unit(index[2]))
                 yield from _answer(part, index, k)
 
-    found = met.mapInArrow(meet, "query_id long, vec_id long, score double").distinct()
+    found = met.mapInArrow(meet, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
@@ -282,12 +290,18 @@ def _answer(part: pa.RecordBatch, index: tuple, k: int) -> Iterator[pa.RecordBat
         if not len(at):
             continue
         near = np.einsum("nd,d->n", units[at], _unit(vec[None])[0])
-        if len(at) > k:
-            # Copies of a row in several tables count once, so more than k entries may be needed.
-            least = np.partition(near, len(near) - min(len(near), k * TABLES))[len(near) - min(len(near), k * TABLES)]
-            at = at[near >= least - 1e-9]
-        at = at[np.unique(ids[at], return_index=True)[1]]
+        most = k * TABLES
+        while len(at) > most:
+            # Copies of a row in several tables count once, and so do rows of one id.
+            some = at[near >= np.partition(near, len(near) - most)[len(near) - most] - 1e-9]
+            if len(np.unique(ids[some])) >= k:
+                at = some
+                break
+            most *= 4
         score = _exact(vec, vecs[at])
+        order = np.lexsort((-score, ids[at]))
+        first = order[np.unique(ids[at[order]], return_index=True)[1]]  # each id's best
+        at, score = at[first], score[first]
         best = np.lexsort((ids[at], -score))[:k]
         out += [(query, int(ids[at[b]]), float(score[b])) for b in best]
     if out:
