@@ -90,6 +90,57 @@ def test_jaccard_join(docs, none, rows):
     assert jaccard.classes(none).count() == 0
 
 
+def shingle_set(t):
+    w = words(t)
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def linked_classes(sets):
+    """Least index reachable by links, by comparing all pairs."""
+    group = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 75 * len(sets[a] | sets[b]):
+                lo, hi = sorted((group[a], group[b]))
+                group = [lo if g == hi else g for g in group]
+    return group
+
+
+def test_jaccard_join_of_families(spark, monkeypatch):
+    """Large families of near copies, long lists in several blocks, sets of very unlike sizes, texts of
+    several thousand words that share half of their shingles, and columns named like the join's own."""
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(jaccard, "FREQUENT", 8)
+    rng = random.Random(12)
+    out = []
+    for size, copies in ((60, 90), (200, 40), (12, 30)):
+        base = text(rng, size, 100_000).split()
+        for _ in range(copies):
+            near = list(base)
+            for _ in range(rng.randrange(0, 4)):
+                near[rng.randrange(size)] = f"n{rng.randrange(10**9)}"
+            out.append(" ".join(near))
+    shared = text(rng, 1500, 10**6)
+    out += [shared + " " + text(rng, 1500, 10**6) for _ in range(6)] + [shared + " " + text(rng, k, 10**6) for k in (100, 200, 380, 420)]
+    out += ["a b c", "A  b C", "a b c d", text(rng, 6, 9)]
+    rng.shuffle(out)
+    docs = spark.createDataFrame([(i, t, 0, "k", 5, "c") for i, t in enumerate(out)], SCHEMA).repartition(5)
+    got = by_id(jaccard.classes(docs))
+    sets = [shingle_set(t) for t in out]
+    assert [got[i].component_id for i in range(len(out))] == linked_classes(sets)
+    assert [got[i].n_shingles for i in range(len(out))] == list(map(len, sets))
+
+
+def test_jaccard_join_of_odd_ids(spark):
+    """Rows without an id have no class; rows that share one are of one class, whatever their texts."""
+    rng = random.Random(13)
+    a, b, c = (text(rng, 40, 10**6) for _ in range(3))
+    rows = [(None, a), (None, None), (7, a), (3, a), (7, b), (9, b), (5, c), (5, c), (8, c + " more"), (2, "")]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(None, 36, None), (None, 0, None), (7, 36, 3), (3, 36, 3), (7, 36, 3), (9, 36, 3), (5, 36, 5), (5, 36, 5), (8, 37, 5), (2, 0, 2)], key=str)
+
+
 def test_tree_loses_no_pair():
     rng = np.random.default_rng(1)
     points = rng.integers(0, 6, (500, jaccard.GROUPS))
@@ -239,6 +290,47 @@ def test_passages_among_stock_phrases(spark):
         assert any(a <= 70 and 120 <= b for a, b, _ in spans[60 + i, i])
 
 
+def test_near_copies_of_passages_are_found(spark, monkeypatch):
+    """Passages of 60 words with words changed, in pairs and among many copies: found and bounded."""
+    monkeypatch.setattr(passages, "LOCAL", 3)
+    rng = random.Random(21)
+    rows, planted = [], []
+    for k in range(60):
+        passage = text(rng, 60, 10**6).split()
+        copies = 2 if k % 4 else 12
+        for j in range(copies):
+            own = list(passage)
+            for at in rng.sample(range(60), k % 3 if j else 0):
+                own[at] = f"n{rng.randrange(10**9)}"
+            before = text(rng, rng.randrange(0, 80), 10**6)
+            rows.append((len(rows), f"{before} {' '.join(own)} {text(rng, 50, 10**6)}"))
+            if j:
+                planted.append((len(rows) - 1, len(before.split()), k % 3))
+    rows += [(len(rows) + i, text(rng, 150, 10**6)) for i in range(40)]
+    spans = collections.defaultdict(list)
+    for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect():
+        spans[r.doc_id].append((r.start_word, r.end_word))
+        assert r.source_id < r.doc_id and r.similarity >= 0.75 and r.end_word - r.start_word >= 50
+    found = [any(min(e, at + 60) - max(s, at) >= 45 for s, e in spans[i]) for i, at, _ in planted]
+    of = [[f for f, (_, _, changed) in zip(found, planted, strict=True) if changed == k] for k in range(2)]
+    assert all(of[0]) and sum(of[1]) >= 0.95 * len(of[1])  # two changed words leave a similarity of 0.7 only
+    assert set(spans) <= {i for i, *_ in planted}
+
+
+def test_long_equal_texts_are_one_span(spark):
+    rng = random.Random(22)
+    long_ = text(rng, 30_000, 10**6)
+    got = passages.repeated_passages(spark.createDataFrame([(1, long_), (2, long_), (2, None), (None, long_)], "doc_id long, text string")).collect()
+    assert max(r.end_word - r.start_word for r in got) == 30_000 and {r.doc_id for r in got} == {2}
+
+
+def test_cutting_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b  c d", 7, "x"), (2, None, 8, "y"), (None, "t", 9, "z")], "doc_id long, text string, _id long, _cuts string")
+    spans = spark.createDataFrame([(1, 1, 3, 0, 0, 2, 1.0), (1, 2, 3, 0, 0, 2, 1.0)], passages.SPANS)
+    got = sorted(map(tuple, passages.without_passages(docs, spans).collect()), key=str)
+    assert got == sorted([(1, "a d", 7, "x"), (2, None, 8, "y"), (None, "t", 9, "z")], key=str)
+
+
 def test_run_hashes():
     x = np.random.default_rng(3).integers(1, 2**60, 200).astype(np.uint64)
     y = np.concatenate([x[100:160], x[:100]])
@@ -281,6 +373,25 @@ def test_neighbours(spark):
     assert [(r.query_id, r.vec_id) for r in neighbours.search(df.where("vec_id in (0, 7)")).collect()] == [(0, 7)]
 
 
+def test_neighbours_of_odd_rows(spark):
+    """Lengths that few rows have, huge components, one id for several rows, a bucket full of copies."""
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((300, 8))
+    v[150:] = v[0]
+    items = [(i, [float(x) for x in r]) for i, r in enumerate(v)]
+    items += [(400, [float(x) for x in 1e200 * v[1]]), (401, [1e-200 * float(x) for x in v[1]]), (402, [1.0, 2.0]), (403, []), (None, [1.0] * 8), (1, [float(x) for x in -v[1]]), (1, [float(x) for x in v[1]])]
+    got = collections.defaultdict(list)
+    before, neighbours.HOT = neighbours.HOT, 40  # the copies' buckets are dealt out
+    try:
+        for r in neighbours.search(spark.createDataFrame(items, "vec_id long, embedding array<double>").repartition(3)).orderBy("query_id", "rank").collect():
+            got[r.query_id].append((r.vec_id, r.score))
+    finally:
+        neighbours.HOT = before
+    assert set(got) == {0, 50, 100, 150, 200, 250, 400} and all(len(x) == 5 for x in got.values())
+    assert [i for i, _ in got[0]] == [150, 151, 152, 153, 154] and [i for i, _ in got[200]] == [0, 150, 151, 152, 153]
+    assert {i for i, _ in got[400][:2]} == {1, 401} and got[400][1][1] == pytest.approx(1, abs=1e-15)
+
+
 def test_neighbours_of_isolated_rows(spark):
     """Tight clusters fix a small width; rows far from all others still get their k nearest."""
     rng = np.random.default_rng(4)
@@ -342,6 +453,56 @@ def test_quality(spark, docs, none, rows):
     assert all(r.kept != r.base_failed for r in quality.quality_rules(docs, labels.limit(0)).collect())
 
 
+def test_quality_verdict_by_definition(spark, rows):
+    """Score, threshold and verdict from counts of words and pairs in dictionaries."""
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    data = [(i, text(rng, 80, 60) if i % 3 else text(rng, 70, 30) + " bad worse worst" * 3) for i in range(60)]
+    data += [(None, "a b"), (60, None), (61, ""), (5, text(rng, 90, 60)), (62, "one word " * 60)]
+    marks = [(i, int(i % 3 != 0), 0) for i in range(0, 40)] + [(40, 1, 1), (41, 1, None), (None, 1, 0), (61, 1, 0), (999, 0, 0), (3, 0, 0)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in data], "doc_id long, text string, Score string").repartition(3)
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+
+    def buckets(t):
+        w = words(t)
+        found = []
+        for k, x in enumerate(w):
+            for part in ([x], w[k : k + 2])[: 2 if k + 1 < len(w) else 1]:
+                t_ = next(texts_of.passes(pa.array([" ".join(part)], pa.large_string())))
+                found.append(int(quality._grams(t_)[0][-1]))
+        return found
+
+    grams = [buckets(t) for _, t in data]
+    good = {i for i, q, x in marks if i is not None and q == 1 and not x}
+    bad = {i for i, q, _ in marks if i is not None and q == 0}
+    raw = collections.Counter(b for g in grams for b in g)
+    target = collections.Counter(b for (i, _), g in zip(data, grams, strict=True) if i in good for b in g)
+    n = quality.BUCKETS
+    weight = lambda b: math.log((target[b] + 1) / (target.total() + n)) - math.log((raw[b] + 1) / (raw.total() + n))
+    means = [sum(map(weight, g)) / max(len(g), 1) for g in grams]
+
+    def failed(t):
+        w = WORDS.findall(t or "")
+        runs = collections.Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+        covered = {k + j for k in range(len(w) - 2) if runs[tuple(w[k : k + 3])] > 1 for j in range(3)}
+        return len(w) < 50 or 100 * len(covered) > 50 * len(w)
+
+    scored = [(i, m) for (i, t), m in zip(data, means, strict=True) if i is not None and not failed(t)]
+    yes, no = sorted(m for i, m in scored if i in good), sorted(m for i, m in scored if i in bad and i not in good)
+    most = yes[int((1 - quality.KEEP_TRUSTED) * len(yes))]
+    both = sorted({*yes, *no})
+    cuts = [c for c in [both[0] - 1, *((a + b) / 2 for a, b in zip(both, both[1:], strict=False))] if c <= most]
+    threshold = max(cuts, key=lambda c: (sum(x < c for x in no) / len(no) - sum(x < c for x in yes) / len(yes), -c))
+    verdict = quality.fit(docs, labels)
+    assert math.isclose(verdict.threshold, threshold, rel_tol=1e-12)
+    got = quality.score(docs, verdict, keep_columns=True)
+    assert [c for c in got.columns if c.lower() == "score"] == ["score"]
+    want = sorted(((i, round(m, 9), not failed(t) and m >= threshold) for (i, t), m in zip(data, means, strict=True)), key=str)
+    assert sorted(((r.doc_id, round(r.score, 9), r.kept) for r in got.collect()), key=str) == want
+    assert any(k for *_, k in want) and any(not k for *_, k in want)
+
+
 def test_context_tree(docs, none, rows):
     counts = collections.Counter()
     for i, t, *_ in rows:
@@ -457,6 +618,35 @@ def test_coder():
         [*rans.TokenFile.read(bytes(broken)).ids()]
 
 
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls, empty and repeated rows, near copies and shared passages, through all stages and rereads."""
+    import corpus_pipeline as p
+
+    rng = random.Random(31)
+    base, passage = text(rng, 120, 10**6), text(rng, 70, 10**6)
+    near = base.split()
+    near[60] = "changed"
+    items = [(1, base), (2, " ".join(near)), (3, base), (3, base), (4, text(rng, 90, 10**6) + "\n" + passage), (5, passage + "\n" + text(rng, 90, 10**6)), (6, None), (7, ""), (None, text(rng, 90, 10**6)), (8, text(rng, 20, 10**6)), (9, text(rng, 3000, 10**6))]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in items]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (4, 1, 0), (5, 1, 0), (8, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    good = p.keep_good(spark, docs, str(tmp_path))
+    assert sorted(r.doc_id for r in good.collect()) == [1, 2, 3, 3, 4, 5, 9]
+    one = p.one_of_copies(spark, good, str(tmp_path))
+    assert sorted(r.doc_id for r in one.collect()) == [1, 4, 5, 9]
+    cut = by_id(p.cut_passages(spark, one, str(tmp_path)))
+    assert words(cut[5].text) == words(items[5][1])[70:] and words(cut[4].text) == words(items[4][1])
+    pieces_ = p.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in pieces_} == {1, 4, 5, 9} and sum(r.length for r in pieces_) == sum({r.doc_id: r.doc_tokens for r in pieces_}.values())
+    none_ = docs.limit(0)
+    for _, stage in p.STAGES:
+        none_ = stage(spark, none_, str(tmp_path))
+        assert none_.count() == 0
+        none_ = docs.limit(0)
+
+
 def test_pipeline(spark, data):
     import corpus_pipeline as p
 
