@@ -167,3 +167,20 @@ def crop_rect(points: Column, width: Column, height: Column) -> Column:
         return F.struct(F.when(plain, get(0)).otherwise(low(0)).alias("x"), F.when(plain, get(1)).otherwise(low(1)).alias("y"), edge(0).alias("width"), edge(1).alias("height"))
 
     return F.get(F.transform(F.array(at), rect), F.lit(0))
+
+
+def mostly_inside(a: Box, b: Box, least: float = 0.8) -> Column:
+    """Whether the boxes' insides meet and b covers at least that share of a."""
+    both = overlap_area(a, b)
+    return (both > 0) & (both >= least * area(a))
+
+
+def scaled_box(b: Box, scale: Column) -> Column:
+    """A box on a picture of another scale, cut off towards zero."""
+    return F.array(*((v * scale).cast("int") for v in b))
+
+
+def crop_frame(poly: Column, pad_x: int = 0, pad_y: int = 0) -> Column:
+    """(pad_x, pad_y, x0, y0, x1, y1, width, height) of a quad's box cut out onto a white frame."""
+    c = corners(poly)
+    return F.array(F.lit(pad_x), F.lit(pad_y), c["x0"], c["y0"], c["x1"], c["y1"], c["x1"] - c["x0"] + 2 * pad_x, c["y1"] - c["y0"] + 2 * pad_y)

@@ -102,3 +102,8 @@ def otsl_cells(df: DataFrame, key: str, otsl: str) -> DataFrame:
     cells = cells.withColumn("h", island(("lcel", "xcel"), across)).withColumn("v", island(("ucel", "xcel"), down))
     cells = cells.withColumn("col_span", F.count("*").over(Window.partitionBy(key, "row", "h")).cast("int")).withColumn("row_span", F.count("*").over(Window.partitionBy(key, "col", "v")).cast("int"))
     return cells.where(F.col("mark").isin("fcel", "ecel")).select(key, "row", "col", F.trim(F.regexp_replace("token", "<[a-z]+>", "")).alias("text"), "row_span", "col_span")
+
+
+def cell_text(text: Column, token: Column, parts: Column) -> Column:
+    """A cell's text; where it has none, its box's token, else its parts' tokens."""
+    return F.coalesce(text, F.when(F.coalesce(token, F.lit("")) != "", token), F.trim(F.array_join(parts, " ")), F.lit(""))

@@ -62,8 +62,9 @@ def without_language(c: Column) -> Column:
 
 
 def without_fence(c: Column) -> Column:
-    """Without an opening line that begins with ``` and a closing ``` line."""
-    opened = F.regexp_replace(c, r"^```[^\n]*(\n|\z)", "")
+    """Without an opening line that begins with ``` and a closing ``` line; all line ends as \\n."""
+    lines = F.regexp_replace(c, "\r\n|[\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]", "\n")
+    opened = F.regexp_replace(lines, r"^```[^\n]*(\n|\z)", "")
     return strip(F.regexp_replace(opened, r"(?U)(^|\n)[^\S\n]*```[^\S\n]*\n?\z", ""))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import area, center_distance, contains, overlap_area
-from ..functions.text import code_language, fold_title, half_width, joined_piece, once, strip, without_language
+from ..functions.text import code_language, fold_title, half_width, joined_piece, once, strip, without_fence, without_language
 from ..schema import PLAIN_TYPES
 
 #: Families of two layers, and whether their captions and footnotes must lie beside the body.
@@ -95,14 +95,16 @@ def page_rows(blocks: DataFrame) -> DataFrame:
         refs = F.filter(own, lambda i: i["type"] == "ref_text")
         return F.when(F.size(own) > 0, F.when(F.size(refs) * 2 > F.size(own), "ref_text").otherwise("text"))
 
+    clean = lambda x: without_fence(F.coalesce(x["content"], F.lit("")))
+
     def row(x: Column, u: Column) -> Column:
         code, body = x["family"] == "code", F.coalesce(u["part"] == "body", F.lit(False))
         own = F.when(x["family"].isin(loose), "text").when(x["type"] == "equation", "interline_equation").otherwise(x["type"])
         kind = F.when(u["owner"].isNull() | (u["part"] == "item"), own).when(body, F.concat(u["owner"], F.lit("_body"))).otherwise(x["type"])
-        text = F.when(code, without_language(x["content"])).when(x["type"].isin("image", "table") & u["owner"].isNull(), F.lit(None)).otherwise(x["content"])
+        text = F.when(code, without_language(clean(x))).when(x["type"].isin("image", "table") & u["owner"].isNull(), F.lit(None)).otherwise(x["content"])
         return F.struct(
             x["idx"].alias("idx"), F.coalesce(u["top"], x["idx"]).alias("top"), F.coalesce(u["owner"], own).alias("kind"), F.coalesce(u["part"], F.lit("self")).alias("part"), kind.alias("type"),
-            F.when(body & code, x["type"]).when(x["type"] == "list", sub_type(x)).alias("sub_type"), F.when(body & (x["type"] == "code"), code_language(x["content"])).alias("language"),
+            F.when(body & code, x["type"]).when(x["type"] == "list", sub_type(x)).alias("sub_type"), F.when(body & (x["type"] == "code"), code_language(clean(x))).alias("language"),
             F.array(*_box(x)).alias("bbox"), x["angle"].alias("angle"), text.alias("content"), x["image_path"].alias("image_path"),
         )
 

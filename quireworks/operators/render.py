@@ -24,3 +24,10 @@ def overlay_labels(blocks: DataFrame) -> DataFrame:
     from .structure import reading_order
 
     return reading_order(blocks).select("page_id", "idx", F.concat((F.col("order") + 1).cast("string"), F.lit("+"), F.coalesce("angle", F.lit(0)).cast("string")).alias("label"))
+
+
+def overlay_spans(blocks: DataFrame) -> DataFrame:
+    """(page_id, idx, kind, bbox) of the spans that an overlay draws, by what they hold; seals, figures
+    and blocks that aren't read have none."""
+    kind = F.when(F.col("type") == "equation", "interline_equation").when(F.col("type").isin("image", "table"), F.col("type")).when(~F.col("type").isin("equation_block", "unknown", "seal", "char", "list"), "text")
+    return blocks.select("page_id", "idx", kind.alias("kind"), F.array("x0", "y0", "x1", "y1").alias("bbox")).where("kind is not null")

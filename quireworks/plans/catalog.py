@@ -270,7 +270,7 @@ _PAGE = f"""{_LISTS}{''.join(m for m, _ in _FAMILY)}, used AS ({' UNION ALL '.jo
   subtypes AS (SELECT page_id, list_idx, CASE WHEN 2 * count(*) FILTER (type = 'text') >= count(*) THEN 'text' ELSE 'ref_text' END AS sub_type FROM members GROUP BY ALL),
   placed AS (SELECT b.page_id, b.idx, coalesce(u.top, m.list_idx, b.idx) AS top_idx, coalesce(u.owner, CASE WHEN m.list_idx IS NOT NULL THEN 'list' WHEN b.type IN ({_LOOSE}) THEN 'text' WHEN b.type = 'equation' THEN 'interline_equation' ELSE b.type END) AS kind,
     coalesce(u.part, CASE WHEN m.list_idx IS NOT NULL THEN 'item' ELSE 'self' END) AS part, b.type AS own, CASE WHEN u.part = 'body' AND u.owner = 'code' THEN b.type ELSE s.sub_type END AS sub_type,
-    CASE WHEN b.type IN ('code', 'algorithm') THEN regexp_replace(b.content, '^<_.*?_>', '') WHEN b.type IN ('image', 'table') AND u.owner IS NULL THEN '' ELSE b.content END AS c, b.content
+    CASE WHEN b.type IN ('code', 'algorithm') THEN regexp_replace({_STRIP('b.content')}, '^<_.*?_>', '') WHEN b.type IN ('image', 'table') AND u.owner IS NULL THEN '' ELSE b.content END AS c, b.content
     FROM blocks b LEFT JOIN used u USING (page_id, idx) LEFT JOIN members m USING (page_id, idx) LEFT JOIN subtypes s ON s.page_id = b.page_id AND s.list_idx = b.idx),
   page AS (SELECT *, CASE WHEN part = 'item' AND own = 'ref_text' THEN 1 WHEN kind = 'list' AND part = 'self' THEN -1 ELSE 0 END AS late, {_STRIP("CASE WHEN own = 'title' THEN regexp_replace(c, chr(10) || '[" + _WHITE + "]*', ' ', 'g') ELSE c END")} AS t
     FROM placed WHERE kind IN ({_KINDS}) AND (kind <> 'list' OR part = 'item' OR sub_type IS NOT NULL))"""
@@ -413,3 +413,20 @@ def parsed_documents(spark, d):
     """Two steps with a model that knows each page's layout and answers all else with the picture's size."""
     pages = D.layout_text(spark, d).select("page_id", F.floor(F.col("page_id") / 3).alias("doc_id"), (F.col("page_id") % 3).cast("int").alias("page_idx"), F.col("output").cast("binary").alias("image"), F.lit(1000).alias("width"), F.lit(1000).alias("height"))
     return inference.parse_documents(pages, "echo")
+
+
+@query(""" SELECT page_id, idx, CASE type WHEN 'equation' THEN 'interline_equation' WHEN 'image' THEN type WHEN 'table' THEN type ELSE 'text' END AS kind, [x0, y0, x1, y1] AS bbox
+  FROM blocks WHERE type NOT IN ('equation_block', 'unknown', 'seal', 'char', 'list')""")
+def overlay_spans(spark, d):
+    return render.overlay_spans(D.blocks(spark, d))
+
+
+@query(f" SELECT a.page_id, a.idx AS a_idx, b.idx AS b_idx {_PAIRS} WHERE {_MEET('a', 'b')} > 0 AND 10 * {_MEET('a', 'b')} >= 8 * {_AREA('a')}")
+def mostly_inside(spark, d):
+    return _pairs(spark, d).where(G.mostly_inside(G.box("a_"), G.box("b_"))).select("page_id", "a_idx", "b_idx")
+
+
+@query(" SELECT page_id, idx, [3, 5, x0, y0, x1, y1, x1 - x0 + 6, y1 - y0 + 10] AS frame, [CAST(trunc(x0 * 1.7::DOUBLE) AS INTEGER), CAST(trunc(y0 * 1.7::DOUBLE) AS INTEGER), CAST(trunc(x1 * 1.7::DOUBLE) AS INTEGER), CAST(trunc(y1 * 1.7::DOUBLE) AS INTEGER)] AS scaled, (x1 - x0) * (y1 - y0) AS area FROM blocks")
+def crop_frames(spark, d):
+    poly = F.array(*(F.col(c).cast("double") for c in ("x0", "y0", "x1", "y0", "x1", "y1", "x0", "y1")))
+    return D.blocks(spark, d).select("page_id", "idx", G.crop_frame(poly, 3, 5).alias("frame"), G.scaled_box(G.box(), F.lit(1.7)).alias("scaled"), G.corners(poly)["area"].alias("area"))

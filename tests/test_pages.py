@@ -91,7 +91,12 @@ def paragraphs(page):
 
 
 def code_of(b):
-    text = b["content"] or ""
+    lines = (b["content"] or "").splitlines()
+    if lines and lines[0][:3] == "```":
+        lines.pop(0)
+    if lines and lines[-1].strip() == "```":
+        lines.pop()
+    text = "\n".join(lines).strip()
     if text.startswith("<_") and "_>" in text:
         mark, _, rest = text[2:].partition("_>")
         return mark.lower(), rest
@@ -151,7 +156,7 @@ def pages_of(rows):
 def random_pages(seed, n):
     rng = random.Random(seed)
     kinds = ["image", "image_caption", "image_footnote", "table", "table_caption", "table_footnote", "code", "algorithm", "code_caption", "list", "text", "ref_text", "title", "equation", "seal", "char", "unknown", "header", "page_number", "equation_block"]
-    words = [None, "", "  ", "a long one-", "two\n  lines", "<_Java_>x = 1;", "E = mc", "plain text\n", "123456", "\x0b\x1codd　", "in the- "]
+    words = [None, "", "  ", "a long one-", "two\n  lines", "<_Java_>x = 1;", "```py\r\n <_C_>int x;\n  ```", "```", "```\n```\n", "E = mc", "plain text\n", "123456", "\x0b\x1codd　", "in the- "]
     rows = []
     for p in range(n):
         for i in sorted(rng.sample(range(40), rng.randrange(0, 22))):
