@@ -12,7 +12,7 @@ from ..functions import latex as L
 from ..functions import tables as TB
 from ..functions import text as X
 from ..operators import assemble, inference, layout, render, structure, suppress
-from ..schema import FREQUENCY_PENALTY, PROMPTS
+from ..schema import FREQUENCY_PENALTY, PARATEXT, PROMPTS
 from ..sources import derived as D
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,7 +71,7 @@ def bbox_scale(spark, d):
     return D.blocks(spark, d).select("page_id", "idx", *(F.get(p, F.lit(k)).alias(f"p{c}") for k, c in enumerate(_BOX)))
 
 
-@query(" SELECT page_id, idx, type FROM blocks WHERE type NOT IN ('image', 'list', 'equation_block', 'header')")
+@query(f" SELECT page_id, idx, type FROM blocks WHERE type NOT IN ('image', 'list', 'equation_block', {', '.join(map(repr, PARATEXT))})")
 def skip_filter(spark, d):
     return layout.kept_blocks(layout.to_extract(D.blocks(spark, d)), paratext=False).select("page_id", "idx", "type")
 
