@@ -68,16 +68,15 @@ class PrefixCounter:
         tokens = {t: self._symbols(t) for t in bpe["vocab"] if t not in self.special}
         self.last = last_merges(tokens, self.rank)
         self.singles = singles
-        self.inner, self.final = ahocorasick.Automaton(), set()
+        # Tokens inside a word and at its end, found by their letters: (how many these are, token).
+        self.inner, self.final = ahocorasick.Automaton(), ahocorasick.Automaton()
         for t in self.last:
-            if t.endswith(self.end):
-                self.final.add(t)
-            else:
-                self.inner.add_word(t, t)
+            body = t.removesuffix(self.end)
+            (self.final if body != t else self.inner).add_word(body, (len(body), t))
         self.inner.make_automaton()
-        self.longest = max(len(t) - len(self.end) for t in self.final)
+        self.final.make_automaton()
         self.compatible = Memo(lambda pair: compatible(*pair, self.last, self.rank))
-        self.words = Memo(self._word_prefixes, 100_000)
+        self.words = Memo(self._word_prefixes, 200_000)
         self.table = RunTable(np.dtype("<i4"))
 
     def _symbols(self, token: str) -> list[str]:
@@ -86,38 +85,36 @@ class PrefixCounter:
             return [*body[:-1], body[-1:] + self.end]
         return [*token]
 
-    def _table(self, word: str) -> tuple[list[str], list[int]]:
-        """For each p: the last token of the first p symbols, no word end, and their count."""
-        n = len(word)
-        ends: list[list[str]] = [[] for _ in range(n)]
-        for at, token in self.inner.iter(word):
-            ends[at].append(token)
-        token_at, count = [""] * (n + 1), [0] * (n + 1)
+    def _word_prefixes(self, word: str) -> list[int]:
+        """Token counts of a word's prefixes of 1, 2, ... code points, each as a text of its own."""
+        whole = word.isascii() and word.isprintable()
+        letters = word if whole else "".join([self.letters[b] for b in word.encode()])
+        n = len(letters)
+        inner: list[list[tuple[int, str]]] = [[] for _ in range(n + 1)]
+        final: list[list[tuple[int, str]]] = [[] for _ in range(n + 1)]
+        for at, token in self.inner.iter(letters):
+            inner[at + 1].append(token)
+        for at, token in self.final.iter(letters):
+            final[at + 1].append(token)
+        # By p: the last token of the first p letters, no word end, and their count; their count with one.
+        token_at, count, ended = [""] * (n + 1), [0] * (n + 1), [0] * n
         fits = self.compatible
         for p in range(1, n + 1):
-            for t in ends[p - 1]:
-                q = p - len(t)
+            for size, t in inner[p]:
+                q = p - size
                 if not q or fits[token_at[q], t]:
                     token_at[p], count[p] = t, count[q] + 1
                     break
             else:
                 raise ValueError("the vocabulary lacks a byte")
-        return token_at, count
-
-    def _ended(self, word: str, p: int, token_at: list[str], count: list[int]) -> int:
-        """Tokens of the first p symbols as a word of its own."""
-        for q in range(max(0, p - self.longest), p):
-            t = word[q:p] + self.end
-            if t in self.final and (not q or self.compatible[token_at[q], t]):
-                return count[q] + 1
-        raise ValueError("the vocabulary lacks a byte")
-
-    def _word_prefixes(self, word: str) -> list[int]:
-        """Token counts of a word's prefixes of 1, 2, ... code points, each as a text of its own."""
-        letters = [self.letters[b] for b in word.encode()]
-        table = self._table("".join(letters))
-        ends = range(1, len(letters) + 1) if len(letters) == len(word) else itertools.accumulate(len(c.encode()) for c in word)
-        return [self._ended("".join(letters), p, *table) for p in ends]
+            for size, t in final[p]:
+                q = p - size
+                if not q or fits[token_at[q], t]:
+                    ended[p - 1] = count[q] + 1
+                    break
+            else:
+                raise ValueError("the vocabulary lacks a byte")
+        return ended if whole else [ended[p - 1] for p in itertools.accumulate(len(c.encode()) for c in word)]
 
     def _normal(self, text: str) -> str:
         text = unicodedata.normalize("NFC", text)
@@ -127,6 +124,12 @@ class PrefixCounter:
 
     def _segment(self, text: str) -> list[int]:
         """Counts of all prefixes of a text without special tokens."""
+        if text.isascii():
+            if text.isalpha():
+                return self._plain(text.lower())
+            if text[:-1].isalpha():
+                counts = self._plain(text[:-1].lower())
+                return [*counts, counts[-1] + self._plain(text[-1])[-1]]
         small = self._normal(text)
         if len(small) != len(text) or not unicodedata.is_normalized("NFC", text):
             # Code points that merge or multiply: prefixes are normalised one by one.
@@ -168,7 +171,14 @@ class PrefixCounter:
         return out + [done + c for c in self._segment(run[at:])]
 
     def _steps(self, runs: list[str]) -> list[bytes]:
-        return [np.diff(np.array(self.run_counts(r), "<i4"), prepend=0).astype("<i4").tobytes() for r in runs]
+        each = [self.run_counts(r) for r in runs]
+        stop = np.cumsum([len(x) for x in each]) if each else np.zeros(0, np.int64)
+        flat = np.fromiter(itertools.chain.from_iterable(each), np.int32, int(stop[-1]) if each else 0)
+        steps = np.diff(flat, prepend=0)
+        first = np.concatenate([[0], stop[:-1]]) if each else stop
+        steps[first] = flat[first]
+        data = steps.astype("<i4").tobytes()
+        return [data[4 * a : 4 * b] for a, b in zip(first.tolist(), stop.tolist(), strict=True)]
 
     def steps(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
         """By how much the count changes at each code point of a pass's texts, and where each text's
