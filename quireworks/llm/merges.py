@@ -11,8 +11,10 @@ from collections.abc import Callable, Sequence
 
 Rank = Callable[[str, str], "float | None"]
 
-#: Entries of a worker's caches; a full cache is emptied, so memory stays bounded whatever is read.
+#: Entries of a worker's caches; a full cache is emptied. Texts of more than LONG characters aren't
+#: kept, so memory stays bounded whatever is read.
 CACHE = 600_000
+LONG = 64
 
 
 def merge(symbols: Sequence[str], rank: Rank, made: list | None = None) -> list[str]:
@@ -87,5 +89,7 @@ class Memo(dict):
     def __missing__(self, key):
         if len(self) >= self.most:
             self.clear()
-        value = self[key] = self.make(key)
+        value = self.make(key)
+        if not isinstance(key, str) or len(key) <= LONG:
+            self[key] = value
         return value

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .merges import Memo, compatible, last_merges, merge
+from .merges import Memo, compatible, last_merges
 from .shared import column, text_column
 
 SPACE = "▁"
@@ -101,19 +101,23 @@ class PieceModel:
         for last, size in self.automaton.iter(text):
             longest[last + 1 - size] = size  # ends come in ascending order
         out: list[str] = []
-        failed = at = 0
+        at = 0
+        failed = bytearray((n >> 3) + 1)  # a bit for each place from which no sequence reached the end
         piece: str | None = text[: longest[0]]
         while at < n:
-            while piece and (failed >> (at + len(piece)) & 1 or (out and not self.compatible[out[-1], piece])):
+            while piece:
+                end = at + len(piece)
+                if not failed[end >> 3] >> (end & 7) & 1 and (not out or self.compatible[out[-1], piece]):
+                    break
                 piece = self.shorter[piece]
             if piece:
                 out.append(piece)
                 at += len(piece)
                 piece = text[at : at + longest[at]] if at < n else None
             else:
-                failed |= 1 << at
-                if not out:
-                    return merge(text, self.rank)  # cannot be: merging gives a compatible sequence
+                failed[at >> 3] |= 1 << (at & 7)
+                if not out:  # merging gives a compatible sequence, so this can only be a broken vocabulary
+                    raise ValueError("no compatible pieces cover the text")
                 piece = out.pop()
                 at -= len(piece)
                 # The end of this piece is marked as failed, so the loop above goes on to a shorter one.
