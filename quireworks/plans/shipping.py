@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 from pathlib import Path
@@ -16,7 +17,8 @@ def ship(spark: SparkSession) -> SparkSession:
     app = spark.sparkContext.applicationId
     if app not in _sent:
         root = Path(__file__).resolve().parent.parent
-        target = Path(tempfile.mkdtemp(prefix="quireworks-"))
+        target = Path(tempfile.mkdtemp(prefix="quireworks-"))  # the driver serves the archive from here
+        atexit.register(shutil.rmtree, target, True)
         copy = target / "src" / root.name
         shutil.copytree(root, copy, ignore=shutil.ignore_patterns("__pycache__"))
         archive = shutil.make_archive(str(target / "quireworks"), "zip", copy.parent)
