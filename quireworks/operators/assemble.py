@@ -78,39 +78,49 @@ def page_rows(blocks: DataFrame) -> DataFrame:
     family = F.when(F.col("type") == "algorithm", "code").otherwise(F.col("type"))
     block = F.struct("idx", family.alias("family"), "type", "x0", "y0", "x1", "y1", "angle", "content", picture)
     pages = blocks.select("page_id", block.alias("b")).groupBy("page_id").agg(F.array_sort(F.collect_list("b")).alias("bs"))
-    of = lambda kind: F.filter("bs", lambda x: x["family"] == kind)
-    pages = pages.withColumns({f"{k}{p}": _apart(of(f"{k}{p}")) for k in FAMILIES for p in ("", "_caption", "_footnote")}).withColumn("lists", of("list"))
-    families = F.concat(*(_members(F.col(k), F.col(f"{k}_caption"), F.col(f"{k}_footnote"), k, beside) for k, beside in FAMILIES.items()))
-    home = lambda x: F.array_min(F.transform(F.filter("lists", lambda s: (area(_box(x)) > 0) & (10 * overlap_area(_box(x), _box(s)) >= 8 * area(_box(x)))), lambda s: s["idx"]))
-    texts = F.filter("bs", lambda x: x["type"].isin("text", "ref_text"))
-    items = F.filter(F.transform(texts, lambda x: F.struct(x["idx"].alias("idx"), home(x).alias("top"), F.lit("list").alias("owner"), F.lit("item").alias("part"), x["type"].alias("type"))), lambda x: x["top"].isNotNull())
+    # What a lambda uses comes in by `once`: a column named inside one would be computed in each call.
+    family_of = lambda bs, kind: _apart(F.filter(bs, lambda x: x["family"] == kind))
+
+    def family(bs: Column, k: str, beside: bool) -> Column:
+        three = F.struct(family_of(bs, k).alias("b"), family_of(bs, f"{k}_caption").alias("c"), family_of(bs, f"{k}_footnote").alias("n"))
+        return once(three, lambda t: _members(t["b"], t["c"], t["n"], k, beside))
+
+    def in_lists(bs: Column, lists: Column) -> Column:
+        home = lambda x: F.array_min(F.transform(F.filter(lists, lambda s: (area(_box(x)) > 0) & (10 * overlap_area(_box(x), _box(s)) >= 8 * area(_box(x)))), lambda s: s["idx"]))
+        texts = F.filter(bs, lambda x: x["type"].isin("text", "ref_text"))
+        return F.filter(F.transform(texts, lambda x: F.struct(x["idx"].alias("idx"), home(x).alias("top"), F.lit("list").alias("owner"), F.lit("item").alias("part"), x["type"].alias("type"))), lambda x: x["top"].isNotNull())
+
+    families = once(F.col("bs"), lambda bs: F.concat(*(family(bs, k, beside) for k, beside in FAMILIES.items())))
+    items = once(F.col("bs"), lambda bs: once(F.filter(bs, lambda x: x["family"] == "list"), lambda lists: in_lists(bs, lists)))
     pages = pages.select("page_id", "bs", families.alias("families"), items.alias("items"))
     by_idx = F.map_from_entries(F.transform(F.concat("families", F.transform("items", lambda x: F.struct(x["idx"].alias("idx"), x["top"].alias("top"), x["owner"].alias("owner"), x["part"].alias("part")))), lambda x: F.struct(x["idx"].alias("key"), x.alias("value"))))
     pages = pages.select("page_id", "bs", "items", by_idx.alias("used"))
     loose = [f"{k}{p}" for k in FAMILIES for p in ("", "_caption", "_footnote")]
 
-    def sub_type(x: Column) -> Column:
+    def sub_type(x: Column, items: Column) -> Column:
         """The more frequent type of a list's items, texts if there are as many."""
-        own = F.filter("items", lambda i: i["top"] == x["idx"])
+        own = F.filter(items, lambda i: i["top"] == x["idx"])
         refs = F.filter(own, lambda i: i["type"] == "ref_text")
         return F.when(F.size(own) > 0, F.when(F.size(refs) * 2 > F.size(own), "ref_text").otherwise("text"))
 
     clean = lambda x: without_fence(F.coalesce(x["content"], F.lit("")))
 
-    def row(x: Column, u: Column) -> Column:
+    def row(x: Column, u: Column, items: Column) -> Column:
         code, body = x["family"] == "code", F.coalesce(u["part"] == "body", F.lit(False))
         own = F.when(x["family"].isin(loose), "text").when(x["type"] == "equation", "interline_equation").otherwise(x["type"])
         kind = F.when(u["owner"].isNull() | (u["part"] == "item"), own).when(body, F.concat(u["owner"], F.lit("_body"))).otherwise(x["type"])
         text = F.when(code, without_language(clean(x))).when(x["type"].isin("image", "table") & u["owner"].isNull(), F.lit(None)).otherwise(x["content"])
         return F.struct(
             x["idx"].alias("idx"), F.coalesce(u["top"], x["idx"]).alias("top"), F.coalesce(u["owner"], own).alias("kind"), F.coalesce(u["part"], F.lit("self")).alias("part"), kind.alias("type"),
-            F.when(body & code, x["type"]).when(x["type"] == "list", sub_type(x)).alias("sub_type"), F.when(body & (x["type"] == "code"), code_language(clean(x))).alias("language"),
+            F.when(body & code, x["type"]).when(x["type"] == "list", sub_type(x, items)).alias("sub_type"), F.when(body & (x["type"] == "code"), code_language(clean(x))).alias("language"),
             F.array(*_box(x)).alias("bbox"), x["angle"].alias("angle"), text.alias("content"), x["image_path"].alias("image_path"),
         )
 
-    rows = F.transform("bs", lambda x: once(F.struct(F.try_element_at("used", x["idx"]).alias("u")), lambda u: row(x, u["u"])))
+    def rows(e: Column) -> Column:
+        return F.transform(e["bs"], lambda x: once(F.struct(F.try_element_at(e["used"], x["idx"]).alias("u")), lambda u: row(x, u["u"], e["items"])))
+
     shown = lambda r: r["kind"].isin([*FAMILIES, *_SHOWN]) & ((r["kind"] != "list") | (r["part"] == "item") | r["sub_type"].isNotNull())
-    return pages.select("page_id", F.filter(rows, shown).alias("rows"))
+    return pages.select("page_id", F.filter(once(F.struct("bs", "used", "items"), rows), shown).alias("rows"))
 
 
 def _piece(kind: Column, content: Column) -> Column:
@@ -130,13 +140,14 @@ def page_paragraphs(blocks: DataFrame) -> DataFrame:
         late = F.when((r["kind"] == "list") & (r["type"] == "ref_text"), 1).when((r["kind"] == "list") & (r["part"] == "self"), -1).otherwise(0)
         return F.struct(late.alias("late"), *(r[n].alias(n) for n in _PART), _piece(r["type"], F.coalesce(r["content"], F.lit(""))).alias("piece"))
 
-    def para(top: Column) -> Column:
-        own = F.filter("rows", lambda r: r["top"] == top)
+    def para(rows: Column, top: Column) -> Column:
+        own = F.filter(rows, lambda r: r["top"] == top)
         first = lambda rows, name: F.array_max(F.transform(rows, lambda r: r[name]))
         return once(own, lambda rows: F.struct(top.alias("top_idx"), F.get(rows, F.lit(0))["kind"].alias("kind"), first(rows, "sub_type").alias("sub_type"), first(rows, "language").alias("language"), F.array_sort(F.transform(rows, part)).alias("parts")))
 
-    tops = F.array_sort(F.array_distinct(F.transform("rows", lambda r: r["top"])))
-    return page_rows(blocks).select("page_id", "rows", tops.alias("tops")).select("page_id", F.transform("tops", para).alias("paras")).where(F.size("paras") > 0)
+    tops = lambda rows: F.array_sort(F.array_distinct(F.transform(rows, lambda r: r["top"])))
+    paras = once(F.col("rows"), lambda rows: F.transform(tops(rows), lambda top: para(rows, top)))
+    return page_rows(blocks).select("page_id", paras.alias("paras")).where(F.size("paras") > 0)
 
 
 def paragraphs(blocks: DataFrame) -> DataFrame:
