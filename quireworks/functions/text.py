@@ -110,6 +110,42 @@ def positive_or(value: Column | str, default: int) -> Column:
     return F.when(n > 0, n).otherwise(F.lit(default))
 
 
+def merged_lines(lines: Column) -> Column:
+    """The text of a paragraph from its lines, an array of arrays of spans (type, content) of the types
+    text, inline_equation and interline_equation; other spans and empty ones count for nothing.
+
+    Spans are followed by a space, but for display formulas, for the last text of a line among scripts
+    written without spaces, and for one that ends in a hyphen; the hyphen goes if the next line begins
+    with a small letter."""
+    text = lambda x: x["type"] == "text"
+    wide = F.transform(lines, lambda line: F.transform(line, lambda x: F.struct(x["type"].alias("type"), F.when(text(x), half_width(x["content"])).otherwise(x["content"]).alias("content"))))
+
+    def spans(all_: Column, line: Column, i: Column, dense: Column) -> Column:
+        following = F.get(F.coalesce(F.get(all_, i + 1), F.array().cast("array<struct<type:string,content:string>>")), F.lit(0))
+        goes_on = F.coalesce(text(following) & following["content"].rlike(r"^\p{IsLowercase}"), F.lit(False))
+
+        def piece(x: Column, j: Column) -> Column:
+            last = j == F.size(line) - 1
+
+            def shown(c: Column) -> Column:
+                spaced = F.concat(c, F.lit(" "))
+                hyphen = F.when(goes_on, F.regexp_replace(c, r"-\z", "")).otherwise(c)
+                return (
+                    F.when((c == "") | ~x["type"].isin("text", "inline_equation", "interline_equation"), F.lit("")).when(x["type"] == "interline_equation", c)
+                    .when(dense, F.when(last & text(x), c).otherwise(spaced)).when(last & text(x) & ends_in_hyphen(c), hyphen).otherwise(spaced)
+                )
+
+            return once(strip(F.coalesce(x["content"], F.lit(""))), shown)
+
+        return F.array_join(F.transform(line, piece), "")
+
+    def joined(all_: Column) -> Column:
+        whole = F.array_join(F.transform(F.filter(F.flatten(all_), text), lambda x: F.coalesce(x["content"], F.lit(""))), "")
+        return once(cjk(whole), lambda dense: F.array_join(F.transform(all_, lambda line, i: spans(all_, line, i, dense)), ""))
+
+    return once(wide, joined)
+
+
 def repeated_grams(df: DataFrame, words: str, size: int) -> DataFrame:
     """The other columns with (gram, n): runs of `size` words that come twice or more in a row's list of
     words. Counted in the row: its sorted runs change where a new one begins, so nothing is shuffled."""

@@ -17,6 +17,8 @@ from ..schema import PLAIN_TYPES
 
 #: Families of two layers, and whether their captions and footnotes must lie beside the body.
 FAMILIES = {"image": True, "table": True, "code": False}
+#: Kinds that hold nothing to read, or hold it twice.
+NO_PICTURES = ("image", "list", "seal", "char")
 _SHOWN = [*PLAIN_TYPES, "title", "list", "page_number", "aside_text", "page_footnote", "seal", "char"]
 
 
@@ -132,9 +134,10 @@ def _piece(kind: Column, content: Column) -> Column:
 _PART = ["idx", "part", "type", "sub_type", "language", "bbox", "angle", "content", "image_path"]
 
 
-def page_paragraphs(blocks: DataFrame) -> DataFrame:
+def page_paragraphs(blocks: DataFrame, drop: tuple[str, ...] = ()) -> DataFrame:
     """(page_id, paras): paragraphs of a page in order, each (top_idx, kind, sub_type, language, parts),
-    parts in order of their index, in lists the list itself, then texts, then references."""
+    parts in order of their index, in lists the list itself, then texts, then references. drop: kinds
+    of paragraphs that are left out (NO_PICTURES for what can be read on)."""
 
     def part(r: Column) -> Column:
         late = F.when((r["kind"] == "list") & (r["type"] == "ref_text"), 1).when((r["kind"] == "list") & (r["part"] == "self"), -1).otherwise(0)
@@ -147,7 +150,8 @@ def page_paragraphs(blocks: DataFrame) -> DataFrame:
 
     tops = lambda rows: F.array_sort(F.array_distinct(F.transform(rows, lambda r: r["top"])))
     paras = once(F.col("rows"), lambda rows: F.transform(tops(rows), lambda top: para(rows, top)))
-    return page_rows(blocks).select("page_id", paras.alias("paras")).where(F.size("paras") > 0)
+    rows = page_rows(blocks).select("page_id", F.filter("rows", lambda r: ~r["kind"].isin(list(drop))).alias("rows")) if drop else page_rows(blocks)
+    return rows.select("page_id", paras.alias("paras")).where(F.size("paras") > 0)
 
 
 def paragraphs(blocks: DataFrame) -> DataFrame:
@@ -208,11 +212,11 @@ def _info(para: Column, i: Column) -> Column:
     return once(F.get(F.filter(parts, lambda x: x["part"].isin("body", "self")), F.lit(0)), made)
 
 
-def pages(blocks: DataFrame, sizes: DataFrame | None = None, folder: str = "") -> DataFrame:
+def pages(blocks: DataFrame, sizes: DataFrame | None = None, folder: str = "", drop: tuple[str, ...] = ()) -> DataFrame:
     """(page_id, markdown, info) of pages. markdown: shown paragraphs in order, an empty line between,
     empty without any. info: paragraphs numbered in order; sizes: (page_id, width, height), else 1000 by
     1000."""
-    rows = page_paragraphs(blocks)
+    rows = page_paragraphs(blocks, drop)
     if sizes is not None:
         rows = rows.join(sizes, "page_id", "left")
     size = F.array(*(F.coalesce(F.col(c) if sizes is not None else F.lit(None), F.lit(1000)) for c in ("width", "height")))

@@ -97,9 +97,10 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def recognise(requests: DataFrame, model: str = "stub", image: str = "image", prompt: str = "prompt", output: str = "output") -> DataFrame:
+def recognise(requests: DataFrame, model: str = "stub", image: str = "image", prompt: str = "prompt", output: str = "output", priority: str | None = None) -> DataFrame:
     """Requests with the model's answers. Rows keep their keys, so no join brings answers back; a
-    worker loads its model once."""
+    worker loads its model once. priority: a column; a task asks for its smallest first."""
+    requests = requests if priority is None else requests.sortWithinPartitions(priority)
     make = _MODELS[model]
     out = requests.drop(image).schema.add(output, "string")
     names = out.names[:-1]

@@ -5,6 +5,9 @@ import json
 import math
 import random
 
+from pyspark.sql import functions as F
+
+from quireworks.functions.text import merged_lines
 from quireworks.operators import assemble
 from quireworks.plans.catalog import QUERIES
 from quireworks.sources import derived
@@ -178,6 +181,44 @@ def test_random_pages(spark):
     assert parts == {p: q for p, b in pages.items() if (q := [(t, k, s, [(n, x["idx"]) for n, x in m]) for t, k, s, m in paragraphs(b)])}
 
 
+def test_lines_are_merged(spark):
+    rng = random.Random(8)
+    contents = ["plain", "well-", "  spaced ", "", None, "Upper", "ends in-", "x-1", "汉字", "ＡＢ", "lower case"]
+    paras = [[[(rng.choice(["text", "text", "text", "inline_equation", "interline_equation", "image"]), rng.choice(contents)) for _ in range(rng.randrange(0, 4))] for _ in range(rng.randrange(0, 5))] for _ in range(300)]
+
+    def half(c):
+        return "".join(chr(ord(x) - 0xFEE0) if "Ａ" <= x <= "Ｚ" else x for x in c)
+
+    def merged(lines):
+        lines = [[(k, half(c) if k == "text" and c is not None else c) for k, c in line] for line in lines]
+        whole = "".join(c or "" for line in lines for k, c in line if k == "text")
+        dense = 3 * sum("一" <= x <= "鿿" for x in whole) > len("".join(whole.split()))
+        out = ""
+        for i, line in enumerate(lines):
+            for j, (k, c) in enumerate(line):
+                c, last = (c or "").strip(), j == len(line) - 1
+                if not c or k not in ("text", "inline_equation", "interline_equation"):
+                    continue
+                if k == "interline_equation" or dense and last and k == "text":
+                    out += c
+                elif not dense and last and k == "text" and len(c) > 1 and c[-1] == "-" and c[-2].isascii() and c[-2].isalpha():
+                    after = lines[i + 1][0] if i + 1 < len(lines) and lines[i + 1] else ("", "")
+                    out += c[:-1] if after[0] == "text" and after[1] and after[1][0].islower() else c
+                else:
+                    out += c + " "
+        return out
+
+    df = spark.createDataFrame(list(enumerate(paras)), "i int, lines array<array<struct<type:string,content:string>>>")
+    assert [r[0] for r in df.orderBy("i").select(merged_lines(F.col("lines"))).collect()] == list(map(merged, paras))
+
+
+def test_kinds_are_dropped(spark):
+    rows = random_pages(12, 30)
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], SCHEMA)
+    kinds = {p["kind"] for r in assemble.page_paragraphs(df, assemble.NO_PICTURES).collect() for p in r.paras}
+    assert kinds and not kinds & set(assemble.NO_PICTURES)
+
+
 def test_documents_of_derived_pages(spark, data):
     rows = [r.asDict() | {"image_path": None} for r in derived.blocks(spark, data).collect()]
     pages = pages_of(rows)
