@@ -91,9 +91,10 @@ def kept(df: DataFrame) -> DataFrame:
     answers, and a lost executor doesn't cost them. A cluster names the folder in spark.checkpoint.dir."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        if not context.master.startswith("local") or "cluster" in context.master:
+        root = context.getConf().get("spark.checkpoint.dir")
+        if not root and (not context.master.startswith("local") or "cluster" in context.master):
             raise ValueError("a cluster must name a shared folder in spark.checkpoint.dir")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="quireworks-checkpoint-"))
+        context.setCheckpointDir(root or tempfile.mkdtemp(prefix="quireworks-checkpoint-"))
     return df.checkpoint()
 
 
