@@ -31,3 +31,24 @@ def overlay_spans(blocks: DataFrame) -> DataFrame:
     and blocks that aren't read have none."""
     kind = F.when(F.col("type") == "equation", "interline_equation").when(F.col("type").isin("image", "table"), F.col("type")).when(~F.col("type").isin("equation_block", "unknown", "seal", "char", "list"), "text")
     return blocks.select("page_id", "idx", kind.alias("kind"), F.array("x0", "y0", "x1", "y1").alias("bbox")).where("kind is not null")
+
+
+# Colours of overlays by kind of block; others are grey.
+COLOURS = {"text": "#b4d2ff", "title": "#6666ff", "image": "#99ff33", "table": "#cccc00", "list": "#28a95c", "code": "#6600cc", "interline_equation": "#00ff00", "equation": "#00ff00"}
+
+
+def overlay_svg(blocks: DataFrame, width: int = 1000, height: int = 1000, filled: bool = True, numbered: bool = True) -> DataFrame:
+    """(page_id, svg): a drawing to lay over each page: a box for each block in reading order, filled or
+    as a frame, with its number if asked for. Vector text in place of a stamped document."""
+    from .structure import reading_order
+
+    colour = F.lit("#9e9e9e")
+    for kind, own in COLOURS.items():
+        colour = F.when(F.col("type") == kind, own).otherwise(colour)
+    style = F.concat(F.lit("fill:"), colour, F.lit(";fill-opacity:0.3")) if filled else F.concat(F.lit("fill:none;stroke:"), colour)
+    x, y, w, h = F.col("x0").cast("int"), F.col("y0").cast("int"), (F.col("x1") - F.col("x0")).cast("int"), (F.col("y1") - F.col("y0")).cast("int")
+    rect = F.concat(F.format_string('<rect x="%d" y="%d" width="%d" height="%d" style="', x, y, w, h), style, F.lit('"/>'))
+    label = F.format_string('<text x="%d" y="%d">%d</text>', F.col("x1").cast("int"), y, F.col("order") + 1) if numbered else F.lit("")
+    parts = reading_order(blocks).select("page_id", F.struct("order", F.concat(rect, label).alias("part")).alias("p")).groupBy("page_id").agg(F.array_sort(F.collect_list("p")).alias("ps"))
+    head = f'<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 {width} {height}">'
+    return parts.select("page_id", F.concat(F.lit(head), F.array_join(F.transform("ps", lambda p: p["part"]), ""), F.lit("</svg>")).alias("svg"))

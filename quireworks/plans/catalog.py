@@ -430,3 +430,13 @@ def mostly_inside(spark, d):
 def crop_frames(spark, d):
     poly = F.array(*(F.col(c).cast("double") for c in ("x0", "y0", "x1", "y0", "x1", "y1", "x0", "y1")))
     return D.blocks(spark, d).select("page_id", "idx", G.crop_frame(poly, 3, 5).alias("frame"), G.scaled_box(G.box(), F.lit(1.7)).alias("scaled"), G.corners(poly)["area"].alias("area"))
+
+
+_COLOUR = "CASE type " + " ".join(f"WHEN '{k}' THEN '{c}'" for k, c in render.COLOURS.items()) + " ELSE '#9e9e9e' END"
+
+
+@query(f""", ordered AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY idx) AS n FROM blocks)
+  SELECT page_id, '<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 1000 1000">' || string_agg('<rect x="' || x0 || '" y="' || y0 || '" width="' || (x1 - x0) || '" height="' || (y1 - y0) || '" style="fill:' || {_COLOUR} || ';fill-opacity:0.3"/><text x="' || x1 || '" y="' || y0 || '">' || n || '</text>', '' ORDER BY n) || '</svg>' AS svg
+  FROM ordered GROUP BY page_id""")
+def overlay_svg(spark, d):
+    return render.overlay_svg(D.blocks(spark, d))
