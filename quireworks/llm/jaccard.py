@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import among, column, discard, stored, text_column, without
+from .shared import among, column, discard, sent_if_few, stored, text_column, without
 from .words import U64, Texts, passes, short_sequences, splitmix, windows
 
 WORDS = 5
@@ -400,7 +400,8 @@ def _met(heads: np.ndarray, at: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.
 
 
 def _bounded(pairs: DataFrame, points: DataFrame, vectors: str) -> DataFrame:
-    """Pairs whose vectors of that name let them reach the similarity."""
+    """Pairs (stored) whose vectors of that name let them reach the similarity."""
+    near = (100 * F.col("m") >= PERCENT * F.col("n")) & (100 * F.col("n") >= PERCENT * F.col("m"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -415,16 +416,22 @@ def _bounded(pairs: DataFrame, points: DataFrame, vectors: str) -> DataFrame:
                     fits[some] = np.minimum(x, y).sum(axis=1, dtype=np.int64) >= _needed(m[some], n[some])
                 yield pa.RecordBatch.from_arrays([column(batch, c).filter(pa.array(fits)) for c in "ab"], names=["a", "b"])
 
-    x = points.select(F.col("id").alias("a"), F.col(vectors).alias("x"), F.col("n").alias("m"))
-    y = points.select(F.col("id").alias("b"), F.col(vectors).alias("y"), "n")
-    near = (100 * F.col("m") >= PERCENT * F.col("n")) & (100 * F.col("n") >= PERCENT * F.col("m"))
-    return pairs.join(x, "a").join(y, "b").where(near).select("a", "b", "x", "y", "m", "n").mapInArrow(run, "a long, b long")
+    return _sides(pairs, points, {"n": "m", vectors: "x"}, {"n": "n", vectors: "y"}).where(near).select("a", "b", "x", "y", "m", "n").mapInArrow(run, "a long, b long")
+
+
+def _sides(pairs: DataFrame, rows: DataFrame, of_a: dict[str, str], of_b: dict[str, str]) -> DataFrame:
+    """Pairs (stored) with columns, renamed, of the rows (id, ...) of both documents. Few pairs go to
+    the rows, so that only what belongs to pairs is shuffled, and not all rows."""
+    few = sent_if_few(pairs)
+    x = few.join(rows.select(F.col("id").alias("a"), *(F.col(c).alias(n) for c, n in of_a.items())), "a")
+    y = few.join(rows.select(F.col("id").alias("b"), *(F.col(c).alias(n) for c, n in of_b.items())), "b")
+    return x.join(y, ["a", "b"])
 
 
 def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) whose sets are linked: only documents in pairs that their fine vectors (points:
     id, n, fine) let through are read again, and each pair's second set travels to its first."""
-    pairs = stored(_bounded(pairs, points, "fine"), "pairs")
+    pairs = stored(_bounded(pairs, points, "fine").distinct(), "pairs")
     wanted = stored(pairs.select(F.col("a").alias("i")).unionByName(pairs.select(F.col("b").alias("i"))).distinct(), "wanted")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -445,8 +452,7 @@ def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, id_col: str,
                 good.append(100 * both >= PERCENT * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([column(batch, c).filter(pa.array(good, pa.bool_())) for c in "ab"], names=["a", "b"])
 
-    x, y = found.select(F.col("id").alias("a"), F.col("keys").alias("x")), found.select(F.col("id").alias("b"), F.col("keys").alias("y"))
-    out = stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "verified")
+    out = stored(_sides(pairs, found, {"keys": "x"}, {"keys": "y"}).select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct(), "verified")
     discard(found, pairs, wanted)
     return out
 
@@ -505,8 +511,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # First round: each document with the list leader that it shares most prefix shingles with.
     stars = lists.where("id <> leader").groupBy("id", "leader").count()
     best = stars.groupBy("id").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("leader"))
-    pairs = best.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-    star = stored(_bounded(pairs, points, "counts"), "star")
+    pairs = stored(best.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct(), "best")
+    star = stored(_bounded(pairs, points, "counts").distinct(), "star")
     links = verified(star, points, docs, id_col, text_col)
     discard(star)
     links = stored(links.unionByName(same_id), "links")
