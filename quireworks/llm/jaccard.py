@@ -82,7 +82,7 @@ def frequent_shingles(docs: DataFrame, text_col: str) -> np.ndarray:
             for t in passes(text_column(batch, text_col)):
                 held.append(shingle_sets(t)[0])
                 size += len(held[-1])
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield send()
                     held, size = [], 0
         if held:

@@ -31,6 +31,9 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/quireworks/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows that a Python worker gets at once while a table is stored: rows can hold whole sets or texts.
+BATCH_ROWS = 2_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Garbage is collected between stored tables, but not more often than this.
 GARBAGE_SECONDS = 1.5
 _collected = 0.0
@@ -48,7 +51,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         spark.sparkContext._jvm.System.gc()
         _collected = time.monotonic()
     path = new_folder(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(BATCH_ROWS))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
