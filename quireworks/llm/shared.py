@@ -82,12 +82,6 @@ def among(df: DataFrame, col: str, ids: DataFrame) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, col, "left_semi")
 
 
-def sent_if_few(rows: DataFrame) -> DataFrame:
-    """Rows of two longs (stored) that are to be joined with something large: sent to it as long as
-    their counted number is small."""
-    return F.broadcast(rows) if rows.limit(IDS_SENT + 1).count() <= IDS_SENT else rows
-
-
 def without(df: DataFrame, rows: DataFrame) -> DataFrame:
     """The rows of df that have no equal in rows (stored, a few longs each), which are sent likewise."""
     few = rows.limit(IDS_SENT + 1).count() <= IDS_SENT
