@@ -22,6 +22,7 @@ different components.
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Callable, Iterator
 
@@ -49,6 +50,8 @@ NODE = 32
 BLOCK = 512
 #: First prefix shingles that travel with an entry, to tell that a pair has met in an earlier list.
 HEADS = 8
+#: Parts in which documents meet in the lists of shingles that aren't frequent.
+DEALS = 2
 #: Rows of sets or fine vectors looked at together.
 _AT_ONCE = 512
 
@@ -470,13 +473,18 @@ def _cells(own: DataFrame, mixed: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def _entries(alone: DataFrame) -> DataFrame:
-    """(key, id, n, at, leader): lists of two and more documents. Lists of shingles known to be
-    frequent are never sorted into one task: their leaders are counted, partly before the shuffle."""
+    """(key, id, n, at, leader), stored: lists of two and more documents. Lists of shingles known to be
+    frequent are never sorted into one task: their leaders are counted, partly before the shuffle. The
+    other ones come in DEALS parts, one after the other, so that only one of these is on disk."""
     postings = alone.select("id", "n", "rare", F.posexplode("prefix").alias("at", "key"))
-    short = _lists(postings.where("at < rare").select("key", "id", "n", "at"))
+    rare = postings.where("at < rare").select("key", "id", "n", "at")
+    parts = [stored(_lists(rare.where(F.pmod("key", F.lit(DEALS)) == k)), "lists-part") for k in range(DEALS)]
+    short = functools.reduce(DataFrame.unionByName, parts)
     long_ = postings.where("at >= rare").select("key", "id", "n", "at")
     leaders = stored(long_.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader <> last").drop("last"), "leaders")
-    return short.unionByName(long_.join(leaders, "key"))
+    lists = stored(short.unionByName(long_.join(leaders, "key")), "lists")
+    discard(*parts, leaders)
+    return lists
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -496,7 +504,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     shared = some.groupBy("id").agg(F.min(F.struct("s1", "s2")).alias("x"), F.max(F.struct("s1", "s2")).alias("y")).where("x <> y").select("id")
     same_id = members.where("id <> rep").join(shared, "id").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     alone = without(wide.where("n > 0 and id is not null").select("id", "n", "s1", "s2", "rare", "prefix"), stored(members.where("id <> rep").select("id", "s1", "s2").distinct(), "copies"))
-    lists = stored(_entries(alone), "lists")
+    lists = _entries(alone)
     points = stored(among(wide.select("id", "n", "counts", "fine", F.slice("prefix", 1, HEADS).alias("heads")), "id", stored(lists.select("id").distinct(), "in-lists")), "points")
     sizes = stored(wide.select("id", "n"), "sizes")
     same_id = stored(same_id, "same-id")
