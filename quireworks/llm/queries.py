@@ -80,6 +80,12 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files(_table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
 
 
+def op13_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    from .secrets import digests, find_secrets
+
+    return digests(find_secrets(_table(spark, folder, "documents")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_jaccard_join": op2_jaccard_join,
@@ -91,6 +97,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_context_tree": op9_context_tree,
     "op10_token_files": op10_token_files,
+    "op13_secret_scans": op13_secret_scans,
 }
 
 ORACLES: dict[str, str] = {
