@@ -80,6 +80,12 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files(_table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
 
 
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    from .variants import group_variants
+
+    return group_variants(_table(spark, folder, "documents"))
+
+
 def op13_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     from .secrets import digests, find_secrets
 
@@ -97,6 +103,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_context_tree": op9_context_tree,
     "op10_token_files": op10_token_files,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_secret_scans": op13_secret_scans,
 }
 
@@ -121,4 +128,34 @@ ORACLES: dict[str, str] = {
                CASE WHEN payload_bytes >= 1000 AND keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 1000 AND keeper <> page_id THEN keeper END AS refers_to
         FROM g""",
+    "op12_spelling_variants": """
+        WITH RECURSIVE crcs AS (
+          SELECT list_transform(range(0, 256), lambda b: list_reduce(list_prepend(b::UBIGINT, range(0, 8)::UBIGINT[]),
+            lambda x, i: CASE WHEN x & 1 = 1 THEN xor(3988292384::UBIGINT, x >> 1) ELSE x >> 1 END)) AS t),
+        runs AS (
+          SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]{5,}')) AS run FROM documents) GROUP BY ALL),
+        bytes AS (
+          SELECT run, n, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''),
+            lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [195, unicode(c) - 64] END))::UBIGINT[] AS b FROM runs),
+        hashed AS (
+          SELECT run, n, xor(list_reduce(list_prepend(4294967295::UBIGINT, b), lambda x, y: xor(t[(xor(x, y) & 255)::BIGINT + 1], x >> 8)), 4294967295::UBIGINT) AS h
+          FROM bytes, crcs),
+        v AS (
+          SELECT word, sum(n)::BIGINT AS n FROM (SELECT n, CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2)
+            ELSE run END AS word FROM hashed) WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+        gone AS (SELECT word, i, left(word, i) || substr(word, i + 2) AS less FROM (SELECT word, unnest(range(0, length(word))) AS i FROM v)),
+        pairs AS (
+          SELECT word AS a, less AS b FROM gone WHERE less IN (SELECT word FROM v)
+          UNION SELECT less, word FROM gone WHERE less IN (SELECT word FROM v)
+          UNION SELECT x.word, y.word FROM gone x JOIN gone y ON x.less = y.less AND x.i = y.i AND x.word <> y.word),
+        near AS (
+          SELECT a AS word, count(*) AS n_near, max(y.n) AS most, min_by(b, (-y.n, b)) AS best
+          FROM pairs JOIN v y ON y.word = b GROUP BY a),
+        forms AS (
+          SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 2 * v.n THEN best END AS form, CASE WHEN most >= 2 * v.n THEN most END AS form_n
+          FROM v LEFT JOIN near ON near.word = v.word),
+        chain AS (SELECT word, word AS here FROM v UNION ALL SELECT chain.word, form FROM chain JOIN forms ON forms.word = chain.here WHERE form IS NOT NULL)
+        SELECT f.word, form, here AS root, n, n_near, form_n
+        FROM forms f JOIN chain c ON c.word = f.word JOIN (SELECT word AS w FROM forms WHERE form IS NULL) last ON last.w = c.here""",
 }
