@@ -80,6 +80,12 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files(_table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(_table(spark, folder, "documents"))
+
+
 def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     from .variants import group_variants
 
@@ -103,6 +109,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_context_tree": op9_context_tree,
     "op10_token_files": op10_token_files,
+    "op11_collocations": op11_collocations,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_secret_scans": op13_secret_scans,
 }
@@ -128,6 +135,28 @@ ORACLES: dict[str, str] = {
                CASE WHEN payload_bytes >= 1000 AND keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 1000 AND keeper <> page_id THEN keeper END AS refers_to
         FROM g""",
+    "op11_collocations": """
+        WITH pieces AS (
+          SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM (SELECT lang, unnest(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents)),
+        totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+        sizes AS (SELECT unnest([1, 2, 3, 4]) AS size),
+        f AS (
+          SELECT lang, w, count(*) AS f FROM (SELECT lang, unnest(list_transform(range(1, len(w) - size + 2), lambda i: w[i:i + size - 1])) AS w
+            FROM pieces, sizes WHERE len(w) >= size) GROUP BY ALL HAVING count(*) >= 30),
+        c AS (SELECT lang, w, f AS a FROM f WHERE len(w) > 1),
+        cuts AS (
+          SELECT c.lang, c.w, c.a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * c.a // (x.f + y.f))::BIGINT AS score
+          FROM (SELECT *, unnest(range(1, len(w))) AS k FROM c) c JOIN f x ON x.lang = c.lang AND x.w = c.w[1:k] JOIN f y ON y.lang = c.lang AND y.w = c.w[k + 1:]),
+        best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, k) = 1),
+        parts AS (
+          SELECT lang, w[i:i + size - 1] AS w, max(a) AS most FROM (SELECT c.lang, c.w, c.a, size, unnest(range(1, len(c.w) - size + 2)) AS i
+            FROM c, sizes WHERE size > 1 AND size < len(c.w)) GROUP BY ALL),
+        kept AS (
+          SELECT b.*, array_to_string(b.w, ' ') AS phrase FROM best b LEFT JOIN parts p ON p.lang = b.lang AND p.w = b.w
+          WHERE p.most IS NULL OR 100::HUGEINT * p.most < 80::HUGEINT * b.a)
+        SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM kept k JOIN totals t ON t.lang = k.lang QUALIFY rank <= 2000""",
     "op12_spelling_variants": """
         WITH RECURSIVE crcs AS (
           SELECT list_transform(range(0, 256), lambda b: list_reduce(list_prepend(b::UBIGINT, range(0, 8)::UBIGINT[]),
