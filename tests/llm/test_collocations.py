@@ -73,7 +73,7 @@ def test_collocations(spark, rows):
 
 
 def test_shards_ranges_and_trees(spark, rows, monkeypatch):
-    for name, value in {"SLOTS": 12, "RANGE": 4000, "FAN": 2, "PIECE": 64, "ROW": 16, "PASS_BYTES": 500, "GATHERED": 300}.items():
+    for name, value in {"SLOTS": 12, "RANGE": 4000, "FAN": 2, "ROW": 16, "PASS_BYTES": 500, "GATHERED": 300}.items():
         monkeypatch.setattr(C, name, value)
     assert {tuple(r) for r in C.collocations(frame(spark, rows), top=7).collect()} == expected(rows, top=7)
 
