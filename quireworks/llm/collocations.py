@@ -410,8 +410,13 @@ def _candidates(runs: DataFrame, part: Part, bits: Broadcast) -> DataFrame:
     """(key) of the distinct pairs whose bucket is frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(0, U64)
         for key in _pairs(batches, lambda k: (k := part.own(k))[_bit(bits.value, part.bucket(k))]):
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(key).astype(np.int64))], names=["key"])
+            seen = np.union1d(seen, key)
+            if len(seen) > GATHERED:
+                yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64))], names=["key"])
+                seen = seen[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64))], names=["key"])
 
     return runs.mapInArrow(run, "key long").distinct()
 
@@ -539,7 +544,7 @@ def _level(runs: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None]:
     for i in range(ranges):
         part = Part(i, ranges, buckets)
         bits = sc.broadcast(_gathered(_tree_sum(_bucket_counts(few, part), parts, "u1"), buckets, "u1", lambda x: x >= LEAST))
-        keys = stored(_candidates(runs, part, bits), "collocations-candidates")
+        keys = stored(_candidates(few, part, bits), "collocations-candidates")
         shards = _sharded(keys, keys.count(), "key")
         for j, shard in enumerate(shards):
             held = Slots(shard.toArrow().column("key").to_numpy().astype(U64))
