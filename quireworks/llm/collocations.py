@@ -45,9 +45,9 @@ FAN = 16
 #: Bytes of a piece of an array.
 PIECE = 1 << 16
 #: Pairs and distinct words that a task gathers before it counts them.
-GATHERED = 1 << 21
+GATHERED = 1 << 20
 #: Bytes of text handled in one pass, and numbers in a row of runs, about.
-PASS_BYTES, ROW = 1 << 21, 2048
+PASS_BYTES, ROW = 1 << 20, 2048
 
 U64 = np.uint64
 _IS_BREAK = np.zeros(256, bool)
