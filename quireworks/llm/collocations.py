@@ -635,7 +635,8 @@ def collocations(docs: DataFrame, top: int | None = TOP, lang_col: str = "lang",
         levels.append(pairs)
         runs = further
     kept = [p.select("lang", F.concat_ws(" ", "words").alias("phrase"), "a", "cut.l", "cut.r", "cut.score") for p in _dropped(_phrases(levels))]
-    every = functools.reduce(DataFrame.unionByName, kept).join(totals, F.col("lang") == F.col("of")).withColumnRenamed("total", "n")
+    # tasks keep their own best of each language before the shuffle, so a large language is no large group
     best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    ranked = every.withColumn("rank", F.row_number().over(best))
-    return (ranked if top is None else ranked.where(F.col("rank") <= top)).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    ranked = functools.reduce(DataFrame.unionByName, kept).withColumn("rank", F.row_number().over(best))
+    ranked = ranked if top is None else ranked.where(F.col("rank") <= top)
+    return ranked.join(totals, F.col("lang") == F.col("of")).select("lang", "rank", "phrase", "a", "l", "r", F.col("total").alias("n"), "score")
