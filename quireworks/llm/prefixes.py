@@ -45,6 +45,21 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(free)) for b in range(256)]
 
 
+@lru_cache(maxsize=1)
+def _joining() -> frozenset[str]:
+    """Code points that can join one before them: second ones of canonical pairs, vowels and ends of Korean syllables."""
+    pairs = (unicodedata.decomposition(chr(c)).split() for c in range(0x110000))
+    second = {chr(int(p[1], 16)) for p in pairs if len(p) == 2 and p[0][0] != "<"}
+    return frozenset(second | {*map(chr, range(0x1161, 0x1176)), *map(chr, range(0x11A8, 0x11C3))})
+
+
+@lru_cache(maxsize=1 << 16)
+def _stands_alone(c: str) -> bool:
+    """Whether a code point and what follows it are normalised as if nothing were before it."""
+    first = unicodedata.normalize("NFD", c)[0]
+    return not unicodedata.combining(first) and first not in _joining()
+
+
 class PrefixCounter:
     """Counts for a tokenizers file: NFC, white space, lower case; a split pattern; bytes with a word end."""
 
@@ -73,6 +88,7 @@ class PrefixCounter:
         for t in self.last:
             body = t.removesuffix(self.end)
             (self.final if body != t else self.inner).add_word(body, (len(body), t))
+        self.longest = max(len(t.removesuffix(self.end)) for t in self.last)
         self.inner.make_automaton()
         self.final.make_automaton()
         self.compatible = Memo(lambda pair: compatible(*pair, self.last, self.rank))
@@ -85,36 +101,47 @@ class PrefixCounter:
             return [*body[:-1], body[-1:] + self.end]
         return [*token]
 
-    def _word_prefixes(self, word: str) -> list[int]:
-        """Token counts of a word's prefixes of 1, 2, ... code points, each as a text of its own."""
-        whole = word.isascii() and word.isprintable()
-        letters = word if whole else "".join([self.letters[b] for b in word.encode()])
-        n = len(letters)
-        inner: list[list[tuple[int, str]]] = [[] for _ in range(n + 1)]
-        final: list[list[tuple[int, str]]] = [[] for _ in range(n + 1)]
-        for at, token in self.inner.iter(letters):
-            inner[at + 1].append(token)
-        for at, token in self.final.iter(letters):
-            final[at + 1].append(token)
-        # By p: the last token of the first p letters, no word end, and their count; their count with one.
-        token_at, count, ended = [""] * (n + 1), [0] * (n + 1), [0] * n
+    def _letters_of(self, word: str) -> str:
+        return word if word.isascii() and word.isprintable() else "".join([self.letters[b] for b in word.encode()])
+
+    def _ending(self, letters: str, skipped: int) -> tuple[list[list[tuple[int, str]]], list[list[tuple[int, str]]]]:
+        """Tokens inside a word and at its end that end behind each letter but the first `skipped`, longest first."""
+        out = [[] for _ in range(len(letters) - skipped)], [[] for _ in range(len(letters) - skipped)]
+        for found, automaton in zip(out, (self.inner, self.final), strict=True):
+            for at, token in automaton.iter(letters):
+                if at >= skipped:
+                    found[at - skipped].append(token)
+        return out
+
+    def _states(self, letters: str, token_at: list[str], count: list[int]) -> list[int]:
+        """By p, for the letters of a word: the last token of the first p letters without a word end, and
+        their count, from where the two lists (with a first entry for no letter) are known to, which they
+        are extended from; returns for each new p the count with a word end."""
+        known, ended = len(count) - 1, []
         fits = self.compatible
-        for p in range(1, n + 1):
-            for size, t in inner[p]:
+        for p, (inner, final) in enumerate(zip(*self._ending(letters, known), strict=True), known + 1):
+            for size, t in inner:
                 q = p - size
                 if not q or fits[token_at[q], t]:
-                    token_at[p], count[p] = t, count[q] + 1
+                    token_at.append(t)
+                    count.append(count[q] + 1)
                     break
             else:
                 raise ValueError("the vocabulary lacks a byte")
-            for size, t in final[p]:
+            for size, t in final:
                 q = p - size
                 if not q or fits[token_at[q], t]:
-                    ended[p - 1] = count[q] + 1
+                    ended.append(count[q] + 1)
                     break
             else:
                 raise ValueError("the vocabulary lacks a byte")
-        return ended if whole else [ended[p - 1] for p in itertools.accumulate(len(c.encode()) for c in word)]
+        return ended
+
+    def _word_prefixes(self, word: str) -> list[int]:
+        """Token counts of a word's prefixes of 1, 2, ... code points, each as a text of its own."""
+        letters = self._letters_of(word)
+        ended = self._states(letters, [""], [0])
+        return ended if letters is word else [ended[p - 1] for p in itertools.accumulate(len(c.encode()) for c in word)]
 
     def _normal(self, text: str) -> str:
         text = unicodedata.normalize("NFC", text)
@@ -131,10 +158,14 @@ class PrefixCounter:
                 counts = self._plain(text[:-1].lower())
                 return [*counts, counts[-1] + self._plain(text[-1])[-1]]
         small = self._normal(text)
-        if len(small) != len(text) or not unicodedata.is_normalized("NFC", text):
-            # Code points that merge or multiply: prefixes are normalised one by one.
-            return [self._total(self._normal(text[:k])) for k in range(1, len(text) + 1)]
-        out, total = [0] * len(text), 0
+        if len(small) == len(text) and unicodedata.is_normalized("NFC", text):
+            return self._small(small)[0]
+        return self._merging(text)
+
+    def _small(self, small: str) -> tuple[list[int], list[int]]:
+        """Counts of all prefixes of a normalised text, and for each place where its word begins (behind
+        the place if it is in none)."""
+        out, starts, total = [0] * len(small), [*range(1, len(small) + 1)], 0
         at = 0
         for m in self.pattern.finditer(small):
             word = m.group()
@@ -144,10 +175,55 @@ class PrefixCounter:
                 counts = self._plain(word)
             out[at : m.start()] = [total] * (m.start() - at)
             out[m.start() : m.end()] = [total + c for c in counts]
+            starts[m.start() : m.end()] = [m.start()] * len(word)
             total, at = out[m.end() - 1], m.end()
-        out[at:] = [total] * (len(text) - at)
+        out[at:] = [total] * (len(small) - at)
+        return out, starts
+
+    def _merging(self, text: str) -> list[int]:
+        """Counts of all prefixes of a text with code points that merge or multiply when it is normalised.
+
+        Normalisation works on stretches, from one code point that never joins what is before it to the
+        next. A prefix that ends where a stretch ends is a prefix of the normalised text; another one
+        ends in the normalised begin of a stretch, and only that is counted on from where the last
+        whole stretch ended."""
+        cuts = [0, *(i for i, c in enumerate(text) if i and _stands_alone(c)), len(text)]
+        stretches = [self._normal(text[a:b]) for a, b in itertools.pairwise(cuts)]
+        small = "".join(stretches)
+        counts, starts = self._small(small)
+        words: dict[int, tuple] = {}
+        out, at = [], 0
+        for (a, b), whole in zip(itertools.pairwise(cuts), stretches, strict=True):
+            out += [self._with_tail(small, at, counts, starts, words, self._normal(text[a:k])) for k in range(a + 1, b)]
+            at += len(whole)
+            out.append(counts[at - 1])
         return out
 
+    def _with_tail(self, small: str, size: int, counts: list[int], starts: list[int], words: dict[int, tuple], tail: str) -> int:
+        """The count of a text's first `size` code points with others behind them. words: what is known of
+        long words by their places (letters, tokens and counts at them, letters before each code point)."""
+        first = starts[size - 1] if size else 0
+        before = counts[first - 1] if first else 0
+        if size - first <= 64:
+            return before + self._total(small[first:size] + tail)
+        near = max(first, size - 16)
+        while near > first and small[near] == "'":
+            near -= 1
+        joined = self.pattern.match(small[near:size] + tail).end() - (size - near)
+        own = counts[size - 1] - before
+        if joined > 0:
+            if first not in words:
+                word = self.pattern.match(small, first).group()
+                letters, token_at, count = self._letters_of(word), [""], [0]
+                self._states(letters, token_at, count)
+                words[first] = letters, token_at, count, [0, *itertools.accumulate(1 if letters is word else len(c.encode()) for c in word)]
+            letters, token_at, count, place = words[first]
+            known = place[size - first]
+            back = max(0, known - self.longest)  # no token reaches further
+            more = letters[back:known] + "".join([self.letters[x] for x in tail[:joined].encode()])
+            own = self._states(more, token_at[back : known + 1], count[back : known + 1])[-1]
+        return before + own + self._total(tail[max(joined, 0) :])
+
     def _plain(self, word: str) -> list[int]:
         return self.words[word] if len(word) <= 64 else self._word_prefixes(word)
 
