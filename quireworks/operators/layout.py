@@ -33,14 +33,13 @@ def normalised(points: Column) -> Column:
     return F.transform(points, clamp)
 
 
-def parse_layout(df: DataFrame, text: str = "output", key: str = "page_id", rectangles: bool = False) -> DataFrame:
-    """(key, idx, type, bbox, angle): a row for each line of layout text that is a block.
+def blocks_of(text: Column, rectangles: bool = False) -> Column:
+    """The blocks of layout text, an array of (idx, type, bbox, angle): one for each line that is a block.
 
     Lines of another form, of unknown type, with fewer than four, an odd number of or too large
-    numbers are left out; an unknown angle is null. idx counts the rows that stay.
+    numbers are left out; an unknown angle is null. idx counts the lines that stay.
     rectangles: polygons become the rectangles around them.
     """
-    # Lines are dropped inside the row's array, so that those that stay are numbered without a shuffle.
     lines = F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x.rlike(_LINE))
     parts = F.transform(lines, lambda x: F.struct(
         F.lower(F.regexp_extract(x, _LINE, 2)).alias("type"), angle_of(F.regexp_extract(x, _LINE, 3)).alias("angle"),
@@ -51,9 +50,17 @@ def parse_layout(df: DataFrame, text: str = "output", key: str = "page_id", rect
         p = x["points"]
         return x["type"].isin(BLOCK_TYPES) & (F.size(p) >= 4) & (F.size(p) % 2 == 0) & F.forall(p, lambda v: v.isNotNull() & (v >= 0) & (v <= 1000))
 
-    rows = df.select(key, F.posexplode(F.filter(parts, good)).alias("idx", "b"))
-    box = normalised(F.col("b.points"))
-    return rows.select(key, "idx", "b.type", (bounds(box) if rectangles else box).alias("bbox"), "b.angle")
+    def made(x: Column, i: Column) -> Column:
+        box = normalised(x["points"])
+        return F.struct(i.alias("idx"), x["type"].alias("type"), (bounds(box) if rectangles else box).alias("bbox"), x["angle"].alias("angle"))
+
+    return F.transform(F.filter(parts, good), made)
+
+
+def parse_layout(df: DataFrame, text: str = "output", key: str = "page_id", rectangles: bool = False) -> DataFrame:
+    """(key, idx, type, bbox, angle): a row for each block of layout text. Lines are dropped inside the row's
+    array, so that those that stay are numbered without a shuffle."""
+    return df.select(key, F.inline(blocks_of(F.col(text), rectangles)))
 
 
 def to_extract(df: DataFrame, skip: list[str] | None = None) -> DataFrame:
