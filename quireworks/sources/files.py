@@ -1,20 +1,19 @@
 """Documents and pictures from folders, and results to files.
 
-Files by name are written by tasks through the file system that the folder's address names, under a
-name of their own first, so that a task can run twice.
+Files by name are written at once and in one commit (see sink), not whenever somebody looks at a result.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Iterator
 
-import pyarrow as pa
-from pyarrow import fs
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import image_format
+from . import sink
 
 # Suffixes of results that lie among inputs, and types that are read.
 SKIPPED = ["json", "html"]
@@ -65,26 +64,14 @@ def load(requests: DataFrame, files: DataFrame, uri: str = "uri") -> DataFrame:
 
 
 def write_named(rows: DataFrame, folder: str, name: str = "name", content: str = "content") -> DataFrame:
-    """(name, bytes) of files written below the folder, one a row; content is text or bytes. Of rows
-    with the same name any one stays, so take last_pictures first where that matters."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, top = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
-        for batch in batches:
-            names = batch.column(0).to_pylist()
-            sizes = []
-            for n, data in zip(names, batch.column(1).to_pylist(), strict=True):
-                data = data.encode("utf-8", "replace") if isinstance(data, str) else data or b""
-                path = f"{top}/{n}"
-                files.create_dir(path.rpartition("/")[0], recursive=True)
-                own = f"{path}.{uuid.uuid4().hex}"
-                with files.open_output_stream(own, compression=None) as out:
-                    out.write(data)
-                files.move(own, path)
-                sizes.append(len(data))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], names=["name", "bytes"])
-
-    return rows.select(name, content).mapInArrow(run, "name string, bytes long")
+    """Writes files below the folder, one a row, in one commit (see sink); content is text or bytes. Returns
+    (name, bytes) of what was written. Of rows with the same name any one stays, so take last_pictures
+    first where that matters."""
+    job = uuid.uuid4().hex
+    data = F.col(content) if dict(rows.dtypes)[content] == "binary" else F.encode(content, "UTF-8")
+    sink.write(rows.select(F.lit(job).alias("name"), F.col(name).alias("path"), data.alias("content")), folder)
+    each = sink.manifest(rows.sparkSession, folder).where(F.col("name") == job).select(F.inline("files"))
+    return each.select(F.col("path").alias("name"), "bytes")
 
 
 def last_pictures(pictures: DataFrame, order: str, key: str = "path") -> DataFrame:
@@ -93,12 +80,27 @@ def last_pictures(pictures: DataFrame, order: str, key: str = "path") -> DataFra
     return pictures.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("p")).select(key, *(F.col(f"p.{c}").alias(c) for c in rest))
 
 
+def document_files(documents: DataFrame, name: str = "name") -> DataFrame:
+    """(name, path, content) of each document's files: <name>/<name>.md and <name>/<name>_middle.json from
+    the columns markdown and document (as JSON with four spaces, letters as they are); a null one gives no file."""
+    kinds = ((F.col("markdown"), ".md"), (indented(F.col("document")), "_middle.json"))
+    parts = F.array(*(F.struct(F.concat(name, F.lit("/"), name, F.lit(end)).alias("path"), F.encode(c, "UTF-8").alias("content")) for c, end in kinds))
+    return documents.select(F.col(name).alias("name"), F.inline(F.filter(parts, lambda x: x["content"].isNotNull())))
+
+
 def write_documents(documents: DataFrame, folder: str, name: str = "name") -> DataFrame:
-    """(name, bytes) of each document's files: <name>/<name>.md and <name>/<name>_middle.json from the
-    columns markdown and document; a null one gives no file."""
-    parts = F.array(*(F.struct(F.concat(name, F.lit("/"), name, F.lit(end)).alias("n"), F.col(c).alias("c")) for c, end in (("markdown", ".md"), ("document", "_middle.json"))))
-    each = documents.select(F.inline(F.filter(parts, lambda x: x["c"].isNotNull())))
-    return write_named(each, folder, "n", "c")
+    """Writes each document's files in one commit; (name, bytes) of them."""
+    each = document_files(documents, name)
+    return write_named(each.select("path", "content"), folder, "path", "content")
+
+
+def _indented(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t if t is None else json.dumps(json.loads(t), ensure_ascii=False, indent=4))
+
+
+def indented(text: Column) -> Column:
+    """JSON text with four spaces a level and without escaped letters."""
+    return F.pandas_udf(_indented, "string")(text)
 
 
 def rewrite_image_paths(blocks: DataFrame, mapping: DataFrame, kinds: list[str]) -> DataFrame:
