@@ -5,7 +5,7 @@
 
 A row for each page of PDF files (content: a file of that page alone) and for each picture (content: its bytes), and one
 with `error` for each file that can't be read. Files go to partitions by their bytes. Filters on kind
-and page reach the source (with spark.sql.python.filterPushdown.enabled): of files of other kinds only the first
+and page reach the source: of files of other kinds only the first
 bytes are read, and other pages aren't cut out.
 
 Options: path; recursive (default true); suffixes, comma-separated (others aren't opened; default those of the types
@@ -172,10 +172,10 @@ class PagesReader(DataSourceReader):
         self.scan, self.wanted = scan, Wanted()
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802
-        for f in filters:
-            # that a value is there follows from what the filters taken over ask for
-            if not self.wanted.narrow(f) and not (isinstance(f, IsNotNull) and f.attribute == ("page",) and not self.wanted.all_pages):
-                yield f
+        left = [f for f in filters if not self.wanted.narrow(f)]
+        # that a value is there follows from what the filters taken over ask for
+        there = [("kind",)] * (self.wanted.kinds is not None) + [("page",)] * (not self.wanted.all_pages)
+        return [f for f in left if not (isinstance(f, IsNotNull) and f.attribute in there)]
 
     def partitions(self) -> list[Files]:
         return self.scan.partitions(self.scan.files())
@@ -228,5 +228,7 @@ class PagesSource(DataSource):
 
 
 def register(spark: SparkSession) -> SparkSession:
+    """Makes the source known to a session, and lets filters reach sources of its kind."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(PagesSource)
     return spark
