@@ -52,3 +52,22 @@ def overlay_svg(blocks: DataFrame, width: int = 1000, height: int = 1000, filled
     parts = reading_order(blocks).select("page_id", F.struct("order", F.concat(rect, label).alias("part")).alias("p")).groupBy("page_id").agg(F.array_sort(F.collect_list("p")).alias("ps"))
     head = f'<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 {width} {height}">'
     return parts.select("page_id", F.concat(F.lit(head), F.array_join(F.transform("ps", lambda p: p["part"]), ""), F.lit("</svg>")).alias("svg"))
+
+
+def _rgb(colour: str) -> str:
+    return " ".join(f"{int(colour[i : i + 2], 16) / 255:.3f}" for i in (1, 3, 5))
+
+
+def overlay_operators(blocks: DataFrame, filled: bool = True, numbered: bool = True) -> DataFrame:
+    """(page_id, operators): what overlay_svg draws, as drawing operators for the update of a PDF file."""
+    from .structure import reading_order
+
+    fill, grey = F.lit(_rgb("#9e9e9e")), "#9e9e9e"
+    for kind, own in {**COLOURS, "": grey}.items():
+        fill = F.when(F.col("type") == kind, _rgb(own)).otherwise(fill)
+    x, y, w, h = F.col("x0").cast("int"), F.col("y0").cast("int"), (F.col("x1") - F.col("x0")).cast("int"), (F.col("y1") - F.col("y0")).cast("int")
+    box = F.format_string("%d %d %d %d re", x, y, w, h)
+    drawn = F.concat(F.lit("/QwG gs "), fill, F.lit(" rg "), box, F.lit(" f")) if filled else F.concat(fill, F.lit(" RG "), box, F.lit(" S"))
+    label = F.format_string(" BT 1 0 0 rg /QwF 10 Tf 1 0 0 -1 %d %d Tm (%d) Tj ET", F.col("x1").cast("int") + 2, y + 10, F.col("order") + 1) if numbered else F.lit("")
+    parts = reading_order(blocks).select("page_id", F.struct("order", F.concat(F.lit("q "), drawn, label, F.lit(" Q")).alias("part")).alias("p"))
+    return parts.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["part"]), " ").alias("operators"))

@@ -114,7 +114,9 @@ class _Scan:
             heapq.heappush(heap, (size + f.size, k))
         return [Files(x) for x in out if x]
 
-    def rows(self, part: Files, wanted: Wanted) -> Iterator[pa.RecordBatch]:
+    def rows(self, part: Files | None, wanted: Wanted) -> Iterator[pa.RecordBatch]:
+        if part is None:  # without any partition Spark reads one that isn't there
+            return
         files, _ = _open_fs(self.folder)
         held: list[tuple] = []
         size = 0
