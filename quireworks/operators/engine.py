@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.pdf import Unreadable, opened
+from ..functions.pdf import BROKEN, opened
 from ..sources import files, pages, sink
 from . import inference, render
 
@@ -59,7 +59,7 @@ def layout_files(source: str, drawings: DataFrame) -> DataFrame:
                     continue
                 try:
                     data = pdf.with_drawings({p["page"]: p["operators"].encode() for p in row["pages"]})
-                except Unreadable:
+                except BROKEN:
                     continue
                 name = row["name"]
                 yield pa.RecordBatch.from_pydict({"name": [name], "path": [f"{name}/{name}_layout.pdf"], "content": pa.array([data], pa.binary())})

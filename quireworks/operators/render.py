@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.pdf import BROKEN, opened
 from ..functions.text import strip
 
 
@@ -58,6 +63,33 @@ def _rgb(colour: str) -> str:
     return " ".join(f"{int(colour[i : i + 2], 16) / 255:.3f}" for i in (1, 3, 5))
 
 
+def with_overlays(files: DataFrame, drawings: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
+    """Files (key, content, ...) with `content` updated by drawings (key, page, operators), and `error`, why that can't be
+    done; pages that a file doesn't have are left out. Drawings meet their file in one row, by one shuffle."""
+    out = T.StructType([*(f for f in files.schema if f.name != "error"), T.StructField("error", T.StringType())])
+    names = out.names[:-1]
+    each = drawings.groupBy(key).agg(F.collect_list(F.struct("page", "operators")).alias("_drawn"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index
+            data, errors = [], []
+            for x, drawn in zip(batch.column(at(content)).to_pylist(), batch.column(at("_drawn")).to_pylist(), strict=True):
+                why = None
+                if drawn:
+                    pdf, why = opened(x)
+                    try:
+                        x = pdf.with_drawings({d["page"]: d["operators"].encode() for d in drawn if 0 <= d["page"] < len(pdf)}) if pdf else x
+                    except BROKEN as e:
+                        why = str(e)
+                data.append(x)
+                errors.append(why)
+            cols = [pa.array(data, pa.binary()) if n == content else batch.column(at(n)) for n in names]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(errors, pa.string())], names=out.names)
+
+    return files.select(*names).join(each, key, "left").mapInArrow(run, out)
+
+
 def overlay_operators(blocks: DataFrame, filled: bool = True, numbered: bool = True) -> DataFrame:
     """(page_id, operators): what overlay_svg draws, as drawing operators for the update of a PDF file."""
     from .structure import reading_order

@@ -12,8 +12,9 @@ from ..functions import latex as L
 from ..functions import tables as TB
 from ..functions import text as X
 from ..operators import assemble, inference, layout, render, structure, suppress
-from ..schema import FREQUENCY_PENALTY, PARATEXT, PROMPTS
+from ..schema import FREQUENCY_PENALTY, NOT_EXTRACTED, PARATEXT, PROMPTS
 from ..sources import derived as D
+from ..sources import pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -408,6 +409,51 @@ def intersections(spark, d):
     return _pairs(spark, d).select("page_id", "a_idx", "b_idx", both.alias("both")).where("both is not null")
 
 
+@query(" SELECT page_id, page, pages, CASE WHEN page_id % 2 = 1 THEN h ELSE w END AS width, CASE WHEN page_id % 2 = 1 THEN w ELSE h END AS height FROM pdf_sheets")
+def pdf_page_sizes(spark, d):
+    return pages.pages_of(D.pdf_files(spark, d), cut=False).select(F.col("path").cast("long").alias("page_id"), "page", "pages", "width", "height")
+
+
+@query(""" SELECT page_id, CAST(k AS INTEGER) AS page, w AS sheet_width, h AS sheet_height FROM (
+    SELECT page_id, w, h, unnest(CASE WHEN pages = 1 THEN [0, 1] WHEN page = 0 THEN [1] WHEN page = pages - 1 THEN [0] ELSE [] END) AS k FROM pdf_sheets)""")
+def pdf_subsets(spark, d):
+    """The last page and then the first of each file, as a file whose pages are measured again."""
+    files = D.pdf_files(spark, d).withColumn("page_ids", F.array((F.col("path").cast("long") % 3).cast("int"), F.lit(0), F.lit(99)))
+    key = F.col("path").cast("long")
+    turned = key % 2 == 1
+    sizes = F.when(turned, F.col("height")).otherwise(F.col("width")), F.when(turned, F.col("width")).otherwise(F.col("height"))
+    return pages.pages_of(pages.subsets_of(files), cut=False).select(key.alias("page_id"), "page", sizes[0].alias("sheet_width"), sizes[1].alias("sheet_height"))
+
+
+@query(""", drawn AS (SELECT page_id, CAST(count(*) AS BIGINT) AS boxes FROM blocks GROUP BY page_id)
+  SELECT p.page_id, CAST(coalesce(boxes, 0) AS BIGINT) AS boxes, true AS is_update, CAST(1 + p.page_id % 3 AS INTEGER) AS pages FROM pages p LEFT JOIN drawn d ON d.page_id = p.page_id""")
+def pdf_overlays(spark, d):
+    """Files with boxes drawn on their first pages: the old bytes are the first part of the new ones, which are read again."""
+    files = D.pdf_files(spark, d).withColumn("before", F.col("content"))
+    drawings = render.overlay_operators(D.blocks(spark, d)).select(F.col("page_id").cast("string").alias("path"), F.lit(0).alias("page"), "operators")
+    both = render.with_overlays(files, drawings)
+    new = F.expr("substring(content, length(before) + 1)").cast("string")
+    boxes = F.size(F.split(new, " re f")) - 1
+    read = pages.pages_of(both, cut=False).where("page = 0").select("path", "pages")
+    return both.select("path", boxes.cast("long").alias("boxes"), F.expr("startswith(content, before)").alias("is_update")).join(read, "path").select(F.col("path").cast("long").alias("page_id"), "boxes", "is_update", "pages")
+
+
+_PROMPT = "CASE type " + " ".join(f"WHEN '{k}' THEN '{v.strip()}'" for k, v in PROMPTS.items()) + f" ELSE '{PROMPTS['default'].strip()}' END"
+
+
+@query(f""", lines AS (SELECT page_id, idx, type, 'x' AS x, '<box:' || x0 || ' ' || y0 || ' ' || x1 || ' ' || y1 || '><label:' ||
+      CASE WHEN idx % 19 = 0 THEN 'foo' WHEN idx % 5 = 0 THEN upper(type) ELSE type END || '><|rotate_' || ['up', 'right', 'down', 'left'][idx % 4 + 1] || '|>' || CASE WHEN idx % 17 = 0 THEN ' junk' ELSE '' END AS line FROM blocks),
+    sizes AS (SELECT page_id, sum(strlen(line) + 1) - 1 AS size FROM lines GROUP BY page_id),
+    good AS (SELECT page_id, type, CAST(row_number() OVER (PARTITION BY page_id ORDER BY idx) - 1 AS INTEGER) AS idx FROM lines WHERE idx % 17 <> 0 AND idx % 19 <> 0)
+  SELECT g.page_id, g.idx, type, CASE WHEN type NOT IN ({", ".join(f"'{k}'" for k in NOT_EXTRACTED)}) THEN CAST(size AS BIGINT) || ' bytes: ' || {_PROMPT} END AS content
+  FROM good g JOIN sizes s ON s.page_id = g.page_id""")
+def two_step_contents(spark, d):
+    """Layouts and contents of pages in two steps, both models asked once a page: the layout model answers with what the page's
+    picture says, the other one with the picture's size and what it was asked."""
+    read = inference.read_pages(D.layout_text(spark, d).select("page_id", F.col("output").cast("binary").alias("image")), "echo", "stub")
+    return read.select("page_id", F.inline(F.arrays_zip(F.col("blocks.idx").alias("idx"), F.col("blocks.type").alias("type"), F.col("contents").alias("content"))))
+
+
 @query()
 def parsed_documents(spark, d):
     """Two steps with a model that knows each page's layout and answers all else with the picture's size."""

@@ -3,10 +3,15 @@ the same rules as SQL (common table expressions) for checking queries against.""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.pdf import Name, Ref, Stream, written
+
 # Types by slot, for pages by the remainder of their number.
 TEMPLATES = [
     ["image", "text", "image_caption", "text", "image", "table", "table_footnote", "table", "table_caption", "text", "list", "text", "text", "ref_text", "header", "equation_block"],
@@ -93,6 +98,24 @@ def detections(spark: SparkSession, folder: str) -> DataFrame:
     return blocks(spark, folder).select("page_id", "idx", kind.alias("category_id"), poly.alias("poly"), (((F.col("idx") * 37 + F.col("page_id")) % 100) / 100.0).alias("score"))
 
 
+def pdf_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, content): a PDF file for each of the pages, of one to three sheets that are as high as they are far
+    behind and turned as the tree's root says; the text is what the first one holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for i, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n = 1 + i % 3
+                sheets = [{"Type": Name("Page"), "Parent": Ref(2), "MediaBox": [0, 0, 200 + i % 100, 300 + 10 * k]} for k in range(n)]
+                sheets[0]["Contents"] = Ref(3 + n)
+                root = {"Type": Name("Pages"), "Kids": [Ref(3 + k) for k in range(n)], "Count": n, "Rotate": i % 4 * 90}
+                made.append(written([{"Type": Name("Catalog"), "Pages": Ref(2)}, root, *sheets, Stream({}, (text or "").encode())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array(made, pa.binary())], names=["path", "content"])
+
+    return table(spark, folder, "pages").select("page_id", "html").mapInArrow(run, "path string, content binary")
+
+
 def _list(items: list[str]) -> str:
     return "[" + ", ".join(f"'{x}'" for x in items) + "]"
 
@@ -112,6 +135,8 @@ sized AS (
     CAST(CASE WHEN type = 'image' AND page_id % 7 = 0 THEN 100 ELSE (idx * 89 + page_id * 17) % 700 END AS INTEGER) AS y0,
     CAST(CASE WHEN type = 'list' THEN 299 WHEN type = 'image' AND page_id % 7 = 0 THEN 200 ELSE 20 + (idx * 53 + page_id * 7) % 120 END AS INTEGER) AS w,
     CAST(CASE WHEN type = 'list' THEN 299 WHEN type = 'image' AND page_id % 7 = 0 THEN 200 ELSE 10 + (idx * 31 + page_id * 3) % 60 END AS INTEGER) AS h FROM typed),
+pdf_sheets AS (SELECT page_id, CAST(p AS INTEGER) AS page, CAST(1 + page_id % 3 AS INTEGER) AS pages, CAST(200 + page_id % 100 AS DOUBLE) AS w, CAST(300 + 10 * p AS DOUBLE) AS h
+  FROM (SELECT page_id, unnest(range(0, 1 + page_id % 3)) AS p FROM pages)),
 blocks AS (SELECT page_id, idx, type, x0, y0, x0 + w AS x1, y0 + h AS y1, CAST((idx % 4) * 90 AS INTEGER) AS angle, content FROM sized),
 ranked_items AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS i FROM lineitem),
 equations AS (SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN '\\[\\frac{{1}}{{' || p_size || '}}\\]' WHEN 1 THEN 'E=mc^' || p_size || ' (' || p_size || '-1)' WHEN 2 THEN 'y=f(x)'

@@ -16,15 +16,18 @@ and sizes).
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
-from ..functions.pdf import Unreadable, opened
+from ..functions.pdf import BROKEN, opened
 from ..functions.pictures import kind_of, size_of
 
 # Suffixes of the types that are read.
@@ -104,8 +107,6 @@ class _Scan:
         """Files in partitions of about so many bytes, the largest first each into the one with least."""
         found = sorted(found, key=lambda f: (-f.size, f.path))
         n = max(1, min(len(found), -(-sum(f.size for f in found) // self.partition_bytes)))
-        import heapq
-
         heap = [(0, k) for k in range(n)]
         out: list[list[tuple[str, int]]] = [[] for _ in range(n)]
         for f in found:
@@ -142,27 +143,72 @@ class _Scan:
             if wanted.kinds is None and wanted.all_pages:
                 yield path, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"
             return
-        digest = hashlib.sha256(data).hexdigest()
-        broken = lambda why: (path, kind, digest, None, None, None, None, None, why)
-        if kind == "pdf":
-            pdf, why = opened(data)
-            if pdf is None:
-                if wanted.all_pages:  # an error has no page, so a filter on pages leaves it out
-                    yield broken(why)
-                return
-            made = []
-            try:
-                for i in wanted.of(len(pdf)):
-                    made.append((path, kind, digest, i, len(pdf), *pdf.size(i), pdf.subset([i]) if self.content else None, None))
-            except Unreadable as e:
-                made = [broken(str(e))] if wanted.all_pages else []
-            yield from made
-        elif wanted.of(1) or wanted.all_pages:
-            size = size_of(data)
-            if size and min(size) > 0:
-                yield path, kind, digest, 0, 1, float(size[0]), float(size[1]), data if self.content else None, None
-            elif wanted.all_pages:
-                yield broken("no picture whose size is known" if kind else "of no known type")
+        yield from rows_of_data(path, data, wanted, self.content)
+
+
+def rows_of_data(path: str, data: bytes, wanted: Wanted, content: bool = True) -> Iterator[tuple]:
+    """Rows of the source for a file's bytes."""
+    kind, digest = kind_of(data), hashlib.sha256(data).hexdigest()
+    broken = lambda why: (path, kind, digest, None, None, None, None, None, why)
+    if kind == "pdf":
+        pdf, why = opened(data)
+        if pdf is None:
+            if wanted.all_pages:  # an error has no page, so a filter on pages leaves it out
+                yield broken(why)
+            return
+        made = []
+        try:
+            for i in wanted.of(len(pdf)):
+                made.append((path, kind, digest, i, len(pdf), *pdf.size(i), pdf.subset([i]) if content else None, None))
+        except BROKEN as e:
+            made = [broken(str(e))] if wanted.all_pages else []
+        yield from made
+    elif wanted.of(1) or wanted.all_pages:
+        size = size_of(data)
+        if size and min(size) > 0:
+            yield path, kind, digest, 0, 1, float(size[0]), float(size[1]), data if content else None, None
+        elif wanted.all_pages:
+            yield broken("no picture whose size is known" if kind else "of no known type")
+
+
+def pages_of(files: DataFrame, path: str = "path", content: str = "content", cut: bool = True) -> DataFrame:
+    """The source's rows for files in a table (path, content): a row for each page, or one with an error. cut: pages come
+    as files of their own, else content is null. A null content is of no known type."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data in zip(batch.column(0), batch.column(1), strict=True):
+                held = list(rows_of_data(name.as_py(), data.as_py() or b"", Wanted(), cut))
+                for i in range(0, len(held), 256):
+                    yield _batch(held[i : i + 256])
+
+    return files.select(F.col(path).cast("string"), content).mapInArrow(run, SCHEMA)
+
+
+def subsets_of(files: DataFrame, pages: str = "page_ids", content: str = "content") -> DataFrame:
+    """Files with `content` cut down to the pages that a column lists, in that order, and `error`, why that can't be done;
+    numbers outside of a file are left out, an empty or null list keeps the file as it is."""
+    out = T.StructType([*(f for f in files.schema if f.name != "error"), T.StructField("error", T.StringType())])
+    names = out.names[:-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index
+            data, errors = [], []
+            for x, ids in zip(batch.column(at(content)).to_pylist(), batch.column(at(pages)).to_pylist(), strict=True):
+                why = None
+                if ids:
+                    pdf, why = opened(x)
+                    try:
+                        x = pdf.subset([i for i in ids if i is not None and 0 <= i < len(pdf)]) if pdf else None
+                    except BROKEN as e:
+                        x, why = None, str(e)
+                data.append(x)
+                errors.append(why)
+            cols = [pa.array(data, pa.binary()) if n == content else batch.column(at(n)) for n in names]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(errors, pa.string())], names=out.names)
+
+    return files.select(*names).mapInArrow(run, out)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
