@@ -40,6 +40,8 @@ NO_LANG = "und"
 SLOTS = 1 << 20
 #: Positions of the corpus whose pairs are counted at once, and buckets for them at most (a byte each in a task).
 RANGE, BUCKETS = 1 << 28, 1 << 24
+#: Parts of a language's phrases that are ranked by themselves first.
+PARTS = 256
 #: Arrays are summed by so many.
 FAN = 16
 #: Bytes of a piece of an array.
@@ -635,8 +637,11 @@ def collocations(docs: DataFrame, top: int | None = TOP, lang_col: str = "lang",
         levels.append(pairs)
         runs = further
     kept = [p.select("lang", F.concat_ws(" ", "words").alias("phrase"), "a", "cut.l", "cut.r", "cut.score") for p in _dropped(_phrases(levels))]
-    # tasks keep their own best of each language before the shuffle, so a large language is no large group
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    ranked = functools.reduce(DataFrame.unionByName, kept).withColumn("rank", F.row_number().over(best))
+    every = functools.reduce(DataFrame.unionByName, kept)
+    order = F.desc("score"), F.desc("a"), F.asc("phrase")
+    if top is not None:  # the best of parts of a language first, so that its best are found among few
+        parts = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))).orderBy(*order)
+        every = every.withColumn("rank", F.row_number().over(parts)).where(F.col("rank") <= top)
+    ranked = every.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
     ranked = ranked if top is None else ranked.where(F.col("rank") <= top)
     return ranked.join(totals, F.col("lang") == F.col("of")).select("lang", "rank", "phrase", "a", "l", "r", F.col("total").alias("n"), "score")
