@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import latex as L
+from ..functions import runs
 from ..functions import tables as TB
 from ..functions import text as X
 from ..operators import assemble, inference, layout, render, structure, suppress
@@ -409,6 +410,36 @@ def intersections(spark, d):
     return _pairs(spark, d).select("page_id", "a_idx", "b_idx", both.alias("both")).where("both is not null")
 
 
+def _first_repeats_sql(size: int) -> str:
+    return f""", words AS (SELECT doc_id, string_split(coalesce(text, ''), ' ') AS w FROM documents),
+  grams AS (SELECT doc_id, i - 1 AS start, hash(w[i:i + {size - 1}]) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {size - 2})) AS i FROM words)),
+  seen AS (SELECT *, min(start) OVER (PARTITION BY doc_id, g) AS earlier FROM grams),
+  firsts AS (SELECT doc_id, min(start) AS start, arg_min(earlier, start) AS earlier FROM seen WHERE start > earlier GROUP BY doc_id)
+  SELECT d.doc_id, start, earlier FROM documents d LEFT JOIN firsts f ON f.doc_id = d.doc_id"""
+
+
+def _word_tokens(spark, d):
+    words = F.split(F.coalesce("text", F.lit("")), " ")
+    return D.table(spark, d, "documents").select("doc_id", F.transform(words, lambda w: F.xxhash64(w)).alias("tokens"))
+
+
+@query(_first_repeats_sql(3))
+def first_repeats(spark, d):
+    return runs.first_repeats(_word_tokens(spark, d), "tokens", 3)
+
+
+@query(_first_repeats_sql(100))
+def first_repeats_100(spark, d):
+    """Where a generator that may not repeat a hundred words would have had to stop."""
+    return runs.first_repeats(_word_tokens(spark, d), "tokens", 100)
+
+
+@query(""", words AS (SELECT doc_id, string_split(coalesce(text, ''), ' ') AS w FROM documents)
+  SELECT doc_id, CAST(coalesce((SELECT count(DISTINCT w[i + 1]) FROM (SELECT unnest(range(1, len(w))) AS i) WHERE w[i] = w[-1]), 0) AS INTEGER) AS n_banned FROM words""")
+def banned_tokens(spark, d):
+    return runs.banned_tokens(_word_tokens(spark, d), "tokens", 2).select("doc_id", F.size("banned").alias("n_banned"))
+
+
 @query(" SELECT page_id, page, pages, CASE WHEN page_id % 2 = 1 THEN h ELSE w END AS width, CASE WHEN page_id % 2 = 1 THEN w ELSE h END AS height FROM pdf_sheets")
 def pdf_page_sizes(spark, d):
     return pages.pages_of(D.pdf_files(spark, d), cut=False).select(F.col("path").cast("long").alias("page_id"), "page", "pages", "width", "height")
