@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geometry as G
+from ..functions import pixels as P
 from ..functions.latex import equation, inline_math
 from ..functions.tables import otsl_html
 from ..schema import NOT_EXTRACTED, PROMPTS
@@ -43,6 +44,9 @@ class Limits:
     retries: int = 1
 
 
+#: Pixels of a page that is cut up; larger ones are scaled down first.
+MOST_PIXELS = 64_000_000
+
 _MODELS: dict[str, tuple[Callable[[], Model], Limits]] = {}
 _loaded: dict[str, Model] = {}
 Request = tuple[bytes | None, str]
@@ -174,9 +178,72 @@ def read_layouts(pages: DataFrame, model: str = "stub") -> DataFrame:
     return asked.withColumn("blocks", layout.blocks_of(F.col("_layout"), rectangles=True)).drop("_layout", "prompt")
 
 
-def read_contents(pages: DataFrame, model: str = "stub", skip: list[str] | None = None) -> DataFrame:
+def layout_pictures(pages: DataFrame, width: int = 1036, height: int = 1036, image: str = "image") -> DataFrame:
+    """Pages with their pictures (PNG) in the size that a layout model takes, and `error`, why one can't be opened."""
+    names = [n for n in pages.columns if n not in (image, "error")]
+    out = T.StructType([*(pages.schema[n] for n in names), T.StructField(image, T.BinaryType()), T.StructField("error", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index
+            made, errors = [], []
+            for data in batch.column(at(image)):
+                try:
+                    made.append(P.encoded(P.resized(P.opened(data.as_py() or b""), width, height)))
+                    errors.append(None)
+                except P.Undecodable as e:
+                    made.append(None)
+                    errors.append(_reason(e))
+            yield pa.RecordBatch.from_arrays([*(batch.column(at(n)) for n in names), pa.array(made, pa.binary()), pa.array(errors, pa.string())], names=out.names)
+
+    return pages.select(*names, image).mapInArrow(run, out)
+
+
+def cut_pictures(pages: DataFrame, kinds: list[str] | None = None, frame: bool = True, image: str = "image") -> DataFrame:
+    """(page_id, idx, type, picture, width, height, error): what is cut out of the pages' pictures (PNG) for each of their
+    `blocks` of some types (null: those that are recognised), turned upright, and with `frame` of at least 28 by 28 pixels and
+    not longer than 50 times its width. Blocks without a pixel have no row; a picture that can't be opened
+    gives one with its error and no idx. A page's picture is opened once and no further than its own row."""
+    out = "idx int, type string, picture binary, width int, height int, error string"
+    key = pages.schema["page_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for page, data, blocks in zip(*(batch.column(i) for i in range(3)), strict=True):
+                wanted = [b for b in blocks.as_py() or [] if (b["type"] not in NOT_EXTRACTED if kinds is None else b["type"] in kinds)]
+                rows: list[tuple] = []
+                if wanted:
+                    try:
+                        pixels = P.fitted(P.opened(data.as_py() or b""), MOST_PIXELS)
+                    except P.Undecodable as e:
+                        rows.append((None, None, None, None, None, _reason(e)))
+                        wanted = []
+                for b in wanted:
+                    part = P.cut_out(pixels, b["bbox"], b["angle"])
+                    if part is not None:
+                        part = P.framed(part) if frame else part
+                        rows.append((b["idx"], b["type"], P.encoded(part), part.shape[1], part.shape[0], None))
+                if rows:
+                    cols = list(zip(*rows, strict=True))
+                    types = [pa.int32(), pa.string(), pa.binary(), pa.int32(), pa.int32(), pa.string()]
+                    yield pa.RecordBatch.from_arrays([pa.array([page.as_py()] * len(rows), page.type), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["page_id", "idx", "type", "picture", "width", "height", "error"])
+
+    return pages.select("page_id", image, "blocks").mapInArrow(run, f"page_id {key}, {out}")
+
+
+def _cuts(data: bytes, blocks: list[dict], prompts: list[str | None]) -> Iterator[bytes | None]:
+    """A page's cut-outs as PNG, one for each prompt, None for a block without a pixel."""
+    pixels = P.fitted(P.opened(data), MOST_PIXELS)
+    for b, p in zip(blocks, prompts, strict=True):
+        if p is not None:
+            part = P.cut_out(pixels, b["bbox"], b["angle"])
+            yield None if part is None else P.encoded(P.framed(part))
+
+
+def read_contents(pages: DataFrame, model: str = "stub", skip: list[str] | None = None, cut: bool = False) -> DataFrame:
     """Pages of read_layouts without their pictures, with `contents`: an answer for each block, null for types that
-    aren't asked about, and the first error. Models cut `bbox` out of the page's picture themselves."""
+    aren't asked about, and the first error. The model gets the page's picture with each request, or with
+    `cut` what is cut out of it (PNG only), and isn't asked about blocks without a pixel."""
     make, limits = _MODELS[model]
     asked = pages.withColumn("prompts", F.transform("blocks", lambda b: prompt_of(b["type"], skip)))
     names = [n for n in asked.columns if n not in ("image", "prompts", "error")]
@@ -188,17 +255,32 @@ def read_contents(pages: DataFrame, model: str = "stub", skip: list[str] | None
             at = batch.schema.get_field_index
             images, prompts = batch.column(at("image")), batch.column(at("prompts")).to_pylist()
             errors = batch.column(at("error")).to_pylist()
+            empty: set[tuple[int, int]] = set()  # blocks without a pixel, of pages by place
 
             def asked() -> Iterator[Request]:
-                for image, some in zip(images, prompts, strict=True):
-                    if any(p is not None for p in some or []):
-                        data = image.as_py()  # one object for all of a page's requests
+                for i, (image, some) in enumerate(zip(images, prompts, strict=True)):
+                    if not any(p is not None for p in some or []):
+                        continue
+                    data = image.as_py()  # one object for all of a page's requests
+                    if not cut:
                         yield from ((data, p) for p in some if p is not None)
-
-            answers = ask(own, asked(), limits)
-            contents = []
+                        continue
+                    wanted = [k for k, p in enumerate(some) if p is not None]
+                    try:
+                        parts = list(_cuts(data or b"", batch.column(at("blocks"))[i].as_py(), some))
+                    except P.Undecodable as e:
+                        errors[i] = errors[i] or _reason(e)
+                        parts = [None] * len(wanted)
+                    for k, part in zip(wanted, parts, strict=True):
+                        if part is None:
+                            empty.add((i, k))
+                        else:
+                            yield part, some[k]
+
+            answered = list(ask(own, asked(), limits))  # by then it is known which blocks are empty
+            answers, contents = iter(answered), []
             for i, some in enumerate(prompts):
-                got = [next(answers) if p is not None else (None, None) for p in some or []]
+                got = [next(answers) if p is not None and (i, k) not in empty else (None, None) for k, p in enumerate(some or [])]
                 errors[i] = errors[i] or next((e for _, e in got if e), None)
                 contents.append([x for x, _ in got] if some is not None else None)
             new = [pa.array(contents, pa.list_(pa.string())), pa.array(errors, pa.string())]
@@ -207,10 +289,10 @@ def read_contents(pages: DataFrame, model: str = "stub", skip: list[str] | None
     return asked.mapInArrow(run, out)
 
 
-def read_pages(pages: DataFrame, layout_model: str = "stub", content_model: str | None = None, skip: list[str] | None = None) -> DataFrame:
+def read_pages(pages: DataFrame, layout_model: str = "stub", content_model: str | None = None, skip: list[str] | None = None, cut: bool = False) -> DataFrame:
     """Pages without pictures, with blocks, contents and error: both steps in one task each page, without a
     shuffle, checkpointed so that models are asked once whatever is made of their answers."""
-    return kept(read_contents(read_layouts(pages, layout_model), content_model or layout_model, skip))
+    return kept(read_contents(read_layouts(pages, layout_model), content_model or layout_model, skip, cut))
 
 
 def blocks_of_pages(read: DataFrame, lists: bool = True, paratext: bool = True) -> DataFrame:
