@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import latex as L
-from ..functions import runs
+from ..functions import pixels, runs
 from ..functions import tables as TB
 from ..functions import text as X
 from ..operators import assemble, inference, layout, render, structure, suppress
@@ -397,6 +398,22 @@ def crop_sizes(spark, d):
     return layout.crops(shares, pages).select("page_id", "idx", "crop.x", "crop.y", F.col("crop.width").alias("cw"), F.col("crop.height").alias("ch"), "size.width", "size.height")
 
 
+@query(""", sized_pages AS (SELECT *, CAST(page_id % 400 + 60 AS INTEGER) AS pw, CAST(page_id * 7 % 900 + 40 AS INTEGER) AS ph FROM blocks WHERE type NOT IN ('image', 'list', 'equation_block')),
+  px AS (SELECT page_id, idx, angle, CAST(trunc(CAST(x0 / 1000.0::DOUBLE AS FLOAT) * CAST(pw AS FLOAT)) AS INTEGER) AS a, CAST(trunc(CAST(y0 / 1000.0::DOUBLE AS FLOAT) * CAST(ph AS FLOAT)) AS INTEGER) AS b,
+    CAST(trunc(CAST(x1 / 1000.0::DOUBLE AS FLOAT) * CAST(pw AS FLOAT)) AS INTEGER) AS c, CAST(trunc(CAST(y1 / 1000.0::DOUBLE AS FLOAT) * CAST(ph AS FLOAT)) AS INTEGER) AS d FROM sized_pages),
+  spots AS (SELECT *, CASE WHEN angle IN (90, 180) THEN c - 1 ELSE a END AS x, CASE WHEN angle IN (180, 270) THEN d - 1 ELSE b END AS y FROM px WHERE c > a AND d > b)
+  SELECT page_id, idx, CAST(CASE WHEN angle IN (90, 270) THEN d - b ELSE c - a END AS INTEGER) AS width, CAST(CASE WHEN angle IN (90, 270) THEN c - a ELSE d - b END AS INTEGER) AS height,
+    [CAST(x % 256 AS INTEGER), CAST(y % 256 AS INTEGER), CAST((x + y) % 256 AS INTEGER)] AS corner FROM spots""")
+def cut_out_pictures(spark, d):
+    """What is cut out of pages' pictures, opened again: its size, and the pixel in its upper left corner."""
+    cut = inference.cut_pictures(D.page_pictures(spark, d), frame=False)
+
+    def corner(pictures: pd.Series) -> pd.Series:
+        return pictures.map(lambda x: pixels.opened(x)[0, 0].tolist())
+
+    return cut.select("page_id", "idx", "width", "height", F.pandas_udf(corner, "array<int>")("picture").alias("corner"))
+
+
 @query(""" SELECT page_id, idx, CASE idx % 4 WHEN 3 THEN [842 - y0, 595 - x0, 842 - y0, 595 - x1, 842 - y1, 595 - x1, 842 - y1, 595 - x0] WHEN 2 THEN [595 - x0, y0, 595 - x1, y0, 595 - x1, y1, 595 - x0, y1]
   WHEN 1 THEN [y0, x0, y0, x1, y1, x1, y1, x0] ELSE [x0, 842 - y0, x1, 842 - y0, x1, 842 - y1, x0, 842 - y1] END AS quad FROM blocks""")
 def canvas_quads(spark, d):

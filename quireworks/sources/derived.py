@@ -5,12 +5,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.pdf import Name, Ref, Stream, written
+from ..functions.pixels import encoded
 
 # Types by slot, for pages by the remainder of their number.
 TEMPLATES = [
@@ -116,6 +118,24 @@ def pdf_files(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pages").select("page_id", "html").mapInArrow(run, "path string, content binary")
 
 
+def page_pictures(spark: SparkSession, folder: str) -> DataFrame:
+    """(page_id, image, blocks): a PNG picture for each page of blocks, whose pixels say where they are (x, y and their
+    sum, modulo 256), and the blocks in shares of the page."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for i in batch.column(0).to_pylist():
+                y, x = np.mgrid[: i * 7 % 900 + 40, : i % 400 + 60]
+                made.append(encoded(np.stack([x, y, x + y], 2).astype(np.uint8)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary()), batch.column(1)], names=["page_id", "image", "blocks"])
+
+    shares = F.array(*(F.col(c) / F.lit(1000.0) for c in ("x0", "y0", "x1", "y1")))
+    rows = blocks(spark, folder).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("idx", "type", shares.alias("bbox"), "angle"))).alias("blocks"))
+    kind = "array<struct<idx int, type string, bbox array<double>, angle int>>"
+    return rows.mapInArrow(run, f"page_id long, image binary, blocks {kind}")
+
+
 def _list(items: list[str]) -> str:
     return "[" + ", ".join(f"'{x}'" for x in items) + "]"
 
