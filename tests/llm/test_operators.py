@@ -663,3 +663,15 @@ def test_pipeline(spark, data):
     assert [n for n, _ in p.STAGES] == ["quality rules", "n-gram Jaccard join", "substring dedup", "packing"]
 
 
+
+
+def test_pipeline_keeps_one_row_of_an_id(spark, tmp_path):
+    import corpus_pipeline as p
+
+    rng = random.Random(8)
+    a, b = text(rng, 80, 100_000), text(rng, 80, 100_000)
+    rows = [(1, a), (1, a), (2, a), (3, b), (3, b + " more"), (4, None), (4, None), (5, text(rng, 80, 100_000))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = p.one_of_copies(spark, docs, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.text) for r in got if r.text) == sorted([(1, a), (3, b), (5, rows[-1][1])]) and [r.doc_id for r in got if r.text is None] == [4]
+    assert p.one_row_each(docs.where("doc_id > 4")).count() == 1 and spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1"
