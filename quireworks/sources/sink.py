@@ -13,7 +13,9 @@ highest number stays.
 
 from __future__ import annotations
 
+import contextlib
 import json
+import time
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -31,6 +33,8 @@ ROWS = "name string, digest string, status string, reason string, path string, c
 MANIFEST = "name string, digest string, status string, reason string, files array<struct<path string, bytes long>>"
 #: Files that are moved at once.
 MOVERS = 16
+#: How often an abort looks for what tasks leave, 0.3 seconds apart.
+ABORT_LOOKS = 40
 
 
 @dataclass
@@ -97,7 +101,18 @@ class FilesWriter(DataSourceArrowWriter):
         self._cleared(files, top)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        self._cleared(*_open_fs(self.folder))
+        """Tasks of the job that are still being stopped may write on for a moment, so this looks again until
+        nothing more has come."""
+        files, top = _open_fs(self.folder)
+        quiet = 0
+        for _ in range(ABORT_LOOKS):
+            there = files.get_file_info(self._staging(top)).type == fs.FileType.Directory
+            quiet = 0 if there else quiet + 1
+            if quiet > 3:
+                break
+            with contextlib.suppress(OSError):  # a task may add to a folder while it is removed
+                self._cleared(files, top)
+            time.sleep(0.3)
 
     def _cleared(self, files: fs.FileSystem, top: str) -> None:
         staging = self._staging(top)
