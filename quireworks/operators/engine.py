@@ -13,8 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.pdf import BROKEN, opened
-from ..sources import files, pages, sink
+from ..functions.pdf import opened
+from ..functions.pictures import kind_of
+from ..functions.scans import FAILED, as_pdf, orientation
+from ..sources import files, pages, scans, sink
 from . import inference, render
 
 DONE, REJECTED = "done", "rejected"
@@ -47,19 +49,24 @@ def of_paths(rows: DataFrame, paths: DataFrame) -> DataFrame:
 
 def layout_files(source: str, drawings: DataFrame) -> DataFrame:
     """(name, path, content): <name>/<name>_layout.pdf, the input with what is drawn on its pages, from (name, path, pages:
-    array of (page, operators)); nothing for pictures, nor for files that can't be updated."""
+    array of (page, operators)). PNG and upright JPEG pictures become files of a page first; nothing for other
+    pictures, nor for files that can't be updated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = pages._open_fs(source)
         for batch in batches:
             for row in batch.to_pylist():
                 with store.open_input_file(row["path"]) as f:
-                    pdf, _ = opened(f.read())
-                if pdf is None:
+                    data = f.read()
+                kind = kind_of(data)
+                if kind == "jpeg" and orientation(data) != 1:  # its blocks are told from the picture as it is stored
                     continue
                 try:
+                    pdf, _ = opened(data if kind == "pdf" else as_pdf(data))
+                    if pdf is None:
+                        continue
                     data = pdf.with_drawings({p["page"]: p["operators"].encode() for p in row["pages"]})
-                except BROKEN:
+                except FAILED:
                     continue
                 name = row["name"]
                 yield pa.RecordBatch.from_pydict({"name": [name], "path": [f"{name}/{name}_layout.pdf"], "content": pa.array([data], pa.binary())})
@@ -69,15 +76,19 @@ def layout_files(source: str, drawings: DataFrame) -> DataFrame:
 
 def parse_folder(
     spark: SparkSession, source: str, target: str, layout_model: str = "stub", content_model: str | None = None, skip: list[str] | None = None,
-    lists: bool = True, paratext: bool = True, overlays: bool = True, **options: str,
+    lists: bool = True, paratext: bool = True, overlays: bool = True, dpi: int | None = None, **options: str,
 ) -> DataFrame:
-    """Parses what lies in a folder and writes <name>/<name>.md, <name>/<name>_middle.json and for PDF files
-    <name>/<name>_layout.pdf below another one. Returns (name, digest, status, reason) of this run's documents;
-    the sink's manifest keeps them all. options: those of the source of pages."""
+    """Parses what lies in a folder and writes <name>/<name>.md, <name>/<name>_middle.json and <name>/<name>_layout.pdf
+    below another one. Returns (name, digest, status, reason) of this run's documents;
+    the sink's manifest keeps them all. dpi: scanned pages reach the models as pictures of so many dots an inch, other
+    pages as files of a page, as all do without. options: those of the source of pages."""
     found = inference.kept(open_work(inputs(spark, source, **options), sink.manifest(spark, target)))
     work = found.where("error IS NULL").select("path", "name")
     rows = of_paths(pages.register(spark).read.format(pages.PagesSource.name()).options(path=source, **options).load(), work)
-    sheets = rows.where("error IS NULL").select(
+    rows = rows.where("error IS NULL")
+    if dpi is not None:
+        rows = scans.page_pictures(rows, dpi=dpi).withColumn("content", F.coalesce("picture", "content"))
+    sheets = rows.select(
         "name", "path", "page", F.col("name").alias("doc_id"), F.col("page").alias("page_idx"), F.monotonically_increasing_id().alias("page_id"),
         F.col("content").alias("image"), F.round("width").cast("int").alias("width"), F.round("height").cast("int").alias("height"),
     )

@@ -16,7 +16,7 @@ from ..functions import text as X
 from ..operators import assemble, inference, layout, render, structure, suppress
 from ..schema import FREQUENCY_PENALTY, NOT_EXTRACTED, PARATEXT, PROMPTS
 from ..sources import derived as D
-from ..sources import pages
+from ..sources import pages, scans
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -473,6 +473,24 @@ def pdf_subsets(spark, d):
     return pages.pages_of(pages.subsets_of(files), cut=False).select(key.alias("page_id"), "page", sizes[0].alias("sheet_width"), sizes[1].alias("sheet_height"))
 
 
+@query(""", sized_scans AS (SELECT DISTINCT page_id, CAST(page_id % 400 + 60 AS INTEGER) AS width, CAST(page_id * 7 % 900 + 40 AS INTEGER) AS height FROM blocks),
+  scales AS (SELECT *, least(200 / 72.0::DOUBLE, 500.0::DOUBLE / greatest(width, height)) AS scale FROM sized_scans)
+  SELECT page_id, width, height, [CAST((width - 1) % 256 AS INTEGER), CAST((height - 1) % 256 AS INTEGER), CAST((width + height - 2) % 256 AS INTEGER)] AS corner,
+    CAST(ceil(width * scale - 1e-9) AS INTEGER) AS rendered_width, CAST(ceil(height * scale - 1e-9) AS INTEGER) AS rendered_height FROM scales""")
+def scanned_pages(spark, d):
+    """Pictures as PDF files of a page, and these pages as pictures again: at a dot a point the last pixel, and the sizes
+    at 200 dots an inch with sides of 500 at most."""
+
+    def corner(pictures: pd.Series) -> pd.Series:
+        return pictures.map(lambda x: pixels.opened(x)[-1, -1].tolist())
+
+    files = scans.as_pdf_files(D.page_pictures(spark, d).select("page_id", "image"), "image").select("page_id", "pdf")
+    plain = scans.page_pictures(files, "pdf", dpi=72)
+    plain = plain.select("page_id", "pdf", F.col("picture_width").alias("width"), F.col("picture_height").alias("height"), F.pandas_udf(corner, "array<int>")("picture").alias("corner"))
+    large = scans.page_pictures(plain, "pdf", longest=500)
+    return large.select("page_id", "width", "height", "corner", F.col("picture_width").alias("rendered_width"), F.col("picture_height").alias("rendered_height"))
+
+
 @query(""", drawn AS (SELECT page_id, CAST(count(*) AS BIGINT) AS boxes FROM blocks GROUP BY page_id)
   SELECT p.page_id, CAST(coalesce(boxes, 0) AS BIGINT) AS boxes, true AS is_update, CAST(1 + p.page_id % 3 AS INTEGER) AS pages FROM pages p LEFT JOIN drawn d ON d.page_id = p.page_id""")
 def pdf_overlays(spark, d):

@@ -2,14 +2,17 @@
 
 import json
 import os
+import struct
 import sys
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
 import pdfs
 
+from quireworks.functions import pixels, scans
 from quireworks.functions.pdf import Pdf
 from quireworks.operators import engine, inference
 from quireworks.sources import sink
@@ -107,3 +110,26 @@ def test_an_empty_folder(spark, tmp_path):
     (tmp_path / "out").mkdir()
     assert engine.parse_folder(spark, str(tmp_path / "in"), str(tmp_path / "out"), "echo").count() == 0
     assert results(tmp_path / "out") == []
+
+
+def test_scans_and_pictures(spark, tmp_path):
+    """A model that tells a PNG from a file of a page: scanned pages come as pictures, and pictures get their overlay."""
+    for name in ("in", "out"):
+        (tmp_path / name).mkdir()
+    picture = pixels.encoded(np.full((40, 30, 3), 200, np.uint8))
+    (tmp_path / "in/photo.png").write_bytes(picture)
+    (tmp_path / "in/scan.pdf").write_bytes(scans.as_pdf(picture))
+    (tmp_path / "in/typed.pdf").write_bytes(pdfs.of_pages(1, b"(words) Tj"))
+    (tmp_path / "in/old.gif").write_bytes(b"GIF89a" + struct.pack("<HH", 30, 40))
+
+    def make():
+        return lambda images, prompts: ["<box:0 0 500 500><label:text><|rotate_up|>" if "layout" in p else f"{x[:4]!r} {len(x)}" for x, p in zip(images, prompts, strict=True)]
+
+    inference.register("telling", make)
+    told = engine.parse_folder(spark, str(tmp_path / "in"), str(tmp_path / "out"), "telling", dpi=72)
+    assert {r.name: r.status for r in told.collect()} == dict.fromkeys(("photo", "scan", "typed", "old"), "done")
+    read = {n: (tmp_path / f"out/{n}/{n}.md").read_text() for n in ("photo", "scan", "typed")}
+    assert "PNG" in read["photo"] and read["photo"] == read["scan"] and "%PDF" in read["typed"]
+    assert {f.split("/")[0] for f in results(tmp_path / "out") if f.endswith("_layout.pdf")} == {"photo", "scan", "typed"}
+    drawn = Pdf((tmp_path / "out/photo/photo_layout.pdf").read_bytes())
+    assert drawn.size(0) == (30.0, 40.0) and b" re f" in drawn.get(drawn.get(drawn._pages[0][1]["Contents"])[-1]).data
