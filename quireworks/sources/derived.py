@@ -131,7 +131,8 @@ def page_pictures(spark: SparkSession, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary()), batch.column(1)], names=["page_id", "image", "blocks"])
 
     shares = F.array(*(F.col(c) / F.lit(1000.0) for c in ("x0", "y0", "x1", "y1")))
-    rows = blocks(spark, folder).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("idx", "type", shares.alias("bbox"), "angle"))).alias("blocks"))
+    dealt = blocks(spark, folder).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "page_id")  # small rows, large pictures: no partitions put together
+    rows = dealt.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("idx", "type", shares.alias("bbox"), "angle"))).alias("blocks"))
     kind = "array<struct<idx int, type string, bbox array<double>, angle int>>"
     return rows.mapInArrow(run, f"page_id long, image binary, blocks {kind}")
 
