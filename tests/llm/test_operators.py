@@ -317,31 +317,6 @@ def test_near_copies_of_passages_are_found(spark, monkeypatch):
     assert set(spans) <= {i for i, *_ in planted}
 
 
-def test_lists_of_equal_runs_are_cut_without_losing_a_row():
-    """Lists of a task cut into shorter ones: each row has the same first one as before, and no list of its own is longer."""
-    rng = np.random.default_rng(5)
-    n = 5000
-    h = np.where(rng.random(n) < 0.4, 7, rng.integers(0, 300, n) * 2 + 1).astype(np.uint64)
-    rows = [h, rng.integers(0, 900, n), rng.integers(0, 50, n).astype(np.int32)]
-
-    def pairs(most):
-        batch = passages._dealt([rows], ["h", "id", "at"], 9, 1, most)
-        key, ids, at = (batch.column(i).to_numpy() for i in range(3))
-        order = np.lexsort((at, ids, key))
-        lead, found, size = None, [], {}
-        for k, i, a in zip(key[order].tolist(), ids[order].tolist(), at[order].tolist(), strict=True):
-            lead = (k, i, a) if lead is None or lead[0] != k else lead
-            size[k] = size.get(k, 0) + 1
-            if lead[1] != i:
-                found.append((lead[1], lead[2], i, a))
-        return sorted(found), max(size.values()), batch.num_rows
-
-    whole, longest, _ = pairs(None)
-    for most in (1, 2, 64, 512):
-        cut, size, sent = pairs(most)
-        assert cut == whole and size == most + 1 < longest and sent <= n + 300 + 1 + -(-n // most)
-
-
 def test_long_equal_texts_are_one_span(spark):
     rng = random.Random(22)
     long_ = text(rng, 30_000, 10**6)
