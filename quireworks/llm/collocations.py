@@ -1,17 +1,12 @@
 """Collocations: phrases of two to four words that occur together more often than their parts.
 
-Level by level (a phrase is a candidate only if it is frequent without its first and without its last word):
-words are counted and the frequent ones numbered, texts become runs of numbers, and each level counts
-pairs of neighbours in its runs, which are phrases of one word more. A level takes four jobs:
-
-    buckets     tasks bincount hashes of pairs; arrays are summed up in a tree; small sums rule pairs out
-    candidates  the distinct pairs of the buckets that stay
-    counts      candidates get slots by a minimal perfect hash, which stores their keys to tell others
-                apart; tasks bincount slots, arrays are summed up in a tree
-    runs        of slots of frequent pairs that are neighbours, for the next level
-
-All that is sent to tasks or held by one has a fixed bound: hashes are taken in shards of SLOTS keys, pairs in
-ranges of RANGE positions of the corpus.
+Words are counted and the frequent ones numbered, and texts become runs of numbers, which are read once for each
+length. Tasks sort what they have gathered, so that equal phrases leave them as one row, and Spark adds up the rows
+of a phrase by its numbers. A phrase is a candidate only if it is frequent without its first and without its last word;
+a filter of bits tells most that aren't, and those that it lets through are counted and found to be rare.
+
+All that is sent to tasks or held by one has a fixed bound: words are numbered in shards of SLOTS, a filter has RANGE
+bits at most. Work and rows moved are at most in proportion to the positions of the corpus for each length.
 """
 
 from __future__ import annotations
@@ -19,11 +14,11 @@ from __future__ import annotations
 import functools
 import hashlib
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast, TaskContext
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,17 +31,15 @@ LEAST, LONGEST, WITHIN, SCALE = 30, 4, 80, 2_000_000
 TOP = 2000
 NO_LANG = "und"
 
-#: Keys of a minimal perfect hash at most, on average over its shards: about 15 bytes each, words besides.
+#: Words of a shard, on average: about 15 bytes each, and their letters.
 SLOTS = 1 << 20
-#: Positions of the corpus whose pairs are counted at once, and buckets for them at most (a byte each in a task).
-RANGE, BUCKETS = 1 << 28, 1 << 24
+#: Bits that a filter's hashes range over at most, and bits for each of its phrases.
+RANGE, FAN = 1 << 28, 16
 #: Parts of a language's phrases that are ranked by themselves first.
 PARTS = 256
-#: Arrays are summed by so many.
-FAN = 16
-#: Bytes of a piece of an array.
+#: Bytes of a piece of a filter.
 PIECE = 1 << 16
-#: Pairs and distinct words that a task gathers before it counts them.
+#: Phrases and distinct words that a task gathers before it counts them.
 GATHERED = 1 << 20
 #: Bytes of text handled in one pass, and numbers in a row of runs, about.
 PASS_BYTES, ROW = 1 << 20, 2048
@@ -307,68 +300,62 @@ def _coded_texts(texts: DataFrame, words: Broadcast, base: int, last: bool) -> D
     return texts.mapInArrow(run, "ids binary" if last else "lang string, text string, ids binary")
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], own: Callable[[np.ndarray], np.ndarray]) -> Iterator[np.ndarray]:
-    """Keys of neighbours in runs, a lot at a time, of those that `own` keeps."""
-    held, n = [], 0
+def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The numbers of many rows of runs at once, with a -1 after each row."""
+    held, n, gap = [], 0, np.full(1, -1, "<i4")
     for batch in batches:
         for data in column(batch, "ids"):
-            ids = np.frombuffer(data.as_buffer(), "<i4").astype(np.int64)
-            a, b = ids[:-1], ids[1:]
-            key = (a << 32 | b)[(a >= 0) & (b >= 0)].astype(U64)
-            held.append(own(key))
-            n += len(held[-1])
+            held += [np.frombuffer(data.as_buffer(), "<i4"), gap]
+            n += len(held[-2]) + 1
             if n > GATHERED:
-                yield np.concatenate(held)
+                yield np.concatenate(held).astype(np.int64)
                 held, n = [], 0
     if n:
-        yield np.concatenate(held)
-
-
-def _pieces(array: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(part, piece, data) of an array, without pieces of zeros."""
-    size = PIECE // array.itemsize
-    for i in range(0, len(array), size):
-        part = array[i : i + size]
-        if part.any():
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([i // size], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["part", "piece", "data"])
-
-
-_PIECES = "part int, piece int, data binary"
+        yield np.concatenate(held).astype(np.int64)
 
 
-def _tree_sum(pieces: DataFrame, parts: int, kind: str) -> DataFrame:
-    """Sums of the parts' pieces, FAN at a time; bytes stay at 255."""
+def _phrase_keys(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where phrases of a size begin, and their numbers as two of 64 bits: of the last two words, and of those before."""
+    n = len(ids) - size + 1
+    known = ids >= 0
+    at = np.flatnonzero(np.logical_and.reduce([known[k : k + n] for k in range(size)])) if n > 0 else np.zeros(0, np.int64)
+    pair = lambda k: ids[at + k] << 32 | ids[at + k + 1]
+    return at, (np.zeros(len(at), np.int64) if size == 2 else ids[at] if size == 3 else pair(0)), pair(size - 2)
 
-    def add(table: pa.Table) -> pa.Table:
-        total = None
-        for data in table.column("data"):
-            x = np.frombuffer(data.as_buffer(), kind)
-            if total is None:
-                total = x.copy()
-            elif kind == "u1":
-                total = np.where(total > 255 - x, 255, total + x).astype("u1")
-            else:
-                total += x
-        return pa.table({"part": table.column("part").slice(0, 1), "piece": table.column("piece").slice(0, 1), "data": pa.array([total.tobytes()], pa.binary())})
 
-    while parts > 1:
-        parts = math.ceil(parts / FAN)
-        pieces = pieces.withColumn("part", (F.col("part") / FAN).cast("int")).groupBy("part", "piece").applyInArrow(add, _PIECES)
-    return pieces
+def _mixed(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    return splitmix(lo.astype(U64) ^ splitmix(hi))
 
 
-def _gathered(pieces: DataFrame, size: int, kind: str, where: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """Which of an array's places fulfil a condition, as bits: one bit a place comes to the driver."""
+class Filter:
+    """Bits that tell most phrases that aren't among some (as a Bloom filter of two hashes). size: of the phrases."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bits = [np.packbits(where(np.frombuffer(x.as_buffer(), kind)), bitorder="little").tobytes() for x in column(batch, "data")]
-            yield pa.RecordBatch.from_arrays([column(batch, "piece"), pa.array(bits, pa.binary())], names=["piece", "data"])
+    def __init__(self, size: int, bits: np.ndarray, n: int) -> None:
+        self.size, self.bits, self.n = size, bits, n
 
-    out = np.zeros((size + 7) // 8, np.uint8)
-    step = PIECE // np.dtype(kind).itemsize // 8
-    for r in pieces.select("piece", "data").mapInArrow(run, "piece int, data binary").collect():
-        out[r.piece * step : r.piece * step + len(r.data)] = np.frombuffer(r.data, np.uint8)[: len(out) - r.piece * step]
+    @staticmethod
+    def places(hi: np.ndarray, lo: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        h = _mixed(hi, lo)
+        return (h % U64(n)).astype(np.int64), (splitmix(h) % U64(n)).astype(np.int64)
+
+    def longer(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """_phrase_keys of a word more, of those whose first words and whose last words are let through."""
+        at, hi, lo = _phrase_keys(ids, self.size)
+        first, second = self.places(hi, lo, self.n)
+        passed = np.flatnonzero(_bit(self.bits, first))
+        passed = passed[_bit(self.bits, second[passed])]
+        through = np.zeros(len(ids), bool)
+        through[at[passed]] = True
+        at, hi, lo = _phrase_keys(np.where(_spread(through, self.size), ids, -1), self.size + 1)
+        some = through[at] & through[at + 1]
+        return at[some], hi[some], lo[some]
+
+
+def _spread(on: np.ndarray, size: int) -> np.ndarray:
+    """Which places lie within `size` from one that is on, itself included."""
+    out = on.copy()
+    for k in range(1, size):
+        out[k:] |= on[:-k]
     return out
 
 
@@ -376,104 +363,61 @@ def _bit(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-class Part:
-    """The pairs of one range of hashes out of several, and their buckets."""
-
-    def __init__(self, number: int, ranges: int, buckets: int) -> None:
-        self.number, self.ranges, self.buckets = number, ranges, buckets
-
-    def own(self, key: np.ndarray) -> np.ndarray:
-        return key if self.ranges == 1 else key[splitmix(key) % U64(self.ranges) == U64(self.number)]
-
-    def bucket(self, key: np.ndarray) -> np.ndarray:
-        return (splitmix(key ^ U64(0x5DEECE66D)) & U64(self.buckets - 1)).astype(np.int64)
-
-
-def _count_in(array: np.ndarray, at: np.ndarray) -> None:
-    """Adds the places' numbers to an array; one of bytes stays at 255."""
-    if array.itemsize == 1:
-        place, n = np.unique(at, return_counts=True)
-        array[place] = np.minimum(255, array[place] + n)
-    else:
-        array += np.bincount(at, minlength=len(array))
-
-
-def _bucket_counts(runs: DataFrame, part: Part) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        array = np.zeros(part.buckets, np.uint8)
-        for key in _pairs(batches, part.own):
-            _count_in(array, part.bucket(key))
-        yield from _pieces(array)
-
-    return runs.mapInArrow(run, _PIECES)
+def _added(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct phrases with their numbers; two that share a hash may come in several rows."""
+    h = _mixed(hi, lo)
+    order = np.argsort(h)
+    hi, lo = hi[order], lo[order]
+    at = np.flatnonzero(np.concatenate([[True], (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])])) if len(hi) else np.zeros(0, np.int64)
+    return hi[at], lo[at], np.diff(np.append(at, len(hi)))
 
 
-def _candidates(runs: DataFrame, part: Part, bits: Broadcast) -> DataFrame:
-    """(key) of the distinct pairs whose bucket is frequent."""
+def _counted(runs: DataFrame, size: int, known: Broadcast | None) -> DataFrame:
+    """(hi, lo, a) of the frequent phrases of a size. known: a filter of those of a word less."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, U64)
-        for key in _pairs(batches, lambda k: (k := part.own(k))[_bit(bits.value, part.bucket(k))]):
-            seen = np.union1d(seen, key)
-            if len(seen) > GATHERED:
-                yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64))], names=["key"])
-                seen = seen[:0]
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64))], names=["key"])
-
-    return runs.mapInArrow(run, "key long").distinct()
-
+        held, n = [], 0
+        for ids in _flat(batches):
+            _, hi, lo = _phrase_keys(ids, size) if known is None else known.value.longer(ids)
+            held.append((hi, lo))
+            n += len(hi)
+            if n > GATHERED:
+                yield rows(held)
+                held, n = [], 0
+        if n:
+            yield rows(held)
 
-def _slot_counts(runs: DataFrame, part: Part, bits: Broadcast, slots: Broadcast) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        array = np.zeros(len(slots.value), np.int64)
-        for key in _pairs(batches, lambda k: (k := part.own(k))[_bit(bits.value, part.bucket(k))]):
-            slot = slots.value.find(key)
-            _count_in(array, slot[slot >= 0])
-        yield from _pieces(array)
+    def rows(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        cols = _added(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["hi", "lo", "n"])
 
-    return runs.mapInArrow(run, _PIECES)
+    each = runs.mapInArrow(run, "hi long, lo long, n long")
+    return each.groupBy("hi", "lo").agg(F.sum("n").alias("a")).where(F.col("a") >= LEAST)
 
 
-def _frequent(counts: DataFrame, slots: Broadcast, base: int) -> DataFrame:
-    """(slot, x, y, a) of the pairs that are frequent, their counts read by slot."""
+def _filter(phrases: DataFrame, size: int) -> Filter:
+    """A filter of phrases (hi, lo), made in pieces; its bits come to the driver."""
+    n = int(min(RANGE, max(64, FAN * phrases.count())))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece, data in zip(column(batch, "piece").to_pylist(), column(batch, "data"), strict=True):
-                n = np.frombuffer(data.as_buffer(), np.int64)
-                at = np.flatnonzero(n >= LEAST)
-                slot = piece * (PIECE // 8) + at
-                key = slots.value.keys[slot]
-                cols = [slot + base, (key >> U64(32)).astype(np.int64), (key & U64(0xFFFFFFFF)).astype(np.int64), n[at]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["slot", "x", "y", "a"])
-
-    return counts.mapInArrow(run, "slot long, x long, y long, a long")
+            at = np.unique(np.concatenate(Filter.places(*(column(batch, c).to_numpy() for c in ("hi", "lo")), n)))
+            piece = at // (8 * PIECE)
+            cuts = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]])) if len(at) else np.zeros(0, np.int64)
+            data = [x.astype("<i4").tobytes() for x in np.split(at % (8 * PIECE), cuts[1:])] if len(at) else []
+            yield pa.RecordBatch.from_arrays([pa.array(piece[cuts], pa.int32()), pa.array(data, pa.binary())], names=["piece", "data"])
+
+    def packed(table: pa.Table) -> pa.Table:
+        bits = np.zeros(8 * PIECE, bool)
+        for data in table.column("data"):
+            bits[np.frombuffer(data.as_buffer(), "<i4")] = True
+        return pa.table({"piece": table.column("piece").slice(0, 1), "data": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
-
-def _next_runs(runs: DataFrame, slots: Broadcast, often: Broadcast, base: int, last: bool) -> DataFrame:
-    """Runs (ids, pairs) with the slots of a shard's frequent pairs filled in; the last shard's job makes new runs of them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, made = [], []
-            for data, known in zip(column(batch, "ids"), column(batch, "pairs"), strict=True):
-                ids = np.frombuffer(data.as_buffer(), "<i4").astype(np.int64)
-                pairs = np.full(max(len(ids) - 1, 0), -1, np.int64) if not known.is_valid else np.frombuffer(known.as_buffer(), "<i4").astype(np.int64)
-                at = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0) & (pairs < 0))
-                slot = slots.value.find((ids[at] << 32 | ids[at + 1]).astype(U64))
-                good = slot >= 0
-                good[good] = _bit(often.value, slot[good])
-                pairs[at[good]] = slot[good] + base
-                rows.append(pairs.astype("<i4").tobytes())
-                made.append(pairs)
-            if last:
-                # a -1 stands between rows too
-                flat = np.concatenate([x for p in made for x in (p, [-1])]) if made else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([_rows(_in_runs(flat, np.ones(len(flat), bool))).cast(pa.binary())], names=["ids"])
-            else:
-                yield pa.RecordBatch.from_arrays([column(batch, "ids"), pa.array(rows, pa.binary())], names=["ids", "pairs"])
-
-    return runs.mapInArrow(run, "ids binary" if last else "ids binary, pairs binary")
+    kind = "piece int, data binary"
+    out = np.zeros((n + 7) // 8, np.uint8)
+    for r in phrases.select("hi", "lo").mapInArrow(places, kind).groupBy("piece").applyInArrow(packed, kind).collect():
+        out[r.piece * PIECE : (r.piece + 1) * PIECE] = np.frombuffer(r.data, np.uint8)[: len(out) - r.piece * PIECE]
+    return Filter(size, out, n)
 
 
 def _sharded(df: DataFrame, n: int, *key: str) -> list[DataFrame]:
@@ -500,7 +444,8 @@ def _number_words(docs: DataFrame, frequent: DataFrame) -> tuple[DataFrame, Data
         words = numbered if words is None else words.unionByName(numbered)
         base += len(held)
         sent.destroy()
-    _check(base)
+    if base >= 1 << 31:
+        raise ValueError("more than 2^31 frequent words")
     return words, texts
 
 
@@ -523,51 +468,32 @@ def _numbered(shard: DataFrame, words: Broadcast, base: int) -> DataFrame:
     return shard.mapInArrow(run, "slot long, lang string, word string, a long")
 
 
-def _check(slots: int) -> None:
-    if slots >= 1 << 31:
-        raise ValueError("more than 2^31 candidates of one length")
-
-
-def _positions(runs: DataFrame) -> int:
-    return (runs.agg(F.sum(F.length("ids"))).first()[0] or 0) // 4
-
-
-def _level(runs: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None]:
-    """Frequent pairs (slot, x, y, a) of neighbours in runs, and runs of their slots (not for the last level)."""
-    sc = runs.sparkSession.sparkContext
-    n = _positions(runs)
-    ranges = max(1, math.ceil(n / RANGE))
-    buckets = 1 << min(int(math.log2(BUCKETS)), max(10, math.ceil(math.log2(max(1, n / ranges / 8)))))
-    # a task sends whole arrays on, so there are no more of them than executors can run at once
-    few = runs.coalesce(2 * sc.defaultParallelism)
-    parts = few.rdd.getNumPartitions()
-    found, base = None, 0
-    filled = runs.withColumn("pairs", F.lit(None).cast("binary"))
-    for i in range(ranges):
-        part = Part(i, ranges, buckets)
-        bits = sc.broadcast(_gathered(_tree_sum(_bucket_counts(few, part), parts, "u1"), buckets, "u1", lambda x: x >= LEAST))
-        keys = stored(_candidates(few, part, bits), "collocations-candidates")
-        shards = _sharded(keys, keys.count(), "key")
-        for j, shard in enumerate(shards):
-            held = Slots(shard.toArrow().column("key").to_numpy().astype(U64))
-            slots = sc.broadcast(held)
-            counts = stored(_tree_sum(_slot_counts(few, part, bits, slots), parts, "i8"), "collocations-counts")
-            often = sc.broadcast(_gathered(counts, len(held), "i8", lambda x: x >= LEAST))
-            pairs = stored(_frequent(counts, slots, base), "collocations-pairs")
-            discard(counts)
-            found = pairs if found is None else found.unionByName(pairs)
-            if not last:
-                whole = i == ranges - 1 and j == len(shards) - 1
-                before, filled = filled, stored(_next_runs(filled, slots, often, base, whole), "collocations-runs")
-                if hasattr(before, "_stored_at"):
-                    discard(before)
-            base += len(held)
-            slots.destroy()
-            often.destroy()
-        discard(keys)
-        bits.destroy()
-    _check(base)
-    return found, None if last else filled
+def _slot(hi: Column, lo: Column) -> Column:
+    return F.struct(hi.cast("long").alias("hi"), lo.cast("long").alias("lo"))
+
+
+def _halves(size: int) -> tuple[Column, Column]:
+    """Slots of a phrase (hi, lo) without its last and without its first word."""
+    hi, lo, none = F.col("hi"), F.col("lo"), F.lit(0)
+    low = lambda c: c.bitwiseAND(F.lit(0xFFFFFFFF))
+    high = lambda c: F.shiftrightunsigned(c, 32)
+    if size == 2:
+        return _slot(none, high(lo)), _slot(none, low(lo))
+    before = F.shiftleft(low(hi), 32).bitwiseOR(high(lo))
+    return _slot(none if size == 3 else high(hi), before), _slot(none if size == 3 else low(hi), lo)
+
+
+def _levels(runs: DataFrame) -> Iterator[DataFrame]:
+    """Frequent phrases (slot, x, y, a) of each size; x and y: slots of the phrases that they are without their last
+    and without their first word."""
+    sc, known = runs.sparkSession.sparkContext, None
+    for size in range(2, LONGEST + 1):
+        found = stored(_counted(runs, size, known), "collocations-counts")
+        if known is not None:
+            known.destroy()
+        known = sc.broadcast(_filter(found, size)) if size < LONGEST else None
+        x, y = _halves(size)
+        yield found.select(_slot(F.col("hi"), F.col("lo")).alias("slot"), x.alias("x"), y.alias("y"), "a")
 
 
 def _exact(c: Column | str) -> Column:
@@ -584,7 +510,7 @@ def _phrases(levels: list[DataFrame]) -> list[DataFrame]:
     """(slot, lang, words, a, first, head, tail, last, x, y, cut) of the phrases of each length, from words
     (slot, lang, word, a) and pairs of the level before. first and last: the outer words' counts;
     head and tail: those of the first two words and the last two; x and y: what a pair is made of."""
-    words = levels[0].select("slot", "lang", F.array("word").alias("words"), "a", F.col("a").alias("first"), F.col("a").alias("last"))
+    words = levels[0].select(_slot(F.lit(0), F.col("slot")).alias("slot"), "lang", F.array("word").alias("words"), "a", F.col("a").alias("first"), F.col("a").alias("last"))
     out, below = [], words
     for size, pairs in enumerate(levels[1:], 2):
         left = below.select(*(F.col(c).alias(f"x_{c}") for c in below.columns))
@@ -630,12 +556,8 @@ def collocations(docs: DataFrame, top: int | None = TOP, lang_col: str = "lang",
     counted = stored(count_words(texts).where(F.col("word").isNull() | (F.col("n") >= LEAST)), "collocations-counted")
     totals = counted.where("word is null").select(F.col("lang").alias("of"), F.col("n").alias("total"))
     words, runs = _number_words(texts, counted.where("word is not null"))
-    levels = [words]
-    for size in range(2, LONGEST + 1):
-        pairs, further = _level(runs, size == LONGEST)
-        discard(runs)
-        levels.append(pairs)
-        runs = further
+    levels = [words, *_levels(runs)]
+    discard(runs)
     kept = [p.select("lang", F.concat_ws(" ", "words").alias("phrase"), "a", "cut.l", "cut.r", "cut.score") for p in _dropped(_phrases(levels))]
     every = functools.reduce(DataFrame.unionByName, kept)
     order = F.desc("score"), F.desc("a"), F.asc("phrase")

@@ -78,6 +78,20 @@ def test_shards_ranges_and_trees(spark, rows, monkeypatch):
     assert {tuple(r) for r in C.collocations(frame(spark, rows), top=7).collect()} == expected(rows, top=7)
 
 
+def test_runs_are_read_as_often_whatever_their_length(spark, rows, monkeypatch):
+    """Once for each size of phrase, and not once more for so many positions of the corpus."""
+    made = []
+    keep = C.stored
+    monkeypatch.setattr(C, "stored", lambda df, name: made.append(name) or keep(df, name))
+    results = []
+    for most in (1 << 28, 64):
+        made.clear()
+        monkeypatch.setattr(C, "RANGE", most)
+        results.append(({tuple(r) for r in C.collocations(frame(spark, rows)).collect()}, list(made)))
+    assert results[0] == results[1]
+    assert sum("counts" in name for name in results[1][1]) == 3
+
+
 def test_empty(spark):
     assert C.collocations(frame(spark, [])).collect() == []
     assert C.collocations(frame(spark, [(None, None), ("en", "a b c d e f g"), ("en", "a a a a a")])).collect() == []
