@@ -46,6 +46,8 @@ class Limits:
 
 #: Pixels of a page that is cut up; larger ones are scaled down first.
 MOST_PIXELS = 64_000_000
+#: Bytes of cut-out pictures that leave a task at once, about.
+HELD = 4 << 20
 
 _MODELS: dict[str, tuple[Callable[[], Model], Limits]] = {}
 _loaded: dict[str, Model] = {}
@@ -209,24 +211,32 @@ def cut_pictures(pages: DataFrame, kinds: list[str] | None = None, frame: bool =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows: list[tuple] = []
+            size = 0
             for page, data, blocks in zip(*(batch.column(i) for i in range(3)), strict=True):
                 wanted = [b for b in blocks.as_py() or [] if (b["type"] not in NOT_EXTRACTED if kinds is None else b["type"] in kinds)]
-                rows: list[tuple] = []
+                page = page.as_py()
                 if wanted:
                     try:
                         pixels = P.fitted(P.opened(data.as_py() or b""), MOST_PIXELS)
                     except P.Undecodable as e:
-                        rows.append((None, None, None, None, None, _reason(e)))
+                        rows.append((page, None, None, None, None, None, _reason(e)))
                         wanted = []
                 for b in wanted:
                     part = P.cut_out(pixels, b["bbox"], b["angle"])
                     if part is not None:
                         part = P.framed(part) if frame else part
-                        rows.append((b["idx"], b["type"], P.encoded(part), part.shape[1], part.shape[0], None))
-                if rows:
-                    cols = list(zip(*rows, strict=True))
-                    types = [pa.int32(), pa.string(), pa.binary(), pa.int32(), pa.int32(), pa.string()]
-                    yield pa.RecordBatch.from_arrays([pa.array([page.as_py()] * len(rows), page.type), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["page_id", "idx", "type", "picture", "width", "height", "error"])
+                        rows.append((page, b["idx"], b["type"], P.encoded(part), part.shape[1], part.shape[0], None))
+                        size += len(rows[-1][3])
+                        if size > HELD:
+                            yield told(batch, rows)
+                            rows, size = [], 0
+            if rows:
+                yield told(batch, rows)
+
+    def told(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+        types = [batch.schema.field(0).type, pa.int32(), pa.string(), pa.binary(), pa.int32(), pa.int32(), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["page_id", "idx", "type", "picture", "width", "height", "error"])
 
     return pages.select("page_id", image, "blocks").mapInArrow(run, f"page_id {key}, {out}")
 
