@@ -13,18 +13,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import column, text_column
+from .shared import IDS_SENT, column, stored, text_column
 from .words import Texts, passes, splitmix, windows
 
 #: Buckets that hash values of n-grams are counted in.
 BUCKETS = 1 << 14
-#: Labelled documents, good and bad each, that the target and the threshold are fitted on at most.
-#: Those with the smallest hashes of their ids are taken. Corpus counts cover all documents.
-SAMPLE = 20_000
+#: Ranges of scores of labelled documents that are ranked each by itself.
+RANGES = 4096
 #: Share of trusted documents that the threshold has to keep.
 KEEP_TRUSTED = 0.998
 MIN_WORDS = 50
@@ -100,21 +99,25 @@ def _base_failed(base: dict[str, np.ndarray]) -> np.ndarray:
     return (base["n_words"] < MIN_WORDS) | (100 * base["n_repeat_words"] > 50 * base["n_words"])
 
 
-def _sample(labels: DataFrame, id_col: str, good: bool) -> list[int]:
-    trusted = (F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)
-    rows = labels.where(F.col(id_col).isNotNull() & (trusted if good else F.col("quality") == 0)).select(id_col).distinct()
-    return [r[0] for r in rows.orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE).collect()]
+def _labelled(labels: DataFrame, id_col: str) -> DataFrame:
+    """(id, good) of all documents that labels call good and not toxic, or bad; what is called both is good."""
+    good = F.coalesce((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0), F.lit(False))
+    rows = labels.where(F.col(id_col).isNotNull()).select(id_col, good.alias("good"), F.coalesce(F.col("quality") == 0, F.lit(False)).alias("bad"))
+    return rows.where("good or bad").groupBy(id_col).agg(F.max("good").alias("good"))
 
 
-def corpus_counts(docs: DataFrame, trusted: list[int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _sent(labelled: DataFrame) -> DataFrame:
+    """Labelled documents to be joined: they go to the texts as long as they are few, else both are shuffled."""
+    return F.broadcast(labelled) if labelled.limit(IDS_SENT + 1).count() <= IDS_SENT else labelled
+
+
+def corpus_counts(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(bucket, raw, target): how often each bucket occurs in all documents and in the trusted ones."""
-    ids = np.array(sorted(trusted), np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            own = column(batch, id_col)
-            good = np.isin(own.fill_null(0).to_numpy(zero_copy_only=False), ids) & own.is_valid().to_numpy(zero_copy_only=False)
+            good = column(batch, "good").fill_null(False).to_numpy(zero_copy_only=False)
             for t in passes(text_column(batch, text_col)):
                 buckets, doc = _grams(t)
                 raw += np.bincount(buckets, minlength=BUCKETS)
@@ -122,7 +125,7 @@ def corpus_counts(docs: DataFrame, trusted: list[int], id_col: str = "doc_id", t
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], names=["bucket", "raw", "target"])
 
-    each = docs.select(id_col, text_col).mapInArrow(count, "bucket long, raw long, target long")
+    each = docs.select(id_col, text_col).join(labelled, id_col, "left").select(text_col, "good").mapInArrow(count, "bucket long, raw long, target long")
     return each.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
@@ -135,11 +138,11 @@ def _means(t: Texts, weights: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Verdict:
     """Fits the verdict. Without trusted documents every weight is 0 and every score passes.
 
-    The driver gets two lists of at most SAMPLE ids, BUCKETS counts and at most 2 * SAMPLE scores.
+    All labelled documents count. The driver gets BUCKETS counts, RANGES sums and the threshold.
     """
-    good, bad = _sample(labels, id_col, True), _sample(labels, id_col, False)
+    labelled = _sent(stored(_labelled(labels, id_col), "quality-labels"))
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for bucket, r, g in corpus_counts(docs, good, id_col, text_col).collect():
+    for bucket, r, g in corpus_counts(docs, labelled, id_col, text_col).collect():
         raw[bucket], target[bucket] = r, g
     weights = np.zeros(BUCKETS)
     if target.sum():
@@ -149,30 +152,42 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             for t in passes(text_column(batch, text_col)):
                 some = ~_base_failed(base_counts(t))
-                ids = column(batch, id_col).slice(t.first, t.n)
-                yield pa.RecordBatch.from_arrays([ids.filter(pa.array(some)), pa.array(_means(t, weights)[some])], names=["id", "score"])
+                good = column(batch, "good").slice(t.first, t.n)
+                yield pa.RecordBatch.from_arrays([good.filter(pa.array(some)), pa.array(_means(t, weights)[some])], names=["good", "score"])
 
-    spark = docs.sparkSession
-    chosen = spark.createDataFrame([(i,) for i in {*good, *bad}], f"{id_col} long")  # at most 2 * SAMPLE ids
-    found = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).mapInArrow(scores, "id long, score double").collect()
-    of = {*good}
-    yes = np.sort([s for i, s in found if i in of])
-    no = np.sort([s for i, s in found if i not in of])
-    return Verdict(weights, _threshold(yes, no))
+    found = docs.select(id_col, text_col).join(labelled, id_col).select(text_col, "good").mapInArrow(scores, "good boolean, score double")
+    return Verdict(weights, _threshold(stored(found, "quality-scores")))
 
 
-def _threshold(yes: np.ndarray, no: np.ndarray) -> float:
-    """Where the labelled scores part best, but never above what keeps KEEP_TRUSTED of the trusted."""
-    if not len(yes):
+def _threshold(scores: DataFrame) -> float:
+    """Where labelled scores (good, score) part best, but never above what keeps KEEP_TRUSTED of the trusted. Of cuts
+    between neighbouring scores that are as good the first; ranges of scores are ranked by themselves."""
+    each = scores.groupBy("score").agg(F.sum(F.col("good").cast("long")).alias("yes"), F.sum((~F.col("good")).cast("long")).alias("no"))
+    low, high = each.agg(F.min("score"), F.max("score")).first()
+    if low is None:
+        return float("-inf")
+    width = F.lit(high - low if high > low else 1.0)
+    each = each.withColumn("range", F.floor((F.col("score") - F.lit(low)) / width * F.lit(float(RANGES))).cast("int"))
+    sums = sorted(each.groupBy("range").agg(F.sum("yes"), F.sum("no"), F.max("score")).collect())
+    yes, no, last, before = 0, 0, None, []
+    for number, y, n, top in sums:
+        before.append((number, yes, no, last))
+        yes, no, last = yes + y, no + n, top
+    if not yes:
         return float("-inf")
-    most = yes[int((1 - KEEP_TRUSTED) * len(yes))]
-    if not len(no):
-        return float(min(most, yes[0]))
-    at = np.unique(np.concatenate([no, yes]))
-    cuts = np.concatenate([[at[0] - 1], (at[1:] + at[:-1]) / 2])
-    gain = np.searchsorted(no, cuts) / len(no) - np.searchsorted(yes, cuts) / len(yes)
-    gain[cuts > most] = -1
-    return float(cuts[np.flatnonzero(gain == gain.max())[0]])
+    spark = scores.sparkSession
+    own = Window.partitionBy("range").orderBy("score")
+    earlier = lambda c: F.col(f"{c}_before") + F.coalesce(F.sum(c).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = each.join(F.broadcast(spark.createDataFrame(before, "range int, yes_before long, no_before long, last double")), "range")
+    ranked = ranked.select("score", "yes", earlier("yes").alias("below"), earlier("no").alias("no_below"), F.coalesce(F.lag("score").over(own), "last").alias("previous"))
+    place = int((1 - KEEP_TRUSTED) * yes) if no else 0
+    most = ranked.where((F.col("below") <= place) & (F.col("below") + F.col("yes") > place)).first()["score"]
+    if not no:
+        return float(most)
+    cut = F.coalesce((F.col("score") + F.col("previous")) / 2, F.col("score") - 1)
+    cuts = ranked.select("score", cut.alias("cut"), "previous", (F.col("no_below") / F.lit(no) - F.col("below") / F.lit(yes)).alias("gain"))
+    cuts = cuts.where((F.col("cut") <= F.lit(most)) & (F.col("previous").isNull() | (F.col("cut") > F.col("previous"))))
+    return float(cuts.orderBy(F.desc("gain"), "score").first()["cut"])
 
 
 def score(docs: DataFrame, verdict: Verdict, id_col: str = "doc_id", text_col: str = "text", keep_columns: bool = False) -> DataFrame:

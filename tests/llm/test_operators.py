@@ -453,6 +453,33 @@ def test_quality(spark, docs, none, rows):
     assert all(r.kept != r.base_failed for r in quality.quality_rules(docs, labels.limit(0)).collect())
 
 
+def test_quality_learns_from_all_labels(spark):
+    """However many documents are labelled, each trusted one counts, and each labelled score."""
+    n = 20_050
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 60), x -> concat('w', (id * x + x * x) % 97))) AS text")
+    labels = docs.selectExpr("doc_id", "1 AS quality", "0 AS toxic")
+    sums = quality.corpus_counts(docs, quality._labelled(labels, "doc_id")).selectExpr("sum(raw) AS raw", "sum(target) AS target").first()
+    assert sums.raw == sums.target == n * (60 + 59)
+    scores = [r.score for r in quality.quality_rules(docs, labels).where("not base_failed").select("score").collect()]
+    assert quality.fit(docs, labels).threshold == min(scores)
+
+
+def test_quality_threshold_in_ranges(spark, monkeypatch):
+    """Where scores part best, against all cuts, with equal scores and whatever the number of ranges."""
+    rng = random.Random(2)
+    for k, ranges in enumerate((1, 7, 4096)):
+        monkeypatch.setattr(quality, "RANGES", ranges)
+        rows = [(rng.random() < 0.6, round(rng.gauss(0, 1), 1 + k)) for _ in range(1500)]
+        rows = [(good, s + (0.7 if good else 0)) for good, s in rows]
+        yes, no = sorted(s for g, s in rows if g), sorted(s for g, s in rows if not g)
+        most, both = yes[int((1 - quality.KEEP_TRUSTED) * len(yes))], sorted({*yes, *no})
+        cuts = [c for c in [both[0] - 1, *((a + b) / 2 for a, b in zip(both, both[1:], strict=False))] if c <= most]
+        want = max(cuts, key=lambda c: (sum(x < c for x in no) / len(no) - sum(x < c for x in yes) / len(yes), -c))
+        assert quality._threshold(spark.createDataFrame(rows, "good boolean, score double")) == want
+    only = lambda *rows: quality._threshold(spark.createDataFrame(list(rows), "good boolean, score double"))
+    assert only((True, 2.0), (True, 1.0)) == 1.0 and only((False, 2.0)) == only() == float("-inf") and only((True, 3.0), (False, 3.0)) == 2.0
+
+
 def test_quality_verdict_by_definition(spark, rows):
     """Score, threshold and verdict from counts of words and pairs in dictionaries."""
     import pyarrow as pa
