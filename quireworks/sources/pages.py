@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
+from ..functions.batches import PART_BYTES, parts
 from ..functions.pdf import BROKEN, opened
 from ..functions.pictures import kind_of, size_of
 
@@ -177,10 +178,16 @@ def pages_of(files: DataFrame, path: str = "path", content: str = "content", cut
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            held, size = [], 0
             for name, data in zip(batch.column(0), batch.column(1), strict=True):
-                held = list(rows_of_data(name.as_py(), data.as_py() or b"", Wanted(), cut))
-                for i in range(0, len(held), 256):
-                    yield _batch(held[i : i + 256])
+                for row in rows_of_data(name.as_py(), data.as_py() or b"", Wanted(), cut):
+                    held.append(row)
+                    size += len(row[7] or b"")
+                    if len(held) == 256 or size > PART_BYTES:
+                        yield _batch(held)
+                        held, size = [], 0
+            if held:
+                yield _batch(held)
 
     return files.select(F.col(path).cast("string"), content).mapInArrow(run, SCHEMA)
 
@@ -192,7 +199,7 @@ def subsets_of(files: DataFrame, pages: str = "page_ids", content: str = "conten
     names = out.names[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for batch in batches for part in parts(batch, content)):
             at = batch.schema.get_field_index
             data, errors = [], []
             for x, ids in zip(batch.column(at(content)).to_pylist(), batch.column(at(pages)).to_pylist(), strict=True):
