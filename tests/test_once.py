@@ -15,5 +15,5 @@ def test_pages_are_put_together_once(spark):
     made = assemble.markdown(blocks)
     assert [tuple(r) for r in made.collect()] == [(1, "# T\n\na b")]  # neither pages that show nothing nor pages without blocks
     assert sorted(r.page_id for r in assemble.page_info(blocks).collect()) == [1, 2]
-    for df in (made, assemble.page_info(blocks)):
+    for df in (made, assemble.page_info(blocks), assemble.paragraphs(blocks), assemble.page_paragraphs(blocks)):
         assert _plan(df).count("struct(top_idx") == 1
