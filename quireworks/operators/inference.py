@@ -325,7 +325,8 @@ def extract(pages: DataFrame, layout_model: str = "stub", content_model: str | N
 def repaired(blocks: DataFrame, kind: str = "type", content: str = "content") -> DataFrame:
     """Blocks, batch or stream, with their contents repaired by type."""
     k, c = F.col(kind), F.col(content)
-    return blocks.withColumn(content, F.when(k == "equation", equation(c)).when(k == "text", inline_math(c)).when(k == "table", otsl_html(c)).otherwise(c))
+    formula = F.when(k == "equation", c)  # Python gets all rows, so it gets null for what is no formula
+    return blocks.withColumn(content, F.when(k == "equation", equation(formula)).when(k == "text", inline_math(c)).when(k == "table", otsl_html(c)).otherwise(c))
 
 
 def assembled(read: DataFrame, blocks: DataFrame, folder: str = "images") -> DataFrame:

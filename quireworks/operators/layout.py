@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import geometry as G
 from ..functions.geometry import bounds
-from ..functions.text import strip
+from ..functions.text import once, strip
 from ..schema import ANGLES, BLOCK_TYPES, FREQUENCY_PENALTY, NOT_EXTRACTED, PARATEXT, PROMPTS, SAMPLING
 
 _LINE = r"^<box:([0-9 ]+)><label:(\w+)>(<[^\n]*>)?$"
@@ -28,7 +28,7 @@ def normalised(points: Column) -> Column:
 
     def clamp(v: Column, i: Column) -> Column:
         same = F.filter(points, lambda w, j: j % 2 == i % 2)
-        return F.when((v == F.array_max(same)) & (v != F.array_min(same)), F.least(v, F.lit(999))).otherwise(v) / 1000.0
+        return once(same, lambda s: F.when((v == F.array_max(s)) & (v != F.array_min(s)), F.least(v, F.lit(999))).otherwise(v) / 1000.0)
 
     return F.transform(points, clamp)
 
@@ -52,7 +52,7 @@ def blocks_of(text: Column, rectangles: bool = False) -> Column:
 
     def made(x: Column, i: Column) -> Column:
         box = normalised(x["points"])
-        return F.struct(i.alias("idx"), x["type"].alias("type"), (bounds(box) if rectangles else box).alias("bbox"), x["angle"].alias("angle"))
+        return F.struct(i.alias("idx"), x["type"].alias("type"), (once(box, bounds) if rectangles else box).alias("bbox"), x["angle"].alias("angle"))
 
     return F.transform(F.filter(parts, good), made)
 

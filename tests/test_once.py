@@ -1,6 +1,9 @@
 """What is costly is computed once a row: plans and calls are counted."""
 
-from quireworks.operators import assemble
+from pyspark.sql import functions as F
+
+from quireworks.functions import latex
+from quireworks.operators import assemble, inference, layout
 
 _BLOCK = "page_id long, idx int, type string, x0 int, y0 int, x1 int, y1 int, angle int, content string"
 
@@ -17,3 +20,24 @@ def test_pages_are_put_together_once(spark):
     assert sorted(r.page_id for r in assemble.page_info(blocks).collect()) == [1, 2]
     for df in (made, assemble.page_info(blocks), assemble.paragraphs(blocks), assemble.page_paragraphs(blocks)):
         assert _plan(df).count("struct(top_idx") == 1
+
+
+def test_boxes_are_made_once(spark):
+    text = spark.createDataFrame([("<box:0 10 1000 20><label:text><|rotate_up|>",)], "t string").select(layout.blocks_of(F.col("t"), rectangles=True).alias("b"))
+    assert [x.bbox for x in text.collect()[0].b] == [[0.0, 0.01, 0.999, 0.02]]
+    assert _plan(text).count("999") == 1
+
+
+def test_python_gets_formulas_only(spark, monkeypatch, tmp_path):
+    seen = str(tmp_path / "seen")
+
+    def told(s):
+        with open(seen, "a") as f:
+            f.write(s + "\n")
+        return s
+
+    monkeypatch.setattr(latex, "close_environments", told)
+    rows = [("equation", "x"), ("text", "plain"), ("table", "<fcel>a<nl>"), ("title", "y")]
+    got = {r.type: r.content for r in inference.repaired(spark.createDataFrame(rows, "type string, content string")).collect()}
+    assert got["equation"] == "$$x$$" and got["text"] == "plain" and got["title"] == "y"
+    assert open(seen).read().split("\n") == ["$$x$$", ""]
