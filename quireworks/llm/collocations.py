@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import column, discard, stored, text_column
+from .shared import WORKERS, column, discard, stored, text_column
 from .words import Texts, splitmix
 
 # The least count of a candidate, the longest phrase, the share (in percent) of a phrase's
@@ -39,8 +40,10 @@ RANGE, FAN = 1 << 28, 16
 PARTS = 256
 #: Bytes of a piece of a filter.
 PIECE = 1 << 16
-#: Phrases and distinct words that a task gathers before it counts them.
+#: Phrases and distinct words that a task gathers before it counts them; numbers of runs that it looks at together, and
+#: rows that it hands on together.
 GATHERED = 1 << 20
+PART, HANDED = 1 << 18, 1 << 16
 #: Bytes of text handled in one pass, and numbers in a row of runs, about.
 PASS_BYTES, ROW = 1 << 20, 2048
 
@@ -307,7 +310,7 @@ def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for data in column(batch, "ids"):
             held += [np.frombuffer(data.as_buffer(), "<i4"), gap]
             n += len(held[-2]) + 1
-            if n > GATHERED:
+            if n > PART:
                 yield np.concatenate(held).astype(np.int64)
                 held, n = [], 0
     if n:
@@ -372,24 +375,28 @@ def _added(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return hi[at], lo[at], np.diff(np.append(at, len(hi)))
 
 
+def _gathered(phrases: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """(hi, lo, n) of phrases (hi, lo), added up by about GATHERED; a batch is HANDED rows at most."""
+    held, n = [], 0
+    for part in itertools.chain(phrases, [None]):
+        if part is not None:
+            held.append(part)
+            n += len(part[0])
+        if n > GATHERED or part is None and n:
+            hi, lo = (np.concatenate(x) for x in zip(*held, strict=True))
+            held, n, part = [], 0, None
+            cols = _added(hi, lo)
+            del hi, lo
+            for at in range(0, len(cols[0]), HANDED):
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + HANDED]) for c in cols], names=["hi", "lo", "n"])
+            del cols
+
+
 def _counted(runs: DataFrame, size: int, known: Broadcast | None) -> DataFrame:
     """(hi, lo, a) of the frequent phrases of a size. known: a filter of those of a word less."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for ids in _flat(batches):
-            _, hi, lo = _phrase_keys(ids, size) if known is None else known.value.longer(ids)
-            held.append((hi, lo))
-            n += len(hi)
-            if n > GATHERED:
-                yield rows(held)
-                held, n = [], 0
-        if n:
-            yield rows(held)
-
-    def rows(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        cols = _added(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["hi", "lo", "n"])
+        yield from _gathered((_phrase_keys(ids, size) if known is None else known.value.longer(ids))[1:] for ids in _flat(batches))
 
     each = runs.mapInArrow(run, "hi long, lo long, n long")
     return each.groupBy("hi", "lo").agg(F.sum("n").alias("a")).where(F.col("a") >= LEAST)
@@ -552,6 +559,7 @@ def collocations(docs: DataFrame, top: int | None = TOP, lang_col: str = "lang",
     score, of equals the first. A null language counts as "und", null texts have no words. Rows count each,
     whatever their ids; without a frequent pair there is no row.
     """
+    docs.sparkSession.sparkContext.environment.update(WORKERS)
     texts = docs.select(F.coalesce(F.col(lang_col), F.lit(NO_LANG)).alias("lang"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     counted = stored(count_words(texts).where(F.col("word").isNull() | (F.col("n") >= LEAST)), "collocations-counted")
     totals = counted.where("word is null").select(F.col("lang").alias("of"), F.col("n").alias("total"))

@@ -123,3 +123,19 @@ def test_large_numbers_are_exact(spark):
     big = 6_000_000_000_000_000_000
     row = spark.range(1).selectExpr(f"{big}L AS a", f"{big}L AS l", f"{big + 1}L AS r").select(C._cut(1, C.F.col("l"), C.F.col("r")).alias("c")).first()
     assert row.c.score == 2_000_000 * big // (2 * big + 1)
+
+
+def test_tasks_hold_bounded_arrays():
+    """Numbers of many rows of runs are looked at by a quarter of a million, and phrases handed on in small batches."""
+    row = np.arange(2048, dtype="<i4").tobytes()
+    batches = [pa.RecordBatch.from_arrays([pa.array([row] * 300, pa.binary())], names=["ids"]) for _ in range(3)]
+    parts = list(C._flat(iter(batches)))
+    assert max(map(len, parts)) < 300_000 and sum(map(len, parts)) == 900 * 2049
+    some = np.arange(150_000)
+    out = list(C._gathered((some * 0, some % 100_000) for _ in range(9)))
+    assert max(b.num_rows for b in out) <= 1 << 16
+    n = Counter()
+    for b in out:
+        for lo, k in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            n[lo] += k
+    assert n[0] == 18 and n[99_999] == 9 and sum(n.values()) == 9 * 150_000
