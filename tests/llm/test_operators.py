@@ -317,6 +317,27 @@ def test_near_copies_of_passages_are_found(spark, monkeypatch):
     assert set(spans) <= {i for i, *_ in planted}
 
 
+@pytest.mark.parametrize("block", [4, 256])
+def test_near_copies_that_share_a_phrase_are_found(spark, monkeypatch, block):
+    """Pairs of near copies whose least shingles lie in a phrase that all have: lists are long, and all of them count."""
+    monkeypatch.setattr(passages, "BLOCK", block)
+    rng = random.Random(5)
+    phrase = text(rng, 32, 10**6).split()
+    first, second = [], []
+    for _ in range(40):
+        own = text(rng, 14, 10**6).split() + phrase + text(rng, 14, 10**6).split()
+        other = list(own)
+        other[rng.choice([5, 55])] = f"n{rng.randrange(10**9)}"
+        first.append(f"{text(rng, 60, 10**6)} {' '.join(own)} {text(rng, 60, 10**6)}")
+        second.append(f"{text(rng, 60, 10**6)} {' '.join(other)} {text(rng, 60, 10**6)}")
+    rows = list(enumerate([*first, *reversed(second)]))
+    spans = collections.defaultdict(list)
+    for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        spans[r.doc_id, r.source_id].append((r.start_word, r.end_word))
+    assert {(b, a) for a, b in ((k, 79 - k) for k in range(40)) if any(min(e, 120) - max(s, 60) >= 48 for s, e in spans[b, a])} == {(79 - k, k) for k in range(40)}
+    assert len([k for k, v in spans.items() if v]) == 40
+
+
 def test_long_equal_texts_are_one_span(spark):
     rng = random.Random(22)
     long_ = text(rng, 30_000, 10**6)
