@@ -22,6 +22,16 @@ def test_pages_are_put_together_once(spark):
         assert _plan(df).count("struct(top_idx") == 1
 
 
+def test_texts_that_nothing_reads_are_not_made(spark):
+    """Nested documents and the places of paragraphs have no text as it is joined; both hold the same parts without it."""
+    blocks = spark.createDataFrame([(1, 0, "title", 0, 0, 9, 9, 0, "T"), (1, 1, "text", 0, 20, 9, 29, 0, "a b")], _BLOCK)
+    whole = assemble.pages(blocks).select("page_id", "info")
+    info = assemble.page_info(blocks)
+    assert info.collect() == whole.collect()
+    assert "piece" in _plan(whole) and "piece" not in _plan(info)
+    assert "piece" not in _plan(assemble.paragraphs(blocks, pieces=False))
+
+
 def test_boxes_are_made_once(spark):
     text = spark.createDataFrame([("<box:0 10 1000 20><label:text><|rotate_up|>",)], "t string").select(layout.blocks_of(F.col("t"), rectangles=True).alias("b"))
     assert [x.bbox for x in text.collect()[0].b] == [[0.0, 0.01, 0.999, 0.02]]
