@@ -338,6 +338,38 @@ def test_near_copies_that_share_a_phrase_are_found(spark, monkeypatch, block):
     assert len([k for k, v in spans.items() if v]) == 40
 
 
+@pytest.mark.parametrize("block", [8, 256])
+def test_links_of_a_common_passage_grow_with_its_texts(spark, monkeypatch, block):
+    """A passage that all texts have, half of them with a word changed: each is linked, but not with all others."""
+    monkeypatch.setattr(passages, "BLOCK", block)
+    rng = random.Random(9)
+    passage, rows = text(rng, 70, 10**6).split(), []
+    for k in range(60):
+        own = list(passage)
+        if k % 2:
+            own[rng.randrange(70)] = f"n{rng.randrange(10**9)}"
+        rows.append((k, f"{text(rng, 60, 10**6)} {' '.join(own)} {text(rng, 60, 10**6)}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).localCheckpoint()
+    couples = passages._couples(docs, passages._told(passages._long_lists(docs, "doc_id", "text")), "doc_id", "text").localCheckpoint()
+    met = passages._met_couples(couples, docs, "doc_id", "text").collect()
+    assert couples.count() > 100 and len(met) < 8 * couples.count() and all(r.a < r.b for r in met)
+    words_of = collections.defaultdict(set)
+    for r in passages.repeated_passages(docs).collect():
+        words_of[r.doc_id].update(range(r.start_word, r.end_word))
+    assert min(len(words_of[k] & set(range(60, 130))) for k in range(1, 60)) >= 60  # words at its ends, beside a changed one, may stay
+
+
+def test_a_class_is_linked_with_what_comes_between_its_members():
+    """A content that others share nothing but a part of; 0 stands for shingles of one content."""
+    x = np.arange(1, 61, dtype=np.uint32)
+    y = x.copy()
+    y[50] = 0
+    apart = np.arange(100, 160, dtype=np.uint32)
+    ids, last = np.array([1, 2, 3]), np.array([9, 9, 3])
+    a, b = passages._needed([x, y, apart], ids, last, ids < last, 0)
+    assert set(zip(a, b, strict=True)) == {(0, 0), (0, 1)} and passages._needed([x, y, apart], ids, ids, ids < 0, 0) == ([0], [1])
+
+
 def test_long_equal_texts_are_one_span(spark):
     rng = random.Random(22)
     long_ = text(rng, 30_000, 10**6)
