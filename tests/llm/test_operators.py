@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -370,6 +371,13 @@ def test_a_class_is_linked_with_what_comes_between_its_members():
     assert set(zip(a, b, strict=True)) == {(0, 0), (0, 1)} and passages._needed([x, y, apart], ids, ids, ids < 0, 0) == ([0], [1])
 
 
+def test_pairs_of_windows_of_repeated_words_are_looked_at_in_parts(monkeypatch):
+    t = next(texts_of.passes(pa.array(["a b c d e f " * 100, "x " * 300, "y"], pa.large_string())))
+    want = passages._couples_of(t, None)
+    monkeypatch.setattr(passages, "_TOGETHER", 50)
+    assert all(np.array_equal(x, y) for x, y in zip(want, passages._couples_of(t, None), strict=True)) and len(want[0])
+
+
 def test_long_equal_texts_are_one_span(spark):
     rng = random.Random(22)
     long_ = text(rng, 30_000, 10**6)
