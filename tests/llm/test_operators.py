@@ -360,6 +360,35 @@ def test_links_of_a_common_passage_grow_with_its_texts(spark, monkeypatch, block
     assert min(len(words_of[k] & set(range(60, 130))) for k in range(1, 60)) >= 60  # words at its ends, beside a changed one, may stay
 
 
+@pytest.mark.parametrize("most", [3, 1 << 15])
+def test_texts_of_several_lists_are_compared_once(spark, monkeypatch, most):
+    """Near copies of a passage of 300 words meet in many lists; those that a task holds link a text with each other one once."""
+    monkeypatch.setattr(passages, "LIST", most)
+    rng = random.Random(13)
+    passage, rows = text(rng, 300, 10**6).split(), []
+    for k in range(12):
+        own = list(passage)
+        own[rng.randrange(300)] = f"n{rng.randrange(10**9)}"
+        rows.append((k, f"{text(rng, 60, 10**6)} {' '.join(own)} {text(rng, 60, 10**6)}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).localCheckpoint()
+    couples = passages._couples(docs, passages._told(passages._long_lists(docs, "doc_id", "text")), "doc_id", "text").localCheckpoint()
+    links = passages._met_couples(couples, docs, "doc_id", "text").where("f = 0").collect()
+    if most > 3:
+        assert links and max(collections.Counter((r.a, r.b) for r in links).values()) <= 3
+    words_of = collections.defaultdict(set)
+    for r in passages.repeated_passages(docs).collect():
+        words_of[r.doc_id].update(range(r.start_word, r.end_word))
+    assert min(len(words_of[k] & set(range(60, 360))) for k in range(1, 12)) >= 290
+
+
+def test_a_dense_part_of_a_longer_stretch_is_a_passage():
+    """45 shared shingles in a row, beside parts where fewer are shared: the stretch as a whole isn't similar enough."""
+    shared = [*[1] * 8, *[0] * 5, *[1] * 45, *[0] * 5, *[1] * 3, *[0] * 20]
+    x = np.arange(1, len(shared) + 1, dtype=np.uint64)
+    y = np.where(np.array(shared) > 0, x, x + np.uint64(1000))
+    assert any(p <= 14 and q >= 56 and s >= 0.75 for p, q, _, _, s in passages.verify(x, y))
+
+
 def test_a_class_is_linked_with_what_comes_between_its_members():
     """A content that others share nothing but a part of; 0 stands for shingles of one content."""
     x = np.arange(1, 61, dtype=np.uint32)
